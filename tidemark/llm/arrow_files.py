@@ -163,7 +163,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         start = pa.array(rows.column(1).to_numpy() + base)
                         yield pa.RecordBatch.from_arrays([rows.column(0), start, rows.column(2), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition("path").mapInArrow(worker, DOCS)
+    # a number given: adaptive execution would put the few rows of the manifest, and so all files, in one task
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(worker, DOCS)
 
 
 def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:

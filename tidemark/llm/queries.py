@@ -15,15 +15,65 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir))
 
 
+def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import near_components
+
+    return near_components(read_documents(spark, sf_dir))
+
+
+def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.multi_index import near_vectors
+
+    return near_vectors(read_documents(spark, sf_dir, "embeddings"))
+
+
+def op4_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import split_identify
+
+    return split_identify(read_documents(spark, sf_dir))
+
+
 def op5_arrow_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.arrow_files import token_files
 
     return token_files(read_documents(spark, sf_dir))
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quotes import reply_threads
+
+    return reply_threads(read_documents(spark, sf_dir, "conversations"))
+
+
+def op7_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secret_scan import find_secrets
+
+    return find_secrets(read_documents(spark, sf_dir))
+
+
+def op8_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lattice import likelihood
+
+    return likelihood(read_documents(spark, sf_dir))
+
+
+def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.text_density import extract
+
+    return extract(read_documents(spark, sf_dir, "pages"))
+
+
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.tiling import contaminated
+
+    return contaminated(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidemark.llm.quotes import ORACLE_SQL
+
+    return {"op6_quotation_linking": ORACLE_SQL}
