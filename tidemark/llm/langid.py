@@ -11,9 +11,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-import zstandard
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +20,9 @@ from tidemark.llm.common import text_crc_mod
 
 UNDETERMINED = "und"
 #: The sample a dictionary is cut from: so many labelled rows of a language, so many bytes of each.
-SAMPLE_ROWS, SAMPLE_BYTES = 256, 1024
+SAMPLE_ROWS, SAMPLE_BYTES = 320, 1024
 #: Bytes of a dictionary; all dictionaries together stay under ALL_BYTES, however many languages there are.
-DICT_BYTES, ALL_BYTES = 128 * 1024, 16 * 1024 * 1024
+DICT_BYTES, ALL_BYTES = 256 * 1024, 16 * 1024 * 1024
 BLOCK, LEVEL = 2048, 3
 #: A text is rejected if the second smallest size is not larger than the smallest by this share.
 MARGIN = 0.002
@@ -31,6 +30,12 @@ MARGIN = 0.002
 SCALE = 0.02
 
 _LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def plain(text: str) -> bytes:
+    """Lower case, each run of ASCII characters that are no letters as one space: only the language is left."""
+    return b" ".join(text.lower().encode().translate(_ASCII_LETTERS).split()) + b" "
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
@@ -50,16 +55,15 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = S
     picked = picked.dropDuplicates(["lang", "text"]).orderBy("h").limit(4 * sample_rows * len(counts)).collect()
     room = min(DICT_BYTES, ALL_BYTES // len(counts))
     out: dict[str, bytes] = {}
-    for lang in sorted(counts):
-        texts = [r["text"].lower().encode() for r in picked if r["lang"] == lang][:sample_rows]
-        # what stands last in a dictionary is cheapest to refer to
-        out[lang] = b"\n".join(texts)[-room:] if texts else lang.encode() * 8
+    for lang in sorted(counts, key=lambda k: (-counts[k], k)):  # the order decides ties
+        texts = [plain(r["text"]) for r in picked if r["lang"] == lang][:sample_rows]
+        out[lang] = b"".join(texts)[-room:] or lang.encode() * 8
     return out
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], block: int = BLOCK, level: int = LEVEL):
-        self.languages, self.block = sorted(dictionaries), block
+        self.languages, self.block = list(dictionaries), block
         self.compressors = []
         for lang in self.languages:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -68,12 +72,12 @@ class Classifier:
 
     def sizes(self, text: str) -> np.ndarray:
         """Compressed bytes of the whole text by each dictionary, block after block."""
-        data = text.lower().encode()
+        data = plain(text)
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
         return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.compressors])
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
-        """(language, score from 0 to 1, margin); ties go to the language first in the alphabet."""
+        """(language, score from 0 to 1, margin); ties go to the language with more training rows."""
         if not text or not _LETTER.search(text) or not self.languages:
             return UNDETERMINED, 0.0, 0.0
         sizes = self.sizes(text)

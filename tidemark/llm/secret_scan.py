@@ -43,13 +43,14 @@ LENGTH_CLASSES = (24, 32, 40, 64, 128, 1 << 60)
 STEP, STEPS = 0.25, 400
 ENCODINGS = {
     "hex": "0123456789abcdef",
+    "hex_upper": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "lower": "0123456789abcdefghijklmnopqrstuvwxyz",
     "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
-_ORDER = ("hex", "base32", "lower", "upper", "alnum", "base64")
+_ORDER = ("hex", "hex_upper", "base32", "lower", "upper", "alnum", "base64")
 _TABLES = {k: {c: i for i, c in enumerate(v)} for k, v in ENCODINGS.items()}
 _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
 #: Chance that two characters of running text, letters and digits apart, are equal; about the same in the languages
@@ -101,7 +102,7 @@ def battery(run: str) -> tuple[float, float, float, float] | None:
     above = x >= k / 2
     n1, n0 = int(above.sum()), int(n - above.sum())
     if not n1 or not n0:
-        return None
+        return uniform, 0.0, 0.0, 1.0
     runs = 1 + int((above[1:] != above[:-1]).sum())
     mean = 1 + 2 * n1 * n0 / n
     spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))

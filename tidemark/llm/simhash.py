@@ -180,10 +180,3 @@ def near_components(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
     out = own.join(named, own.fp == named.f)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, one row for each doc_id; rows with a null doc_id stay."""
-    groups = near_components(docs, **options)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
-    kept = docs.join(keep, docs.doc_id == F.col("keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
