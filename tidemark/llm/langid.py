@@ -102,7 +102,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             rows = [model.predict(t) for t in texts]
             yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "margin": [r[2] for r in rows], "rejected": [r[0] == UNDETERMINED or r[2] < margin for r in rows]}, columns=["lang_pred", "score", "margin", "rejected"])
 
-    return docs.withColumn("found", found(F.col("text").cast("string")))
+    return docs.withColumn("found", found.asNondeterministic()(F.col("text").cast("string")))  # so that a filter on it does not run it twice
 
 
 def split_identify(docs: DataFrame) -> DataFrame:
