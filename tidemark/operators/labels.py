@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +99,12 @@ def _offset(path: str, hit) -> Column:
     return F.nullif(F.array_position(F.transform(path, hit), True).cast("int"), F.lit(0))
 
 
+def _reaches(level: Column, side: int):
+    """Whether a price lies at or beyond a level, to a relative tolerance."""
+    slack = F.abs(level) * TOLERANCE
+    return (lambda x: x >= level - slack) if side == LONG else (lambda x: x <= level + slack)
+
+
 def outcome(tp: Column, sl: Column, valid: Column) -> dict[str, Column]:
     """Which barrier came first: a bar that touches both counts as the stop; ``ambiguous`` marks it."""
     return {
@@ -121,10 +127,8 @@ def first_touch(bars: DataFrame, series: Series, target, stop, horizon: int, sid
     else:
         rows = framed(bars.withColumns({"__t": t, "__s": s}), series, 0, horizon + 2, lambda w: _path(w, horizon, reference))
         up, down = F.col("entry") * (1 + side * F.col("__t")), F.col("entry") * (1 - side * F.col("__s"))
-        at_least = lambda level: lambda x: x >= level - F.abs(level) * TOLERANCE
-        at_most = lambda level: lambda x: x <= level + F.abs(level) * TOLERANCE
-        tp = _offset("__high", at_least(up)) if side == LONG else _offset("__low", at_most(up))
-        sl = _offset("__low", at_most(down)) if side == LONG else _offset("__high", at_least(down))
+        tp = _offset("__high" if side == LONG else "__low", _reaches(up, side))
+        sl = _offset("__low" if side == LONG else "__high", _reaches(down, -side))
         rows = rows.withColumns({"__tp": tp, "__sl": sl}).withColumn("__valid", F.col("__high").isNotNull() & F.col("__exit").isNotNull() & F.col("entry").isNotNull())
     rows = rows.withColumns(outcome(F.col("__tp"), F.col("__sl"), F.col("__valid")))
     held = F.when(F.col("outcome") == "TIMEOUT", F.lit(horizon)).otherwise(F.least("tp_offset", "sl_offset"))
@@ -186,17 +190,17 @@ def execution_barriers(bars: DataFrame, series: Series, targets, stops, horizons
 
     rows = framed(bars, series, 0, longest + 2, columns)
     e, touch = F.col("entry"), {}
-    for level in sorted({*targets, *stops}):
-        up, down = e * (1 + level), e * (1 - level)
-        touch[f"__up_{level}"] = _offset("__high", lambda x, u=up: x >= u - u * TOLERANCE)
-        touch[f"__dn_{level}"] = _offset("__low", lambda x, d=down: x <= d + d * TOLERANCE)
+    number = {level: i for i, level in enumerate(sorted({*targets, *stops}))}
+    for level, i in number.items():
+        touch[f"__up_{i}"] = _offset("__high", _reaches(e * (1 + level), LONG))
+        touch[f"__dn_{i}"] = _offset("__low", _reaches(e * (1 - level), SHORT))
     rows = rows.withColumns(touch)
     cells = []
     for side in (LONG, SHORT):
         for t in targets:
             for s in stops:
                 for h in horizons:
-                    tp, sl = F.col(f"__up_{t}" if side == LONG else f"__dn_{t}"), F.col(f"__dn_{s}" if side == LONG else f"__up_{s}")
+                    tp, sl = F.col(f"__{'up' if side == LONG else 'dn'}_{number[t]}"), F.col(f"__{'dn' if side == LONG else 'up'}_{number[s]}")
                     valid = F.col(f"__full_{h}") & F.col(f"__exit_{h}").isNotNull() & e.isNotNull()
                     o = outcome(F.when(tp <= h, tp), F.when(sl <= h, sl), valid)
                     timeout = side * (F.col(f"__exit_{h}") / e - 1)
@@ -211,13 +215,14 @@ def atr_barriers(bars: DataFrame, series: Series, target_atr: float, stop_atr: f
 
 
 def path_samples(touched: DataFrame, series: Series, n: int = 500) -> DataFrame:
-    """The last ``n`` completed rows of each series by a top-n per time bucket, then over buckets."""
-    done = touched.where("outcome is not null")
-    from pyspark.sql import Window
-
-    coarse = Window.partitionBy(*series.keys, "__b").orderBy(F.desc(series.ts))
-    few = done.withColumn("__b", F.floor(F.col(series.ts) / (series.chunk * series.step_ms))).withColumn("__r", F.row_number().over(coarse)).where(F.col("__r") <= n)
-    return few.withColumn("__r", F.row_number().over(Window.partitionBy(*series.keys).orderBy(F.desc(series.ts)))).where(F.col("__r") <= n).drop("__r", "__b")
+    """The last ``n`` completed rows of each series: only the time buckets that can hold them are ranked."""
+    done = touched.where("outcome is not null").withColumn("__b", F.floor(F.col(series.ts) / (series.chunk * series.step_ms)))
+    later = Window.partitionBy(*series.keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = done.groupBy(*series.keys, "__b").agg(F.count("*").alias("__n"))
+    last = sizes.withColumn("__later", F.coalesce(F.sum("__n").over(later), F.lit(0))).where(F.col("__later") < n)
+    few = done.join(last.select(*series.keys, "__b"), [*series.keys, "__b"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy(*series.keys).orderBy(F.desc(series.ts)))  # n rows and a bucket at most
+    return few.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r", "__b")
 
 
 def path_summary(samples: DataFrame, keys: list[str]) -> DataFrame:

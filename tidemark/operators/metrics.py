@@ -151,12 +151,12 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, keys: list[st
 def average_ranks(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
     """Join the average rank of ``value`` (from 1, ties share it) to each row."""
     counts = df.groupBy(*keys, F.col(value).cast("double").alias("score")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("pos"))
-    c = cumulated(counts, keys, descending=False).select(*keys, F.col("score").alias("__v"), (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
-    on = [df[k].eqNullSafe(c[k]) for k in keys] + [df[value].cast("double") == c["__v"]]
-    cond = on[0]
-    for x in on[1:]:
-        cond = cond & x
-    return df.join(c, cond).select(*(df[x] for x in df.columns), c[name])
+    rank = (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias(name)
+    ranks = cumulated(counts, keys, descending=False).select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("score").alias("__v"), rank)
+    same = F.col(value).cast("double") == F.col("__v")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(ranks, same).select(*df.columns, name)
 
 
 def rank_correlation(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:

@@ -184,8 +184,8 @@ def tick_problems(df: DataFrame, arrival: str = "arrival") -> DataFrame:
     """(source, code, ticks): RETRANSMIT, OUT_OF_ORDER, SEQUENCE_REPEAT, SEQUENCE_GAP, CROSSED, LAST_OFF_MID in arrival order."""
     first = Window.partitionBy(*TICK_KEY).orderBy(arrival)
     rows = df.withColumn("__copy", F.row_number().over(first) > 1)
-    w = Window.partitionBy("source", "instrument").orderBy(arrival)
-    fresh = rows.where("not __copy").withColumn("__t", F.lag("event_ts").over(w)).withColumn("__s", F.lag("sequence").over(w))
+    by_arrival = Series(keys=("source", "instrument"), ts=arrival, step_ms=1)
+    fresh = framed(rows.where("not __copy"), by_arrival, 1, 0, lambda w: {"__t": F.lag("event_ts").over(w), "__s": F.lag("sequence").over(w)})
     middle = (F.col("bid") + F.col("ask")) / 2
     codes = {
         "OUT_OF_ORDER": F.col("event_ts") < F.col("__t"),

@@ -7,6 +7,7 @@ A block scan is a scan inside each chunk plus the carry of all chunks before it,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -103,6 +104,10 @@ def block_scan(df: DataFrame, series: Series, values: Mapping[str, Column], how:
     return out.drop("__bucket", *(f"__{x}_{k}" for k in values for x in "vsc"))
 
 
+def _weakened(factor: float) -> Callable[[Column, Column], Column]:
+    return lambda total, end: total * F.lit(factor) + end
+
+
 def ema(df: DataFrame, series: Series, spans: Mapping[str, tuple[Column, int, int]], adjust: bool = False) -> DataFrame:
     """Exponential means: name -> (column, span, rows needed). Null until that many rows.
 
@@ -126,20 +131,20 @@ def ema(df: DataFrame, series: Series, spans: Mapping[str, tuple[Column, int, in
     parts = [*local]
     q_of = {p: 1 - 2 / (spans[p[4:]][1] + 1) for p in parts}
     ends = rows.groupBy(*series.keys, "__block").agg(F.count("*").alias("__m"), *(F.max_by(p, F.col(INDEX)).alias(p.replace("__", "__e", 1)) for p in parts))
-    # the carry of a block: each earlier block's end, weakened by the rows between; blocks are full but the last,
-    # and ten thousand rows on, nothing is left of a block, so the frame is short
+    # the carry of a block: each earlier block's end, weakened by the rows between; blocks are full but the last, and
+    # the frame ends where a weight is no longer a positive double
     carried = ends
     for p in parts:
         e = p.replace("__", "__e", 1)
-        deep = max(1, int(-745 / (chunk * __import__("math").log(q_of[p]))) + 1)
+        deep = max(1, int(-745 / (chunk * math.log(q_of[p]))) + 1)
         past = Window.partitionBy(*series.keys).orderBy("__block").rowsBetween(-deep, -1)
         powers = F.collect_list(F.col(e)).over(past)
-        carried = carried.withColumn(p.replace("__", "__c", 1), F.aggregate(powers, F.lit(0.0), lambda acc, v, q=q_of[p]: acc * F.lit(q**chunk) + v))
+        carried = carried.withColumn(p.replace("__", "__c", 1), F.aggregate(powers, F.lit(0.0), _weakened(q_of[p] ** chunk)))
     carried = carried.select(*series.keys, "__block", *(p.replace("__", "__c", 1) for p in parts))
     out = rows.join(carried, [*series.keys, "__block"])
     for name, (_, span, least) in spans.items():
         q = 1 - 2 / (span + 1)
-        full = lambda p, q=q: F.col(p) + F.pow(F.lit(q), k + 1) * F.col(p.replace("__", "__c", 1))
+        full = lambda p: F.col(p) + F.pow(F.lit(q), k + 1) * F.col(p.replace("__", "__c", 1))  # noqa: E731, B023
         y = full(f"__y_{name}") / full(f"__d_{name}") if adjust else full(f"__y_{name}")
         out = out.withColumn(name, F.when(F.col(INDEX) >= least - 1, y))
     return out.drop("__block", INDEX, *parts, *(p.replace("__", "__c", 1) for p in parts))

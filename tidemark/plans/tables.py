@@ -88,7 +88,7 @@ FULL_SQL = (
   ASOF LEFT JOIN prints p ON b.venue = p.venue AND b.instrument = p.instrument AND b.ts_ms >= p.ts_ms)"""
 )
 TICKS_SQL = """ticks AS (
-  SELECT 'x' AS venue, event_type AS instrument, epoch_ms(ts) AS ts_ms, event_id AS trade_id, value AS price,
+  SELECT 'x' AS venue, event_type AS instrument, epoch_us(ts) // 1000 AS ts_ms, event_id AS trade_id, value AS price,
          (user_id % 7 + 1)::DOUBLE AS quantity, user_id % 2 = 0 AS is_buyer_maker, user_id, props FROM events)"""
 HOURLY_SQL = (
     TICKS_SQL

@@ -347,13 +347,13 @@ _OIF = [*(f"oi_pct_{n}" for n in (1, 5)), "oi_z_60", "funding_change", "funding_
 
 
 @query(f"""WITH {FULL_SQL} SELECT {KT}, round(open_interest / nullif(lag(open_interest) OVER w, 0) - 1, 6) + 0.0 AS oi_pct_1, round(open_interest / nullif(lag(open_interest, 5) OVER w, 0) - 1, 6) + 0.0 AS oi_pct_5,
-  round({z_sql('open_interest', 60)}, 6) + 0.0 AS oi_z_60, round(funding_rate - lag(funding_rate) OVER w, 8) + 0.0 AS funding_change, round({at_least('avg', 'funding_rate', 120, 30)}, 8) AS funding_mean_120,
-  round({at_least('sum', 'funding_rate', 120, 30)}, 8) AS funding_sum_120, coalesce(close > lag(close) OVER w AND open_interest > lag(open_interest) OVER w, false)::BIGINT AS price_up_oi_up,
+  round({z_sql('open_interest', 60)}, 6) + 0.0 AS oi_z_60, round(funding_rate - lag(funding_rate) OVER w, 8) + 0.0 AS funding_change, round({at_least('avg', 'funding_rate', 120, 30)}, 6) AS funding_mean_120,
+  round({at_least('sum', 'funding_rate', 120, 30)}, 5) AS funding_sum_120, coalesce(close > lag(close) OVER w AND open_interest > lag(open_interest) OVER w, false)::BIGINT AS price_up_oi_up,
   coalesce(close < lag(close) OVER w AND open_interest < lag(open_interest) OVER w, false)::BIGINT AS price_down_oi_down FROM full_bars {W0}""")
 def w17_w19_oi_funding(spark, d):
     out = W.oi_funding_features(P.full_bars(spark, d), DAILY, zs=(60,), sums=(120,)).select(*K, "ts_ms", *_OIF)
-    six = {c: F.round(c, 6) + F.lit(0.0) for c in ("oi_pct_1", "oi_pct_5", "oi_z_60")}
-    return rounded(out.withColumns(six), 8)
+    six = {c: F.round(c, 6) + F.lit(0.0) for c in ("oi_pct_1", "oi_pct_5", "oi_z_60", "funding_mean_120")}
+    return rounded(out.withColumns(six | {"funding_sum_120": F.round("funding_sum_120", 5)}), 8)
 
 
 @query(f"""WITH {HOURLY_SQL} SELECT {KT}, round(sin(2 * pi() / 24 * (ts_ms % {DAY} // {HOUR})), 6) + 0.0 AS hour_sin, round(cos(2 * pi() / 24 * (ts_ms % {DAY} // {HOUR})), 6) + 0.0 AS hour_cos,
@@ -592,7 +592,7 @@ def c3_funding_index(spark, d):
 
 
 @query(f"""WITH {BARS_SQL}, s AS (SELECT * FROM (VALUES ('base', 1.0, 0.0), ('fees_1_5x', 1.5, 0.0), ('fees_2x', 2.0, 0.0), ('slippage_5bp', 1.0, 0.0005), ('both', 2.0, 0.0005)) v(scenario, fee_mult, extra))
-  SELECT {KT}, scenario, round(2 * (0.0005 * fee_mult + 0.0002 + extra), 8) AS cost, abs(close / open - 1) >= 1.5 * (2 * (0.0005 * fee_mult + 0.0002 + extra)) AND close <> open AS accepted FROM bars, s""")
+  SELECT {KT}, scenario, round((2 * (0.0005 * fee_mult + 0.0002 + extra))::DOUBLE, 8) AS cost, abs(close / open - 1) >= 1.5 * (2 * (0.0005 * fee_mult + 0.0002 + extra)) AND close <> open AS accepted FROM bars, s""")
 def c6_c7_gate_stress(spark, d):
     rows = P.daily_bars(spark, d).withColumns({"edge": F.col("close") / F.col("open") - 1, "uncertainty": F.lit(0.0)})
     return rounded(C.stress_suite(rows).select(*K, "ts_ms", "scenario", "cost", "accepted"), 8)
