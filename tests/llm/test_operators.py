@@ -431,6 +431,8 @@ PAGES = [
     (5, '<body><header><a href="/">Site</a></header><main><div class="post"><h1>Head</h1><p>Long paragraph of text that goes on and on.</p><p>Ok.</p><div class="comments"><p>First comment is a long one, longer than all.</p></div></div><aside>Side</aside></main><form>Mail <input></form><script>var a="<p>no</p>"</script></body>', "Head Long paragraph of text that goes on and on. Ok."),
     (6, "<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     (7, '<body><div id="cookie-notice">We use cookies on this site to make it better for all</div><div class="content"><p>Alpha beta gamma delta epsilon.</p><p>Zeta eta theta iota kappa lambda.</p></div></body>', "Alpha beta gamma delta epsilon. Zeta eta theta iota kappa lambda."),
+    (9, '<body><main><article><header><h1>Top</h1></header><p>Body text of the article, long enough to be it.</p><section id="comments"><article class="comment"><p>A reader writes a very long comment, longer than the article itself, and goes on, and on, and on, and on.</p></article></section></article><section class="related"><article><p>Teaser one</p></article></section></main></body>', "Top Body text of the article, long enough to be it."),
+    (10, '<body><div class="wrap"><div class="side"><p>Some words in the side column of the page.</p></div><div><p>Short.</p><p>One long paragraph that carries the page, with many words in it.</p></div><div style="visibility: hidden">ghost</div></div></body>', "Short. One long paragraph that carries the page, with many words in it."),
     (8, "<body><nav><a href=x>only</a> <a href=y>links</a></nav></body>", ""),
 ]
 

@@ -25,7 +25,9 @@ SMOOTHING = 0.1
 #: Words whose scores are carried to the documents: a bound on the broadcast, not on what is scored.
 HEAD_WORDS = 65_536
 #: Distinct words a counting task holds before it hands its counts on.
-COUNTER_SIZE = 400_000
+COUNTER_SIZE = 250_000
+#: Rows of word uses handed on at once.
+USES_SIZE = 100_000
 LN10 = math.log(10)
 
 
@@ -139,8 +141,16 @@ def _split_scores(docs: DataFrame, head: dict[bytes, tuple[int, float]]) -> Data
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: (c, math.log10(c + SMOOTHING), s) for w, (c, s) in sent.value.items()}
+        out: list[tuple] = []
+
+        def batch():
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64()]
+            arrays = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            arrays[2] = arrays[2].cast(pa.string())
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "word", "k", "train", "known", "base", "lattice"])
+
         for b in batches:
-            out: list[tuple] = []
             for doc_id, h, train, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 n = have = 0
                 base = lattice = 0.0
@@ -154,12 +164,10 @@ def _split_scores(docs: DataFrame, head: dict[bytes, tuple[int, float]]) -> Data
                         base += k * hit[1]
                         lattice += k * hit[2]
                 out.append((doc_id, h, None, n, train, have, base, lattice))
-            if out:
-                c = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64()]
-                arrays = [pa.array(x, kind) for x, kind in zip(c, kinds, strict=True)]
-                arrays[2] = arrays[2].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "word", "k", "train", "known", "base", "lattice"])
+                if len(out) >= USES_SIZE:
+                    yield batch()
+        if out:
+            yield batch()
 
     return docs.select("doc_id", F.hash("text").alias("h"), "train", "text").mapInArrow(worker, USES)
 

@@ -12,7 +12,6 @@ each class of length.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -246,7 +245,3 @@ def redact_text(text: str, least: dict[int, int], mark: str) -> str:
             out += [text[at:a], mark]
         at = b
     return "".join([*out, text[at:]])
-
-
-def sha256_of(base: str) -> str:
-    return hashlib.sha256(base.encode()).hexdigest()

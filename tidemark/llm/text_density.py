@@ -36,14 +36,16 @@ NEVER_TEXT = frozenset("head script style noscript template iframe svg canvas ob
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
-    "copyright disclaimer disqus feedback footer form header login masthead menu modal nav navbar navigation newsletter notice notices "
-    "notification pagination pager popup promo promotion promoted recommended related share sharing sidebar signup social sponsor sponsored "
-    "subscribe subscription toolbar widget widgets".split()
+    "ad adbox ads adslot adsense adspace adunit adv advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs comment "
+    "comments commentlist consent cookie cookies copyright disclaimer discussion disqus feedback footer form gdpr header login masthead menu modal "
+    "nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion promoted rail reactions recommended related "
+    "replies responses share sharing side sidebar sidenav signin signup social sponsor sponsored subscribe subscription toolbar topbar widget "
+    "widgets".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main".split())
 _WORD = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
@@ -54,7 +56,7 @@ class Node:
         a = dict(attrs)
         self.names = frozenset(_WORD.findall(f"{a.get('class') or ''} {a.get('id') or ''}".lower())) if "class" in a or "id" in a else frozenset()
         self.role = (a.get("role") or "").lower()
-        self.hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower()
+        self.hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search((a.get("style") or "").lower()))
 
 
 class Tree(HTMLParser):
@@ -117,14 +119,24 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _length(root: Node) -> int:
+    return sum(len(c) for n in _walk(root) if n.tag not in NEVER_TEXT for c in n.children if isinstance(c, str))
+
+
+def _boilerplate(node: Node) -> bool:
+    return node.tag in BOILERPLATE_TAGS or node.role in BOILERPLATE_ROLES or not node.names.isdisjoint(BOILERPLATE_WORDS)
+
+
 def _holds(root: Node) -> set[int]:
-    """Nodes that hold an article, a main element or the page's first heading: never taken off."""
+    """Nodes that are never taken off: what holds a main element, the longest article or the page's first heading."""
+    nodes = _walk(root)
+    articles = [n for n in nodes if n.tag == "article" and not _boilerplate(n)]
+    targets = [n for n in nodes if n.tag == "main"] + ([max(articles, key=_length)] if articles else []) + [n for n in nodes if n.tag == "h1"][:1]
     out: set[int] = set()
-    for node in _walk(root):
-        if node.tag in CONTENT or node.tag == "h1":
-            while node is not None and id(node) not in out:
-                out.add(id(node))
-                node = node.parent
+    for node in targets:
+        while node is not None and id(node) not in out:
+            out.add(id(node))
+            node = node.parent
     return out
 
 
@@ -139,7 +151,7 @@ def prune(root: Node) -> None:
                 c.tag in NEVER_TEXT
                 or c.hidden
                 or id(c) not in keep
-                and (c.tag in BOILERPLATE_TAGS or c.role in BOILERPLATE_ROLES or not c.names.isdisjoint(BOILERPLATE_WORDS))
+                and _boilerplate(c)
             )
         ]
 
@@ -180,16 +192,16 @@ def core(root: Node) -> Node:
         node = node.parent
         path.append(node)
     threshold = min(n.density for n in path)
-    top = next((n for n in reversed(path) if n.tag in CONTENT), None)
-    if top is not None:
-        return top
+    for tag in ("article", "main"):
+        top = next((n for n in reversed(path) if n.tag == tag), None)
+        if top is not None:
+            return top
     node = best
     while node.parent is not None:
         beside = [c for c in node.parent.children if c is not node]
         if not any((c.strip() if isinstance(c, str) else c.chars and (c.density >= threshold or c.tag in HEADINGS or c.tag == "p")) for c in beside):
             break
         node = node.parent
-    # a page of several articles: what holds them
     return node
 
 
@@ -214,13 +226,7 @@ def main_text(html: str | None) -> str:
         return ""
     root = Tree(html).root
     prune(root)
-    articles = [n for n in _walk(root) if n.tag == "article"]
-    found = core(root)
-    if found.tag == "article" and len(articles) > 1:
-        # articles side by side are the page's text together
-        beside = [c for c in (found.parent.children if found.parent else []) if not isinstance(c, str) and c.tag == "article"]
-        return " ".join(t for t in map(text_of, beside or [found]) if t)
-    return text_of(found)
+    return text_of(core(root))
 
 
 def extract(pages: DataFrame) -> DataFrame:
