@@ -20,7 +20,7 @@ from tidemark.operators import quality as D
 from tidemark.operators import rollups as A
 from tidemark.plans import tables as P
 from tidemark.plans.series import block_scan, framed, with_row_index
-from tidemark.plans.tables import BARS_SQL, DAILY, FULL_SQL, HOURLY, HOURLY_SQL, PRINTS_SQL, TICKS_SQL, TRADES_SQL, r, rounded
+from tidemark.plans.tables import BARS_SQL, DAILY, FULL_SQL, HOURLY, HOURLY_SQL, TICKS_SQL, TRADES_SQL, r, rounded
 from tidemark.spec import DAY, HOUR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,12 +257,12 @@ def j2_spine_zero_fill(spark, d):
     return J.spine_join(spine, h.select(*K, "ts_ms", "volume"), HOURLY, ["volume"])
 
 
-@query(f"""WITH {BARS_SQL}, dec AS (SELECT venue, instrument, ts_ms AS at_ms, close AS price FROM bars WHERE (ts_ms // {DAY}) % 10 = 0)
+@query(f"""WITH {BARS_SQL}, dec AS (SELECT venue, instrument, ts_ms AS at_ms, close AS price FROM bars)
   SELECT d.venue, d.instrument, d.at_ms, count(b.ts_ms) AS n_bars, round(last(b.close / d.price - 1 ORDER BY b.ts_ms), 6) AS last_return, round(max(b.close / d.price - 1), 6) AS best_return, round(min(b.close / d.price - 1), 6) AS worst_return
   FROM dec d JOIN bars b ON b.venue = d.venue AND b.instrument = d.instrument AND b.ts_ms > d.at_ms AND b.ts_ms <= d.at_ms + 7 * {DAY} GROUP BY ALL""")
 def j4_observed_outcome(spark, d):
     bars = P.daily_bars(spark, d)
-    dec = bars.where(F.floor(F.col("ts_ms") / DAY) % 10 == 0).select(*K, F.col("ts_ms").alias("at_ms"), F.col("close").alias("price"), F.lit(1).alias("side"))
+    dec = bars.select(*K, F.col("ts_ms").alias("at_ms"), F.col("close").alias("price"), F.lit(1).alias("side"))
     out = J.observed_outcome(dec, bars, DAILY, "at_ms", 7).where("n_bars is not null")
     return rounded(out.select(*K, "at_ms", "n_bars", "last_return", "best_return", "worst_return"))
 
@@ -443,13 +443,16 @@ def x7_x9_long_targets(spark, d):
     return rounded(out.select(*K, "ts_ms", "exec_ret_20", "exec_ret_60", "target_rv_20", "target_abs_20", "target_pos_20", "target_up_200_20", "target_dn_200_20"))
 
 
-def _touch_sql(target: float, stop: float, h: int, base: str = "bars") -> str:
+def _touch_sql(target: float, stop: float, h: int, base: str = "bars", side: int = 1) -> str:
+    up = lambda x: f"b.high >= a.entry * (1 + {x}) * (1 - 1e-12)"
+    down = lambda x: f"b.low <= a.entry * (1 - {x}) * (1 + 1e-12)"
+    tp, sl = (up(target), down(stop)) if side == 1 else (down(target), up(stop))
     return f"""n AS (SELECT *, row_number() OVER w AS i, lead(open) OVER w AS entry, lead(open, {h + 1}) OVER w AS leave, count(close) {over(h, True)} = {h} AS whole FROM {base} {W0}),
-  p AS (SELECT a.venue, a.instrument, a.ts_ms, min(b.i - a.i) FILTER (b.high >= a.entry * (1 + {target}) * (1 - 1e-12)) AS tp, min(b.i - a.i) FILTER (b.low <= a.entry * (1 - {stop}) * (1 + 1e-12)) AS sl
+  p AS (SELECT a.venue, a.instrument, a.ts_ms, min(b.i - a.i) FILTER ({tp}) AS tp, min(b.i - a.i) FILTER ({sl}) AS sl
         FROM n a JOIN n b ON a.venue = b.venue AND a.instrument = b.instrument AND b.i > a.i AND b.i <= a.i + {h} GROUP BY ALL),
   t AS (SELECT n.*, CASE WHEN whole AND leave IS NOT NULL THEN tp END AS tp_offset, CASE WHEN whole AND leave IS NOT NULL THEN sl END AS sl_offset, CASE WHEN whole AND leave IS NOT NULL THEN CASE WHEN sl IS NOT NULL AND (tp IS NULL OR sl <= tp) THEN 'SL' WHEN tp IS NOT NULL THEN 'TP' ELSE 'TIMEOUT' END END AS outcome
         FROM n LEFT JOIN p USING (venue, instrument, ts_ms)),
-  touched AS (SELECT *, CASE WHEN outcome = 'TIMEOUT' THEN {h} ELSE least(tp_offset, sl_offset) END AS holding, CASE outcome WHEN 'TP' THEN {target} WHEN 'SL' THEN -{stop} WHEN 'TIMEOUT' THEN leave / entry - 1 END AS realized FROM t)"""
+  touched AS (SELECT *, CASE WHEN outcome = 'TIMEOUT' THEN {h} ELSE least(tp_offset, sl_offset) END AS holding, CASE outcome WHEN 'TP' THEN {target} WHEN 'SL' THEN -{stop} WHEN 'TIMEOUT' THEN {side} * (leave / entry - 1) END AS realized FROM t)"""
 
 
 @query(f"WITH {BARS_SQL}, {_touch_sql(0.3, 0.2, 20)} SELECT {KT}, tp_offset, sl_offset, outcome, holding, round(realized, 6) AS realized FROM touched")
@@ -465,11 +468,13 @@ def x11_first_touch_long(spark, d):
     return rounded(out.select(*K, "ts_ms", "tp_offset", "sl_offset", "outcome", "holding", "realized"))
 
 
-@query(f"""WITH {BARS_SQL}, {_touch_sql(0.3, 0.2, 20)} SELECT instrument, 1::BIGINT AS side, 0.3::DOUBLE AS target, 0.2::DOUBLE AS stop, 20::BIGINT AS horizon, outcome, count(*) AS n FROM touched WHERE outcome IS NOT NULL GROUP BY ALL""")
+_GRID = [(side, t, h) for side in (1, -1) for t in (0.1, 0.3) for h in (5, 20)]
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {BARS_SQL}, {_touch_sql(t, 0.2, h, side=side)} SELECT instrument, {side}::BIGINT AS side, {t}::DOUBLE AS target, 0.2::DOUBLE AS stop, {h}::BIGINT AS horizon, outcome, count(*) AS n FROM touched WHERE outcome IS NOT NULL GROUP BY ALL)" for side, t, h in _GRID))
 def x11_barrier_grid(spark, d):
-    cells = X.execution_barriers(P.daily_bars(spark, d), DAILY, [0.1, 0.3], [0.2], [5, 20])
-    rows = cells.where("side = 1 and target = 0.3 and horizon = 20 and outcome is not null")
-    return rounded(rows.groupBy("instrument", "side", "target", "stop", "horizon", "outcome").agg(F.count("*").alias("n")))
+    cells = X.execution_barriers(P.daily_bars(spark, d), DAILY, [0.1, 0.3], [0.2], [5, 20]).where("outcome is not null")
+    return rounded(cells.groupBy("instrument", "side", "target", "stop", "horizon", "outcome").agg(F.count("*").alias("n")))
 
 
 @query()
@@ -804,8 +809,11 @@ def _link(i):
 
 
 def queries() -> dict[str, Query]:
+    from tidemark import more_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
