@@ -25,7 +25,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 320, 1024
 DICT_BYTES, ALL_BYTES = 256 * 1024, 16 * 1024 * 1024
 BLOCK, LEVEL = 2048, 3
 #: A text is rejected if the second smallest size is not larger than the smallest by this share.
-MARGIN = 0.002
+MARGIN = 0.001
 #: Margins at which the score is about 0.73.
 SCALE = 0.02
 
