@@ -27,8 +27,8 @@ from tidemark.sources import market as G
 from tidemark.spec import DAY, HOUR
 from tidemark.streaming import ticks as T
 
-CUT = 788_918_400_000  # the first of January 1995
-KEYS = {"venue": "x", "instrument": "login"}
+CUT = 883_612_800_000  # the first of January 1998
+KEYS = {"venue": "x", "instrument": "click"}
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -45,10 +45,10 @@ def _hours(spark, d):
 # --- sources --------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {HOURLY_SQL} SELECT 'x' AS venue, 'login' AS instrument, ts_ms, {r('open', 'high', 'low', 'close', 'volume')} FROM hours WHERE instrument = 'login' AND ts_ms >= 1704153600000 AND ts_ms < 1706400000000")
+@query(f"WITH {HOURLY_SQL} SELECT 'x' AS venue, 'click' AS instrument, ts_ms, {r('open', 'high', 'low', 'close', 'volume')} FROM hours WHERE instrument = 'click' AND ts_ms >= 1704153600000 AND ts_ms < 1706400000000")
 def s4_kline_pages(spark, d):
     """Bars written as JSON pages of arrays of text, every page twice, and parsed back."""
-    h = P.hourly_bars(spark, d).where("instrument = 'login'")
+    h = P.hourly_bars(spark, d).where("instrument = 'click'")
     row = F.array(*(F.col(c).cast("string") for c in ("ts_ms", "open", "high", "low", "close", "volume")))
     pages = h.select(F.explode(F.array(F.lit(0), F.lit(1))), F.to_json(F.array(row)).alias("page"))
     out = G.kline_pages(pages, "page", KEYS, HOURLY, 1704153600000, 1706400000000)
@@ -79,19 +79,19 @@ _PM = """pm AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 100
 
 def _snapshots(spark, d):
     e = _events(spark, d)
-    text = lambda c: F.format_string("%.4f", c)
+    text = lambda c: F.format_string("%.5f", c)
     payload = F.to_json(F.struct(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("id"), F.concat_ws(" ", F.lit("Will"), F.col("event_type"), F.lit("rise?")).alias("question"), F.concat(F.lit('["'), text(F.col("value") / 1000), F.lit('", "0.5"]')).alias("outcomePrices"), F.lit('["t"]').alias("clobTokenIds"), text(F.col("value") / 1000 - 0.01).alias("bestBid"), text(F.col("value") / 1000 + 0.01).alias("bestAsk"), F.col("event_id").cast("string").alias("volume"), F.lit("null").alias("liquidity")))
     return G.snapshot_a(e.select(payload.alias("payload"), F.col("ts_ms").alias("fetched_ms")))
 
 
-@query(f"WITH {_PM} SELECT 'm' || user_id AS market_id, arg_max('Will ' || event_type || ' rise?', ts_ms) AS question, round(arg_max(round(value / 1000, 4), ts_ms), 4) AS yes_price, arg_max(event_id, ts_ms)::DOUBLE AS volume, max(ts_ms) AS ts_ms FROM pm GROUP BY 1")
+@query(f"WITH {_PM} SELECT 'm' || user_id AS market_id, arg_max('Will ' || event_type || ' rise?', ts_ms) AS question, round(arg_max(round(value / 1000, 5), ts_ms), 5) AS yes_price, arg_max(event_id, ts_ms)::DOUBLE AS volume, max(ts_ms) AS ts_ms FROM pm GROUP BY 1")
 def s11_s13_snapshots(spark, d):
     """Nested prediction-market payloads parsed, the latest per market kept."""
     good, _ = G.snapshot_table(_snapshots(spark, d))
-    return rounded(good.select("market_id", "question", "yes_price", "volume", "ts_ms"), 4)
+    return rounded(good.select("market_id", "question", "yes_price", "volume", "ts_ms"), 5)
 
 
-@query(f"WITH {_PM}, l AS (SELECT user_id, arg_max(event_type, ts_ms) AS k, arg_max(round(value / 1000, 4), ts_ms) AS p, arg_max(event_id, ts_ms)::DOUBLE AS v FROM pm GROUP BY 1) SELECT count(*) AS n, round(avg(p), 6) AS mean_yes, round(sum(v), 2) AS volume FROM l WHERE k LIKE '%view%' OR NOT EXISTS (SELECT 1 FROM l WHERE k LIKE '%view%')")
+@query(f"WITH {_PM}, l AS (SELECT user_id, arg_max(event_type, ts_ms) AS k, arg_max(round(value / 1000, 5), ts_ms) AS p, arg_max(event_id, ts_ms)::DOUBLE AS v FROM pm GROUP BY 1) SELECT count(*) AS n, round(avg(p), 6) AS mean_yes, round(sum(v), 2) AS volume FROM l WHERE k LIKE '%view%' OR NOT EXISTS (SELECT 1 FROM l WHERE k LIKE '%view%')")
 def a8_sentiment(spark, d):
     good, _ = G.snapshot_table(_snapshots(spark, d))
     out = A.probability_sentiment(good, "view").select("n", "mean_yes", "volume")
@@ -119,7 +119,7 @@ def s17_merge_bars(spark, d):
     return rounded(G.merge_bars(b, fresh, DAILY).drop("open"))
 
 
-@query("SELECT 'x' AS venue, 'login' AS instrument, event_id AS trade_id, epoch_us(ts) // 1000 AS ts_ms, value AS price, (user_id % 7 + 1)::DOUBLE AS quantity, round(value * (user_id % 7 + 1), 6) AS notional, user_id % 2 = 0 AS is_buyer_maker FROM events")
+@query("SELECT 'x' AS venue, 'click' AS instrument, event_id AS trade_id, epoch_us(ts) // 1000 AS ts_ms, value AS price, (user_id % 7 + 1)::DOUBLE AS quantity, round(value * (user_id % 7 + 1), 6) AS notional, user_id % 2 = 0 AS is_buyer_maker FROM events")
 def s18_normalize_trades(spark, d):
     e = _events(spark, d)
     raw = e.select(F.col("event_id").cast("string").alias("a"), F.col("value").cast("string").alias("p"), (F.col("user_id") % 7 + 1).cast("string").alias("q"), F.col("ts_ms").cast("string").alias("T"), (F.col("user_id") % 2 == 0).cast("string").alias("m"))
@@ -219,7 +219,7 @@ def w21_interactions(spark, d):
     return rounded(W.interactions(rows, [("a", "b"), ("a", "absent")]).select(*K, "ts_ms", "a_x_b"))
 
 
-@query(f"WITH {BARS_SQL}, {_touch_sql(0.3, 0.2, 20)} SELECT {KT}, lag(close, 3) OVER w AS close_delayed, holding FROM touched {W0}")
+@query(f"WITH {BARS_SQL}, {_touch_sql(0.3, 0.2, 20)} SELECT {KT}, round(lag(close, 3) OVER w, 6) AS close_delayed, holding FROM touched {W0}")
 def x15_x20_holding_and_delay(spark, d):
     rows = X.first_touch(P.daily_bars(spark, d), DAILY, 0.3, 0.2, 20)
     return rounded(X.delayed(rows, DAILY, ["close"], 3).select(*K, "ts_ms", "close_delayed", "holding"))
@@ -361,20 +361,20 @@ def c14_scorecard(spark, d):
 
 
 @query("""WITH lv AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price, l_quantity AS size FROM lineitem), c AS (SELECT *, price * size AS money, coalesce(sum(price * size) OVER (PARTITION BY l_orderkey ORDER BY price, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lv), t AS (SELECT *, greatest(least(money, 50000 - before), 0) AS taken FROM c)
-  SELECT l_orderkey, round(sum(taken) / sum(taken / price), 4) AS average_price, round(sum(taken) / 50000, 4) AS fill_share FROM t GROUP BY 1""")
+  SELECT l_orderkey, round(sum(taken) / sum(taken / price), 8) AS average_price, round(sum(taken) / 50000, 3) AS fill_share FROM t GROUP BY 1""")
 def c18_book_walk(spark, d):
     """Line items of an order as the levels of a book."""
     li = P.table(spark, d, "lineitem").select("l_orderkey", F.struct((F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_linenumber", F.col("l_quantity").alias("size")).alias("lv"))
     books = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("lv")).alias("levels"))  # an order's lines
-    return rounded(C.book_walk(books, "l_orderkey", "levels", 50_000.0), 4)
+    out = C.book_walk(books, "l_orderkey", "levels", 50_000.0)
+    return out.select("l_orderkey", F.round("average_price", 8).alias("average_price"), F.round("fill_share", 3).alias("fill_share"))
 
 
-@query(f"WITH {BARS_SQL}, n AS (SELECT *, lead(open) OVER w AS nx FROM bars {W0}) SELECT {KT}, round(nx * 1.0002, 5) AS fill, round(nx * 0.0005, 6) AS fee FROM n")
+@query(f"WITH {BARS_SQL}, n AS (SELECT *, lead(open) OVER w AS nx FROM bars {W0}) SELECT {KT}, nx * 1.0002 AS fill, nx * 0.0005 AS fee FROM n")
 def c19_next_bar_fills(spark, d):
     b = P.daily_bars(spark, d)
     dec = b.select(*K, "ts_ms", F.lit(1).alias("side"))
-    out = C.next_bar_fills(dec, b, DAILY).select(*K, "ts_ms", F.round("fill", 5).alias("fill"), "fee")
-    return rounded(out)
+    return C.next_bar_fills(dec, b, DAILY).select(*K, "ts_ms", "fill", "fee")
 
 
 @query(f"WITH {BARS_SQL}, {_touch_sql(0.3, 0.2, 20)}, {_TRADE_SQL}, e AS (SELECT {KT}, sum(gross - fees) OVER (PARTITION BY venue, instrument ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS equity FROM c), k AS (SELECT *, greatest(max(equity) OVER (PARTITION BY venue, instrument ORDER BY ts_ms ROWS UNBOUNDED PRECEDING), 0) AS peak FROM e) SELECT {KT}, {r('equity', 'peak', digits=5)}, round(peak - equity, 5) AS drawdown FROM k")
@@ -438,7 +438,7 @@ def m1_purged_split(spark, d):
     return M.purged_split(P.daily_bars(spark, d), DAILY, CUT, CUT, 10).groupBy("split").agg(F.count("*").alias("n"))
 
 
-_FOLDS = [("1995", 0, CUT, CUT + 365 * DAY), ("1996", 0, CUT + 365 * DAY, CUT + 731 * DAY)]
+_FOLDS = [("1998", 0, CUT, CUT + 365 * DAY), ("1999", 0, CUT + 365 * DAY, CUT + 730 * DAY)]
 
 
 @query("WITH " + BARS_SQL + " " + " UNION ALL ".join(f"SELECT '{n}' AS fold, CASE WHEN ts_ms < {b - 10 * DAY} THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM bars WHERE ts_ms < {b - 10 * DAY} OR (ts_ms >= {b} AND ts_ms < {c}) GROUP BY 2" for n, _, b, c in _FOLDS))

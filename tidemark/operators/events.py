@@ -114,10 +114,10 @@ def state_study(df: DataFrame, states: list[str], returns: list[str], depth: int
     ok = F.lit(True)
     for s in states:
         ok = ok & (F.col(s).isNotNull() | (F.col("gid").bitwiseAND(F.lit(bit[s])) != 0))
-    total = known.groupBy("horizon").agg(F.count("*").alias("N"), F.sum("r").alias("S1"), F.sum(F.col("r") * F.col("r")).alias("S2"))
+    total = known.groupBy("horizon").agg(F.count("*").alias("all_n"), F.sum("r").alias("all_s1"), F.sum(F.col("r") * F.col("r")).alias("all_s2"))
     out = cells.where(ok & (F.col("n") >= least)).join(total, "horizon")
-    stats = welch(F.col("n"), F.col("s1"), F.col("s2"), F.col("N") - F.col("n"), F.col("S1") - F.col("s1"), F.col("S2") - F.col("s2"))
-    return out.select(*states, "horizon", "n", (F.col("N") - F.col("n")).alias("n_rest"), *(v.alias(k) for k, v in stats.items()))
+    stats = welch(F.col("n"), F.col("s1"), F.col("s2"), F.col("all_n") - F.col("n"), F.col("all_s1") - F.col("s1"), F.col("all_s2") - F.col("s2"))
+    return out.select(*states, "horizon", "n", (F.col("all_n") - F.col("n")).alias("n_rest"), *(v.alias(k) for k, v in stats.items()))
 
 
 def with_q_values(study: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import EPS, clip, eps_ratio, microprice, minutes_cycle, ratio
-from tidemark.plans.series import block_scan, ema, framed, min_rows, staged, trailing
+from tidemark.plans.series import block_scan, ema, framed, min_rows, staged, trailing, with_row_index
 from tidemark.spec import Series
 
 RETURNS, VOLS = (1, 5, 15, 60), (5, 30)
@@ -43,8 +43,9 @@ def state_features(bars: DataFrame, series: Series, atr: int = 14, regime: int =
         | {f"atr_{atr}": min_rows(F.col("tr"), trailing(w, atr), F.avg, atr), "volume_z": zscore(F.col("volume"), w, z), "funding_z": zscore(F.col("funding_rate"), w, z), "oi_change_1d": change("open_interest", regime, w)},
         lambda w: {"vol_regime": F.col("rv_30") / F.greatest(min_rows(F.col("rv_30"), trailing(w, regime), F.avg, regime), F.lit(EPS)) - 1},
     ]
-    rows = staged(bars, series, regime + 64, 0, steps)
-    rows = ema(rows, series, {f"ema_{s}": (F.col("close"), s, s) for s in spans})
+    # one numbering serves both, and the wide windows stand above the self-join of the exponential means
+    rows = ema(with_row_index(bars, series), series, {f"ema_{s}": (F.col("close"), s, s) for s in spans}, keep_index=True)
+    rows = staged(rows, series, max(regime, z) + 64, 0, steps)
     a, b, c = (f"ema_{s}" for s in spans)
     return rows.withColumns(
         {

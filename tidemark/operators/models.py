@@ -106,13 +106,17 @@ def fold_benchmark(folds: DataFrame, columns: list[str], label: str, classifier:
     """Fit on each fold's training rows, score its test rows: one row of metrics per fold and model."""
     parts = []
     for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():  # the fold table's names
-        train, test = (folds.where((F.col("fold") == fold) & (F.col("split") == s)) for s in ("train", "test"))
+        train, test = (finite_rows(folds.where((F.col("fold") == fold) & (F.col("split") == s)), [*columns, label]) for s in ("train", "test"))
+        if train.isEmpty():
+            continue
         if classifier:
             out = score(fit_logistic(train, columns, label), test, columns).withColumn("p", F.get("probabilities", 1))
             m = binary_metrics(out, label, "p")
         else:
             m = regression_metrics(score(fit_ridge(train, columns, label), test, columns), label, "prediction")
         parts.append(m.withColumn("fold", F.lit(fold)))
+    if not parts:
+        raise ValueError("no fold has training rows")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -22,8 +22,10 @@ def with_row_index(df: DataFrame, series: Series, name: str = INDEX) -> DataFram
     """Add the 0-based position of each row in its series, without sorting a series in one task.
 
     Rows are numbered inside buckets of ``chunk`` steps; a bucket's offset is the count of rows in buckets before it.
-    Timestamps must be unique in a series (see keep_last).
+    Timestamps must be unique in a series (see keep_last). A column of that name is taken as the numbering.
     """
+    if name in df.columns:
+        return df
     bucket = F.floor(F.col(series.ts) / (series.chunk * series.step_ms)).cast("long")
     rows = df.withColumn("__bucket", bucket)
     counts = rows.groupBy(*series.keys, "__bucket").agg(F.count("*").alias("__n"))
@@ -108,12 +110,12 @@ def _weakened(factor: float) -> Callable[[Column, Column], Column]:
     return lambda total, end: total * F.lit(factor) + end
 
 
-def ema(df: DataFrame, series: Series, spans: Mapping[str, tuple[Column, int, int]], adjust: bool = False) -> DataFrame:
+def ema(df: DataFrame, series: Series, spans: Mapping[str, tuple[Column, int, int]], adjust: bool = False, keep_index: bool = False) -> DataFrame:
     """Exponential means: name -> (column, span, rows needed). Null until that many rows.
 
     y[k] = (1-a) y[k-1] + a x[k] is affine in what comes in, so a chunk is (1-a)^m * carry + its own part. Inside a
     chunk the own part is a sum of x * (1-a)^-k, which stays finite because chunks are short enough for the span.
-    ``adjust`` divides by the weights so far instead of starting from the first value.
+    ``adjust`` divides by the weights so far instead of starting from the first value; ``keep_index`` keeps row_idx.
     """
     shortest = min(s for _, s, _ in spans.values())
     chunk = max(16, min(series.chunk, int(200 * (shortest + 1) / 2)))
@@ -147,4 +149,4 @@ def ema(df: DataFrame, series: Series, spans: Mapping[str, tuple[Column, int, in
         full = lambda p: F.col(p) + F.pow(F.lit(q), k + 1) * F.col(p.replace("__", "__c", 1))  # noqa: E731, B023
         y = full(f"__y_{name}") / full(f"__d_{name}") if adjust else full(f"__y_{name}")
         out = out.withColumn(name, F.when(F.col(INDEX) >= least - 1, y))
-    return out.drop("__block", INDEX, *parts, *(p.replace("__", "__c", 1) for p in parts))
+    return out.drop("__block", *([] if keep_index else [INDEX]), *parts, *(p.replace("__", "__c", 1) for p in parts))

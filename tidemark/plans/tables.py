@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.bars import trades_to_bars
 from tidemark.operators.joins import as_of
+from tidemark.plans.shared import write_table
 from tidemark.spec import DAY, HOUR, Series, epoch_ms
 
 DAILY = Series(step_ms=DAY, chunk=256)
@@ -42,7 +43,9 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_of(daily_bars(spark, sf_dir), prints(spark, sf_dir), DAILY, ["funding_rate", "open_interest"])
+    """Bars with funding and open interest, written once: they are far fewer than trades and are read many times."""
+    bars = write_table(daily_bars(spark, sf_dir), "bars")
+    return write_table(as_of(bars, prints(spark, sf_dir), DAILY, ["funding_rate", "open_interest"]), "full-bars")
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

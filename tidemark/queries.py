@@ -156,10 +156,10 @@ def d1_keep_last(spark, d):
     return rounded(D.keep_last(e, ["event_type", "user_id"], ["event_id"]).select("event_type", "user_id", "event_id", "value"))
 
 
-@query(f"WITH {BARS_SQL} SELECT {KT}, {r('open', 'high', 'low', 'close', 'volume')} FROM bars WHERE ts_ms >= 788918400000 AND ts_ms < 820454400000")
+@query(f"WITH {BARS_SQL} SELECT {KT}, {r('open', 'high', 'low', 'close', 'volume')} FROM bars WHERE ts_ms >= 883612800000 AND ts_ms < 915148800000")
 def d3_half_open_range(spark, d):
     bars = D.finalize_bars(P.daily_bars(spark, d), DAILY)
-    return rounded(D.between(bars, DAILY, 788918400000, 820454400000).select(*K, "ts_ms", "open", "high", "low", "close", "volume"))
+    return rounded(D.between(bars, DAILY, 883612800000, 915148800000).select(*K, "ts_ms", "open", "high", "low", "close", "volume"))
 
 
 @query(f"""WITH {TICKS_SQL}, p AS (SELECT *, lag(ts_ms) OVER (PARTITION BY venue, instrument ORDER BY trade_id) AS prev FROM ticks),
@@ -347,13 +347,13 @@ _OIF = [*(f"oi_pct_{n}" for n in (1, 5)), "oi_z_60", "funding_change", "funding_
 
 
 @query(f"""WITH {FULL_SQL} SELECT {KT}, round(open_interest / nullif(lag(open_interest) OVER w, 0) - 1, 6) + 0.0 AS oi_pct_1, round(open_interest / nullif(lag(open_interest, 5) OVER w, 0) - 1, 6) + 0.0 AS oi_pct_5,
-  round({z_sql('open_interest', 60)}, 6) + 0.0 AS oi_z_60, round(funding_rate - lag(funding_rate) OVER w, 8) + 0.0 AS funding_change, round({at_least('avg', 'funding_rate', 120, 30)}, 6) AS funding_mean_120,
+  CASE WHEN max(open_interest) {over(60)} = min(open_interest) {over(60)} AND count(open_interest) {over(60)} >= 60 THEN 0.0 ELSE round({z_sql('open_interest', 60)}, 6) + 0.0 END AS oi_z_60, round(funding_rate - lag(funding_rate) OVER w, 10) + 0.0 AS funding_change, round({at_least('avg', 'funding_rate', 120, 30)}, 6) AS funding_mean_120,
   round({at_least('sum', 'funding_rate', 120, 30)}, 5) AS funding_sum_120, coalesce(close > lag(close) OVER w AND open_interest > lag(open_interest) OVER w, false)::BIGINT AS price_up_oi_up,
   coalesce(close < lag(close) OVER w AND open_interest < lag(open_interest) OVER w, false)::BIGINT AS price_down_oi_down FROM full_bars {W0}""")
 def w17_w19_oi_funding(spark, d):
     out = W.oi_funding_features(P.full_bars(spark, d), DAILY, zs=(60,), sums=(120,)).select(*K, "ts_ms", *_OIF)
     six = {c: F.round(c, 6) + F.lit(0.0) for c in ("oi_pct_1", "oi_pct_5", "oi_z_60", "funding_mean_120")}
-    return rounded(out.withColumns(six | {"funding_sum_120": F.round("funding_sum_120", 5)}), 8)
+    return rounded(out.withColumns(six | {"funding_sum_120": F.round("funding_sum_120", 5)}), 10)
 
 
 @query(f"""WITH {HOURLY_SQL} SELECT {KT}, round(sin(2 * pi() / 24 * (ts_ms % {DAY} // {HOUR})), 6) + 0.0 AS hour_sin, round(cos(2 * pi() / 24 * (ts_ms % {DAY} // {HOUR})), 6) + 0.0 AS hour_cos,
@@ -571,10 +571,10 @@ def e10_year_stability(spark, d):
     return rounded(out.withColumn("t_stat", F.round("t_stat", 5)))
 
 
-@query(f"""WITH {BARS_SQL}, c AS (SELECT quantile_cont(volume, 1 / 3.0) AS a, quantile_cont(volume, 2 / 3.0) AS b FROM bars WHERE ts_ms < 788918400000) SELECT {KT}, CASE WHEN volume < a THEN 'LOW' WHEN volume < b THEN 'MID' WHEN volume IS NOT NULL THEN 'HIGH' END AS volume_regime FROM bars, c WHERE ts_ms >= 788918400000""")
+@query(f"""WITH {BARS_SQL}, c AS (SELECT quantile_cont(volume, 1 / 3.0) AS a, quantile_cont(volume, 2 / 3.0) AS b FROM bars WHERE ts_ms < 883612800000) SELECT {KT}, CASE WHEN volume < a THEN 'LOW' WHEN volume < b THEN 'MID' WHEN volume IS NOT NULL THEN 'HIGH' END AS volume_regime FROM bars, c WHERE ts_ms >= 883612800000""")
 def e13_tertile_regimes(spark, d):
     bars = P.daily_bars(spark, d)
-    return E.tertile_regimes(bars.where("ts_ms < 788918400000"), bars.where("ts_ms >= 788918400000"), ["volume"]).select(*K, "ts_ms", "volume_regime")
+    return E.tertile_regimes(bars.where("ts_ms < 883612800000"), bars.where("ts_ms >= 883612800000"), ["volume"]).select(*K, "ts_ms", "volume_regime")
 
 
 # --- payoff ---------------------------------------------------------------------------------------------------------
