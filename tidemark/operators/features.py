@@ -29,9 +29,11 @@ def true_range(w: WindowSpec) -> Column:
 
 
 def zscore(c: Column, w: WindowSpec, n: int, least: int | None = None, eps: float = EPS) -> Column:
-    """(x - mean) / sd over the last n rows, from ``least`` rows on."""
+    """(x - mean) / sd over the last n rows, from ``least`` rows on; 0 where the window is constant but for rounding."""
     over, least = trailing(w, n), least or n
-    return F.when(F.count(c).over(over) >= least, (c - F.avg(c).over(over)) / (F.stddev_samp(c).over(over) + eps))
+    mean, sd = F.avg(c).over(over), F.stddev_samp(c).over(over)
+    z = F.when(sd > 1e-9 * F.abs(mean), (c - mean) / (sd + eps)).when(sd.isNotNull(), 0.0)
+    return F.when(F.count(c).over(over) >= least, z)
 
 
 def state_features(bars: DataFrame, series: Series, atr: int = 14, regime: int = 1440, z: int = 1440, spans: tuple[int, int, int] = (20, 50, 200)) -> DataFrame:

@@ -58,8 +58,9 @@ def fit_boosted(df: DataFrame, columns: list[str], label: str, classifier: bool,
 
 def fit_classes(df: DataFrame, columns: list[str], label: str, classes: Iterable[int] = (0, 1, 2)) -> PipelineModel:
     """Multinomial logistic regression over all of ``classes``, also those a fold has no row of: they get no weight."""
-    n = max(classes) + 1
-    return fit_logistic(df.withColumn(label, F.col(label).cast("double")), columns, label, classes=max(3, n))
+    n = max(3, max(classes) + 1)
+    known = {"ml_attr": {"name": label, "type": "nominal", "num_vals": n}}
+    return fit_logistic(df.withColumn(label, F.col(label).cast("double").alias(label, metadata=known)), columns, label, classes=n)
 
 
 def score(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFrame:

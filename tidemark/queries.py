@@ -484,7 +484,7 @@ def x13_atr_barriers(spark, d):
 
 
 @query(f"""WITH {BARS_SQL}, {_touch_sql(0.3, 0.2, 20)}, l AS (SELECT * FROM touched WHERE outcome IS NOT NULL QUALIFY row_number() OVER (PARTITION BY venue, instrument ORDER BY ts_ms DESC) <= 200)
-  SELECT venue, instrument, count(*) AS n, round(avg((outcome = 'TP')::INT), 6) AS p_target, round(avg((outcome = 'SL')::INT), 6) AS p_stop, round(avg((outcome = 'TIMEOUT')::INT), 6) AS p_timeout, round(avg(realized), 6) AS mean_return, round(avg(holding), 6) AS mean_holding, round(1 / sqrt(count(*)), 6) AS uncertainty FROM l GROUP BY ALL""")
+  SELECT venue, instrument, count(*) AS n, round(avg((outcome = 'TP')::INT), 6) AS p_target, round(avg((outcome = 'SL')::INT), 6) AS p_stop, round(avg((outcome = 'TIMEOUT')::INT), 6) AS p_timeout, round(avg(realized), 6) + 0.0 AS mean_return, round(avg(holding), 6) AS mean_holding, round(1 / sqrt(count(*)), 6) AS uncertainty FROM l GROUP BY ALL""")
 def x14_a9_path_summary(spark, d):
     touched = X.first_touch(P.daily_bars(spark, d), DAILY, 0.3, 0.2, 20)
     return rounded(X.path_summary(X.path_samples(touched, DAILY, 200), K))
