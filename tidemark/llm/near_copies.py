@@ -5,18 +5,23 @@ as well: runs of shingles cut where a shingle's hash says so, which an edit else
 few passage fingerprints that are smallest under a mixing product; texts that share enough of them are candidates. The
 candidates' components are small groups of texts, and within them every pair is compared by its shingle sets, block
 by block, until its texts are linked. Copies collapse before all this, so thousands of them are one text.
+
+Passages are a shortcut that joins the bulk of the copies; what makes the result whole is the prefix filter after it.
+Two texts similar to 0.8 share one of the first n - ceil(0.8 n) + 1 of their n shingles, whatever the order of all
+shingles. Texts that share such a shingle and are not joined yet are compared exactly, every pair of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import connected_components, write_table
@@ -142,11 +147,11 @@ def _verify_worker(similarity: float):
             return x
 
         out = set()
-        for i, (side, node, own) in enumerate(members):
-            for side2, other, theirs in members[:i]:
+        for i, (side, node, label, own) in enumerate(members):
+            for side2, other, label2, theirs in members[:i]:
                 # within one block all pairs, between two blocks only those across
-                if (side2 != side or members[0][0] == members[-1][0]) and root(node) != root(other) and similar(own, theirs, similarity):
-                    parent[max(root(node), root(other))] = min(root(node), root(other))
+                if (side2 != side or members[0][0] == members[-1][0]) and root(label) != root(label2) and similar(own, theirs, similarity):
+                    parent[max(root(label), root(label2))] = min(root(label), root(label2))
                     out.add((max(node, other), min(node, other)))
         return out
 
@@ -159,27 +164,67 @@ def _verify_worker(similarity: float):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
         for b in batches:
-            for component, low, high, own, node, text in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for component, low, high, own, node, label, text in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if (component, low, high) != at:
                     yield from flush()
                     at, members = (component, low, high), []
-                members.append((own, node, shingles(text)))
+                members.append((own, node, label, shingles(text)))
         yield from flush()
 
     return worker
 
 
 def verified_links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of texts of one group (node, component) whose shingle sets are similar; one text per group and block is moved once."""
+    """(a, b) of texts of one group (node, component, label) whose shingle sets are similar; one text per group and block is moved once.
+
+    Texts of one label are joined already and are not compared.
+    """
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = groups.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     rows = texts.join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "text")
+    rows = rows.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "text")
     rows = rows.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "own")
     return rows.mapInArrow(_verify_worker(similarity), "a long, b long")
 
 
+def prefix(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of n distinct shingles: similar texts share one, whatever order they have in common."""
+    return np.sort(h)[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+
+def prefix_rows(docs: DataFrame, similarity: float) -> DataFrame:
+    """(token, id): the prefix shingles of each text; id is the head of the digest of its words."""
+
+    def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for text in b.column(0).to_pylist():
+                w = (text or "").encode().lower().split()
+                tokens.append(prefix(np.unique(_shingle_hashes(w, SHINGLE)), similarity) if w else tokens[0])
+                head = int.from_bytes(hashlib.md5(b" ".join(w)).digest()[:8], "big", signed=True)
+                ids.append(np.full(len(tokens[-1]), head))
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(ids))], ["token", "id"])
+
+    return docs.where("doc_id is not null").select(F.col("text").cast("string")).mapInArrow(worker, "token long, id long")
+
+
+def prefix_groups(docs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, component, label): texts (digest, node, label) of two labels or more that share a prefix shingle, one group for it.
+
+    Shingles with the same texts are one group.
+    """
+    token = Window.partitionBy("token")
+    unlike = lambda rows, x: rows.withColumn("low", F.min(x).over(token)).withColumn("high", F.max(x).over(token)).where("low <> high").drop("low", "high")
+    rows = unlike(prefix_rows(docs, similarity), "id").distinct()
+    named = texts.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("id"), "node", "label")
+    rows = unlike(rows.join(named, "id"), "label").select("token", "node", "label").distinct()
+    rows = write_table(rows, "prefix-groups")
+    sets = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
+    one = sets.groupBy("n", "members").agg(F.min("token").alias("token"))
+    return rows.join(one.select("token"), "token").select("node", F.col("token").alias("component"), "label")
+
+
 def near_copy_components(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component) for every distinct non-null doc_id: groups by SimHash distance and by shingle similarity.
 
@@ -191,10 +236,18 @@ def near_copy_components(docs: DataFrame, similarity: float = SIMILARITY, radius
     texts = write_table(texts, "texts")
     fps = write_table(texts.groupBy("fp").agg(F.min("node").alias("node")), "text-fingerprints")
     same = texts.join(fps.select("fp", F.col("node").alias("b")), "fp").select(F.col("node").alias("a"), "b")
-    groups = connected_components(candidate_links(texts))
+    groups = connected_components(candidate_links(texts)).withColumn("label", F.col("node"))
     links = same.unionByName(near_links(fps, radius)).unionByName(verified_links(docs, groups, similarity))
     found = connected_components(links)
-    named = texts.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("part"), F.col("node").alias("rep"))
+    named = texts.join(found, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("label"))
+    named = write_table(named, "text-labels")
+    # what passages did not bring together: all pairs of unlike labels that share a prefix shingle
+    rest = write_table(verified_links(docs, prefix_groups(docs, named, similarity), similarity), "prefix-links")
+    for end in ("a", "b"):
+        label = named.select(F.col("node").alias(end), F.col("label").alias("to")).distinct()
+        rest = rest.join(label, end).drop(end).withColumnRenamed("to", end)
+    parts = connected_components(rest).select(F.col("node").alias("label"), "component")
+    named = named.join(parts, "label", "left").select("digest", F.coalesce("component", "label").alias("part"))
     out = own.join(named, "digest").select("doc_id", "part")
     # a doc_id whose rows have several texts joins their components
     shared = out.groupBy("doc_id").agg(F.min("part").alias("low"), F.max("part").alias("high"))
