@@ -1,6 +1,7 @@
 """Secrets in texts: fixed patterns, and strings that pass a battery of randomness tests.
 
-Candidates of the battery are runs of the characters that keys and tokens are written in, long enough to test. The
+Candidates of the battery are runs of the characters that keys and tokens are written in, long enough to test, what a
+fixed pattern holds cut out of them: the undivided run, and its parts between equals signs and other separators. The
 encoding is inferred from the characters used (hex, base32, letters and digits, base64). Three tests ask whether the
 run could be uniform random in that encoding: chi-squared over the alphabet, runs above and below the middle, and
 serial correlation; a run that fails any is no secret. A run that passes must also be unlike language: under the
@@ -31,8 +32,9 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: The battery's candidates: length, and both a digit and a letter.
+#: The battery's candidates, and the parts of them that are candidates too; equals signs at the end are padding.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PARTS = tuple(re.compile(x) for x in (r"[^=]+(?:=+\Z)?", r"[^=_-]+(?:=+\Z)?", r"[^=+/]+(?:=+\Z)?", r"[A-Za-z0-9]+(?:=+\Z)?"))
 RUN_LEAST = 20
 _HEX24 = re.compile(r"[0-9a-f]{24,}")
 #: Significance of a randomness test; false-discovery rate among the strings reported.
@@ -90,6 +92,8 @@ def infer_encoding(run: str) -> str | None:
 def battery(run: str) -> tuple[float, float, float, float] | None:
     """(p of uniformity, of runs, of serial correlation, p of so few repeats in language), None if nothing fits."""
     body = run.rstrip("=")
+    if infer_encoding(plain := re.sub("[-_]", "", body)) in ("hex", "hex_upper"):
+        body = plain  # dashes between groups of hex digits are no part of the key
     encoding = infer_encoding(body)
     n = len(body)
     if encoding is None or n < RUN_LEAST:
@@ -128,16 +132,25 @@ def length_class(n: int) -> int:
     return next(i for i, most in enumerate(LENGTH_CLASSES) if n <= most)
 
 
+def readings(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs less the base spans, undivided and in parts, each once."""
+    for m in CANDIDATE.finditer(text):
+        at, pieces = m.start(), []
+        for _, s, e in taken:
+            if s < m.end() and at < e:
+                pieces.append((at, s))
+                at = e
+        for a, b in [*pieces, (at, m.end())]:
+            if b - a >= RUN_LEAST:
+                parts = {(a + p.start(), a + p.end()) for x in PARTS for p in x.finditer(text[a:b])}
+                yield from sorted({(a, b)} | {(s, e) for s, e in parts if e - s >= RUN_LEAST})
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, class of length, step of -log10 p) of the runs that pass the randomness tests and overlap no base span."""
+    """(start, end, class of length, step of -log10 p) of the readings that pass the randomness tests."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        run, (a, b) = m[0], m.span()
-        if run.isalpha() or run.isdigit() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if any(s < b and a < e for _, s, e in taken):
-            continue
-        p = battery(run)
+    for a, b in readings(text, taken):
+        p = battery(text[a:b])
         if p is None or min(p[:3]) < ALPHA:
             continue
         out.append((a, b, length_class(b - a), min(STEPS, int(-math.log10(max(p[3], 1e-300)) / STEP))))
@@ -188,13 +201,22 @@ def accepted(scanned: DataFrame, rate: float = FDR) -> dict[int, int]:
 
 
 def _all_spans(least: dict[int, int]):
-    """Column: base spans and accepted candidates, joined in order."""
+    """Column: base spans and accepted candidates, those that overlap as one, joined in order."""
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     limit = F.create_map(*[x for c in range(len(LENGTH_CLASSES)) for x in (F.lit(c), F.lit(least.get(c, STEPS + 1)))])
     found = F.transform(
         F.filter(F.arrays_zip("starts", "ends", "classes", "steps"), lambda x: x["steps"] >= limit[x["classes"]]),
         lambda x: F.struct(x["starts"].alias("a"), F.lit(KINDS.index("random")).alias("k"), x["ends"].alias("b")),
     )
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    found = F.aggregate(
+        F.array_sort(found),
+        F.filter(found, lambda x: F.lit(False)),
+        lambda acc, x: F.when(
+            last(acc)["b"] > x["a"],
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["a"].alias("a"), x["k"].alias("k"), F.greatest(last(acc)["b"], x["b"]).alias("b")))),
+        ).otherwise(F.concat(acc, F.array(x))),
+    )
     base = F.transform(
         F.filter(F.split("base", ","), lambda s: s != ""),
         lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("a"), order[F.split(s, ":")[0]].alias("k"), F.split(s, ":")[2].cast("long").alias("b")),
