@@ -3,6 +3,9 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
+
 from tidemark.llm import near_copies
 from tidemark.llm.simhash import fingerprint
 
@@ -41,3 +44,25 @@ def test_short_texts_with_one_edit(spark):
     expected = brute(rows)
     assert components(spark, rows) == expected
     assert len(set(expected.values())) < len(rows) - 130
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_near_copies_far_apart_among_frequent_passages(spark, monkeypatch, block):
+    """All passages are frequent: the copies of a pair are many texts apart in every group of a passage."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = random.Random(block)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    lines = [[word() for _ in range(30)] for _ in range(12)]
+    rows = []
+    for _ in range(200):
+        w = [x for line in rng.sample(lines, 4) for x in line]
+        changed = list(w)
+        changed[rng.randrange(len(w))] = word()
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(changed))]
+    assert components(spark, rows) == brute(rows)
+
+
+def test_frequent_shingles_stand_last():
+    h, frequent = np.arange(10, dtype=np.uint64), np.array([0, 1, 3], np.uint64)
+    assert near_copies.prefix(h, 0.8, frequent, np.array([5, 2, 9])).tolist() == [2, 4, 5]
+    assert near_copies.prefix(h[:4], 0.1, frequent, np.array([5, 2, 9])).tolist() == [2, 1, 0, 3]

@@ -37,6 +37,8 @@ GROUP, NEIGHBOURS = 4096, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Texts of a candidate group in one block; two blocks meet in a task.
 BLOCK = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Texts whose shingles are counted, and how many of the most frequent shingles stand last in the order of the prefix filter.
+SAMPLE, FREQUENT = 8192, 1 << 16
 
 SKETCH = "doc_id long, fp long, digest binary, sketch array<long>"
 
@@ -188,41 +190,107 @@ def verified_links(docs: DataFrame, groups: DataFrame, similarity: float) -> Dat
     return rows.mapInArrow(_verify_worker(similarity), "a long, b long")
 
 
-def prefix(h: np.ndarray, similarity: float) -> np.ndarray:
-    """The first n - ceil(similarity n) + 1 of n distinct shingles: similar texts share one, whatever order they have in common."""
-    return np.sort(h)[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, sampled texts that hold each) of those most frequent in a bounded sample, by shingle."""
+    step = max(1, docs.count() // SAMPLE)
+
+    def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([_signed(list(shingles(text)))], ["token"])
+
+    texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.col("text").cast("string").alias("text")).distinct()
+    counts = texts.mapInArrow(worker, "token long").groupBy("token").count().where("count > 1")
+    top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    tokens, n = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def prefix(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of n distinct shingles, rare ones first.
+
+    Similar texts share one of them, whatever order all texts have in common: a sample decides how large groups are,
+    never what is found.
+    """
+    rank = np.zeros(len(h), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        rank = np.where(frequent[at] == h, counts[at], 0)
+    return h[np.lexsort((h, rank))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
 
 
 def prefix_rows(docs: DataFrame, similarity: float) -> DataFrame:
-    """(token, id): the prefix shingles of each text; id is the head of the digest of its words."""
+    """(token, id, n): the prefix shingles of each text of n shingles, once in a task; id is the head of the digest of its words."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            tokens, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            tokens, ids, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for text in b.column(0).to_pylist():
                 w = (text or "").encode().lower().split()
-                tokens.append(prefix(np.unique(_shingle_hashes(w, SHINGLE)), similarity) if w else tokens[0])
                 head = int.from_bytes(hashlib.md5(b" ".join(w)).digest()[:8], "big", signed=True)
+                if not w or head in seen:
+                    continue
+                seen.add(head)
+                h = np.unique(_shingle_hashes(w, SHINGLE))
+                tokens.append(prefix(h, similarity, *sent.value))
                 ids.append(np.full(len(tokens[-1]), head))
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(ids))], ["token", "id"])
+                sizes.append(np.full(len(tokens[-1]), len(h), np.int32))
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["token", "id", "n"])
 
-    return docs.where("doc_id is not null").select(F.col("text").cast("string")).mapInArrow(worker, "token long, id long")
+    return docs.where("doc_id is not null").select(F.col("text").cast("string")).mapInArrow(worker, "token long, id long, n int")
+
+
+def _pair_worker(similarity: float):
+    def pairs(members: list) -> pa.RecordBatch | None:
+        side, node, label, n = (np.array(c) for c in zip(*members, strict=True))
+        i, j = np.triu_indices(len(node), 1)
+        ok = (label[i] != label[j]) & (node[i] != node[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        if side[0] != side[-1]:  # between two blocks only those across
+            ok &= side[i] != side[j]
+        i, j = i[ok], j[ok]
+        swap = node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[i], node[j], n[i], n[j])], ["a", "b", "na", "nb"]) if len(i) else None
+
+    def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (token, low, high, own): the one or two blocks of a group."""
+        at, members = None, []
+        for b in batches:
+            for token, low, high, *member in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if (token, low, high) != at:
+                    if len(members) > 1 and (out := pairs(members)) is not None:
+                        yield out
+                    at, members = (token, low, high), []
+                members.append(member)
+        if len(members) > 1 and (out := pairs(members)) is not None:
+            yield out
+
+    return worker
 
 
 def prefix_groups(docs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, component, label): texts (digest, node, label) of two labels or more that share a prefix shingle, one group for it.
+    """(node, component, label): a text and all its partners of unlike label that share enough prefix shingles, one group for it.
 
-    Shingles with the same texts are one group.
+    Similar texts of na and nb shingles have at least o = ceil(similarity / (1 + similarity) (na + nb)) in common, and
+    the first of these lie in both prefixes: at least o - ceil(similarity n) + 1 with n the larger of the two.
     """
     token = Window.partitionBy("token")
-    unlike = lambda rows, x: rows.withColumn("low", F.min(x).over(token)).withColumn("high", F.max(x).over(token)).where("low <> high").drop("low", "high")
+    unlike = lambda rows, x: rows.withColumn("first", F.min(x).over(token)).withColumn("last", F.max(x).over(token)).where("first <> last").drop("first", "last")
     rows = unlike(prefix_rows(docs, similarity), "id").distinct()
     named = texts.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("id"), "node", "label")
-    rows = unlike(rows.join(named, "id"), "label").select("token", "node", "label").distinct()
-    rows = write_table(rows, "prefix-groups")
-    sets = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
-    one = sets.groupBy("n", "members").agg(F.min("token").alias("token"))
-    return rows.join(one.select("token"), "token").select("node", F.col("token").alias("component"), "label")
+    rows = unlike(rows.join(named, "id"), "label").withColumn("blocks", F.ceil(F.count("*").over(token) / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n")
+    rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "own")
+    pairs = rows.mapInArrow(_pair_worker(similarity), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
+    common = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6)
+    least = common - F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9) + 1
+    pairs = write_table(pairs.where(F.col("count") >= least).select("a", "b").distinct(), "prefix-pairs")
+    groups = pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")))
+    return groups.distinct().join(texts.select("node", "label").distinct(), "node").select("node", "component", "label")
 
 
 def near_copy_components(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
