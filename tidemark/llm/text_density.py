@@ -42,6 +42,9 @@ BOILERPLATE_WORDS = frozenset(
     "replies responses share sharing side sidebar sidenav signin signup social sponsor sponsored subscribe subscription toolbar topbar widget "
     "widgets".split()
 )
+#: Words that name parts of articles as well: such a node goes only if it is mostly links or short against the page.
+UNSURE_WORDS = frozenset("alert copyright disclaimer discussion feedback notice notices promotion reactions responses social".split())
+LINK_SHARE, SHORT_SHARE = 0.5, 0.05
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main".split())
 _WORD = re.compile(r"[a-z]+")
@@ -54,7 +57,8 @@ class Node:
     def __init__(self, tag: str, parent: Node | None, attrs=()):
         self.tag, self.parent, self.children = tag, parent, []
         a = dict(attrs)
-        self.names = frozenset(_WORD.findall(f"{a.get('class') or ''} {a.get('id') or ''}".lower())) if "class" in a or "id" in a else frozenset()
+        # each class and the id is one name, of one word or several
+        self.names = [_WORD.findall(x) for x in f"{a.get('class') or ''} {a.get('id') or ''}".lower().split()] if "class" in a or "id" in a else []
         self.role = (a.get("role") or "").lower()
         self.hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search((a.get("style") or "").lower()))
 
@@ -123,14 +127,25 @@ def _length(root: Node) -> int:
     return sum(len(c) for n in _walk(root) if n.tag not in NEVER_TEXT for c in n.children if isinstance(c, str))
 
 
-def _boilerplate(node: Node) -> bool:
-    return node.tag in BOILERPLATE_TAGS or node.role in BOILERPLATE_ROLES or not node.names.isdisjoint(BOILERPLATE_WORDS)
+def _link_length(root: Node) -> int:
+    return sum(_length(n) for n in _walk(root) if n.tag == "a")
+
+
+def _boilerplate(node: Node, page: int) -> bool:
+    """Known by tag, role, or a name all of whose words are boilerplate; headings have names for their titles."""
+    if node.tag in BOILERPLATE_TAGS or node.role in BOILERPLATE_ROLES:
+        return True
+    named = [x for x in node.names if x and BOILERPLATE_WORDS.issuperset(x)] if node.tag not in HEADINGS else []
+    if not named or not all(UNSURE_WORDS.issuperset(x) for x in named):
+        return bool(named)
+    own = _length(node)
+    return own <= SHORT_SHARE * page or _link_length(node) > LINK_SHARE * own
 
 
 def _holds(root: Node) -> set[int]:
     """Nodes that are never taken off: what holds a main element, the longest article or the page's first heading."""
-    nodes = _walk(root)
-    articles = [n for n in nodes if n.tag == "article" and not _boilerplate(n)]
+    nodes, page = _walk(root), _length(root)
+    articles = [n for n in nodes if n.tag == "article" and not _boilerplate(n, page)]
     targets = [n for n in nodes if n.tag == "main"] + ([max(articles, key=_length)] if articles else []) + [n for n in nodes if n.tag == "h1"][:1]
     out: set[int] = set()
     for node in targets:
@@ -141,7 +156,7 @@ def _holds(root: Node) -> set[int]:
 
 
 def prune(root: Node) -> None:
-    keep = _holds(root)
+    keep, page = _holds(root), _length(root)
     for node in _walk(root):
         node.children = [
             c
@@ -151,7 +166,7 @@ def prune(root: Node) -> None:
                 c.tag in NEVER_TEXT
                 or c.hidden
                 or id(c) not in keep
-                and _boilerplate(c)
+                and _boilerplate(c, page)
             )
         ]
 
