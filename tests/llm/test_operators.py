@@ -43,9 +43,7 @@ TEXTS = [
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def reference_ids(text):
@@ -212,9 +210,9 @@ def near_copy_rows():
     return [*rows, (k, rows[0][1].upper()), (k + 1, None), (k + 2, ""), (k + 3, rows[0][1]), (k + 3, rows[0][1]), (None, rows[0][1])]
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_near_copies_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(near_copies, "BLOCK", block)
+@pytest.mark.parametrize("members", [1024, 2])
+def test_near_copies_equal_brute_force(spark, monkeypatch, members):
+    monkeypatch.setattr(near_copies, "MEMBERS", members)
     rows = near_copy_rows()
     sets, values = {i: near_copies.shingles(t) for i, t in rows if i is not None}, {i: brute_fingerprint(t) for i, t in rows if i is not None}
     parent = {i: i for i in sets}

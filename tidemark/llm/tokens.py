@@ -20,7 +20,8 @@ class Encoder:
     The pre-tokenizer always starts a new token at a space that a non-space character follows, and between a lone
     line break and what stands on its sides, so a text falls into independent words there. A word's ids come from
     the cache or from the library's BPE model; a text with two white-space characters in a row, and a word outside
-    the plain alphabets, go through ``Tokenizer.encode`` itself. The strings of special tokens in a text count as ordinary text.
+    the plain alphabets, go through ``Tokenizer.encode`` itself, and so does a text that holds the string of an added
+    token, which the library turns into that token's id wherever it stands.
     """
 
     def __init__(self, path: str):
@@ -30,7 +31,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
@@ -93,6 +94,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self._whole(text)
         words = text.replace("\n", " \n").split(" ")
         self.odd = False
         ids = (self._fresh(words[0]) if words[0] else b"") + b"".join(map(self.words.__getitem__, words[1:]))
