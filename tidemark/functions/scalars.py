@@ -123,23 +123,38 @@ def state_map(*names: str) -> Column:
     return F.map_filter(m, lambda _, v: v.isNotNull() & ~F.isnan(v))
 
 
+#: Accuracy of quantiles: the error of a rank is at most one in so many.
+QUANTILE_ACCURACY = 100_000
+
+
+def quantiles(x: Column, q) -> Column:
+    """Quantiles of a group that may be the whole table: a sketch of bounded size that merges before the shuffle.
+
+    Exact for groups of fewer distinct values than QUANTILE_ACCURACY, where the value at or above the rank is taken
+    rather than a mean of two neighbours.
+    """
+    return F.percentile_approx(x, q, QUANTILE_ACCURACY)
+
+
 def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col(x)))
 
 
-def quality_scores(trend, vol_regime, spread, volume_z, oi_change) -> dict[str, Column]:
-    """Market-quality scores from 0 to 1, as sigmoids of the inputs."""
-    t, v, s, z, o = (F.coalesce(col(c), F.lit(0.0)) for c in (trend, vol_regime, spread, volume_z, oi_change))
-    breakout = sigmoid(2.0 * F.abs(t) + 0.5 * z)
-    liquidity = sigmoid(1.0 - 2000.0 * s + 0.3 * z)
-    risk = sigmoid(2.0 * v)
-    failure = sigmoid(1.5 * v - F.abs(t) - 5.0 * o)
+def quality_scores(trend_score, volume_z, vol_regime, funding_z) -> dict[str, Column]:
+    """Market-quality scores from 0 to 1: sigmoids of the inputs, a missing input counting as 0.
+
+    Failure is the larger of two risks, from extreme funding and extreme volatility; 0.5 where neither is known.
+    """
+    t, z, v, f = (F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in (trend_score, volume_z, vol_regime, funding_z))
+    unknown = col(vol_regime).isNull() & col(funding_z).isNull()
+    breakout = sigmoid(2.0 * t)
+    failure = F.when(unknown, 0.5).otherwise(F.greatest(sigmoid((F.abs(f) - 2.0) * 2.0), sigmoid((F.abs(v) - 2.0) * 2.0)))
     return {
-        "breakout_quality": breakout,
-        "liquidity_quality": liquidity,
-        "volatility_risk": risk,
-        "failure_risk": failure,
-        "trade_ok": clip(breakout * liquidity * (1.0 - 0.5 * risk), 0.0, 1.0),
+        "breakout": breakout,
+        "liquidity_ok": sigmoid(z),
+        "vol_risk": sigmoid(2.0 * v),
+        "failure_regime": failure,
+        "trade_ok": 0.5 * breakout + 0.5 * (1.0 - failure),
     }
 
 

@@ -228,19 +228,26 @@ def x15_x20_holding_and_delay(spark, d):
 # --- events ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {HOURLY_SQL}, u AS (SELECT venue, instrument, '6h' AS frame, ts_ms - ts_ms % {6 * HOUR} AS b, first(open ORDER BY ts_ms) AS o, last(close ORDER BY ts_ms) AS c FROM hours GROUP BY ALL UNION ALL SELECT venue, instrument, '1d', ts_ms - ts_ms % {DAY}, first(open ORDER BY ts_ms), last(close ORDER BY ts_ms) FROM hours GROUP BY ALL
-  UNION ALL SELECT venue, instrument, '7d', ts_ms - ts_ms % {7 * DAY}, first(open ORDER BY ts_ms), last(close ORDER BY ts_ms) FROM hours GROUP BY ALL), l AS (SELECT instrument, frame, arg_max(CASE WHEN c > o THEN 'UP' ELSE 'DOWN' END, b) AS t FROM u GROUP BY 1, 2), g AS (SELECT instrument, count(*) FILTER (t = 'UP') AS n_up, count(*) FILTER (t = 'DOWN') AS n_down, count(t) AS n_frames FROM l GROUP BY 1)
-  SELECT *, CASE WHEN n_up >= 3 THEN 'BULL' WHEN n_down >= 3 THEN 'BEAR' ELSE 'MIXED' END AS regime, round(greatest(n_up, n_down) / n_frames, 6) AS alignment FROM g""")
+_TREND_SQL = " UNION ALL ".join(f"SELECT instrument, '{k}' AS frame, ts_ms - ts_ms % {ms} AS b, first(open ORDER BY ts_ms) AS o, last(close ORDER BY ts_ms) AS c FROM hours GROUP BY ALL" for k, ms in (("6h", 6 * HOUR), ("1d", DAY), ("7d", 7 * DAY)))
+
+
+@query(f"""WITH {HOURLY_SQL}, u AS ({_TREND_SQL}), l AS (SELECT instrument, frame, arg_max(CASE WHEN c > o THEN 'UP' WHEN c < o THEN 'DOWN' ELSE 'FLAT' END, b) AS t FROM u GROUP BY 1, 2),
+  g AS (SELECT instrument, count(*) FILTER (t = 'UP') AS up, count(*) FILTER (t = 'DOWN') AS dn FROM l GROUP BY 1), k AS (SELECT *, CASE WHEN up >= 2 THEN 'BULLISH' WHEN dn >= 2 THEN 'BEARISH' ELSE 'MIXED' END AS trend, CASE WHEN length(instrument) % 2 = 0 THEN 'CROWDED' ELSE 'NEUTRAL' END AS derivatives FROM g)
+  SELECT instrument, trend, 'normal' AS volatility, 'INSIDE' AS structure, derivatives, round(least(1.0, greatest(CASE WHEN trend = 'MIXED' THEN 0.3 ELSE 0 END, greatest(up, dn) / 3)), 6)::DOUBLE AS confidence,
+  'higher-timeframe trend=' || trend || '; volatility=normal; derivatives=' || derivatives AS reason FROM k""")
 def e11_frame_regime(spark, d):
     rolled = B.roll_up(_hours(spark, d), HOURLY, {"6h": 6 * HOUR, "1d": DAY, "7d": 7 * DAY})
-    last = rolled.groupBy("instrument", "frame").agg(F.max_by(F.when(F.col("close") > F.col("open"), "UP").otherwise("DOWN"), "bucket_ms").alias("trend"))
-    return rounded(E.multi_frame_regime(last, ["instrument"]))
+    way = F.when(F.col("close") > F.col("open"), "UP").when(F.col("close") < F.col("open"), "DOWN").otherwise("FLAT")
+    newest = lambda k: F.max_by(F.when(F.col("frame") == k, way), F.when(F.col("frame") == k, F.col("bucket_ms"))).alias(f"t_{k}")
+    rows = rolled.groupBy("instrument").agg(*map(newest, ("6h", "1d", "7d")))
+    rows = rows.withColumns({"vol": F.lit("normal"), "place": F.lit("INSIDE"), "fund": F.when(F.length("instrument") % 2 == 0, -0.0005)})
+    return rounded(rows.select("instrument", *(v.alias(k) for k, v in E.assessed_regime(["t_6h", "t_1d", "t_7d"], "vol", "place", "fund").items())))
 
 
-@query(f"WITH {EV} SELECT event_id, CASE WHEN value / 100 - 1 > 1 THEN 'HIGH_VOL' WHEN user_id % 5 / 4.0 > 0.5 THEN 'TREND_UP' WHEN user_id % 5 / 4.0 < -0.5 THEN 'TREND_DOWN' WHEN abs(0.0) > 2 THEN 'FUNDING_EXTREME' ELSE 'QUIET' END AS regime FROM ev")
+@query(f"WITH {EV}, x AS (SELECT event_id, value / 100 - 1 AS v, CASE WHEN user_id % 5 > 0 THEN (user_id % 5 - 2) / 10.0 END AS t, user_id % 7 - 3.0 AS f FROM ev) SELECT event_id, CASE WHEN v < -0.3 THEN 'low' WHEN v > 0.5 THEN 'high' ELSE 'normal' END AS volatility, CASE WHEN abs(coalesce(t, 0)) < 0.15 THEN 'flat' ELSE 'trending' END AS trend, CASE WHEN f > 2 THEN 'extreme_long' WHEN f < -2 THEN 'extreme_short' ELSE 'normal' END AS funding FROM x")
 def e12_regime(spark, d):
-    e = _events(spark, d).withColumns({"v": F.col("value") / 100 - 1, "t": F.col("user_id") % 5 / 4.0, "f": F.lit(0.0)})
-    return e.select("event_id", E.classified_regime("v", "t", "f").alias("regime"))
+    e = _events(spark, d).withColumns({"v": F.col("value") / 100 - 1, "t": F.when(F.col("user_id") % 5 > 0, (F.col("user_id") % 5 - 2) / 10.0), "f": F.col("user_id") % 7 - 3.0})
+    return e.select("event_id", *(v.alias(k) for k, v in E.classified_regime("v", "t", "f").items()))
 
 
 @query(f"""WITH {EV}, g AS (SELECT ts_ms - ts_ms % {DAY} AS start_ms, count(*) AS n, avg(value) AS mean_pnl, sum(value) AS total_pnl FROM ev GROUP BY 1), c AS (SELECT ts_ms - ts_ms % {DAY} AS start_ms, event_type, count(*) AS k FROM ev GROUP BY 1, 2) SELECT g.start_ms, n, round(mean_pnl, 6) AS mean_pnl, round(total_pnl, 4) AS total_pnl, (SELECT event_type FROM c WHERE c.start_ms = g.start_ms ORDER BY k DESC, event_type DESC LIMIT 1) AS regime FROM g""")
@@ -249,12 +256,24 @@ def a28_digest(spark, d):
     return rounded(out.withColumn("total_pnl", F.round("total_pnl", 4)))
 
 
-@query(f"""WITH {EV}, c AS (SELECT ts_ms - ts_ms % {DAY} AS start_ms, event_type, count(*) AS k FROM ev GROUP BY 1, 2), g AS (SELECT ts_ms - ts_ms % {DAY} AS start_ms, avg(value) - 100 AS m FROM ev GROUP BY 1), t AS (SELECT g.start_ms, m, (SELECT event_type FROM c WHERE c.start_ms = g.start_ms ORDER BY k DESC, event_type DESC LIMIT 1) AS regime FROM g), p AS (SELECT *, lag(regime) OVER (ORDER BY start_ms) AS prev FROM t)
-  SELECT 'all' AS k, start_ms, 'REGIME_CHANGE' AS alert FROM p WHERE prev <> regime UNION ALL SELECT 'all', start_ms, 'NEGATIVE_EDGE' FROM p WHERE m < 0""")
+_DIGEST_SQL = f"""{{ev}}, c AS (SELECT ts_ms - ts_ms % {DAY} AS ts_ms, event_type, count(*) AS k FROM ev GROUP BY 1, 2), tp AS (SELECT ts_ms, arg_max(event_type, (k, event_type)) AS regime FROM c GROUP BY 1),
+  hi AS (SELECT ts_ms - ts_ms % {DAY} AS ts_ms, user_id % 3 AS q, count(*) FILTER (least(floor(least(greatest(value / 200, 0), 1) * 10), 9) BETWEEN 3 AND 6) / count(*) AS mid FROM ev GROUP BY 1, 2),
+  dg AS (SELECT ts_ms - ts_ms % {DAY} AS ts_ms, avg(value) - 100 AS net, avg(abs(value - 100)) / 60 AS cost, abs(avg(value) / 100 - 1) AS drift FROM ev GROUP BY 1), dd AS (SELECT *, lag(regime) OVER (ORDER BY ts_ms) AS before FROM dg JOIN tp USING (ts_ms))"""
+
+
+@query(f"""WITH {_DIGEST_SQL.format(ev=EV)} SELECT 'all' AS k, ts_ms, 'regime_change' AS alert, NULL::VARCHAR AS subject, 'warning' AS severity, 'review' AS action FROM dd WHERE before <> regime UNION ALL SELECT 'all', ts_ms, 'cost_erosion', NULL, 'warning', 'review' FROM dd WHERE cost > 0.8
+  UNION ALL SELECT 'all', ts_ms, 'calibration_drift', NULL, 'warning', 'review' FROM dd WHERE drift > 0.15 UNION ALL SELECT 'all', ts_ms, 'negative_edge', NULL, 'critical', 'halt' FROM dd WHERE net < 0 AND cost > 0.5 UNION ALL SELECT 'all', ts_ms, 'no_information', q::VARCHAR, 'warning', 'review' FROM hi WHERE mid > 0.8""")
 def e14_alerts(spark, d):
-    dig = A.world_digest(_events(spark, d).withColumn("v", F.col("value") - 100), "ts_ms", DAY, "v", "event_type", [])
-    rows = dig.withColumns({"k": F.lit("all"), "cost_share": F.lit(0.0), "drift": F.lit(0.0), "top_bin_share": F.lit(0.0)})
-    return E.digest_alerts(rows, ["k"], "start_ms")
+    """Days of events as digests: the commonest type is the regime, values are profits, users' groups are questions."""
+    e = _events(spark, d).withColumns({"day": F.col("ts_ms") - F.col("ts_ms") % DAY, "q": (F.col("user_id") % 3).cast("string")})
+    n = e.groupBy("day", "event_type").agg(F.count("*").alias("n"))
+    regime = n.groupBy("day").agg(F.max_by("event_type", F.struct("n", "event_type")).alias("regime"))
+    b = F.least(F.floor(F.least(F.greatest(F.col("value") / 200, F.lit(0.0)), F.lit(1.0)) * 10), F.lit(9))
+    shares = e.groupBy("day", "q").agg(F.array(*((F.count_if(b == i) / F.count("*")).alias(f"b{i}") for i in range(10))).alias("h"))
+    shares = shares.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("q", "h"))).alias("histograms"))  # one entry a question
+    dig = e.groupBy("day").agg((F.avg("value") - 100).alias("net_per_trade"), (F.avg(F.abs(F.col("value") - 100)) / 60).alias("cost_ratio"), F.abs(F.avg("value") / 100 - 1).alias("calibration_drift"))
+    dig = dig.join(regime, "day").join(shares, "day").withColumnRenamed("day", "ts_ms").withColumn("k", F.lit("all"))
+    return E.digest_alerts(dig, DAILY.at(keys=("k",)))
 
 
 @query(f"WITH {BARS_SQL}, x AS (SELECT instrument, avg(close) AS d FROM bars GROUP BY 1) SELECT 'h' AS horizon, round(max(abs(d)), 6) AS largest_edge FROM x")
@@ -354,10 +373,18 @@ def c13_fixed_horizon(spark, d):
     return C.fixed_horizon_trades(b, DAILY, 5, 0.05).select(*K, "ts_ms", "side", "gross", "net")
 
 
-@query()
+@query(f"""WITH {_RETS_SQL}, x AS (SELECT *, {z_sql('volume', 60)} AS vz FROM rets), m AS (SELECT coalesce(vz > 2, false) AS o, 'exec_ret_1' AS horizon, exec_ret_1 AS r FROM x WHERE exec_ret_1 IS NOT NULL UNION ALL SELECT coalesce(vz > 2, false), 'exec_ret_5', exec_ret_5 FROM x WHERE exec_ret_5 IS NOT NULL),
+  g AS (SELECT horizon, count(*) FILTER (o) AS n, (avg(r) FILTER (o) - avg(r) FILTER (NOT o)) * 1e4 AS gross FROM m GROUP BY 1) SELECT 'busy' AS event, horizon, n, round(gross, 4) + 0.0 AS gross_bps, 11.006 AS cost_bps, round(gross - 11.006, 4) + 0.0 AS net_bps, gross - 11.006 > 0 AS viable, round(CASE WHEN gross > 0 THEN 11.006 / gross END, 4) AS cost_multiple FROM g WHERE n >= 30""")
 def c14_scorecard(spark, d):
     rows = framed(_returns(spark, d), DAILY, 60, 0, lambda w: {"busy": E.flag(W.zscore(F.col("volume"), w, 60) > 2)})
-    return C.scorecard(E.event_study(rows, ["busy"], ["exec_ret_1", "exec_ret_5"], least=10))
+    out = C.scorecard(E.event_study(rows, ["busy"], ["exec_ret_1", "exec_ret_5"], least=10))
+    return rounded(out.select("event", "horizon", "n", "gross_bps", "cost_bps", "net_bps", "viable", "cost_multiple"), 4)
+
+
+@query("SELECT event_id, round((0.5 * value / 10000 - 0.3 * 0.01 + 0.2 * (user_id % 5 - 2) / 1000.0) * 10000, 6) + 0.0 AS gross_bps, round((0.5 * value / 10000 - 0.3 * 0.01 + 0.2 * (user_id % 5 - 2) / 1000.0) * 10000 - 15.0068, 6) + 0.0 AS net_bps, (0.5 * value / 10000 - 0.3 * 0.01 + 0.2 * (user_id % 5 - 2) / 1000.0) * 10000 - 15.0068 > 0 AS eligible FROM events")
+def c16_barrier_gate(spark, d):
+    gate = C.barrier_gate(F.lit(0.5), F.lit(0.3), F.lit(0.2), F.col("value") / 10000, F.lit(0.01), (F.col("user_id") % 5 - 2) / 1000.0)
+    return rounded(P.table(spark, d, "events").select("event_id", *(v.alias(k) for k, v in gate.items())))
 
 
 @query("""WITH lv AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price, l_quantity AS size FROM lineitem), c AS (SELECT *, price * size AS money, coalesce(sum(price * size) OVER (PARTITION BY l_orderkey ORDER BY price, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lv), t AS (SELECT *, greatest(least(money, 50000 - before), 0) AS taken FROM c)
@@ -383,11 +410,27 @@ def c20_equity_curve(spark, d):
     return rounded(C.equity_curve(C.barrier_trades(touched, DAILY, 1, 20), DAILY).select(*K, "ts_ms", "equity", "peak", "drawdown"), 5)
 
 
-@query("SELECT event_id, round(greatest(2.0 * (value / 100) / 1000, 0.002), 8) AS target_fraction, round(greatest((value / 100) / 1000, 0.001), 8) AS stop_fraction, CASE WHEN user_id % 20 <= 10 THEN round(least(100000.0 * 0.01 / (greatest((value / 100) / 1000, 0.001) * 1000), 100000.0 * 3 / 1000), 6) ELSE 0.0 END AS quantity FROM events")
+@query("""WITH x AS (SELECT event_id, greatest(2.0 * (value / 100) / 1000, 0.002) AS target_fraction, greatest((value / 100) / 1000, 0.001) AS stop_fraction, 1000.0 AS entry, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END AS side, CASE WHEN user_id % 3 > 0 THEN (user_id % 3 - 1.5) / 1000 END AS fund,
+    (user_id % 20) / 10000.0 AS spread, CASE WHEN user_id % 11 > 0 THEN user_id % 11 * 4000.0 END AS depth FROM events),
+  l AS (SELECT *, entry * stop_fraction + entry * (2 * 5.0 + 2 * 2.0 + 1.0) / 10000 + entry * greatest(0.0, side * coalesce(fund, 0)) * 3600 / 28800 AS lpu FROM x), q AS (SELECT *, spread * 10000 > 10 OR depth IS NULL OR depth < 10000 AS bad, least(1000.0 / lpu, 300000.0 / entry) AS qty FROM l)
+  SELECT event_id, round(target_fraction, 8) AS target_fraction, round(stop_fraction, 8) AS stop_fraction, round(CASE WHEN bad THEN 0.0 ELSE qty END, 5) AS quantity, round(CASE WHEN bad THEN 0.0 ELSE qty END * lpu, 5) AS maximum_loss, ((spread * 10000 > 10)::INT + (depth IS NULL)::INT + coalesce(depth < 10000, false)::INT)::BIGINT AS n_reasons FROM q""")
 def c21_c23_levels_and_size(spark, d):
-    e = P.table(spark, d, "events").withColumns({"atr_14": F.col("value") / 100, "close": F.lit(1000.0), "spread_bps": (F.col("user_id") % 20).cast("double")})
-    out = C.sized(C.candidate_levels(e), 100_000.0)
-    return rounded(out.select("event_id", "target_fraction", "stop_fraction", F.round("quantity", 6).alias("quantity")), 8)
+    u = F.col("user_id")
+    e = P.table(spark, d, "events").withColumns({"atr_14": F.col("value") / 100, "close": F.lit(1000.0)})
+    rows = C.candidate_levels(e).withColumns(
+        {
+            "entry": F.col("close"), "side": F.when(u % 2 == 0, 1).otherwise(-1), "stop": F.col("close") * (1 - F.col("stop_fraction")), "funding": F.when(u % 3 > 0, (u % 3 - 1.5) / 1000), "max_holding_seconds": F.lit(3600),
+            "spread": (u % 20) / 10000.0, "slippage": F.lit(None).cast("double"), "top_notional": F.when(u % 11 > 0, u % 11 * 4000.0),
+        }
+    )
+    out = C.sized(rows, 100_000.0).withColumns({"quantity": F.round("quantity", 5), "maximum_loss": F.round("maximum_loss", 5), "n_reasons": F.size("reasons").cast("long")})
+    return rounded(out.select("event_id", "target_fraction", "stop_fraction", "quantity", "maximum_loss", "n_reasons"), 8)
+
+
+@query("SELECT event_type, round(avg((user_id % 3 <> 1)::INT), 6) AS exposure, count(*) FILTER (user_id % 4 > 0) AS fills, round(sum(abs((user_id % 4) * value)) / 1000, 4) AS turnover FROM events GROUP BY 1")
+def c20_exposure(spark, d):
+    e = P.table(spark, d, "events").withColumns({"position": F.col("user_id") % 3 - 1, "fill_quantity": F.col("user_id") % 4, "fill_price": F.col("value")})
+    return rounded(C.exposure(e, ["event_type"], 1000.0).withColumn("turnover", F.round("turnover", 4)))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 2 = 0 AND value > 50 AND value < 150 THEN 'ENTER' WHEN user_id % 2 = 1 AND (value > 150 OR value < 20) THEN 'EXIT' ELSE 'HOLD' END AS action FROM events")
@@ -410,6 +453,22 @@ def c25_uncertainty(spark, d):
     return rounded(M.uncertainty_reliability(rows, "exec_ret_5", "exec_ret_1", "volume").drop("rises"))
 
 
+@query(f"WITH {_RETS_SQL}, q AS (SELECT abs(exec_ret_1 - exec_ret_5) AS e, exec_ret_5 AS a, volume AS u FROM rets WHERE exec_ret_5 IS NOT NULL AND exec_ret_1 IS NOT NULL), k AS (SELECT *, rank() OVER (ORDER BY u) + (count(*) OVER (PARTITION BY u) - 1) / 2 AS ru, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2 AS re, rank() OVER (ORDER BY a < 0) + (count(*) OVER (PARTITION BY a < 0) - 1) / 2 AS ra FROM q) SELECT count(*) AS n, round(corr(ru, re), 6) AS spearman_error, round(corr(ru, ra), 6) AS spearman_adverse FROM k")
+def c25_summary(spark, d):
+    rows = _returns(spark, d).where("exec_ret_1 is not null and exec_ret_5 is not null")
+    return rounded(M.uncertainty_summary(rows, "exec_ret_5", "exec_ret_1", "volume").drop("errors_monotonic"))
+
+
+@query(f"""WITH {_RETS_SQL}, q AS (SELECT CASE WHEN exec_ret_5 > 0.02 THEN 'UP' WHEN exec_ret_5 < -0.02 THEN 'DOWN' ELSE 'FLAT' END AS y, close / high AS pu, low / close AS pd, volume / 200 AS pf FROM rets WHERE exec_ret_5 IS NOT NULL),
+  x AS (SELECT 'UP' AS k, y = 'UP' AS o, pu AS p FROM q UNION ALL SELECT 'DOWN', y = 'DOWN', pd FROM q UNION ALL SELECT 'FLAT', y = 'FLAT', pf FROM q), rk AS (SELECT k, o, rank() OVER (PARTITION BY k ORDER BY p) + (count(*) OVER (PARTITION BY k, p) - 1) / 2 AS r FROM x),
+  au AS (SELECT k, (sum(r) FILTER (o) - count(*) FILTER (o) * (count(*) FILTER (o) + 1) / 2) / (count(*) FILTER (o) * count(*) FILTER (NOT o)) AS auc FROM rk GROUP BY 1)
+  SELECT count(*) AS n, round(avg((y = CASE WHEN pu >= pd AND pu >= pf THEN 'UP' WHEN pd >= pf THEN 'DOWN' ELSE 'FLAT' END)::INT), 6) AS accuracy, (SELECT round(avg(auc), 6) FROM au) AS macro_auc FROM q""")
+def m16_multiclass(spark, d):
+    e = F.col("exec_ret_5")
+    rows = _returns(spark, d).where(e.isNotNull()).withColumns({"y": F.when(e > 0.02, "UP").when(e < -0.02, "DOWN").otherwise("FLAT"), "pu": F.col("close") / F.col("high"), "pd": F.col("low") / F.col("close"), "pf": F.col("volume") / 200})
+    return rounded(M.multiclass_metrics(rows, "y", {"UP": "pu", "DOWN": "pd", "FLAT": "pf"}))
+
+
 @query()
 def c28_candidates(spark, d):
     """Decision times, levels from ATR, path probabilities of each series, expectation, and the outcome that followed."""

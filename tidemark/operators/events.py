@@ -7,9 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import two_sided_p
+from tidemark.functions.scalars import EPS, quantiles, two_sided_p
 from tidemark.operators.bars import unpivoted
-from tidemark.operators.features import zscore
+from tidemark.operators.features import change, zscore
 from tidemark.plans.series import framed
 from tidemark.spec import Series
 
@@ -18,71 +18,210 @@ def flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
 
 
-#: signal -> (source column, z-score above which it fires, two-sided)
-SHOCKS = {
-    "volume_shock": ("volume", 3.0, False),
-    "return_shock": ("ret_1", 3.0, True),
-    "range_shock": ("range", 3.0, False),
-    "flow_shock": ("volume_imbalance", 2.5, True),
-    "oi_shock": ("oi_pct_1", 3.0, True),
-    "funding_shock": ("funding_rate", 3.0, True),
+# Thresholds of the signals, the columns they are z-scores of, and the events.
+SIGNAL_LIMITS = {
+    "volume_zscore": 2.0,
+    "volume_imbalance": 0.30,
+    "oi_change_zscore": 2.0,
+    "spread_zscore": 2.0,
+    "depth_imbalance": 0.30,
+    "return_zscore": 2.5,
 }
+ZSCORES = {"volume_zscore": "total_volume", "oi_change_zscore": "oi_change_pct", "spread_zscore": "bid_ask_spread_bps", "return_zscore": "close"}
+IMBALANCES = {"volume_imbalance": "volume_imbalance_5m", "depth_imbalance": "top_level_imbalance"}
+EVENTS = (
+    "EVENT_VOLUME_SHOCK",
+    "EVENT_FLOW_SHOCK",
+    "EVENT_OI_SHOCK",
+    "EVENT_SPREAD_SHOCK",
+    "EVENT_BOOK_SHOCK",
+    "EVENT_PRICE_SHOCK",
+    "EVENT_FLOW_BREAKOUT",
+    "EVENT_FLOW_REVERSAL",
+    "EVENT_OI_PRICE_CONFIRMATION",
+    "EVENT_OI_PRICE_DIVERGENCE",
+)
+INTENSITY = ("volume_imbalance", "depth_imbalance", "return_zscore", "oi_change_zscore")
+
+
+def event_signals(df: DataFrame, series: Series, window: int = 288, least: int = 60) -> DataFrame:
+    """z-scores, imbalances, return in bps, and an EVENT column for each signal whose inputs are there.
+
+    Volume fires on the upper side alone, everything else on both. A flag is null where its z-score is (fewer than
+    ``least`` rows). Columns that are absent make no flags.
+    """
+    z = {k: c for k, c in ZSCORES.items() if c in df.columns}
+    rows = framed(
+        df,
+        series,
+        window,
+        0,
+        lambda w: {k: zscore(F.col(c), w, window, least) for k, c in z.items()} | {"return_bps": change("close", 1, w) * 10_000},
+    )
+    rows = rows.withColumns({k: F.col(c) for k, c in IMBALANCES.items() if c in df.columns})
+    limit, flow = SIGNAL_LIMITS, SIGNAL_LIMITS["volume_imbalance"]
+    size = lambda k: F.abs(k) >= limit[k]
+    flags = {
+        "EVENT_VOLUME_SHOCK": ("volume_zscore", lambda: F.col("volume_zscore") >= limit["volume_zscore"]),
+        "EVENT_FLOW_SHOCK": ("volume_imbalance", lambda: size("volume_imbalance")),
+        "EVENT_OI_SHOCK": ("oi_change_zscore", lambda: size("oi_change_zscore")),
+        "EVENT_SPREAD_SHOCK": ("spread_zscore", lambda: size("spread_zscore")),
+        "EVENT_BOOK_SHOCK": ("depth_imbalance", lambda: size("depth_imbalance")),
+        "EVENT_PRICE_SHOCK": ("return_zscore", lambda: size("return_zscore")),
+        "EVENT_FLOW_BREAKOUT": ("volume_imbalance", lambda: (F.col("volume_imbalance") >= flow) & (F.col("return_bps") > 0)),
+        "EVENT_FLOW_REVERSAL": ("volume_imbalance", lambda: (F.col("volume_imbalance") <= -flow) & (F.col("return_bps") > 0)),
+        "EVENT_OI_PRICE_CONFIRMATION": ("price_up_oi_up", lambda: F.col("price_up_oi_up") == 1),
+        "EVENT_OI_PRICE_DIVERGENCE": ("price_up_oi_down", lambda: F.col("price_up_oi_down") == 1),
+    }
+    return rows.withColumns({k: rule() for k, (needs, rule) in flags.items() if needs in rows.columns})
 
 
-def event_signals(df: DataFrame, series: Series, window: int = 288, least: int | None = None) -> DataFrame:
-    """z-scores and shock flags of the source columns that are there, and composite flags of those."""
-    rows = df.withColumn("range", F.col("high") - F.col("low")) if {"high", "low"} <= set(df.columns) else df
-    have = {k: v for k, v in SHOCKS.items() if v[0] in rows.columns}
-    out = framed(rows, series, window, 0, lambda w: {f"{k}_z": zscore(F.col(c), w, window, least) for k, (c, _, _) in have.items()})
-    out = out.withColumns({k: flag((F.abs(F.col(f"{k}_z")) if both else F.col(f"{k}_z")) > limit) for k, (_, limit, both) in have.items()})
-    pairs = {"volume_return_shock": ("volume_shock", "return_shock"), "flow_volume_shock": ("flow_shock", "volume_shock"), "oi_return_shock": ("oi_shock", "return_shock"), "funding_oi_shock": ("funding_shock", "oi_shock")}
-    return out.withColumns({k: F.col(a) * F.col(b) for k, (a, b) in pairs.items() if a in have and b in have})
-
-
-def extract_events(signals: DataFrame, series: Series, names: list[str], direction: str | None = None) -> DataFrame:
-    """(series, time, event, direction, intensity): every fired flag as a row, all events at once."""
-    intensity = lambda n: F.abs(F.coalesce(*[F.col(c) for c in (f"{n}_z", "return_shock_z", "volume_shock_z", "range_shock_z") if c in signals.columns], F.lit(None).cast("double")))
-    side = F.signum(direction) if direction else F.lit(None).cast("double")
-    rows = F.array(*(F.struct(F.lit(n).alias("event"), F.col(n).alias("on"), intensity(n).alias("intensity")) for n in names))
-    out = signals.select(*series.keys, series.ts, side.alias("direction"), F.explode(rows).alias("e")).where("e.on = 1")
-    return out.select(*series.keys, series.ts, F.col("e.event").alias("event"), "direction", F.col("e.intensity").alias("intensity"))
-
-
-def environment_events(env: DataFrame, keys: list[str]) -> DataFrame:
-    """Named conditions of an environment row as event rows; a column that is not there fires nothing."""
-    c = lambda n: F.col(n) if n in env.columns else F.lit(None).cast("double")
-    rules = {
-        "VOLATILITY_EXPANSION": (c("volatility") > 1.5 * c("prev_volatility"), c("volatility")),
-        "VOLATILITY_COMPRESSION": (c("volatility") < 0.6 * c("prev_volatility"), c("volatility")),
-        "VOLUME_SHOCK": (c("volume_z") > 3, c("volume_z")),
-        "RETURN_SHOCK": (F.abs(c("ret")) > 3 * c("volatility"), c("ret")),
-        "BREAKOUT_UP": (c("close") > c("prev_high"), c("close")),
-        "BREAKOUT_DOWN": (c("close") < c("prev_low"), c("close")),
-        "BREAKOUT_FAILURE_UP": ((c("high") > c("prev_high")) & (c("close") < c("prev_high")), c("close")),
-        "BREAKOUT_FAILURE_DOWN": ((c("low") < c("prev_low")) & (c("close") > c("prev_low")), c("close")),
-        "TREND_ACCELERATION": (F.abs(c("acceleration")) > 2 * c("volatility"), c("acceleration")),
-        "OI_SHOCK": (F.abs(c("oi_z")) > 3, c("oi_z")),
-        "FUNDING_EXTREME": (F.abs(c("funding_z")) > 3, c("funding_z")),
-        "WIDE_SPREAD": (c("spread_bps") > 10, c("spread_bps")),
-        "FLOW_IMBALANCE": (F.abs(c("flow_imbalance")) > 0.6, c("flow_imbalance")),
-    }
-    found = F.filter(F.array(*(F.when(cond, F.struct(F.lit(k).alias("event_type"), v.cast("double").alias("severity"))) for k, (cond, v) in rules.items())), lambda x: x.isNotNull())
-    return env.select(*keys, F.explode(found).alias("e")).select(*keys, "e.event_type", "e.severity")
+def available_events(df: DataFrame) -> list[str]:
+    return [e for e in EVENTS if e in df.columns]
+
+
+def extract_events(signals: DataFrame, series: Series, names: list[str] | None = None, direction: str | None = None) -> DataFrame:
+    """(series, time, event, direction, intensity, features): every fired flag as a row, all events at once.
+
+    intensity is the size of the first of INTENSITY that is not null, 0 where all are; direction is 0 where unknown.
+    """
+    names = available_events(signals) if names is None else names
+    have = [F.col(c) for c in INTENSITY if c in signals.columns]
+    intensity = F.abs(F.coalesce(*have, F.lit(0.0)))
+    side = F.coalesce(F.col(direction).cast("int"), F.lit(0)) if direction else F.lit(0)
+    shown = [c for c in ("volume_imbalance_5m", "oi_change_pct", "return_bps") if c in signals.columns]
+    features = F.create_map(*[x for c in shown for x in (F.lit(c), F.col(c).cast("double"))]) if shown else F.create_map()
+    fired = F.filter(F.array(*(F.when(F.col(n), F.lit(n)) for n in names)), lambda x: x.isNotNull())
+    return signals.select(
+        *series.keys,
+        series.ts,
+        F.explode(fired).alias("event"),
+        side.alias("direction"),
+        intensity.alias("intensity"),
+        F.map_filter(features, lambda _, v: v.isNotNull()).alias("features"),
+    )
+
 
+def environment_rows(measured: DataFrame, series: Series, widths: dict[str, int], fast: str, slow: str) -> DataFrame:
+    """A row per closed bucket of the slow frame: its measurements and the fast frame's volatility at the same time.
+
+    ``measured`` comes from ``timeframe_measurements``; ``widths`` is the milliseconds of a bucket of each frame.
+    """
+    end = lambda frame: F.col("bucket_ms") + F.lit(widths[frame])
+    one = measured.where(F.col("frame") == slow).withColumn("decision_ms", end(slow))
+    two = measured.where(F.col("frame") == fast).select(*series.keys, end(fast).alias("decision_ms"), F.col("realized_volatility").alias("fast_volatility"))
+    return one.join(two, [*series.keys, "decision_ms"], "left")
+
+
+# Limits of the environment events.
+ENVIRONMENT_LIMITS = {
+    "volatility_expansion_ratio": 1.5,
+    "volume_shock_z": 2.0,
+    "return_shock_sigma": 3.0,
+    "oi_shock_fraction": 0.03,
+    "funding_extreme": 0.0005,
+    "trend_acceleration": 0.001,
+    "spread_expansion": 0.0005,
+    "order_flow_imbalance": 0.5,
+}
 
-STATE_COLUMNS = ("trend_state", "vol_state", "funding_state", "oi_state", "range_state", "momentum_state")
 
+def environment_events(env: DataFrame, keys: list[str], limits: dict[str, float] | None = None) -> DataFrame:
+    """Conditions of an environment row as event rows (keys, event_type, severity from 0 to 1).
 
-def market_states(df: DataFrame, series: Series, window: int = 1440, least: int | None = None, source: dict[str, str] | None = None) -> DataFrame:
-    """Six categorical states from trailing z-scores; null while the window is not full."""
-    src = {"trend_state": "ret_60", "vol_state": "rv_30", "funding_state": "funding_rate", "oi_state": "open_interest", "range_state": "range", "momentum_state": "ret_15"} | (source or {})
-    rows = df.withColumn("range", F.col("high") - F.col("low"))
-    names = {"trend_state": ("UP", "FLAT", "DOWN"), "vol_state": ("HIGH", "NORMAL", "LOW"), "funding_state": ("POSITIVE", "NEUTRAL", "NEGATIVE"), "oi_state": ("RISING", "STABLE", "FALLING"), "range_state": ("WIDE", "MID", "NARROW"), "momentum_state": ("STRONG", "NEUTRAL", "WEAK")}
-    have = [s for s in STATE_COLUMNS if src[s] in rows.columns]
-    rows = framed(rows, series, window, 0, lambda w: {f"__z_{s}": zscore(F.col(src[s]), w, window, least) for s in have})
-    z = lambda s: F.col(f"__z_{s}")
-    out = rows.withColumns({s: F.when(z(s) > 1, names[s][0]).when(z(s) < -1, names[s][2]).when(z(s).isNotNull(), names[s][1]) for s in have})
-    return out.drop(*(f"__z_{s}" for s in have))
+    Columns, each optional: fast_volatility, realized_volatility, volume_z, return_fraction, open, close,
+    previous_high, previous_low, trend_direction, previous_trend_direction, trend_acceleration, oi_change, funding,
+    liquidations (map of numbers), spread, flow_imbalance. One that is null or not there fires nothing.
+    """
+    limit = ENVIRONMENT_LIMITS | (limits or {})
+    kinds = {"trend_direction": "string", "previous_trend_direction": "string", "liquidations": "map<string,double>"}
+    c = lambda n: F.col(n) if n in env.columns else F.lit(None).cast(kinds.get(n, "double"))
+    ratio = F.try_divide(c("fast_volatility"), F.nullif(c("realized_volatility"), F.lit(0.0)))
+    most = F.lit(limit["volatility_expansion_ratio"])
+    up, down = c("close") > c("previous_high"), c("close") < c("previous_low")
+    z, accelerated = F.abs(c("volume_z")), F.abs(c("trend_acceleration"))
+    shock = F.abs(c("return_fraction")) >= limit["return_shock_sigma"] * F.nullif(c("realized_volatility"), F.lit(0.0))
+    forced = F.exists(F.map_values(c("liquidations")), lambda v: v > 0)
+    rules = [
+        ("volatility_expansion", ratio > most, F.lit(0.7)),
+        ("volatility_compression", ratio < 1 / most, F.lit(0.6)),
+        ("volume_shock", z >= limit["volume_shock_z"], z / (2 * limit["volume_shock_z"])),
+        ("return_shock", shock, F.lit(0.8)),
+        ("range_breakout", F.coalesce(up, F.lit(False)) | F.coalesce(down, F.lit(False)), F.lit(0.8)),
+        ("range_failure", (c("open") >= c("previous_high")) & (c("close") < c("previous_high")), F.lit(0.8)),
+        ("range_failure", (c("open") <= c("previous_low")) & (c("close") > c("previous_low")), F.lit(0.8)),
+        ("trend_transition", c("previous_trend_direction") != c("trend_direction"), F.lit(0.7)),
+        ("trend_acceleration", accelerated >= limit["trend_acceleration"], accelerated / limit["trend_acceleration"]),
+        ("oi_shock", F.abs(c("oi_change")) >= limit["oi_shock_fraction"], F.lit(0.7)),
+        ("funding_extreme", F.abs(c("funding")) >= limit["funding_extreme"], F.lit(0.6)),
+        ("liquidation_burst", forced, F.lit(0.7)),
+        ("spread_expansion", c("spread") > limit["spread_expansion"], F.lit(0.6)),
+        ("order_flow_imbalance", F.abs(c("flow_imbalance")) >= limit["order_flow_imbalance"], F.lit(0.6)),
+    ]
+    within = lambda v: F.least(F.greatest(v.cast("double"), F.lit(0.0)), F.lit(1.0))
+    rows = F.array(*(F.when(cond, F.struct(F.lit(k).alias("event_type"), within(v).alias("severity"))) for k, cond, v in rules))
+    return env.select(*keys, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("e")).select(*keys, "e.event_type", "e.severity")
+
+
+STATE_COLUMNS = ("trend_state", "vol_state", "range_state", "oi_state", "funding_state", "price_location_state")
+# Cuts of the market states.
+STATE_CUTS = {
+    "trend_z": 0.5,
+    "vol_low_z": -0.5,
+    "vol_high_z": 1.0,
+    "vol_extreme_z": 2.0,
+    "range_expansion_z": 0.5,
+    "oi_z": 0.5,
+    "funding_z": 1.0,
+    "location_high": 0.8,
+    "location_low": 0.2,
+}
+STATE_INPUTS = {
+    "ret_4h": "ret_4h",
+    "realized_vol_24h": "realized_vol_24h",
+    "atr_frac_24h": "atr_frac_24h",
+    "atr_frac_72h": "atr_frac_72h",
+    "oi_change_1h": "oi_change_pct_1h_true",
+    "funding_zscore": "funding_zscore",
+    "donchian_pos_24h": "donchian_pos_24h",
+}
+
+
+def market_states(df: DataFrame, series: Series, window: int = 1440, source: dict[str, str] | None = None, steps: int = 240) -> DataFrame:
+    """Six categorical states; a state whose inputs are absent is left out, and it is null while they are null.
+
+    Trend is the 4 h return over volatility times sqrt(``steps``); volatility and open interest are z-scores over
+    ``window`` rows, from a quarter of them on; range is the ratio of two ATR fractions; location is the place in the
+    Donchian channel. ``source`` names the input columns where they differ from STATE_INPUTS.
+    """
+    at = STATE_INPUTS | (source or {})
+    have = lambda *names: all(at[n] in df.columns for n in names)
+    c, cut = (lambda n: F.col(at[n])), STATE_CUTS
+    z = {k: n for k, n in {"__vol_z": "realized_vol_24h", "__oi_z": "oi_change_1h"}.items() if have(n)}
+    rows = framed(df, series, window, 0, lambda w: {k: zscore(c(n), w, window, window // 4) for k, n in z.items()}) if z else df
+    trend = c("ret_4h") / (c("realized_vol_24h") * F.sqrt(F.lit(float(steps))) + EPS)
+    spread = c("atr_frac_24h") / (c("atr_frac_72h") + EPS)
+    place, vol, oi, funding = c("donchian_pos_24h"), F.col("__vol_z"), F.col("__oi_z"), c("funding_zscore")
+    narrow, wide = 1 - cut["range_expansion_z"] / 2, 1 + cut["range_expansion_z"]
+
+    def three(x: Column, low: float, high: float, names: tuple[str, str, str]) -> Column:
+        return F.when(x < low, names[0]).when(x > high, names[2]).when(x.isNotNull(), names[1])
+
+    states = {
+        "trend_state": (("ret_4h", "realized_vol_24h"), lambda: three(trend, -cut["trend_z"], cut["trend_z"], ("DOWN", "NEUTRAL", "UP"))),
+        "vol_state": (
+            ("realized_vol_24h",),
+            lambda: F.when(vol >= cut["vol_extreme_z"], "EXTREME").when(vol >= cut["vol_high_z"], "HIGH").when(vol < cut["vol_low_z"], "LOW").when(vol.isNotNull(), "NORMAL"),
+        ),
+        "range_state": (
+            ("atr_frac_24h", "atr_frac_72h"),
+            lambda: F.when(spread < narrow, "COMPRESSED").when(spread >= wide, "EXPANDING").when(spread.isNotNull(), "NORMAL"),
+        ),
+        "oi_state": (("oi_change_1h",), lambda: three(oi, -cut["oi_z"], cut["oi_z"], ("FALLING", "NEUTRAL", "RISING"))),
+        "funding_state": (("funding_zscore",), lambda: three(funding, -cut["funding_z"], cut["funding_z"], ("LOW", "NORMAL", "HIGH"))),
+        "price_location_state": (("donchian_pos_24h",), lambda: three(place, cut["location_low"], cut["location_high"], ("LOW", "MID", "HIGH"))),
+    }
+    return rows.withColumns({k: rule() for k, (needs, rule) in states.items() if have(*needs)}).drop(*z)
 
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -142,7 +281,7 @@ def event_study(df: DataFrame, events: list[str], returns: list[str], extra: lis
     r2 = F.col("r") * F.col("r")
     out = rows.groupBy("event", *extra, "horizon").agg(
         F.count_if(on).alias("n"), F.sum(F.when(on, F.col("r"))).alias("s1"), F.sum(F.when(on, r2)).alias("q1"), F.count_if(~on).alias("n_rest"), F.sum(F.when(~on, F.col("r"))).alias("s0"), F.sum(F.when(~on, r2)).alias("q0"),
-        F.percentile(F.when(on, F.col("r")), 0.5).alias("median"), F.avg(F.when(on, (F.col("r") > 0).cast("double"))).alias("p_pos"),
+        quantiles(F.when(on, F.col("r")), 0.5).alias("median"), F.avg(F.when(on, (F.col("r") > 0).cast("double"))).alias("p_pos"),
     )
     stats = welch(F.col("n"), F.col("s1"), F.col("q1"), F.col("n_rest"), F.col("s0"), F.col("q0"))
     return out.where(F.col("n") >= least).select("event", *extra, "horizon", "n", "n_rest", "median", "p_pos", *(v.alias(k) for k, v in stats.items()))
@@ -164,33 +303,74 @@ def year_stability(df: DataFrame, series: Series, state: str, level: str, ret: s
     return g.where((F.col("n") >= least) & (F.col("n_rest") >= least)).select("year", "n", "n_rest", *(v.alias(k) for k, v in stats.items()))
 
 
-def multi_frame_regime(frames: DataFrame, keys: list[str], trend: str = "trend") -> DataFrame:
-    """BULL or BEAR where at least three of the frames agree, MIXED otherwise; alignment is the larger share."""
-    g = frames.groupBy(*keys).agg(F.count_if(F.col(trend) == "UP").alias("n_up"), F.count_if(F.col(trend) == "DOWN").alias("n_down"), F.count(trend).alias("n_frames"))
-    return g.withColumn("regime", F.when(F.col("n_up") >= 3, "BULL").when(F.col("n_down") >= 3, "BEAR").otherwise("MIXED")).withColumn("alignment", F.try_divide(F.greatest("n_up", "n_down"), F.col("n_frames")))
+#: Funding (per 8 h) from which derivatives count as crowded.
+CROWDED = 0.0005
+
 
+def assessed_regime(trends: list[str], volatility: str, structure: str, funding: str) -> dict[str, Column]:
+    """trend (two of the frames' directions agree), volatility, structure, derivatives, confidence and reason.
 
-def classified_regime(vol: str, trend: str, funding: str) -> Column:
-    """Volatility first, then trend, then funding; null where nothing is known."""
-    v, t, f = F.col(vol), F.col(trend), F.col(funding)
-    return F.when(v > 1.0, "HIGH_VOL").when(t > 0.5, "TREND_UP").when(t < -0.5, "TREND_DOWN").when(F.abs(f) > 2, "FUNDING_EXTREME").when(v.isNotNull() | t.isNotNull(), "QUIET")
+    ``trends`` names the direction columns of three frames; confidence is the larger share of them, 0.3 at least where
+    they are mixed.
+    """
+    count = lambda name: sum((F.coalesce(F.col(t) == name, F.lit(False)).cast("int") for t in trends), F.lit(0))
+    up, down = count("UP"), count("DOWN")
+    trend = F.when(up >= 2, "BULLISH").when(down >= 2, "BEARISH").otherwise("MIXED")
+    crowd = F.when(F.abs(F.coalesce(F.col(funding), F.lit(0.0))) >= CROWDED, "CROWDED").otherwise("NEUTRAL")
+    share = F.greatest(up, down) / len(trends)
+    vol = F.col(volatility).cast("string")
+    return {
+        "trend": trend,
+        "volatility": vol,
+        "structure": F.col(structure),
+        "derivatives": crowd,
+        "confidence": F.least(F.lit(1.0), F.greatest(F.when(trend == "MIXED", 0.3).otherwise(0.0), share)),
+        "reason": F.concat(F.lit("higher-timeframe trend="), trend, F.lit("; volatility="), F.coalesce(vol, F.lit("None")), F.lit("; derivatives="), crowd),
+    }
+
+
+def classified_regime(vol_regime: str, trend_score: str, funding_z: str) -> dict[str, Column]:
+    """Three independent fields; an input that is null counts as 0, as in warm-up."""
+    v, t, f = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (vol_regime, trend_score, funding_z))
+    return {
+        "volatility": F.when(v < -0.3, "low").when(v > 0.5, "high").otherwise("normal"),
+        "trend": F.when(F.abs(t) < 0.15, "flat").otherwise("trending"),
+        "funding": F.when(f > 2.0, "extreme_long").when(f < -2.0, "extreme_short").otherwise("normal"),
+    }
 
 
 def tertile_regimes(train: DataFrame, rows: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """LOW / MID / HIGH of each column by the training rows' tertiles, which are one row."""
-    cuts = train.agg(*(F.percentile(c, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias(f"__{c}") for c in columns))
+    cuts = train.agg(*(quantiles(F.col(c), [1 / 3, 2 / 3]).alias(f"__{c}") for c in columns))
     out = rows.crossJoin(F.broadcast(cuts))  # an aggregate: one row
     name = lambda c: F.when(F.col(c) < F.get(f"__{c}", 0), "LOW").when(F.col(c) < F.get(f"__{c}", 1), "MID").when(F.col(c).isNotNull(), "HIGH")
     return out.withColumns({f"{c}_regime": name(c) for c in columns}).drop(*(f"__{c}" for c in columns))
 
 
-def digest_alerts(digests: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Alert rows from window digests: regime change, cost erosion, calibration drift, no information, negative edge."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = digests.withColumn("__prev", F.lag("regime").over(w))
-    rules = {"REGIME_CHANGE": F.col("__prev") != F.col("regime"), "COST_EROSION": F.col("cost_share") > 0.8, "CALIBRATION_DRIFT": F.col("drift") > 0.15, "NO_INFORMATION": F.col("top_bin_share") > 0.9, "NEGATIVE_EDGE": F.col("mean_pnl") < 0}
-    found = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda x: x.isNotNull())
-    return rows.select(*keys, order, F.explode(found).alias("alert"))
+def digest_alerts(digests: DataFrame, series: Series) -> DataFrame:
+    """(keys, time, alert, subject, severity, action) from window digests.
+
+    Columns of ``digests``: regime, cost_ratio, calibration_drift, histograms (map of a question's name to the shares
+    of ten bins), net_per_trade. A regime other than the one before, costs over 0.8 of gross, drift over 0.15 and, for
+    each question, more than 0.8 of the answers between 0.3 and 0.7 are warnings to review; a negative edge with costs
+    over half of gross is critical and halts.
+    """
+    rows = framed(digests, series, 1, 0, lambda w: {"__before": F.lag("regime").over(w)})
+    middle = lambda h: F.aggregate(F.slice(h, 4, 4), F.lit(0.0), lambda a, x: a + x)
+    dull = F.map_keys(F.map_filter("histograms", lambda _, h: (F.size(h) > 0) & (middle(h) > 0.8)))
+    alert = lambda name, subject, severity, action: F.struct(
+        F.lit(name).alias("alert"), subject.cast("string").alias("subject"), F.lit(severity).alias("severity"), F.lit(action).alias("action")
+    )
+    none = F.lit(None)
+    single = F.array(
+        F.when(F.col("__before") != F.col("regime"), alert("regime_change", none, "warning", "review")),
+        F.when(F.col("cost_ratio") > 0.8, alert("cost_erosion", none, "warning", "review")),
+        F.when(F.col("calibration_drift") > 0.15, alert("calibration_drift", none, "warning", "review")),
+        F.when((F.col("net_per_trade") < 0) & (F.col("cost_ratio") > 0.5), alert("negative_edge", none, "critical", "halt")),
+    )
+    each = F.transform(F.coalesce(dull, F.array().cast("array<string>")), lambda q: alert("no_information", q, "warning", "review"))
+    found = F.concat(F.filter(single, lambda x: x.isNotNull()), each)
+    return rows.select(*series.keys, series.ts, F.explode(found).alias("e")).select(*series.keys, series.ts, "e.*")
 
 
 def alignment(trends: Column, reference: Column) -> Column:

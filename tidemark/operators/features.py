@@ -227,29 +227,72 @@ def micro_regimes(df: DataFrame, series: Series, vol: int = 60, look: int = 240)
     ).drop("__m", "__p")
 
 
-def timeframe_measurements(rolled: DataFrame, series: Series, n: int = 20) -> DataFrame:
-    """Per frame and bucket: return, volatility (population), ATR fraction, VWAP, range position, volume z, persistence, acceleration, and the bucket before."""
+def timeframe_measurements(rolled: DataFrame, series: Series) -> DataFrame:
+    """Measurements of each frame at each bucket, over all of the frame's buckets up to it.
+
+    Return and its change, population volatility of log returns, mean true range of the last 14 buckets over close,
+    exponential means of 20, 50 and 200 (null until so many buckets), volume-weighted price (typical prices take the
+    newest close), distance from it, place of the close in the bucket's own range (0.5 where it has none), volume
+    against the buckets before, share of the last 20 returns that go with the direction, and direction, high and low of
+    this bucket and the one before. Running sums are block scans: no frame's history is in one task.
+    """
     by = series.at(keys=(*series.keys, "frame"), ts="bucket_ms")
-    rows = rolled.withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    close, volume, ret = F.col("close"), F.col("volume"), F.col("return_fraction")
+    toward = lambda now, before: F.when(now > before, "UP").when(now < before, "DOWN").otherwise("FLAT")
 
     def first(w: WindowSpec):
-        return {"ret": change("close", 1, w), "tr": true_range(w), "prev_high": F.lag("high").over(w), "prev_low": F.lag("low").over(w)}
+        before = F.lag("close").over(w)
+        return {
+            "return_fraction": F.when(before > 0, close / before - 1),
+            "__log": log_return("close", w),
+            "__tr": true_range(w),
+            "previous_high": F.lag("high").over(w),
+            "previous_low": F.lag("low").over(w),
+            "trend_direction": toward(close, before),
+        }
 
     def second(w: WindowSpec):
-        over = trailing(w, n)
-        money, volume = F.sum(F.col("typical") * F.col("volume")).over(over), F.sum("volume").over(over)
-        high, low = F.max("high").over(over), F.min("low").over(over)
+        last = trailing(w, 20)
         return {
-            "volatility": min_rows(F.col("ret"), over, F.stddev_pop, n),
-            "atr_fraction": min_rows(F.col("tr"), over, F.avg, n) / F.col("close"),
-            "vwap": F.try_divide(money, volume),
-            "range_position": (F.col("close") - low) / (high - low + EPS),
-            "volume_z": zscore(F.col("volume"), w, n),
-            "persistence": min_rows(F.signum("ret"), over, F.avg, n),
-            "acceleration": F.col("ret") - F.lag("ret").over(w),
+            "atr_fraction": F.when(close > 0, F.avg("__tr").over(trailing(w, 14)) / close),
+            "trend_acceleration": ret - F.lag("return_fraction").over(w),
+            "previous_trend_direction": F.lag("trend_direction").over(w),
+            "__ups": F.count_if(ret > 0).over(last),
+            "__downs": F.count_if(ret < 0).over(last),
+            "__returns": F.count("return_fraction").over(last),
         }
 
-    return staged(rows, by, 2 * n, 0, [first, second]).drop("tr")
+    rows = ema(rolled, by, {f"ema{n}": (close, n, n) for n in (20, 50, 200)}, keep_index=True)
+    rows = staged(rows, by, 24, 0, [first, second])
+    sums = {
+        "__n": F.col("__log").isNotNull().cast("long"),
+        "__l1": F.col("__log"),
+        "__l2": F.col("__log") * F.col("__log"),
+        "__rows": F.lit(1).cast("long"),
+        "__v1": volume,
+        "__v2": volume * volume,
+        "__hl": (F.col("high") + F.col("low")) * volume,
+    }
+    rows = block_scan(rows, by, sums)
+    n, before = F.col("__n"), F.col("__rows") - 1
+    spread = lambda s1, s2, k: F.sqrt(F.greatest(s2 / k - (s1 / k) * (s1 / k), F.lit(0.0)))
+    mean = (F.col("__v1") - volume) / F.greatest(before, F.lit(1))
+    sd = F.when(before > 0, spread(F.col("__v1") - volume, F.col("__v2") - volume * volume, before))
+    vwap = F.when(F.col("__v1") > 0, (F.col("__hl") + close * F.col("__v1")) / (3 * F.col("__v1")))
+    direction = F.when(F.col("ema20").isNotNull() & F.col("ema50").isNotNull(), F.when(F.col("ema20") >= F.col("ema50"), "UP").otherwise("DOWN")).otherwise(F.col("trend_direction"))
+    along = F.when(direction == "UP", F.col("__ups")).when(direction == "DOWN", F.col("__downs")).otherwise(F.lit(0))
+    out = rows.withColumns(
+        {
+            "realized_volatility": F.when(n > 0, spread(F.col("__l1"), F.col("__l2"), n)),
+            "vwap": vwap,
+            "distance_from_vwap": F.try_divide(close - vwap, vwap),
+            "range_position": F.when(F.col("high") > F.col("low"), (close - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.5),
+            # below this the buckets before are alike but for rounding
+            "volume_z": F.when(sd > F.greatest(F.lit(1e-12), 1e-9 * F.abs(mean)), (volume - mean) / sd),
+            "trend_persistence": F.try_divide(along.cast("double"), F.col("__returns")),
+        }
+    )
+    return out.drop("__log", "__tr", "__ups", "__downs", "__returns", *sums)
 
 
 def feature_bundle(bars: DataFrame, series: Series, flow: DataFrame | None = None) -> DataFrame:

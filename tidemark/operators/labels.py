@@ -250,6 +250,14 @@ def geometry_bound(bars: DataFrame, series: Series, cells: list[tuple[float, flo
     return out.withColumn("bound", F.col("target_fraction") - F.col("p_stop") * F.col("stop_fraction"))
 
 
+def viability(bounds: DataFrame, profiles: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """Each geometry under each cost profile (fee and slippage a side, latency; in bps): the bound less the cost, and whether it is above it."""
+    rows = [F.struct(F.lit(k).alias("profile"), F.lit(2 * fee + 2 * slip + late).alias("total_bps")) for k, (fee, slip, late) in profiles.items()]
+    out = bounds.withColumn("__p", F.explode(F.array(*rows))).select(*bounds.columns, "__p.*")
+    left = F.col("bound") * 1e4 - F.col("total_bps")
+    return out.withColumns({"bound_minus_cost_bps": left, "viable": left > 0})
+
+
 def delayed(df: DataFrame, series: Series, columns: list[str], k: int) -> DataFrame:
     """Decision columns moved ``k`` bars later."""
     return framed(df, series, k, 0, lambda w: {f"{c}_delayed": F.lag(c, k).over(w) for c in columns})

@@ -128,6 +128,22 @@ def class_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return out.select("class", "support", precision.alias("precision"), recall.alias("recall"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"))
 
 
+def multiclass_metrics(df: DataFrame, truth: str, probabilities: dict[str, str]) -> DataFrame:
+    """One row: n, accuracy of the likeliest class and the mean of the classes' one-vs-rest areas; null if a class is missing.
+
+    ``probabilities`` maps class names to their columns; equal probabilities go to the class named first. All areas
+    come from one pass over rows unpivoted by class.
+    """
+    rows = df.where(F.col(truth).isNotNull())
+    cells = F.array(*(F.struct(F.lit(k).alias("class"), (F.col(truth) == k).cast("int").alias("y"), F.col(c).alias("p")) for k, c in probabilities.items()))
+    best = F.greatest(*(F.col(c) for c in probabilities.values()))
+    said = F.coalesce(*(F.when(F.col(c) == best, F.lit(k)) for k, c in probabilities.items()))
+    one = rows.agg(F.count("*").alias("n"), F.avg((said == F.col(truth)).cast("double")).alias("accuracy"))
+    auc = roc_auc(rows.select(F.explode(cells).alias("x")).select("x.*"), "y", "p", ["class"])
+    auc = auc.agg(F.when(F.count("auc") == len(probabilities), F.avg("auc")).alias("macro_auc"))
+    return one.crossJoin(F.broadcast(auc))  # one row each
+
+
 def class_counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n"))
 
@@ -193,6 +209,16 @@ def uncertainty_reliability(df: DataFrame, actual: str, predicted: str, uncertai
     return out.withColumn("rises", F.col("mean_actual") >= F.coalesce(F.lag("mean_actual").over(Window.orderBy("tile")), F.lit(0.0)))  # ``bins`` rows
 
 
+def uncertainty_summary(df: DataFrame, actual: str, predicted: str, uncertainty: str, bins: int = 5) -> DataFrame:
+    """One row: rank correlation of uncertainty with the error and with a negative outcome, and whether the error rises bucket by bucket."""
+    rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull() & F.col(uncertainty).isNotNull())
+    rows = rows.withColumns({"__err": F.abs(F.col(predicted) - F.col(actual)), "__bad": (F.col(actual) < 0).cast("double")})
+    error = rank_correlation(rows, uncertainty, "__err").select("n", F.col("spearman").alias("spearman_error"))
+    adverse = rank_correlation(rows, uncertainty, "__bad").select(F.col("spearman").alias("spearman_adverse"))
+    rising = uncertainty_reliability(df, actual, predicted, uncertainty, bins).agg(F.every("rises").alias("errors_monotonic"))
+    return error.crossJoin(F.broadcast(adverse)).crossJoin(F.broadcast(rising))  # one row each
+
+
 def top_correlations(df: DataFrame, columns: list[str], limit: int = 8) -> DataFrame:
     """The ``limit`` pairs of columns with the largest absolute correlation, all pairs in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +14,15 @@ from tidemark.spec import Series
 
 FEE, SLIPPAGE = 0.0005, 0.0002
 EIGHT_HOURS = 28_800_000
-#: name -> (fee multiplier, extra slippage)
-STRESS = {"base": (1.0, 0.0), "fees_1_5x": (1.5, 0.0), "fees_2x": (2.0, 0.0), "slippage_5bp": (1.0, 0.0005), "both": (2.0, 0.0005)}
+# Cost scenarios as (fee multiplier, extra slippage a side, cost of delay), and measured costs in bps.
+STRESS = {
+    "1x_base": (1.0, 0.0, 0.0),
+    "2x_cost": (2.0, 0.0, 0.0),
+    "3x_cost": (3.0, 0.0, 0.0),
+    "increased_slippage": (1.0, 0.0005, 0.0),
+    "execution_delay": (1.0, 0.0, 0.0002),
+}
+STUDY_COST_BPS, BARRIER_COST_BPS = 11.006, 15.0068
 
 
 def round_trip_cost(fee_mult=1.0, extra_slippage=0.0, fee: float = FEE, slippage: float = SLIPPAGE):
@@ -21,15 +30,11 @@ def round_trip_cost(fee_mult=1.0, extra_slippage=0.0, fee: float = FEE, slippage
     return 2 * (fee * lit(fee_mult) + slippage + lit(extra_slippage))
 
 
-def scenarios(spark, stress: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(k).alias("scenario"), F.lit(a).alias("fee_mult"), F.lit(b).alias("extra_slippage")) for k, (a, b) in (stress or STRESS).items()))
-    return spark.range(1).select(F.explode(rows).alias("s")).select("s.*")
-
-
-def stressed(df: DataFrame, stress: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def stressed(df: DataFrame, stress: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
     """Each row under each cost scenario: an explode of literals, no join."""
-    rows = F.array(*(F.struct(F.lit(k).alias("scenario"), F.lit(a).alias("fee_mult"), F.lit(b).alias("extra_slippage")) for k, (a, b) in (stress or STRESS).items()))
-    return df.withColumn("__s", F.explode(rows)).select(*df.columns, "__s.*")
+    names = ("fee_mult", "extra_slippage", "delay_cost")
+    rows = [F.struct(F.lit(k).alias("scenario"), *(F.lit(x).alias(n) for n, x in zip(names, v, strict=True))) for k, v in (stress or STRESS).items()]
+    return df.withColumn("__s", F.explode(F.array(*rows))).select(*df.columns, "__s.*")
 
 
 def components(entry: str = "entry", leave: str = "exit", side: str = "side", funding: str | Column = "funding", fee_mult=1.0, extra_slippage=0.0) -> dict[str, Column]:
@@ -71,22 +76,49 @@ def expected_value(p_tp: Column, p_sl: Column, p_timeout: Column, target: Column
     return {"ev_gross": gross, "ev_net": gross - cost}
 
 
-def economic_gate(df: DataFrame, edge: str = "edge", uncertainty: str = "uncertainty", cost: str = "cost", multiple: float = 1.5, required: tuple[str, ...] = ()) -> DataFrame:
-    """Direction, adjusted edge, acceptance, and the reasons against."""
-    adjusted = F.abs(F.col(edge)) - F.coalesce(F.col(uncertainty), F.lit(0.0))
-    rules = {
-        "NO_DIRECTION": F.coalesce(F.col(edge) == 0, F.lit(True)),
-        "EDGE_BELOW_COST": adjusted < F.col(cost),
-        "EDGE_BELOW_MULTIPLE": adjusted < multiple * F.col(cost),
-        "INCOMPLETE_RISK_FIELDS": F.lit(False) if not required else F.greatest(*(F.col(c).isNull() for c in required)) if len(required) > 1 else F.col(required[0]).isNull(),
+#: Least net edge as a multiple of the cost, and what a prediction must hold before it may trade.
+MIN_EDGE, RISK_FIELDS = 2.0, ("expected_downside", "favorable_excursion", "adverse_excursion", "uncertainty", "holding_minutes")
+
+
+def economic_gate(df: DataFrame, fee_mult=1.0, extra_slippage=0.0, delay_cost=0.0, funding_rate=0.0, hold_bars: int = 15, min_edge: float = MIN_EDGE) -> DataFrame:
+    """Costs, net edge, edge less the penalty for uncertainty, TRADE or NO_TRADE, and the conditions that failed.
+
+    Columns: side (1 or -1), p_up, p_flat, p_down, expected_return, cost_other and RISK_FIELDS. The candidate's
+    direction must be the likeliest of three, the adjusted edge ``min_edge`` times the cost at least, and every risk
+    field present. Cost inputs are numbers or columns; the funding rate is per eight hours, bars are minutes.
+    """
+    lit = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    side = F.col("side")
+    out = df.withColumns(
+        {
+            "expected_gross": side * F.col("expected_return"),
+            "cost_fees": 2 * FEE * lit(fee_mult),
+            "cost_slippage": 2 * (SLIPPAGE + lit(extra_slippage)),
+            "cost_funding": lit(funding_rate) * (max(0, hold_bars) / 480.0),
+            "cost_delay": lit(delay_cost),
+        }
+    )
+    gross = F.col("expected_gross")
+    cost = F.col("cost_fees") + F.col("cost_slippage") + F.col("cost_funding") + F.col("cost_delay") + F.coalesce(F.col("cost_other"), F.lit(0.0))
+    out = out.withColumn("total_cost", cost).withColumn("expected_net_edge", gross - F.col("total_cost"))
+    out = out.withColumn("uncertainty_penalty", F.coalesce(F.col("uncertainty"), F.lit(0.0)) * F.abs(gross))
+    out = out.withColumn("adjusted_edge", F.col("expected_net_edge") - F.col("uncertainty_penalty"))
+    own, other = F.when(side == 1, F.col("p_up")).otherwise(F.col("p_down")), F.when(side == 1, F.col("p_down")).otherwise(F.col("p_up"))
+    complete = F.lit(True)
+    for name in RISK_FIELDS:
+        complete = complete & F.col(name).isNotNull()
+    passed = {
+        "direction": (own >= other) & (own >= F.col("p_flat")),
+        "edge": F.col("uncertainty").isNotNull() & (F.col("adjusted_edge") >= min_edge * F.col("total_cost")),
+        "risk": complete,
     }
-    reasons = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda x: x.isNotNull())
-    return df.withColumns({"direction": F.signum(edge).cast("int"), "adjusted_edge": adjusted, "reasons": reasons}).withColumn("accepted", F.size("reasons") == 0)
+    failed = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(k)) for k, ok in passed.items())), lambda x: x.isNotNull())
+    return out.withColumn("reasons", failed).withColumn("trade_decision", F.when(F.size("reasons") == 0, "TRADE").otherwise("NO_TRADE"))
 
 
 def stress_suite(df: DataFrame, **options) -> DataFrame:
     """The gate under every cost scenario."""
-    return economic_gate(stressed(df).withColumn("cost", round_trip_cost(F.col("fee_mult"), F.col("extra_slippage"))), **options)
+    return economic_gate(stressed(df), fee_mult=F.col("fee_mult"), extra_slippage=F.col("extra_slippage"), delay_cost=F.col("delay_cost"), **options)
 
 
 def edge_summary(df: DataFrame, keys: list[str], edge: str = "edge", cost: float | None = None) -> DataFrame:
@@ -160,10 +192,26 @@ def fixed_horizon_trades(df: DataFrame, series: Series, horizon: int, threshold:
     return picked.withColumns(components())
 
 
-def scorecard(study: DataFrame, cost: float | None = None) -> DataFrame:
-    """Study rows with gross edge, cost, net edge and whether it survives, in bps."""
-    c = cost if cost is not None else 2 * (FEE + SLIPPAGE)
-    return study.withColumns({"gross_bps": F.abs("diff") * 1e4, "cost_bps": F.lit(c * 1e4), "net_bps": (F.abs("diff") - c) * 1e4, "survives": F.abs("diff") > c})
+def scorecard(study: DataFrame, cost_bps: float = STUDY_COST_BPS, least: int = 30) -> DataFrame:
+    """Study rows with the signed gross edge, cost, net edge and viability in bps; the cost as a multiple of a positive edge."""
+    gross = F.col("diff") * 1e4
+    rows = study.where(F.col("diff").isNotNull() & (F.col("n") >= least))
+    return rows.withColumns(
+        {
+            "gross_bps": gross,
+            "cost_bps": F.lit(cost_bps),
+            "net_bps": gross - cost_bps,
+            "viable": gross - cost_bps > 0,
+            "cost_multiple": F.when(gross > 0, cost_bps / gross),
+        }
+    )
+
+
+def barrier_gate(p_target: Column, p_stop: Column, p_timeout: Column, target: Column, stop: Column, timeout_return: Column | None = None, cost_bps: float = BARRIER_COST_BPS) -> dict[str, Column]:
+    """Expected gross and net of a target/stop bet in bps under a fixed cost, and whether it is worth taking."""
+    timeout = F.lit(0.0) if timeout_return is None else timeout_return
+    gross = (p_target * target - p_stop * stop + p_timeout * timeout) * 10_000
+    return {"gross_bps": gross, "net_bps": gross - cost_bps, "eligible": gross - cost_bps > 0}
 
 
 def required_probability(target: Column, stop: Column, cost: Column) -> Column:
@@ -236,12 +284,66 @@ def propose(df: DataFrame, entry_rules: dict[str, Column], exit_rules: dict[str,
     return rows.withColumn("action", action).withColumn("reasons", F.when(flat, F.col("__against")).otherwise(F.col("__leave"))).drop("__against", "__leave")
 
 
-def sized(df: DataFrame, equity: float, risk: float = 0.01, leverage: float = 3.0, most_spread_bps: float = 10.0) -> DataFrame:
-    """Quantity by loss per unit, capped by leverage; zero where the spread is too wide or a level is missing."""
-    loss = F.col("stop_fraction") * F.col("close")
-    by_risk, by_leverage = F.try_divide(F.lit(equity * risk), loss), F.try_divide(F.lit(equity * leverage), F.col("close"))
-    ok = (F.col("spread_bps") <= most_spread_bps) & by_risk.isNotNull() & by_leverage.isNotNull()
-    return df.withColumn("quantity", F.when(ok, F.least(by_risk, by_leverage)).otherwise(0.0)).withColumn("limit_hit", F.when(F.col("spread_bps") > most_spread_bps, "SPREAD").when(by_leverage < by_risk, "LEVERAGE"))
+@dataclass(frozen=True)
+class Limits:
+    """Limits and cost assumptions of sizing; money in account currency, spreads and costs in bps."""
+
+    position_notional: float = 300_000.0
+    leverage: float = 3.0
+    capital_at_risk: float = 1_000.0
+    risk_per_trade_pct: float = 1.0
+    trade_loss: float = 1_000.0
+    spread_bps: float = 10.0
+    slippage_bps: float = 10.0
+    liquidity_notional: float = 10_000.0
+    fee_bps_per_side: float = 5.0
+    fee_multiplier: float = 1.0
+    slippage_bps_per_side: float = 2.0
+    latency_bps: float = 1.0
+
+
+def sized(df: DataFrame, capital: float, limits: Limits = Limits()) -> DataFrame:
+    """Quantity, notional and largest loss of each proposal, and the limits that reject it (quantity 0 then).
+
+    Columns: side (1 or -1), entry, stop, max_holding_seconds, funding, spread and slippage (fractions, null allowed),
+    top_notional. The loss of a unit is the distance to the stop, the round trip's cost and the funding that is paid;
+    quantity is the least of capital at risk and largest trade loss over it, and of the notional cap over the entry.
+    """
+    entry, side = F.col("entry"), F.col("side")
+    distance = F.abs(entry - F.col("stop"))
+    notional_cap = min(limits.position_notional, capital * limits.leverage)
+    risk_cap = min(limits.capital_at_risk, capital * limits.risk_per_trade_pct / 100)
+    trip = entry * (2 * limits.fee_bps_per_side * limits.fee_multiplier + 2 * limits.slippage_bps_per_side + limits.latency_bps) / 10_000
+    adverse = F.greatest(F.lit(0.0), side * F.coalesce(F.col("funding"), F.lit(0.0)))
+    paid = entry * adverse * F.col("max_holding_seconds") / (EIGHT_HOURS / 1000)
+    rows = df.withColumn("loss_per_unit", distance + trip + paid)
+    loss = F.col("loss_per_unit")
+    quantity = F.least(F.try_divide(F.lit(risk_cap), loss), F.try_divide(F.lit(limits.trade_loss), loss), F.try_divide(F.lit(notional_cap), entry))
+    slip = F.coalesce(F.col("slippage") * 10_000, F.lit(limits.slippage_bps_per_side))
+    rules = {
+        "spread_limit": F.col("spread") * 10_000 > limits.spread_bps,
+        "slippage_limit": slip > limits.slippage_bps,
+        "missing_liquidity_data": F.col("top_notional").isNull(),
+        "minimum_liquidity": F.col("top_notional") < limits.liquidity_notional,
+        "invalid_stop_distance": ~F.coalesce(distance > 0, F.lit(False)),
+        "risk_size_zero": ~F.coalesce(quantity > 0, F.lit(False)),
+    }
+    rows = rows.withColumn("reasons", F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda x: x.isNotNull()))
+    rows = rows.withColumn("quantity", F.when(F.size("reasons") == 0, quantity).otherwise(0.0))
+    return rows.withColumns({"notional": F.col("quantity") * entry, "maximum_loss": F.col("quantity") * loss})
+
+
+def exposure(fills: DataFrame, keys: list[str], capital: float) -> DataFrame:
+    """Per key: share of rows with an open position, fills, and turnover (money of all fills over the capital).
+
+    Columns: position after the row, fill_quantity (null or 0 where nothing was filled), fill_price.
+    """
+    money = F.abs(F.col("fill_quantity") * F.col("fill_price"))
+    return fills.groupBy(*keys).agg(
+        F.avg((F.col("position") != 0).cast("double")).alias("exposure"),
+        F.count_if(F.col("fill_quantity") != 0).alias("fills"),
+        (F.coalesce(F.sum(money), F.lit(0.0)) / capital).alias("turnover"),
+    )
 
 
 def order_rates(orders: DataFrame, keys: list[str], ts: str = "ts_ms", window_ms: int = 60_000, most: int = 10, cooldown_ms: int = 300_000) -> DataFrame:

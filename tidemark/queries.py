@@ -19,7 +19,7 @@ from tidemark.operators import payoff as C
 from tidemark.operators import quality as D
 from tidemark.operators import rollups as A
 from tidemark.plans import tables as P
-from tidemark.plans.series import block_scan, framed, with_row_index
+from tidemark.plans.series import block_scan, framed, min_rows, staged, trailing, with_row_index
 from tidemark.plans.tables import BARS_SQL, DAILY, FULL_SQL, HOURLY, HOURLY_SQL, TICKS_SQL, TRADES_SQL, r, rounded
 from tidemark.spec import DAY, HOUR
 
@@ -396,12 +396,40 @@ def w28_micro_regimes(spark, d):
     return W.micro_regimes(P.daily_bars(spark, d), DAILY, 20, 60).select(*K, "ts_ms", "vol_regime", "trend_regime")
 
 
-@query()
-def w29_timeframes(spark, d):
+def _frames_sql() -> str:
+    alpha = lambda n: f"(2.0 / {n + 1})"
+    ema = lambda n: f"CASE WHEN a.i >= {n} THEN sum(b.close * pow(1 - {alpha(n)}, a.i - b.i) * CASE WHEN b.i = 1 THEN 1 ELSE {alpha(n)} END) END AS ema{n}"
+    by = "PARTITION BY venue, instrument, frame ORDER BY bucket_ms"
+    past = f"OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    last = lambda n: f"OVER ({by} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    union = " UNION ALL ".join(f"SELECT *, '{k}' AS frame, {ms} AS step FROM hours" for k, ms in _FRAMES.items())
+    return HOURLY_SQL + f""", u AS ({union}), fr AS (SELECT venue, instrument, frame, ts_ms - ts_ms % step AS bucket_ms, first(open ORDER BY ts_ms) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts_ms) AS close, sum(volume) AS volume
+      FROM u GROUP BY venue, instrument, frame, ts_ms - ts_ms % step),
+    f1 AS (SELECT *, row_number() OVER f AS i, close / lag(close) OVER f - 1 AS ret, ln(close / lag(close) OVER f) AS lr, greatest(high - low, abs(high - coalesce(lag(close) OVER f, high)), abs(low - coalesce(lag(close) OVER f, high))) AS tr,
+      lag(high) OVER f AS previous_high, lag(low) OVER f AS previous_low, CASE WHEN close > lag(close) OVER f THEN 'UP' WHEN close < lag(close) OVER f THEN 'DOWN' ELSE 'FLAT' END AS trend_direction FROM fr WINDOW f AS ({by})),
+    em AS (SELECT a.venue, a.instrument, a.frame, a.bucket_ms, {ema(20)}, {ema(50)}, {ema(200)} FROM f1 a JOIN f1 b ON a.venue = b.venue AND a.instrument = b.instrument AND a.frame = b.frame AND b.i <= a.i GROUP BY a.venue, a.instrument, a.frame, a.bucket_ms, a.i),
+    f2 AS (SELECT *, ret - lag(ret) OVER f AS trend_acceleration, lag(trend_direction) OVER f AS previous_trend_direction, avg(tr) {last(14)} / close AS atr_fraction, count(*) FILTER (ret > 0) {last(20)} AS ups, count(*) FILTER (ret < 0) {last(20)} AS downs, count(ret) {last(20)} AS k,
+      stddev_pop(lr) OVER ({by} ROWS UNBOUNDED PRECEDING) AS realized_volatility, (sum((high + low) * volume) OVER ({by} ROWS UNBOUNDED PRECEDING) / sum(volume) OVER ({by} ROWS UNBOUNDED PRECEDING) + close) / 3 AS vwap,
+      avg(volume) {past} AS vm, stddev_pop(volume) {past} AS vs FROM f1 JOIN em USING (venue, instrument, frame, bucket_ms) WINDOW f AS ({by})),
+    measured AS (SELECT *, (close - vwap) / vwap AS distance_from_vwap, CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0.5 END AS range_position, CASE WHEN vs > 1e-9 * vm THEN (volume - vm) / vs END AS volume_z,
+      CASE CASE WHEN ema20 IS NOT NULL AND ema50 IS NOT NULL THEN CASE WHEN ema20 >= ema50 THEN 'UP' ELSE 'DOWN' END ELSE trend_direction END WHEN 'UP' THEN ups WHEN 'DOWN' THEN downs ELSE 0 END / nullif(k, 0) AS trend_persistence, ret AS return_fraction FROM f2)"""
+
+
+_MEASURED = ("return_fraction", "realized_volatility", "atr_fraction", "distance_from_vwap", "range_position", "trend_persistence", "trend_acceleration", "previous_high", "previous_low")
+_COARSE = ("ema20", "ema50", "ema200", "vwap", "volume_z")
+
+
+def _measured(spark, d):
     bars = P.hourly_bars(spark, d).withColumns({"funding_rate": F.lit(None).cast("double"), "open_interest": F.lit(None).cast("double")})
     return W.timeframe_measurements(B.roll_up(bars, HOURLY, _FRAMES), HOURLY)
 
 
+@query(f"WITH {_frames_sql()} SELECT venue, instrument, frame, bucket_ms, trend_direction, previous_trend_direction, {r(*_MEASURED)}, {r(*_COARSE, digits=4)} FROM measured")
+def w29_timeframes(spark, d):
+    out = _measured(spark, d).select(*K, "frame", "bucket_ms", "trend_direction", "previous_trend_direction", *_MEASURED, *_COARSE)
+    return rounded(rounded(out.withColumns({c: F.round(c, 4) for c in _COARSE})))
+
+
 @query()
 def w33_feature_bundle(spark, d):
     return W.feature_bundle(P.full_bars(spark, d), DAILY, B.flow_bars(P.trades(spark, d), DAILY).drop("trade_count"))
@@ -499,39 +527,89 @@ def x19_geometry_bound(spark, d):
 # --- events and studies ---------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {BARS_SQL}, x AS (SELECT *, close / lag(close) OVER w - 1 AS ret_1, high - low AS rng FROM bars {W0}), z AS (SELECT *, {z_sql('volume', 60)} AS vz, {z_sql('ret_1', 60)} AS rz FROM x)
-  SELECT {KT}, coalesce(vz > 3, false)::BIGINT AS volume_shock, coalesce(abs(rz) > 3, false)::BIGINT AS return_shock, (coalesce(vz > 3, false)::INT * coalesce(abs(rz) > 3, false)::INT)::BIGINT AS volume_return_shock FROM z""")
-def e1_event_signals(spark, d):
-    rows = framed(P.daily_bars(spark, d), DAILY, 1, 0, lambda w: {"ret_1": W.change("close", 1, w)})
-    return rounded(E.event_signals(rows, DAILY, 60).select(*K, "ts_ms", "volume_shock", "return_shock", "volume_return_shock"))
+# Lower-case names of the shares that the signals read: the aggressor's imbalance of the bar, open interest's change.
+_SIGNAL_SQL = FULL_SQL + f""", fl AS (SELECT venue, instrument, ts_ms - ts_ms % 86400000 AS ts_ms, sum(CASE WHEN is_buyer_maker THEN -quantity ELSE quantity END) / sum(quantity) AS imb FROM trades GROUP BY ALL),
+  sg AS (SELECT *, open_interest / lag(open_interest) OVER w - 1 AS oi, (close / lag(close) OVER w - 1) * 10000 AS return_bps FROM full_bars JOIN fl USING (venue, instrument, ts_ms) {W0}),
+  sz AS (SELECT *, {z_sql('volume', 288, 60)} AS volume_zscore, {z_sql('oi', 288, 60)} AS oi_change_zscore, {z_sql('close', 288, 60)} AS return_zscore FROM sg),
+  signals AS (SELECT *, volume_zscore >= 2.0 AS EVENT_VOLUME_SHOCK, abs(imb) >= 0.3 AS EVENT_FLOW_SHOCK, abs(oi_change_zscore) >= 2.0 AS EVENT_OI_SHOCK, abs(return_zscore) >= 2.5 AS EVENT_PRICE_SHOCK, imb >= 0.3 AND return_bps > 0 AS EVENT_FLOW_BREAKOUT,
+    imb <= -0.3 AND return_bps > 0 AS EVENT_FLOW_REVERSAL, CASE WHEN close > lag(close) OVER w AND oi > 0 THEN 1 ELSE 0 END = 1 AS EVENT_OI_PRICE_CONFIRMATION, CASE WHEN close > lag(close) OVER w AND oi < 0 THEN 1 ELSE 0 END = 1 AS EVENT_OI_PRICE_DIVERGENCE FROM sz {W0})"""
+_FIRED = ("EVENT_VOLUME_SHOCK", "EVENT_FLOW_SHOCK", "EVENT_OI_SHOCK", "EVENT_PRICE_SHOCK", "EVENT_FLOW_BREAKOUT", "EVENT_FLOW_REVERSAL", "EVENT_OI_PRICE_CONFIRMATION", "EVENT_OI_PRICE_DIVERGENCE")
 
 
-@query(f"""WITH {BARS_SQL}, x AS (SELECT *, {z_sql('volume', 60)} AS vz FROM bars) SELECT {KT}, 'volume_shock' AS event, round(abs(vz), 6) AS intensity FROM x WHERE vz > 3""")
-def e2_extract_events(spark, d):
-    signals = E.event_signals(P.daily_bars(spark, d), DAILY, 60)
-    return rounded(E.extract_events(signals, DAILY, ["volume_shock"]).drop("direction"))
+def _signals(spark, d):
+    side = F.when(F.col("is_buyer_maker"), -F.col("quantity")).otherwise(F.col("quantity"))
+    day = S.bucket(F.col("ts_ms"), DAY)
+    flow = P.trades(spark, d).groupBy(*K, day.alias("ts_ms")).agg((F.sum(side) / F.sum("quantity")).alias("volume_imbalance_5m"))
+    rows = P.full_bars(spark, d).join(flow, [*K, "ts_ms"]).withColumn("total_volume", F.col("volume"))
+    rise = lambda w: F.col("close") > F.lag("close").over(w)
+    rows = framed(rows, DAILY, 1, 0, lambda w: {"oi_change_pct": W.change("open_interest", 1, w), "__up": rise(w)})
+    both = lambda c: F.when(F.col("__up") & c, 1).otherwise(0)
+    rows = rows.withColumns({"price_up_oi_up": both(F.col("oi_change_pct") > 0), "price_up_oi_down": both(F.col("oi_change_pct") < 0)})
+    return E.event_signals(rows.drop("__up"), DAILY)
 
 
-@query()
+@query(f"WITH {_SIGNAL_SQL} SELECT {KT}, {', '.join(_FIRED)}, {r('volume_zscore', 'oi_change_zscore', 'return_zscore', 'return_bps', digits=5)} FROM signals")
+def e1_event_signals(spark, d):
+    out = _signals(spark, d).select(*K, "ts_ms", *_FIRED, "volume_zscore", "oi_change_zscore", "return_zscore", "return_bps")
+    return rounded(out, 5)
+
+
+@query(f"WITH {_SIGNAL_SQL}, x AS (" + " UNION ALL ".join(f"SELECT *, '{e}' AS event FROM signals WHERE {e}" for e in _FIRED) + f") SELECT {KT}, event, coalesce(sign(return_bps), 0)::BIGINT AS direction, round(abs(imb), 6) AS intensity FROM x")
+def e2_extract_events(spark, d):
+    signals = _signals(spark, d).withColumn("way", F.signum("return_bps"))
+    return rounded(E.extract_events(signals, DAILY, direction="way").drop("features").withColumn("direction", F.col("direction").cast("long")))
+
+
+_ENV_RULES = {
+    "volatility_expansion": ("fv / nullif(realized_volatility, 0) > 1.5", "0.7"),
+    "volatility_compression": ("fv / nullif(realized_volatility, 0) < 1 / 1.5", "0.6"),
+    "volume_shock": ("abs(volume_z) >= 2", "least(1.0, abs(volume_z) / 4)"),
+    "return_shock": ("abs(return_fraction) >= 3 * nullif(realized_volatility, 0)", "0.8"),
+    "range_breakout": ("close > previous_high OR close < previous_low", "0.8"),
+    "range_failure": ("open >= previous_high AND close < previous_high", "0.8"),
+    "range_failure ": ("open <= previous_low AND close > previous_low", "0.8"),
+    "trend_transition": ("previous_trend_direction <> trend_direction", "0.7"),
+    "trend_acceleration": ("abs(trend_acceleration) >= 0.001", "least(1.0, abs(trend_acceleration) / 0.001)"),
+    "order_flow_imbalance": ("abs(imb) >= 0.5", "0.6"),
+}
+_ENV_SQL = " UNION ALL ".join(f"SELECT venue, instrument, decision_ms, '{k.strip()}' AS event_type, round({sev}, 5)::DOUBLE AS severity FROM env WHERE {cond}" for k, (cond, sev) in _ENV_RULES.items())
+
+
+@query(f"""WITH {_frames_sql()}, fl AS (SELECT venue, instrument, ts_ms - ts_ms % {DAY} + {DAY} AS decision_ms, sum(CASE WHEN is_buyer_maker THEN -quantity ELSE quantity END) / sum(quantity) AS imb FROM ticks GROUP BY ALL),
+  env AS (SELECT m.*, m.bucket_ms + {DAY} AS decision_ms, f.realized_volatility AS fv, imb FROM measured m LEFT JOIN measured f ON f.frame = '6h' AND f.venue = m.venue AND f.instrument = m.instrument AND f.bucket_ms + {6 * HOUR} = m.bucket_ms + {DAY}
+    LEFT JOIN fl ON fl.venue = m.venue AND fl.instrument = m.instrument AND fl.decision_ms = m.bucket_ms + {DAY} WHERE m.frame = '1d') {_ENV_SQL}""")
 def e3_environment_events(spark, d):
-    bars = P.hourly_bars(spark, d).withColumns({"funding_rate": F.lit(None).cast("double"), "open_interest": F.lit(None).cast("double")})
-    env = W.timeframe_measurements(B.roll_up(bars, HOURLY, {"6h": 6 * HOUR}), HOURLY)
-    return E.environment_events(env, [*K, "frame", "bucket_ms"])
+    env = E.environment_rows(_measured(spark, d), HOURLY, _FRAMES, "6h", "1d")
+    side = F.when(F.col("is_buyer_maker"), -F.col("quantity")).otherwise(F.col("quantity"))
+    day = (S.bucket(F.col("ts_ms"), DAY) + DAY).alias("decision_ms")
+    flow = P.ticks(spark, d).groupBy(*K, day).agg((F.sum(side) / F.sum("quantity")).alias("flow_imbalance"))
+    return rounded(E.environment_events(env.join(flow, [*K, "decision_ms"], "left"), [*K, "decision_ms"]), 5)
 
 
-_STATES_SQL = _STATE_SQL + f""", st AS (SELECT *, {z_sql('ret_15', 120)} AS z1, {z_sql('rv_30', 120)} AS z2 FROM s2), states AS (SELECT *, CASE WHEN z1 > 1 THEN 'UP' WHEN z1 < -1 THEN 'DOWN' WHEN z1 IS NOT NULL THEN 'FLAT' END AS trend_state,
-  CASE WHEN z2 > 1 THEN 'HIGH' WHEN z2 < -1 THEN 'LOW' WHEN z2 IS NOT NULL THEN 'NORMAL' END AS vol_state, lead(open, 6) OVER w / lead(open) OVER w - 1 AS exec_ret_5 FROM st {W0})"""
+_STATES_SQL = _STATE_SQL + f""", st AS (SELECT *, {z_sql('rv_30', 120, 30)} AS z2, {z_sql('oi_change_1d', 120, 30)} AS z3, ret_15 / (rv_30 * sqrt(240) + 1e-12) AS tn, {at_least('avg', 'tr', 7)} / ({at_least('avg', 'tr', 21)} + 1e-12) AS rr,
+    CASE WHEN count(close) {over(24)} >= 24 THEN (close - min(low) {over(24)}) / (max(high) {over(24)} - min(low) {over(24)} + 1e-12) END AS dp FROM s2),
+  states AS (SELECT *, CASE WHEN tn < -0.5 THEN 'DOWN' WHEN tn > 0.5 THEN 'UP' WHEN tn IS NOT NULL THEN 'NEUTRAL' END AS trend_state, CASE WHEN z2 >= 2 THEN 'EXTREME' WHEN z2 >= 1 THEN 'HIGH' WHEN z2 < -0.5 THEN 'LOW' WHEN z2 IS NOT NULL THEN 'NORMAL' END AS vol_state,
+    CASE WHEN rr < 0.75 THEN 'COMPRESSED' WHEN rr >= 1.5 THEN 'EXPANDING' WHEN rr IS NOT NULL THEN 'NORMAL' END AS range_state, CASE WHEN z3 < -0.5 THEN 'FALLING' WHEN z3 > 0.5 THEN 'RISING' WHEN z3 IS NOT NULL THEN 'NEUTRAL' END AS oi_state,
+    CASE WHEN funding_z < -1 THEN 'LOW' WHEN funding_z > 1 THEN 'HIGH' WHEN funding_z IS NOT NULL THEN 'NORMAL' END AS funding_state, CASE WHEN dp < 0.2 THEN 'LOW' WHEN dp > 0.8 THEN 'HIGH' WHEN dp IS NOT NULL THEN 'MID' END AS price_location_state,
+    lead(open, 6) OVER w / lead(open) OVER w - 1 AS exec_ret_5 FROM st {W0})"""
 
 
 def _states(spark, d):
     rows = W.state_features(P.full_bars(spark, d), DAILY, regime=240, z=240)
-    rows = E.market_states(rows, DAILY, 120, source={"trend_state": "ret_15"})
-    return framed(rows, DAILY, 0, 8, lambda w: {"exec_ret_5": X.execution_return(w, 5)})
 
+    def inputs(w):
+        mean = lambda n: min_rows(F.col("__tr"), trailing(w, n), F.avg, n) / F.col("close")
+        low, high = min_rows(F.col("low"), trailing(w, 24), F.min, 24), min_rows(F.col("high"), trailing(w, 24), F.max, 24)
+        return {"atr_frac_24h": mean(7), "atr_frac_72h": mean(21), "donchian_pos_24h": (F.col("close") - low) / (high - low + 1e-12), "exec_ret_5": X.execution_return(w, 5)}
 
-@query(f"WITH {_STATES_SQL} SELECT {KT}, trend_state, vol_state FROM states")
+    rows = staged(rows, DAILY, 32, 8, [lambda w: {"__tr": W.true_range(w)}, inputs]).drop("__tr")
+    source = {"ret_4h": "ret_15", "realized_vol_24h": "rv_30", "oi_change_1h": "oi_change_1d", "funding_zscore": "funding_z"}
+    return E.market_states(rows, DAILY, 120, source)
+
+
+@query(f"WITH {_STATES_SQL} SELECT {KT}, {', '.join(E.STATE_COLUMNS)} FROM states")
 def e4_market_states(spark, d):
-    return _states(spark, d).select(*K, "ts_ms", "trend_state", "vol_state")
+    return _states(spark, d).select(*K, "ts_ms", *E.STATE_COLUMNS)
 
 
 @query(f"""WITH {_STATES_SQL}, q AS (SELECT trend_state, vol_state, exec_ret_5 AS r FROM states WHERE exec_ret_5 IS NOT NULL), tot AS (SELECT count(*) AS N, sum(r) AS S1, sum(r * r) AS S2 FROM q),
@@ -549,7 +627,7 @@ def e7_q_values(spark, d):
 
 
 @query(f"""WITH {_RETS_SQL}, x AS (SELECT *, {z_sql('volume', 60)} AS vz FROM rets), m AS (SELECT coalesce(vz > 2, false) AS o, exec_ret_5 AS r FROM x WHERE exec_ret_5 IS NOT NULL),
-  g AS (SELECT count(*) FILTER (o) AS n, count(*) FILTER (NOT o) AS n_rest, median(r) FILTER (o) AS median, avg((r > 0)::INT) FILTER (o) AS p_pos, avg(r) FILTER (o) AS mean, avg(r) FILTER (NOT o) AS mean_rest, var_samp(r) FILTER (o) AS v1, var_samp(r) FILTER (NOT o) AS v0 FROM m)
+  g AS (SELECT count(*) FILTER (o) AS n, count(*) FILTER (NOT o) AS n_rest, quantile_disc(r, 0.5) FILTER (o) AS median, avg((r > 0)::INT) FILTER (o) AS p_pos, avg(r) FILTER (o) AS mean, avg(r) FILTER (NOT o) AS mean_rest, var_samp(r) FILTER (o) AS v1, var_samp(r) FILTER (NOT o) AS v0 FROM m)
   SELECT 'busy' AS event, 'exec_ret_5' AS horizon, n, n_rest, round(median, 6) AS median, round(p_pos, 6) AS p_pos, round(mean, 6) AS mean, round(mean_rest, 6) AS mean_rest, round(mean - mean_rest, 6) AS diff, round((mean - mean_rest) / sqrt(v1 / n + v0 / n_rest), 6) AS t_stat FROM g WHERE n >= 10""")
 def e8_event_study(spark, d):
     rows = framed(_returns(spark, d), DAILY, 60, 0, lambda w: {"busy": E.flag(W.zscore(F.col("volume"), w, 60) > 2)})
@@ -571,7 +649,7 @@ def e10_year_stability(spark, d):
     return rounded(out.withColumn("t_stat", F.round("t_stat", 5)))
 
 
-@query(f"""WITH {BARS_SQL}, c AS (SELECT quantile_cont(volume, 1 / 3.0) AS a, quantile_cont(volume, 2 / 3.0) AS b FROM bars WHERE ts_ms < 883612800000) SELECT {KT}, CASE WHEN volume < a THEN 'LOW' WHEN volume < b THEN 'MID' WHEN volume IS NOT NULL THEN 'HIGH' END AS volume_regime FROM bars, c WHERE ts_ms >= 883612800000""")
+@query(f"""WITH {BARS_SQL}, c AS (SELECT quantile_disc(volume, 1 / 3.0) AS a, quantile_disc(volume, 2 / 3.0) AS b FROM bars WHERE ts_ms < 883612800000) SELECT {KT}, CASE WHEN volume < a THEN 'LOW' WHEN volume < b THEN 'MID' WHEN volume IS NOT NULL THEN 'HIGH' END AS volume_regime FROM bars, c WHERE ts_ms >= 883612800000""")
 def e13_tertile_regimes(spark, d):
     bars = P.daily_bars(spark, d)
     return E.tertile_regimes(bars.where("ts_ms < 883612800000"), bars.where("ts_ms >= 883612800000"), ["volume"]).select(*K, "ts_ms", "volume_regime")
@@ -596,11 +674,25 @@ def c3_funding_index(spark, d):
     return rounded(out, 5)
 
 
-@query(f"""WITH {BARS_SQL}, s AS (SELECT * FROM (VALUES ('base', 1.0, 0.0), ('fees_1_5x', 1.5, 0.0), ('fees_2x', 2.0, 0.0), ('slippage_5bp', 1.0, 0.0005), ('both', 2.0, 0.0005)) v(scenario, fee_mult, extra))
-  SELECT {KT}, scenario, round((2 * (0.0005 * fee_mult + 0.0002 + extra))::DOUBLE, 8) AS cost, abs(close / open - 1) >= 1.5 * (2 * (0.0005 * fee_mult + 0.0002 + extra)) AND close <> open AS accepted FROM bars, s""")
+_GATE_SQL = BARS_SQL + f""", q AS (SELECT {KT}, close / open - 1 AS er, abs(close / open - 1) AS pu, 0.1 AS pf, 0.05 AS pd, CASE WHEN volume > 60 THEN 0.2 END AS un, CASE WHEN close >= open THEN 1 ELSE -1 END AS side FROM bars),
+  s AS (SELECT * FROM (VALUES ('1x_base', 1.0, 0.0, 0.0), ('2x_cost', 2.0, 0.0, 0.0), ('3x_cost', 3.0, 0.0, 0.0), ('increased_slippage', 1.0, 0.0005, 0.0), ('execution_delay', 1.0, 0.0, 0.0002)) v(scenario, fee_mult, extra, late)),
+  g AS (SELECT {KT}, scenario, (2 * 0.0005 * fee_mult + 2 * (0.0002 + extra) + 0.0001 * 15 / 480.0 + late)::DOUBLE AS cost, side * er AS gross, pu, pf, pd, un, side FROM q, s),
+  h AS (SELECT *, gross - cost AS net, gross - cost - coalesce(un, 0) * abs(gross) AS adj FROM g)"""
+
+
+@query(f"""WITH {_GATE_SQL} SELECT {KT}, scenario, round(cost, 8) AS total_cost, round(net, 8) + 0.0 AS expected_net_edge, round(adj, 8) + 0.0 AS adjusted_edge,
+  CASE WHEN un IS NOT NULL AND adj >= 2 * cost AND CASE WHEN side = 1 THEN pu >= pd AND pu >= pf ELSE pd >= pu AND pd >= pf END THEN 'TRADE' ELSE 'NO_TRADE' END AS trade_decision,
+  (CASE WHEN CASE WHEN side = 1 THEN pu >= pd AND pu >= pf ELSE pd >= pu AND pd >= pf END THEN 0 ELSE 1 END + CASE WHEN un IS NOT NULL AND adj >= 2 * cost THEN 0 ELSE 1 END + CASE WHEN un IS NULL THEN 1 ELSE 0 END)::BIGINT AS failed FROM h""")
 def c6_c7_gate_stress(spark, d):
-    rows = P.daily_bars(spark, d).withColumns({"edge": F.col("close") / F.col("open") - 1, "uncertainty": F.lit(0.0)})
-    return rounded(C.stress_suite(rows).select(*K, "ts_ms", "scenario", "cost", "accepted"), 8)
+    bars, move = P.daily_bars(spark, d), F.col("close") / F.col("open") - 1
+    rows = bars.withColumns(
+        {
+            "side": F.when(F.col("close") >= F.col("open"), 1).otherwise(-1), "expected_return": move, "p_up": F.abs(move), "p_flat": F.lit(0.1), "p_down": F.lit(0.05), "uncertainty": F.when(F.col("volume") > 60, 0.2), "cost_other": F.lit(0.0),
+            "expected_downside": F.lit(0.01), "favorable_excursion": F.lit(0.02), "adverse_excursion": F.lit(0.01), "holding_minutes": F.lit(15.0),
+        }
+    )
+    out = C.stress_suite(rows, funding_rate=0.0001).withColumn("failed", F.size("reasons").cast("long"))
+    return rounded(out.select(*K, "ts_ms", "scenario", "total_cost", "expected_net_edge", "adjusted_edge", "trade_decision", "failed"), 8)
 
 
 @query(f"""WITH RECURSIVE {BARS_SQL}, n AS (SELECT venue, instrument, ts_ms, volume, row_number() OVER w - 1 AS i FROM bars {W0}), med AS (SELECT median(volume) AS m FROM bars), el AS (SELECT n.* FROM n, med WHERE volume > m),
@@ -764,10 +856,14 @@ def f_scalars(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.lower("event_type").alias("kind"), S.content_hash(F.concat_ws(":", "event_type", F.col("event_id").cast("string"))).alias("hash"), S.bucket(P.epoch_ms("ts"), 900_000).alias("bucket_ms"))
 
 
-@query("SELECT event_id, round(1 / (1 + exp(-(2 * abs(value / 100) + 0.5 * (user_id % 3)))), 6) AS breakout_quality FROM events")
+_SCORE_SQL = "WITH x AS (SELECT event_id, value / 100 - 1 AS t, user_id % 3 AS z, CASE WHEN user_id % 5 > 0 THEN user_id % 5 - 2.5 END AS v, CASE WHEN user_id % 7 > 1 THEN user_id % 7 - 3.0 END AS f FROM events), y AS (SELECT *, 1 / (1 + exp(-2 * t)) AS b, CASE WHEN v IS NULL AND f IS NULL THEN 0.5 ELSE greatest(1 / (1 + exp(-2 * (abs(coalesce(f, 0)) - 2))), 1 / (1 + exp(-2 * (abs(coalesce(v, 0)) - 2)))) END AS fa FROM x)"
+
+
+@query(f"{_SCORE_SQL} SELECT event_id, round(b, 6) AS breakout, round(1 / (1 + exp(-z)), 6) AS liquidity_ok, round(1 / (1 + exp(-2 * coalesce(v, 0))), 6) AS vol_risk, round(fa, 6) AS failure_regime, round(0.5 * b + 0.5 * (1 - fa), 6) AS trade_ok FROM y")
 def f12_scores(spark, d):
-    e = P.table(spark, d, "events").withColumns({"t": F.col("value") / 100, "z": (F.col("user_id") % 3).cast("double"), "n": F.lit(None).cast("double")})
-    return rounded(e.select("event_id", S.quality_scores("t", "n", "n", "z", "n")["breakout_quality"].alias("breakout_quality")))
+    some = lambda m, least, less: F.when(F.col("user_id") % m > least, F.col("user_id") % m - less)
+    e = P.table(spark, d, "events").withColumns({"t": F.col("value") / 100 - 1, "z": F.col("user_id") % 3, "v": some(5, 0, 2.5), "f": some(7, 1, 3.0)})
+    return rounded(e.select("event_id", *(v.alias(k) for k, v in S.quality_scores("t", "z", "v", "f").items())))
 
 
 @query("SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 5")
