@@ -1,11 +1,12 @@
 """Harmonic packing of documents into fixed-size training sequences.
 
-Reciprocal-capacity class k holds pieces of exactly capacity / 2**k ids, and a bin of class k takes exactly 2**k
-pieces. A document is cut into whole sequences and the binary digits of what is left, so every piece belongs to one
-class and every filled bin is full. Each worker fills its own bins while it reads its documents: no shuffle, no
-state beyond one open bin a class (fewer than 2 * capacity pieces). When a worker ends, the pieces of its open bins
-are laid together in descending size, which again fills whole sequences and leaves one last stretch; that stretch is
-cut where its length is a power of two, the lengths at which sequences need no padding. So nothing is padded.
+A document gives whole sequences first. What remains has a length of its own, and with it a reciprocal-capacity class:
+class k holds lengths over capacity / (k + 1) and up to capacity / k, and a bin of class k takes k of them. A full bin
+has a gap of less than its smallest piece; the next remainder that comes is cut there to close it, and goes on to its
+own class with what is left. Each worker fills its own bins while it reads its documents: no shuffle, and no state
+beyond one open bin a class and one bin that waits for its last piece. When a worker ends, what lies in the open bins
+is laid together into whole sequences and one last stretch, cut where its length is a power of two, the lengths at
+which sequences need no padding. So nothing is padded, and a remainder is cut about once for a bin.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import tokenizer_path
+from tidemark.llm.common import document_batches, tokenizer_path
 from tidemark.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -26,52 +27,89 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 LOCAL_BITS = 36
 
 
-def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole sequences, then falling powers of two."""
-    start, size = 0, capacity
-    while start < n:
-        while size > n - start:
-            size //= 2
-        yield start, size
-        start += size
-
-
 class Bins:
-    """One worker's bins. ``put`` and ``close`` give (piece, local sequence, offset)."""
+    """One worker's bins. ``put`` and ``close`` give (item, start, length, local sequence, offset).
+
+    An item is whatever the caller knows a document by; ``start`` and ``length`` are counted in its ids. State is a
+    remainder a place of the open bins: at most ``capacity`` ids for each class, and one gap.
+    """
 
     def __init__(self, capacity: int):
         if capacity < 1 or capacity & (capacity - 1):
             raise ValueError("capacity must be a power of two")
-        self.capacity, self.open, self.next = capacity, {}, 0
+        self.capacity, self.next = capacity, 0
+        #: class -> remainders (item, start, length) of its open bin
+        self.open: dict[int, list] = {}
+        #: the full bin that waits for its last piece
+        self.short: list | None = None
 
     def _sequence(self, pieces):
         number, offset = self.next, 0
         self.next += 1
-        for piece, size in pieces:
-            yield piece, number, offset
-            offset += size
-
-    def put(self, piece, size: int):
-        held = self.open.setdefault(size, [])
-        held.append((piece, size))
-        if len(held) * size == self.capacity:
-            self.open[size] = []
-            yield from self._sequence(held)
+        for item, start, length in pieces:
+            yield item, start, length, number, offset
+            offset += length
+
+    def put(self, item, n: int):
+        start = 0
+        while n - start >= self.capacity:
+            yield from self._sequence([(item, start, self.capacity)])
+            start += self.capacity
+        if start < n:
+            yield from self._remainder(item, start, n - start)
+
+    def _remainder(self, item, start: int, length: int):
+        if self.short is not None:
+            gap = self.capacity - sum(p[2] for p in self.short)
+            part = min(gap, length)
+            self.short.append((item, start, part))
+            if part == gap:
+                full, self.short = self.short, None
+                yield from self._sequence(full)
+            start, length = start + part, length - part
+            if not length:
+                return
+        k = self.capacity // length  # capacity / (k + 1) < length <= capacity / k
+        held = self.open.setdefault(k, [])
+        held.append((item, start, length))
+        if len(held) == k:
+            del self.open[k]
+            if sum(p[2] for p in held) == self.capacity:
+                yield from self._sequence(held)
+            else:
+                # a piece cut from what is left of the remainders closes the gap; two gaps never wait at once
+                yield from self._close_short()
+                self.short = held
+
+    def _close_short(self):
+        """Close the waiting bin, if any, from the open bins, longest remainders first."""
+        while self.short is not None and self.open:
+            k = min(self.open)
+            item, start, length = self.open[k].pop()
+            if not self.open[k]:
+                del self.open[k]
+            yield from self._remainder(item, start, length)
 
     def close(self):
-        rest = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
-        total = sum(size for _, size in rest)
-        held, length, want = [], 0, self.capacity
-        for p in rest:
-            while want > total:
-                want //= 2
-            held.append(p)
-            length += p[1]
-            if length == want:
-                yield from self._sequence(held)
-                total -= length
-                held, length = [], 0
-        self.open = {}
+        """Lay what is left together: whole sequences, then one for each binary digit of the rest's length."""
+        rest = self.short or []
+        for k in sorted(self.open):
+            rest = rest + self.open[k]
+        self.open, self.short = {}, None
+        total, want = sum(p[2] for p in rest), self.capacity
+        held, room = [], 0
+        for item, start, length in rest:
+            while length:
+                if not room:
+                    while want > total:
+                        want //= 2
+                    room = want
+                part = min(room, length)
+                held.append((item, start, part))
+                start, length, room, total = start + part, length - part, room - part, total - part
+                if not room:
+                    yield from self._sequence(held)
+                    held = []
 
 
 def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -83,6 +121,7 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, wi
     little-endian unsigned 32-bit bytes. A retried task reads the same rows, and so numbers its sequences alike.
     """
     path = tokenizer or tokenizer_path()
+    document_batches(docs.sparkSession)
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_document
@@ -100,16 +139,18 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, wi
             return pa.RecordBatch.from_arrays(arrays, names)
 
         def place(placed):
-            for piece, number, offset in placed:
-                out.append((*piece[:5], base + number, offset, *piece[5:]))
+            for (doc_id, ids, n, before), start, length, number, offset in placed:
+                own = ids[4 * start : 4 * (start + length)]
+                out.append((doc_id, before + start, length, zlib.crc32(own), n, base + number, offset, *([own] if with_ids else [])))
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text)
                 n = len(ids) // 4
-                for start, length in cut(n, capacity):
-                    own = ids[4 * start : 4 * (start + length)]
-                    place(bins.put((doc_id, start, length, zlib.crc32(own), n, *([own] if with_ids else [])), length))
+                whole = n - n % capacity
+                place(bins.put((doc_id, ids, n, 0), whole))
+                # only the remainder waits in a bin
+                place(bins.put((doc_id, ids[4 * whole :], n, whole), n - whole))
                 if len(out) >= 20_000:
                     yield batch()
         place(bins.close())
