@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import document_batches, write_table
+
 MIN_MATCH, COVERAGE = 5, 0.8
 #: Text bytes of benchmark items that one pass over the documents carries to the executors; more take more passes.
 PASS_BYTES = 16 * 1024 * 1024
@@ -180,7 +182,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     """``docs`` and an array column of (item_id, covered, item_tokens) for the items that a text contains.
 
     Reads text of ``docs`` and item_id, text of ``benchmark``. If the benchmark is larger than ``pass_bytes`` its
-    items are dealt by hash to as many passes as that takes, and each pass goes over all documents. Null, empty and
+    items are dealt by hash to as many passes as that takes; a pass goes over all documents and is written before the
+    next one starts, so driver and executors hold ``pass_bytes`` of items however large the benchmark is. Null, empty and
     blank texts contain nothing and, as items, are in nothing. An item of fewer than ``min_match`` words must stand in
     a document as one run. Items with a null id or equal texts are each found. Repeated rows get equal results; very
     long texts are searched whole; empty tables give no rows, or no matches.
@@ -190,13 +193,16 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-size // pass_bytes))
     dealt = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
-    found = []
+    document_batches(spark)
+    columns = docs.columns
     for k in range(passes):
         own = [(r["item_id"], r["text"]) for r in dealt.where(F.col("pass") == k).orderBy("item_id", "text").collect()]
-        name = f"{column}_{k}"
-        docs = docs.withColumn(name, _find_udf(Items(own, min_match, coverage), spark)(F.col("text").cast("string")))
-        found.append(name)
-    return docs.withColumn(column, F.concat(*found)).drop(*(x for x in found if x != column))
+        find = _find_udf(Items(own, min_match, coverage), spark)(F.col("text").cast("string"))
+        docs = docs.select(*(F.col(f"`{c}`") for c in columns), *([F.col(column).alias("__before")] if k else []), find.alias("__found"))
+        docs = docs.select(*(F.col(f"`{c}`") for c in columns), (F.concat("__before", "__found") if k else F.col("__found")).alias(column))
+        if k + 1 < passes:  # a written table between passes: executors hold the items of one pass at a time
+            docs = write_table(docs, "tiling-pass")
+    return docs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
