@@ -132,7 +132,7 @@ def score_words(vocab: DataFrame, lattice: Lattice) -> DataFrame:
     return vocab.select("word", "c", "n").mapInArrow(worker, "word string, c long, n long, lattice double")
 
 
-USES = "doc_id long, h int, word string, k long, train boolean, known long, base double, lattice double"
+USES = "doc_id long, h long, word string, k long, train boolean, known long, base double, lattice double"
 
 
 def _split_scores(docs: DataFrame, head: dict[bytes, tuple[int, float]]) -> DataFrame:
@@ -144,7 +144,7 @@ def _split_scores(docs: DataFrame, head: dict[bytes, tuple[int, float]]) -> Data
         out: list[tuple] = []
 
         def batch():
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64()]
             arrays = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
             arrays[2] = arrays[2].cast(pa.string())
             out.clear()
@@ -169,7 +169,7 @@ def _split_scores(docs: DataFrame, head: dict[bytes, tuple[int, float]]) -> Data
         if out:
             yield batch()
 
-    return docs.select("doc_id", F.hash("text").alias("h"), "train", "text").mapInArrow(worker, USES)
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "train", "text").mapInArrow(worker, USES)
 
 
 def likelihood(docs: DataFrame, model_file: str | None = None) -> DataFrame:
