@@ -16,7 +16,7 @@ from tidemark.llm.common import shared_dir, write_table
 #: A line at the start of a quoted line: its marks; and a line that announces a quote.
 MARKS, LEAD = r"^([ \t]*>)+", r"^([ \t]*>)+[ \t]?"
 ANNOUNCES = r"(?i)^.*(wrote|schrieb|escribió|a écrit)[ \t]*:[ \t]*$"
-#: A line of a passage is looked up by itself if it has so many characters.
+#: A line of a longer quote is looked up by itself if it has so many characters; lines of originals are all indexed.
 LINE_LEAST = 20
 
 
@@ -52,9 +52,9 @@ def clean_text() -> Column:
     return F.regexp_replace(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"), r"^[ \t\n]+|[ \t\n]+$", "")
 
 
-def _looked_up(passage: Column) -> Column:
-    """(key, whole) of a passage as it stands and of its longer lines."""
-    lines = F.filter(F.split(passage, "\n", -1), lambda x: F.length(normalised(x)) >= LINE_LEAST)
+def _looked_up(passage: Column, least: int) -> Column:
+    """(key, whole) of a passage as it stands and of its lines of ``least`` characters or more."""
+    lines = F.filter(F.split(passage, "\n", -1), lambda x: F.length(normalised(x)) >= least)
     whole = F.array(F.struct(_keys(passage).alias("key"), F.lit(1).alias("whole")))
     return F.concat(whole, F.transform(lines, lambda x: F.struct(_keys(x).alias("key"), F.lit(0).alias("whole"))))
 
@@ -63,13 +63,13 @@ def links(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn, n_linked): which earlier message each quoting message replies to."""
     quoted = rows.where(F.exists("levels", lambda x: x > 0))
     quotes = quoted.select("conv_id", "turn", F.explode(F.filter("passages", lambda p: (p["level"] > 0) & (normalised(p["body"]) != ""))).alias("p"))
-    quotes = quotes.select("conv_id", "turn", F.col("p.level").alias("level"), F.explode(_looked_up(F.col("p.body"))).alias("q"))
+    quotes = quotes.select("conv_id", "turn", F.col("p.level").alias("level"), F.explode(_looked_up(F.col("p.body"), LINE_LEAST)).alias("q"))
     quotes = quotes.select("conv_id", "turn", "level", "q.key", "q.whole").distinct()
     asked = quotes.select("conv_id").distinct()
     # only conversations that quote need an index of what they say
     own = rows.join(asked, "conv_id", "left_semi").select("conv_id", "turn", F.array_append(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"]), F.col("clean")).alias("said"))
     own = own.select("conv_id", "turn", F.explode("said").alias("said")).where(normalised(F.col("said")) != "")
-    own = own.select("conv_id", "turn", F.explode(_looked_up(F.col("said"))).alias("q"))
+    own = own.select("conv_id", "turn", F.explode(_looked_up(F.col("said"), 1)).alias("q"))
     first = own.groupBy("conv_id", F.col("q.key").alias("key")).agg(F.min("turn").alias("origin"))
     found = quotes.join(first, ["conv_id", "key"]).where("origin < turn")
     # the outermost level first, whole passages before lines, then the nearest origin
@@ -156,7 +156,7 @@ WITH RECURSIVE parsed AS (
   UNION ALL
   SELECT id, conv_id, turn, level, 0, k FROM (
     SELECT id, conv_id, turn, level, trim(regexp_replace(lower(unnest(string_split(body, chr(10)))), '[ \t\r\n\f\v]+', ' ', 'g')) AS k
-    FROM norm) WHERE length(k) >= 20
+    FROM norm) WHERE length(k) >= 20 OR level = 0 AND k <> ''
 ), first AS (
   SELECT conv_id, k, min(turn) AS origin FROM key WHERE level = 0 AND k <> '' GROUP BY ALL
 ), found AS (
