@@ -9,6 +9,7 @@ which the parts beside it are taken in, up to the enclosing article if there is
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -64,14 +65,27 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """A forgiving reader: unclosed and crossed elements end where their parent does."""
+    """A forgiving reader: unclosed and crossed elements end where their parent does.
+
+    Open elements are a stack, and for each tag the places of the open ones: what a tag ends is found by place, without
+    a walk to the root, however deeply a page nests.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", None)
+        self.root = Node("html", None)
+        self.stack, self.places = [self.root], {}
         self.feed(html)
         self.close()
 
+    @property
+    def at(self) -> Node:
+        return self.stack[-1]
+
+    def _leave(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.places[self.stack.pop().tag].pop()
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
             return  # one root is both
@@ -80,16 +94,17 @@ class Tree(HTMLParser):
         if tag in IMPLIED:
             self._end(*IMPLIED[tag])
         if tag != "head" and self.at.tag == "head" and tag not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
-            self.at = self.at.parent
+            self._leave(len(self.stack) - 1)
         node = Node(tag, self.at, attrs)
         self.at.children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.places.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if self.at.tag == tag and tag not in VOID and self.at.parent is not None:
-            self.at = self.at.parent
+        if self.at.tag == tag and tag not in VOID and len(self.stack) > 1:
+            self._leave(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
         if tag not in ("html", "body") and tag not in VOID:
@@ -99,18 +114,11 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
     def _end(self, tags, barrier, all_of=True):
-        """Leave the innermost open element of ``tags`` (with ``all_of`` each of them) below any of ``barrier``."""
-        node, leave = self.at, None
-        while node is not self.root:
-            if node.tag in tags:
-                leave = node
-                if not all_of:
-                    break
-            elif node.tag in barrier:
-                break
-            node = node.parent
-        if leave is not None:
-            self.at = leave.parent
+        """Leave the innermost open element of ``tags`` (with ``all_of`` each of them) inside of any of ``barrier``."""
+        wall = max((p[-1] for b in barrier if b not in tags and (p := self.places.get(b))), default=0)
+        inside = [p[bisect.bisect_right(p, wall) if all_of else -1] for t in tags if (p := self.places.get(t)) and p[-1] > wall]
+        if inside:
+            self._leave(min(inside) if all_of else max(inside))
 
 
 def _walk(root: Node) -> list[Node]:
