@@ -94,18 +94,34 @@ def test_packing(spark):
 
 
 def test_bins_hold_a_fixed_count():
-    bins, rng, placed = packing.Bins(64), random.Random(1), []
-    for k in range(500):
-        for start, size in packing.cut(rng.randint(1, 300), 64):
-            placed += list(bins.put((k, start, size), size))
-    full = {}
-    for piece, number, _ in placed:
-        full.setdefault(number, []).append(piece[2])
-    assert all(len(set(v)) == 1 and len(v) * v[0] == 64 for v in full.values())
-    rest = {}
-    for piece, number, _ in bins.close():
-        rest.setdefault(number, []).append(piece[2])
-    assert sum(sum(v) != 64 for v in rest.values()) <= 6
+    """A bin of class k holds k remainders of its class, and at most one piece that closes its gap."""
+    capacity, rng = 64, random.Random(1)
+    bins, placed, left = packing.Bins(capacity), [], {}
+    for k in range(2000):
+        n = rng.randint(1, 300)
+        left[k] = n
+        placed += list(bins.put(k, n))
+    during = {number for *_, number, _ in placed}
+    placed += list(bins.close())
+    sequences, got = {}, {}
+    for item, start, length, number, offset in placed:
+        assert offset == sum(p[2] for p in sequences.get(number, []))
+        sequences.setdefault(number, []).append((item, start, length))
+        got.setdefault(item, []).append((start, length))
+    for k, n in left.items():  # each id lies in exactly one piece
+        at = 0
+        for start, length in sorted(got[k]):
+            assert start == at
+            at += length
+        assert at == n
+    partial = [sum(p[2] for p in v) for v in sequences.values() if sum(p[2] for p in v) != capacity]
+    assert all(x & (x - 1) == 0 for x in partial) and len(set(partial)) == len(partial)
+    for number in during:
+        own = [p[2] for p in sequences[number]]
+        assert sum(own) == capacity
+        k = capacity // own[0]
+        assert all(capacity // x == k for x in own[:k]) and len(own) >= k
+    assert len(placed) < sum(n // capacity for n in left.values()) + 2.2 * len(left)
 
 
 def test_token_files(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.shared import fresh_folder, shared_dir, write_table
 
-__all__ = ["connected_components", "fresh_folder", "read_documents", "shared_dir", "text_crc_mod", "tokenizer_path", "write_table"]
+__all__ = ["connected_components", "document_batches", "fresh_folder", "read_documents", "shared_dir", "text_crc_mod", "tokenizer_path", "write_table"]
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -23,6 +23,13 @@ def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def document_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Hand texts to Python in batches of so many rows: the default of 10,000 whole documents is tens of megabytes a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def text_crc_mod(doc_id, modulus: int):
     """crc32 of the decimal doc_id, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_crc_mod
+from tidemark.llm.common import document_batches, text_crc_mod
 
 UNDETERMINED = "und"
 #: The sample a dictionary is cut from: so many labelled rows of a language, so many bytes of each.
@@ -86,8 +86,8 @@ class Classifier:
         return self.languages[order[0]], float(1 / (1 + np.exp(-margin / SCALE))), margin
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """All columns of ``docs`` and a struct ``found``: lang_pred, score, margin, rejected.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, column: str = "found") -> DataFrame:
+    """All columns of ``docs`` and a struct ``column``: lang_pred, score, margin, rejected.
 
     Reads only text. Null and empty texts and texts without a letter are ``und``, score 0, rejected. With no
     dictionary every text is ``und``. Repeated rows get equal results; an empty table gives no rows.
@@ -102,7 +102,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             rows = [model.predict(t) for t in texts]
             yield pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "margin": [r[2] for r in rows], "rejected": [r[0] == UNDETERMINED or r[2] < margin for r in rows]}, columns=["lang_pred", "score", "margin", "rejected"])
 
-    return docs.withColumn("found", found.asNondeterministic()(F.col("text").cast("string")))  # so that a filter on it does not run it twice
+    document_batches(docs.sparkSession)
+    return docs.withColumn(column, found.asNondeterministic()(F.col("text").cast("string")))  # so that a filter on it does not run it twice
 
 
 def split_identify(docs: DataFrame) -> DataFrame:

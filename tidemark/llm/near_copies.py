@@ -1,46 +1,58 @@
 """Groups of near copies: SimHash links, and texts that share five-word shingles to a similarity of 0.8.
 
-A SimHash of a whole text moves by more than three bits when a short text is edited, so passages have fingerprints
-as well: runs of shingles cut where a shingle's hash says so, which an edit elsewhere leaves alone. A text keeps the
-few passage fingerprints that are smallest under a mixing product; texts that share enough of them are candidates. The
-candidates' components are small groups of texts, and within them every pair is compared by its shingle sets, block
-by block, until its texts are linked. Copies collapse before all this, so thousands of them are one text.
-
-Passages are a shortcut that joins the bulk of the copies; what makes the result whole is the prefix filter after it.
-Two texts similar to 0.8 share one of the first n - ceil(0.8 n) + 1 of their n shingles, whatever the order of all
-shingles. Texts that share such a shingle and are not joined yet are compared exactly, every pair of them.
+Copies collapse first, so thousands of them are one text. Then three steps, each over what the one before left apart:
+
+1. Texts that share a MinHash band are compared with the first text of the band alone, so that a group of n near
+   copies takes a small multiple of n comparisons and links, never pairs within the group.
+2. SimHash: the BK-trees of operator 2 link fingerprints within three bits.
+3. What makes the result whole is a prefix filter, whatever the bands missed. In an order of all shingles, rare ones
+   first, two texts similar to 0.8 share a shingle near both their beginnings. Every pair of texts of different groups
+   that does, and whose places leave room for enough common shingles, is compared exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, write_table
-from tidemark.llm.simhash import RADIUS, SEED, WORDS, near_links
+from tidemark.llm.common import connected_components, document_batches, write_table
+from tidemark.llm.simhash import RADIUS, SEED, fingerprint, near_links
 
 SIMILARITY, SHINGLE = 0.8, 5
-#: A passage ends at a shingle whose hash is divisible by CUT, not before LEAST shingles.
-CUT, LEAST = 16, 8
-#: Passage fingerprints a text keeps, and how many two candidates must share (fewer where a text has fewer).
-KEPT, SHARED = 8, 2
-#: Members of a passage group that one task walks through, and neighbours that each is compared with there.
-GROUP, NEIGHBOURS = 4096, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
-#: Texts of a candidate group in one block; two blocks meet in a task.
-BLOCK = 256
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: MinHash bands of a text, and minima in one band: texts similar to 0.8 share a band with probability 0.99.
+BANDS, MINIMA = 12, 5
+#: Texts that one task compares with a leader.
+MEMBERS = 1024
 #: Texts whose shingles are counted, and how many of the most frequent shingles stand last in the order of the prefix filter.
 SAMPLE, FREQUENT = 8192, 1 << 16
+#: A shingle that so many sampled texts hold is counted by partial sums.
+OFTEN = 8
+#: Rows of one Arrow batch from a worker.
+BATCH_ROWS = 1 << 16
+#: Shingles whose permuted hashes are held at once.
+CHUNK = 4096
 
-SKETCH = "doc_id long, fp long, digest binary, sketch array<long>"
+_SEEDS = np.random.default_rng(SEED)
+_FACTORS = _SEEDS.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _SEEDS.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64)
+
+#: Shingles before each that are compared, so that texts which share many meet a few times only.
+EARLIER = 4
+#: Longs of a text's parity bits.
+PARITY = 8
+
+SKETCH = "doc_id long, fp long, digest binary, bands array<long>, n int, parity array<long>"
+
+
+def word_list(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
 
 
 def _shingle_hashes(w: list[bytes], words: int) -> np.ndarray:
@@ -56,27 +68,27 @@ def _shingle_hashes(w: list[bytes], words: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def _pack(set_bits: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.packbits(2 * set_bits > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+def bands(h: np.ndarray) -> list[int]:
+    """One key per band, as unsigned: a hash of the band's minima and its number. No shingle, no bands."""
+    if not len(h):
+        return []
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), CHUNK):
+        low = np.minimum(low, (h[k : k + CHUNK, None] * _FACTORS + _SHIFTS).min(axis=0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), number) for number, row in enumerate(low.reshape(BANDS, MINIMA))]
 
 
-def sketch(text: str | None) -> tuple[int, bytes, list[int]]:
-    """(whole-text fingerprint, digest of the words, kept passage fingerprints); fingerprints as unsigned."""
-    w = (text or "").encode().lower().split()
-    h = _shingle_hashes(w, WORDS)
-    digest = hashlib.md5(b" ".join(w)).digest()
-    if not len(h):
-        return 0, digest, []
-    starts = [0]
-    for i in np.flatnonzero(h % np.uint64(CUT) == 0).tolist():
-        if i - starts[-1] >= LEAST and len(h) - i >= LEAST:
-            starts.append(i)
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    lengths = np.diff([*starts, len(h)])
-    passages = np.unique(_pack(sums, lengths))
-    whole = _pack(sums.sum(0)[None], np.array([len(h)]))
-    return int(whole[0]), digest, passages[np.argsort(passages * MIX, kind="stable")[:KEPT]].tolist()
+def parity(h: np.ndarray) -> list[int]:
+    """Each distinct shingle turns one of 64 * PARITY bits over: two texts differ in no more bits than in shingles."""
+    counts = np.bincount((h >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def sketch(text: str | None) -> tuple[int, bytes, list[int], int, list[int]]:
+    """(whole-text fingerprint, digest of the words, band keys, distinct shingles, parity); the first and the keys as unsigned."""
+    w = word_list(text)
+    h = np.unique(_shingle_hashes(w, SHINGLE))
+    return fingerprint(text), hashlib.md5(b" ".join(w)).digest(), bands(h), len(h), parity(h)
 
 
 def _signed(values) -> pa.Array:
@@ -90,45 +102,15 @@ def sketches(docs: DataFrame) -> DataFrame:
             flat = _signed([x for r in rows for x in r[2]])
             offsets = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
             arrays = [b.column(0), _signed([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.ListArray.from_arrays(offsets, flat)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "digest", "sketch"])
+            arrays += [pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "digest", "bands", "n", "parity"])
 
+    document_batches(docs.sparkSession)
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(worker, SKETCH)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (passage, part): each text meets its neighbours in the group and the group's first."""
-    at, past, first, reach = None, deque(), None, max(NEIGHBOURS)
-    for b in batches:
-        out: set[tuple[int, int]] = set()
-        for key, part, node, kept in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            own = frozenset(kept)
-            if (key, part) != at:
-                at, first = (key, part), (node, own)
-                past = deque(maxlen=reach)
-            else:
-                near = [past[-k] for k in NEIGHBOURS if k <= len(past)]
-                for other, theirs in (*near, first):
-                    if other != node and len(own & theirs) >= min(SHARED, len(own), len(theirs)):
-                        out.add((max(node, other), min(node, other)))
-            past.append((node, own))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-
-def candidate_links(texts: DataFrame) -> DataFrame:
-    """(a, b) of texts (node, sketch) that share passages; a group larger than GROUP is dealt to parts by text and passage."""
-    rows = texts.select("node", "sketch", F.explode("sketch").alias("passage"))
-    large = rows.groupBy("passage").count().where(F.col("count") > GROUP)
-    large = large.select(F.col("passage").alias("large"), F.ceil(F.col("count") / GROUP).cast("int").alias("parts"))
-    rows = rows.join(large, rows.passage == large.large, "left")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "passage"), F.coalesce("parts", F.lit(1))).cast("int"))
-    rows = rows.select("passage", "part", "node", "sketch").repartition("passage", "part")
-    rows = rows.sortWithinPartitions("passage", "part", F.xxhash64("node"))
-    return rows.mapInArrow(_candidates, "a long, b long").distinct()
-
-
 def shingles(text: str | None, words: int = SHINGLE) -> frozenset[int]:
-    return frozenset(_shingle_hashes((text or "").encode().lower().split(), words).tolist())
+    return frozenset(_shingle_hashes(word_list(text), words).tolist())
 
 
 def similar(a: frozenset, b: frozenset, similarity: float) -> bool:
@@ -139,57 +121,81 @@ def similar(a: frozenset, b: frozenset, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def _verify_worker(similarity: float):
-    def links(members: list) -> set[tuple[int, int]]:
-        parent: dict[int, int] = {}
-
-        def root(x):
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up]
-            return x
-
-        out = set()
-        for i, (side, node, label, own) in enumerate(members):
-            for side2, other, label2, theirs in members[:i]:
-                # within one block all pairs, between two blocks only those across
-                if (side2 != side or members[0][0] == members[-1][0]) and root(label) != root(label2) and similar(own, theirs, similarity):
-                    parent[max(root(label), root(label2))] = min(root(label), root(label2))
-                    out.add((max(node, other), min(node, other)))
-        return out
+def _can_be_similar(similarity: float, x: str, y: str) -> Column:
+    """Whether sizes and parity bits leave room for similarity: columns n and w0, w1, ... with the ends x and y.
 
-    def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (component, low, high, own): the one or two blocks of a task."""
-        at, members = None, []
+    Texts of nx and ny shingles that are similar have o in common and so differ in nx + ny - 2 o shingles at most, and
+    in no more parity bits.
+    """
+    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+    differ = sum((F.bit_count(F.col(f"w{k}{x}").bitwiseXOR(F.col(f"w{k}{y}"))) for k in range(PARITY)), F.lit(0))
+    room = nx + ny - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * (nx + ny) - 1e-6)
+    return (F.least(nx, ny) >= F.lit(similarity) * F.greatest(nx, ny) - 1e-6) & (differ <= room)
+
+
+def _parity_columns(end: str) -> list[Column]:
+    return [F.col("n").alias(f"n{end}"), *(F.col("parity")[k].alias(f"w{k}{end}") for k in range(PARITY))]
+
+
+def band_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each text b with the smallest node a of every band it shares, once, if the two can be similar."""
+    rows = texts.select("node", F.explode("bands").alias("band"))
+    leaders = rows.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a <> high")
+    pairs = rows.join(leaders, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    one, two = (texts.select(F.col("node").alias(end), *_parity_columns(f"_{end}")) for end in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").where(_can_be_similar(similarity, "_a", "_b")).select("a", "b").distinct()
 
-        def flush():
-            if out := links(members):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
+def _verify_worker(similarity: float):
+    def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (a, part, role): a leader's texts, then those compared with it; one set is held at a time."""
+        at, leaders = None, set()
         for b in batches:
-            for component, low, high, own, node, label, text in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if (component, low, high) != at:
-                    yield from flush()
-                    at, members = (component, low, high), []
-                members.append((own, node, label, shingles(text)))
-        yield from flush()
+            out = []
+            keys = (b.column(i).to_pylist() for i in range(4))
+            for a, part, role, node, text in zip(*keys, b.column(4), strict=True):
+                if (a, part) != at:
+                    at, leaders = (a, part), set()
+                own = shingles(text.as_py())
+                if not role:
+                    leaders.add(own)
+                elif any(similar(x, own, similarity) for x in leaders):
+                    out.append((a, node))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     return worker
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of texts of one group (node, component, label) whose shingle sets are similar; one text per group and block is moved once.
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b; written already) whose texts' shingle sets are similar.
 
-    Texts of one label are joined already and are not compared.
+    The text of a goes to the tasks that hold its partners, MEMBERS of them in one part; a task holds the shingles of
+    one leader and one partner at a time, however many partners there are.
     """
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = groups.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(members, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "text")
-    rows = rows.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "own")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"))
+    leaders = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    # Spark broadcasts the ids where they are few; then only the texts of pairs are moved
+    needed = write_table(ends, "paired-texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(needed, "node", "left_semi")
+    rows = members.union(leaders).join(texts, "node").select("a", "part", "role", "node", "text")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return rows.mapInArrow(_verify_worker(similarity), "a long, b long")
 
 
+def star_links(links: DataFrame) -> DataFrame:
+    """``links`` (a, b) with the same components: each b to its smallest a, and its other a to that one, each once.
+
+    A text shares at most BANDS leaders, so a group is that small.
+    """
+    per = links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("ends"))
+    own = per.select("b", F.col("ends")[0].alias("a"))
+    rest = per.select(F.explode(F.slice("ends", 2, BANDS)).alias("b"), F.col("ends")[0].alias("a"))
+    return own.union(rest).select("a", "b").distinct()
+
+
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, sampled texts that hold each) of those most frequent in a bounded sample, by shingle."""
     step = max(1, docs.count() // SAMPLE)
@@ -207,8 +213,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order]
 
 
-def prefix(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n - ceil(similarity n) + 1 of n distinct shingles, rare ones first.
+def prefix(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(similarity n) + 1 of n distinct shingles, rare ones first, and how many sampled texts hold each.
 
     Similar texts share one of them, whatever order all texts have in common: a sample decides how large groups are,
     never what is found.
@@ -217,106 +223,137 @@ def prefix(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.nd
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
         rank = np.where(frequent[at] == h, counts[at], 0)
-    return h[np.lexsort((h, rank))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+    order = np.lexsort((h, rank))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+    return h[order], rank[order]
 
 
 def prefix_rows(docs: DataFrame, similarity: float) -> DataFrame:
-    """(token, id, n): the prefix shingles of each text of n shingles, once in a task; id is the head of the digest of its words."""
+    """(token, place, id, n, often): the prefix shingles of each text of n shingles, once in a task.
+
+    id is the head of the digest of the text's words; ``often`` marks shingles that many texts hold.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+    names = ["token", "place", "id", "n", "often"]
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held, rows = [], 0
+
+        def batch() -> pa.RecordBatch:
+            arrays = [_signed(np.concatenate([x[0] for x in held])), *(pa.array(np.concatenate([x[k] for x in held])) for k in range(1, 5))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names)
+
         for b in batches:
-            tokens, ids, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for text in b.column(0).to_pylist():
-                w = (text or "").encode().lower().split()
+            for text in b.column(0):
+                w = word_list(text.as_py())
                 head = int.from_bytes(hashlib.md5(b" ".join(w)).digest()[:8], "big", signed=True)
                 if not w or head in seen:
                     continue
                 seen.add(head)
                 h = np.unique(_shingle_hashes(w, SHINGLE))
-                tokens.append(prefix(h, similarity, *sent.value))
-                ids.append(np.full(len(tokens[-1]), head))
-                sizes.append(np.full(len(tokens[-1]), len(h), np.int32))
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["token", "id", "n"])
-
-    return docs.where("doc_id is not null").select(F.col("text").cast("string")).mapInArrow(worker, "token long, id long, n int")
-
-
-def _pair_worker(similarity: float):
-    def pairs(members: list) -> pa.RecordBatch | None:
-        side, node, label, n = (np.array(c) for c in zip(*members, strict=True))
-        i, j = np.triu_indices(len(node), 1)
-        ok = (label[i] != label[j]) & (node[i] != node[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-        if side[0] != side[-1]:  # between two blocks only those across
-            ok &= side[i] != side[j]
-        i, j = i[ok], j[ok]
-        swap = node[i] > node[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (node[i], node[j], n[i], n[j])], ["a", "b", "na", "nb"]) if len(i) else None
-
-    def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (token, low, high, own): the one or two blocks of a group."""
-        at, members = None, []
-        for b in batches:
-            for token, low, high, *member in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if (token, low, high) != at:
-                    if len(members) > 1 and (out := pairs(members)) is not None:
-                        yield out
-                    at, members = (token, low, high), []
-                members.append(member)
-        if len(members) > 1 and (out := pairs(members)) is not None:
-            yield out
+                own, counts = prefix(h, similarity, *sent.value)
+                k = len(own)
+                held.append((own, np.arange(k, dtype=np.int32), np.full(k, head), np.full(k, len(h), np.int32), counts >= OFTEN))
+                rows += k
+                if rows >= BATCH_ROWS:
+                    yield batch()
+                    rows = 0
+        if held:
+            yield batch()
 
-    return worker
+    return docs.where("doc_id is not null").select(F.col("text").cast("string")).mapInArrow(worker, "token long, place int, id long, n int, often boolean")
 
 
-def prefix_groups(docs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, component, label): a text and all its partners of unlike label that share enough prefix shingles, one group for it.
+def shared_shingles(rows: DataFrame) -> DataFrame:
+    """The prefix rows whose shingle more than one text holds, each once.
 
-    Similar texts of na and nb shingles have at least o = ceil(similarity / (1 + similarity) (na + nb)) in common, and
-    the first of these lie in both prefixes: at least o - ceil(similarity n) + 1 with n the larger of the two.
+    Rare shingles, nearly all of the rows, take one shuffle and a window over their few texts. A shingle that many texts
+    hold is counted by partial sums first, so that no task holds all of its rows.
+    """
+    w = Window.partitionBy("token")
+    rare = rows.where("not often").withColumns({"low": F.min("id").over(w), "high": F.max("id").over(w)}).where("low <> high")
+    common = rows.where("often")
+    held = common.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    common = common.join(held, "token")
+    columns = ("token", "place", "id", "n")
+    return rare.select(*columns).dropDuplicates(["token", "id"]).union(common.select(*columns).dropDuplicates(["token", "id"]))
+
+
+def prefix_pairs(docs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of texts (digest, node, label, parity) of unlike label that can be similar: every such pair is among them.
+
+    Let x have no more shingles than y, both be similar and o = ceil(similarity / (1 + similarity) (nx + ny)): they
+    have o shingles in common at least. The first of these leaves o - 1 behind it in both texts, so its place in x is
+    at most nx - o, which no y makes more than nx - 2 similarity / (1 + similarity) nx. So x need show only so many
+    shingles, y its whole prefix. Shingles of one label alone, or that no text need show, are dropped after a grouping with partial sums. Where a
+    label holds most of a shingle's texts, as in a large group joined already, its texts meet those of other labels,
+    never one another. Places and parity bits are compared while rows meet, so that what cannot be similar makes no row;
+    nor does a pair that shares one of the last EARLIER shingles before this one: it met there, or before. The first
+    shingle that a pair shares has no such shingle before it.
     """
-    token = Window.partitionBy("token")
-    unlike = lambda rows, x: rows.withColumn("first", F.min(x).over(token)).withColumn("last", F.max(x).over(token)).where("first <> last").drop("first", "last")
-    rows = unlike(prefix_rows(docs, similarity), "id").distinct()
-    named = texts.select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("id"), "node", "label")
-    rows = unlike(rows.join(named, "id"), "label").withColumn("blocks", F.ceil(F.count("*").over(token) / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "n")
-    rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "own")
-    pairs = rows.mapInArrow(_pair_worker(similarity), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
-    common = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6)
-    least = common - F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9) + 1
-    pairs = write_table(pairs.where(F.col("count") >= least).select("a", "b").distinct(), "prefix-pairs")
-    groups = pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")))
-    return groups.distinct().join(texts.select("node", "label").distinct(), "node").select("node", "component", "label")
+    rows = shared_shingles(write_table(prefix_rows(docs, similarity), "prefix-shingles"))
+    texts = texts.withColumn("id", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"))
+    rows = write_table(rows.join(texts.select("id", "node", "label"), "id"), "shared-shingles")
+    share = similarity / (1 + similarity)
+    early = F.col("place") <= F.col("n") - F.ceil(F.lit(2 * share) * F.col("n") - 1e-6)
+    labels = rows.groupBy("token", "label").agg(F.count("*").alias("texts"), F.count_if(early).alias("early"))
+    most = labels.groupBy("token").agg(F.max_by("label", F.struct("texts", "label")).alias("most"), F.count("*").alias("labels"), F.sum("early").alias("early"))
+    rows = rows.drop("n").join(most.where("labels > 1 and early > 0").select("token", "most"), "token")
+    rows = rows.join(texts.select("id", *_parity_columns("")), "id")
+    own = Window.partitionBy("id").orderBy("place")  # one text's prefix
+    rows = rows.withColumns({f"t{k}": F.lag("token", k).over(own) for k in range(1, EARLIER + 1)})
+    rows = write_table(rows.drop("id"), "unlike-shingles")
+    x = rows.where(early)
+    x, y = (r.select("token", *(F.col(c).alias(c + end) for c in ("place", "n", "node", "label", "most", *(f"w{k}" for k in range(PARITY)), *(f"t{k}" for k in range(1, EARLIER + 1))))) for r, end in ((x, "_x"), (rows, "_y")))
+    met_before = F.lit(False)
+    for i in range(1, EARLIER + 1):
+        for j in range(1, EARLIER + 1):
+            met_before = met_before | F.coalesce(F.col(f"t{i}_x") == F.col(f"t{j}_y"), F.lit(False))
+    fits = (
+        (F.col("label_x") != F.col("label_y"))
+        & (F.struct("n_x", "node_x") < F.struct("n_y", "node_y"))
+        & _can_be_similar(similarity, "_x", "_y")
+        & (F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= F.lit(share) * (F.col("n_x") + F.col("n_y")) - 1e-6)
+        & ~met_before
+    )
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        joined = left.withColumnRenamed("token", "token_x").join(right, (F.col("token_x") == F.col("token")) & fits)
+        return joined.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+
+    return met(x.where("label_x <> most_x"), y).union(met(x.where("label_x = most_x"), y.where("label_y <> most_y"))).distinct()
+
+
+def relabelled(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``texts`` with the labels that ``found`` (node, component) joins brought to one; written."""
+    parts = found.select(F.col("node").alias("label"), F.col("component").alias("joined"))
+    out = texts.join(parts, "label", "left").withColumn("label", F.coalesce("joined", "label"))
+    return write_table(out.drop("joined"), "text-labels")
 
 
 def near_copy_components(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component) for every distinct non-null doc_id: groups by SimHash distance and by shingle similarity.
 
-    ``docs`` is read twice and should be a written table. Null, empty and blank texts are copies of each other. Rows
-    that share a doc_id are one document, with the links of all its texts. An empty table gives no rows.
+    ``docs`` is read several times and should be a written table. Null, empty and blank texts are copies of each other.
+    Rows that share a doc_id are one document, with the links of all its texts. An empty table gives no rows.
     """
     own = write_table(sketches(docs), "sketches")
-    texts = own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"))
+    texts = own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("n").alias("n"), F.any_value("parity").alias("parity"))
     texts = write_table(texts, "texts")
-    fps = write_table(texts.groupBy("fp").agg(F.min("node").alias("node")), "text-fingerprints")
-    same = texts.join(fps.select("fp", F.col("node").alias("b")), "fp").select(F.col("node").alias("a"), "b")
-    groups = connected_components(candidate_links(texts)).withColumn("label", F.col("node"))
-    links = same.unionByName(near_links(fps, radius)).unionByName(verified_links(docs, groups, similarity))
-    found = connected_components(links)
-    named = texts.join(found, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("label"))
-    named = write_table(named, "text-labels")
-    # what passages did not bring together: all pairs of unlike labels that share a prefix shingle
-    rest = write_table(verified_links(docs, prefix_groups(docs, named, similarity), similarity), "prefix-links")
+    pairs = write_table(band_pairs(texts, similarity), "band-pairs")
+    found = connected_components(star_links(verified(docs, pairs, similarity)))
+    named = relabelled(texts.select("digest", "node", "fp", "n", "parity", F.col("node").alias("label")), found)
+    fps = write_table(named.groupBy("fp").agg(F.min("label").alias("node")), "text-fingerprints")
+    same = named.join(fps.select("fp", F.col("node").alias("low")), "fp").where("label <> low").select(F.col("label").alias("a"), F.col("low").alias("b"))
+    named = relabelled(named, connected_components(same.unionByName(near_links(fps, radius))))
+    pairs = write_table(prefix_pairs(docs, named, similarity), "prefix-pairs")
+    rest = verified(docs, pairs, similarity)
     for end in ("a", "b"):
         label = named.select(F.col("node").alias(end), F.col("label").alias("to")).distinct()
         rest = rest.join(label, end).drop(end).withColumnRenamed("to", end)
-    parts = connected_components(rest).select(F.col("node").alias("label"), "component")
-    named = named.join(parts, "label", "left").select("digest", F.coalesce("component", "label").alias("part"))
-    out = own.join(named, "digest").select("doc_id", "part")
+    named = relabelled(named, connected_components(rest))
+    out = own.join(named.select("digest", "label"), "digest").select("doc_id", F.col("label").alias("part"))
     # a doc_id whose rows have several texts joins their components
     shared = out.groupBy("doc_id").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     if shared.where("low <> high").isEmpty():
@@ -328,6 +365,6 @@ def near_copy_components(docs: DataFrame, similarity: float = SIMILARITY, radius
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their group, one row for each; rows with a null doc_id stay."""
     groups = near_copy_components(docs, **options)
-    keep = groups.groupBy("component").agg(F.min("doc_id").alias("keep")).select("keep")
-    kept = docs.join(keep, docs.doc_id == F.col("keep"), "left_semi").dropDuplicates(["doc_id"])
+    keep = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    kept = docs.join(keep, ["doc_id"], "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))

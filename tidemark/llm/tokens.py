@@ -8,7 +8,7 @@ import os
 import re
 
 END_ID = 0
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 #: Characters of which every regular-expression library has the same idea of letter, digit and space.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ԯ]*")
