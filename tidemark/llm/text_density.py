@@ -49,11 +49,10 @@ LINK_SHARE, SHORT_SHARE = 0.5, 0.05
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article main".split())
 _WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "names", "role", "parent", "children", "size", "link_size", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, attrs=()):
         self.tag, self.parent, self.children = tag, parent, []
@@ -61,7 +60,6 @@ class Node:
         # each class and the id is one name, of one word or several
         self.names = [_WORD.findall(x) for x in f"{a.get('class') or ''} {a.get('id') or ''}".lower().split()] if "class" in a or "id" in a else []
         self.role = (a.get("role") or "").lower()
-        self.hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search((a.get("style") or "").lower()))
 
 
 class Tree(HTMLParser):
@@ -131,12 +129,13 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def _length(root: Node) -> int:
-    return sum(len(c) for n in _walk(root) if n.tag not in NEVER_TEXT for c in n.children if isinstance(c, str))
-
-
-def _link_length(root: Node) -> int:
-    return sum(_length(n) for n in _walk(root) if n.tag == "a")
+def _measure_text(nodes: list[Node]) -> None:
+    """size and link_size of every node: characters that can be text, and those of them inside links; one pass, leaves first."""
+    for node in reversed(nodes):
+        below = [c for c in node.children if not isinstance(c, str)]
+        own = 0 if node.tag in NEVER_TEXT else sum(len(c) for c in node.children if isinstance(c, str))
+        node.size = own + sum(c.size for c in below)
+        node.link_size = node.size if node.tag == "a" else sum(c.link_size for c in below)
 
 
 def _boilerplate(node: Node, page: int) -> bool:
@@ -146,37 +145,39 @@ def _boilerplate(node: Node, page: int) -> bool:
     named = [x for x in node.names if x and BOILERPLATE_WORDS.issuperset(x)] if node.tag not in HEADINGS else []
     if not named or not all(UNSURE_WORDS.issuperset(x) for x in named):
         return bool(named)
-    own = _length(node)
-    return own <= SHORT_SHARE * page or _link_length(node) > LINK_SHARE * own
+    return node.size <= SHORT_SHARE * page or node.link_size > LINK_SHARE * node.size
+
 
+def _holds(nodes: list[Node], page: int) -> set[int]:
+    """Nodes that are never taken off: what holds a main element, the longest article or the page's first heading.
 
-def _holds(root: Node) -> set[int]:
-    """Nodes that are never taken off: what holds a main element, the longest article or the page's first heading."""
-    nodes, page = _walk(root), _length(root)
+    A heading protects what holds it inside of an article or main, or where nothing around it is boilerplate: the
+    title in a site's own header protects nothing.
+    """
     articles = [n for n in nodes if n.tag == "article" and not _boilerplate(n, page)]
-    targets = [n for n in nodes if n.tag == "main"] + ([max(articles, key=_length)] if articles else []) + [n for n in nodes if n.tag == "h1"][:1]
+    targets = [n for n in nodes if n.tag == "main"] + ([max(articles, key=lambda n: n.size)] if articles else [])
     out: set[int] = set()
     for node in targets:
         while node is not None and id(node) not in out:
             out.add(id(node))
             node = node.parent
+    for heading in [n for n in nodes if n.tag == "h1"][:1]:
+        path, node = [heading], heading.parent
+        while node is not None and node.tag not in CONTENT:
+            path.append(node)
+            node = node.parent
+        if node is not None or not any(_boilerplate(n, page) for n in path):
+            out.update(map(id, path))
     return out
 
 
 def prune(root: Node) -> None:
-    keep, page = _holds(root), _length(root)
-    for node in _walk(root):
-        node.children = [
-            c
-            for c in node.children
-            if isinstance(c, str)
-            or not (
-                c.tag in NEVER_TEXT
-                or c.hidden
-                or id(c) not in keep
-                and _boilerplate(c, page)
-            )
-        ]
+    nodes = _walk(root)
+    _measure_text(nodes)
+    page = root.size
+    keep = _holds(nodes, page)
+    for node in nodes:
+        node.children = [c for c in node.children if isinstance(c, str) or not (c.tag in NEVER_TEXT or id(c) not in keep and _boilerplate(c, page))]
 
 
 def measure(root: Node) -> list[Node]:
