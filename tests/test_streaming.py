@@ -1,6 +1,8 @@
 """Streams from landed files with availableNow: the same results as the batch twins."""
 
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ def tick(seq, at, **more):
 def land(tmp_path, *batches):
     for k, rows in enumerate(batches):
         (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        file = tmp_path / "in" / f"{k}.json"
+        file.write_text("\n".join(map(json.dumps, rows)))
+        os.utime(file, (T0 + k, T0 + k))  # the source takes files by their time
     return str(tmp_path / "in")
 
 
@@ -54,6 +58,60 @@ def test_merged_fields(spark, tmp_path):
     assert rows[2].generation == 2 and rows[2].bid == 1.0 and rows[2].price is None
 
 
+def test_merged_fields_of_an_older_connection(spark, tmp_path):
+    path = land(tmp_path, [tick(4, 31, generation=2, bid=1.0, price=None)], [tick(1, 0, bid=99.0)], [tick(5, 32, generation=2, ask=3.0, price=None)])
+    rows = sorted(drain(st.merged_fields(st.read_ticks(spark, path, files_per_batch=1)), tmp_path, "older", "update"), key=lambda r: r.event_ms)
+    assert [(r.generation, r.bid, r.ask) for r in rows] == [(2, 1.0, None), (2, 1.0, 3.0)]
+
+
+def test_newer_and_late(spark, tmp_path):
+    path = land(tmp_path, [tick(1, 0), tick(2, 5), tick(5, 6)], [tick(5, 7), tick(6, 3), tick(7, 9)])
+    newer = drain(st.only_newer(st.read_ticks(spark, path, files_per_batch=1)), tmp_path, "newer")
+    assert sorted(r.event_ms % 60_000 // 1000 - 20 for r in newer) == [0, 5, 6, 7, 9]
+    st.split_late(st.read_ticks(spark, path, files_per_batch=1), str(tmp_path / "good"), str(tmp_path / "late"), str(tmp_path / "ck")).awaitTermination(120)
+    assert [r.sequence for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [6]
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 5
+
+
+def test_complete_bars_and_roll_ups(spark, tmp_path):
+    path = land(tmp_path, [tick(k, 40 + 60 * k) for k in range(5)] + [tick(9, 400), tick(10, 2000)])
+    bars = lambda **o: drain(st.closed_bars(st.read_ticks(spark, path), "5 minutes", **o), tmp_path, f"b{len(o)}")
+    assert sorted(r.trades for r in bars()) == [1, 1, 4] or sorted(r.trades for r in bars()) == [1, 5]
+    assert all(r.trades == 5 for r in bars(step="1 minute", steps=5))
+    rows = drain(st.rolled_up(st.read_ticks(spark, path), ("1 minute", "5 minutes")), tmp_path, "rolled")
+    assert {r.frame for r in rows} == {"1 minute", "5 minutes"} and sum(r.trades for r in rows if r.frame == "1 minute") == 6
+
+
+def test_events_of_new_bars(spark, tmp_path):
+    bar = lambda k, o, h, lo, c: {"instrument": "i", "start": f"2023-11-14T22:{k:02d}:00.000Z", "open": o, "high": h, "low": lo, "close": c, "volume": 1.0}
+    path = land(tmp_path, [bar(1, 10.0, 11.0, 9.0, 10.0)], [bar(2, 10.0, 13.0, 10.0, 12.0), bar(1, 10.0, 11.0, 9.0, 10.0)], [bar(3, 13.0, 13.5, 8.0, 9.5)])
+    stream = spark.readStream.schema("instrument string, start timestamp, open double, high double, low double, close double, volume double").option("maxFilesPerTrigger", 1).json(path)
+    got = {(r.start_ms % 3_600_000 // 60_000, r.event_type) for r in drain(st.bar_events(stream), tmp_path, "barevents")}
+    assert got == {(2, "range_breakout"), (2, "trend_transition"), (3, "range_breakout"), (3, "range_failure"), (3, "trend_transition")}
+
+
+def test_freshness_timer(spark, tmp_path):
+    now = time.strftime("%Y-%m-%dT%H:%M:%S.000Z", time.gmtime())
+    path = land(tmp_path, [tick(1, 0, event_ts=now)], [tick(2, 0, instrument="j")])
+    out = st.freshness(st.read_ticks(spark, path, files_per_batch=1), 600_000)
+    # timers keep an availableNow query going until they ring, so this one is stopped
+    q = out.writeStream.format("memory").queryName("fresh").outputMode("update").option("checkpointLocation", str(tmp_path / "c-fresh")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = spark.table("fresh").collect()
+    assert {(r.instrument, r.status) for r in rows} >= {("i", "FRESH"), ("j", "STALE")}
+
+
+def test_liquidations_and_messages(spark, tmp_path):
+    path = land(tmp_path, [tick(1, 0, kind="liquidation"), tick(2, 5, kind="liquidation", side="sell", quantity=3.0), tick(3, 6)], [tick(4, 900)])
+    rows = drain(st.liquidations(st.read_ticks(spark, path, files_per_batch=1).unionByName(st.read_ticks(spark, path).where("false"))), tmp_path, "liq")
+    assert rows == [] or (rows[0].liq_buy_qty, rows[0].liq_sell_qty) == (1.0, 3.0)
+    raw = spark.createDataFrame([(json.dumps(tick(1, 0)),), ("no message",), (None,)], "value string")
+    assert [r.sequence for r in st.parse_messages(raw).collect()] == [1]
+
+
 def test_order_book(spark, tmp_path):
     side = lambda *x: [{"price": p, "size": s} for p, s in x]
     d = lambda u, snap, bids, asks: {"instrument": "i", "update_id": u, "is_snapshot": snap, "bids": bids, "asks": asks}

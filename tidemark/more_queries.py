@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from tidemark.operators import payoff as C
 from tidemark.operators import quality as D
 from tidemark.operators import rollups as A
 from tidemark.plans import tables as P
+from tidemark.plans.shared import fresh_folder
 from tidemark.plans.series import framed
 from tidemark.plans.tables import BARS_SQL, DAILY, FULL_SQL, HOURLY, HOURLY_SQL, r, rounded
 from tidemark.queries import _RETS_SQL, _TRADE_SQL, K, KT, W0, _returns, _scored, _touch_sql, query, z_sql
@@ -551,8 +550,7 @@ def j8_l5_foreign_keys(spark, d):
 
 def _streamed(spark: SparkSession, d: str, build, mode: str = "append") -> DataFrame:
     """Run a stream over the events table to its end and read what it wrote, in the shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-streams"
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = fresh_folder(spark, "stream")
     for k, v in T.STATE_STORE.items():
         spark.conf.set(k, v)
     static = P.table(spark, d, "events")
@@ -576,10 +574,58 @@ def st1_minute_flow(spark, d):
     return out.select("instrument", F.unix_millis("start").alias("start_ms"), "buy_volume", "sell_volume", "trades")
 
 
-@query()
+def _delayed_ticks(e: DataFrame) -> DataFrame:
+    """Ticks whose event times lie up to four hours before their arrival."""
+    back = F.expr("make_dt_interval(0, cast(user_id % 5 as int), 0, 0)")
+    held = e.withColumn("__event", F.col("ts").cast("timestamp") - back)
+    return held.select(F.lit("s").alias("source"), F.col("event_type").alias("instrument"), F.col("__event").alias("event_ts"), F.col("ts").cast("timestamp").alias("received_ts"), F.col("event_id").alias("sequence"), F.lit("trade").alias("kind"), F.lit("buy").alias("side"), F.col("value").alias("price"), F.lit(1.0).alias("quantity"))
+
+
+_DELAYED = """t AS (SELECT event_type AS instrument, event_id AS s, ts, value, epoch_us(ts) // 1000 - user_id % 5 * 3600000 AS e FROM events),
+  o AS (SELECT *, max(s) OVER p AS ms, max(e) OVER p AS me FROM t WINDOW p AS (PARTITION BY instrument ORDER BY ts, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"WITH {_DELAYED}, c AS (SELECT *, unnest([CASE WHEN e < me THEN 'LATE' END, CASE WHEN s <= ms THEN 'REPEAT' WHEN s > ms + 1 THEN 'GAP' END]) AS code FROM o) SELECT 's' AS source, instrument, s AS sequence, e AS event_ms, code FROM c WHERE code IS NOT NULL")
 def st4_sequence_problems(spark, d):
     """Gaps, repeats and late ticks per source by keyed state."""
-    return _streamed(spark, d, lambda e: T.sequence_problems(_stream_ticks(e))).select("source", "instrument", "sequence", "event_ms", "code")
+    return _streamed(spark, d, lambda e: T.sequence_problems(_delayed_ticks(e)))
+
+
+@query(f"WITH {_DELAYED} SELECT 's' AS source, instrument, s AS sequence, e AS event_ms, value AS price, 1.0::DOUBLE AS quantity FROM o WHERE me IS NULL OR e > me")
+def st16_only_newer(spark, d):
+    """Ticks after all that were seen before."""
+    return _streamed(spark, d, lambda e: T.only_newer(_delayed_ticks(e)))
+
+
+@query(f"WITH {EV} SELECT event_type AS instrument, ts_ms - ts_ms % 60000 AS start_ms, sum(CASE WHEN user_id % 2 = 0 THEN user_id % 7 + 1 ELSE 0 END)::DOUBLE AS liq_buy_qty, sum(CASE WHEN user_id % 2 = 1 THEN user_id % 7 + 1 ELSE 0 END)::DOUBLE AS liq_sell_qty FROM ev WHERE ts_ms - ts_ms % 60000 + 60000 <= (SELECT max(ts_ms) FROM ev) - 2 * {DAY} GROUP BY 1, 2")
+def st2_liquidations(spark, d):
+    """Events as forced orders: minutes that the watermark has passed."""
+    forced = lambda e: _stream_ticks(e).withColumn("kind", F.lit("liquidation"))
+    out = _streamed(spark, d, lambda e: T.liquidations(forced(e), "2 days"))
+    return out.select("instrument", F.unix_millis("start").alias("start_ms"), "liq_buy_qty", "liq_sell_qty")
+
+
+def _bars_sql(ms: int) -> str:
+    return f"""SELECT event_type AS instrument, ts_ms - ts_ms % {ms} AS start_ms, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, sum(user_id % 7 + 1)::DOUBLE AS volume, count(*) AS trades, count(DISTINCT ts_ms // {HOUR}) AS hours
+      FROM x WHERE ts_ms - ts_ms % {ms} + {ms} <= (SELECT max(ts_ms) FROM x) - 2 * {DAY} GROUP BY 1, 2"""
+
+
+_TIMED = "x AS (SELECT *, epoch_us(ts) // 1000 AS ts_ms FROM events)"
+_BAR = "instrument, start_ms, open, high, low, close, volume, trades"
+
+
+@query(f"WITH {_TIMED}, b AS ({_bars_sql(6 * HOUR)}) SELECT {_BAR} FROM b WHERE hours = 6")
+def st8_complete_bars(spark, d):
+    """Six-hour bars that have closed and hold a tick in each hour."""
+    out = _streamed(spark, d, lambda e: T.closed_bars(_stream_ticks(e), "6 hours", "2 days", "1 hour", 6))
+    return out.withColumn("start_ms", F.unix_millis("start")).drop("start", "end")
+
+
+@query(f"WITH {_TIMED}, a AS ({_bars_sql(HOUR)}), b AS ({_bars_sql(6 * HOUR)}) SELECT '1 hour' AS frame, {_BAR} FROM a UNION ALL SELECT '6 hours', {_BAR} FROM b")
+def st9_rolled_up(spark, d):
+    """Closed bars of two widths from one stream of ticks."""
+    out = _streamed(spark, d, lambda e: T.rolled_up(_stream_ticks(e), ("1 hour", "6 hours"), "2 days"))
+    return out.withColumn("start_ms", F.unix_millis("start")).drop("start", "end")
 
 
 @query("SELECT event_id AS sequence, value AS price FROM events")

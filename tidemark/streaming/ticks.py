@@ -6,7 +6,7 @@ Rows inside a micro-batch come in any order: stateful steps sort them by arrival
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -54,12 +54,23 @@ def without_retransmissions(ticks: DataFrame, watermark: str = "2 minutes") -> D
     return ticks.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(list(EVENT_KEY))
 
 
-def closed_bars(ticks: DataFrame, width: str = "1 minute", watermark: str = "10 seconds") -> DataFrame:
-    """OHLCV rows that appear once their minute has closed (append mode)."""
+def _seconds(width: str) -> int:
+    n, unit = width.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
+
+
+def closed_bars(ticks: DataFrame, width: str = "1 minute", watermark: str = "10 seconds", step: str | None = None, steps: int | None = None) -> DataFrame:
+    """OHLCV rows that appear once their bucket has closed (append mode).
+
+    With ``step`` only complete buckets: those whose ticks lie in ``steps`` different stretches of that width.
+    """
     at = F.struct("event_ts", "sequence")
+    seconds = _seconds(step) if step else 1
+    parts = F.size(F.collect_set(F.floor(F.unix_seconds("event_ts") / seconds)))  # at most ``steps`` values
     out = ticks.where("kind = 'trade'").withWatermark("event_ts", watermark).groupBy("instrument", F.window("event_ts", width).alias("w")).agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("quantity").alias("volume"), F.count("*").alias("trades")
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("quantity").alias("volume"), F.count("*").alias("trades"), *([parts.alias("__parts")] if step else [])
     )
+    out = out.where(F.col("__parts") == steps) if step else out
     return out.select("instrument", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "open", "high", "low", "close", "volume", "trades")
 
 
@@ -76,35 +87,70 @@ def _millis(t) -> int:
     return pd.Timestamp(t).value // 1_000_000
 
 
+def _in_order(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
+    """A key's rows of one micro-batch by arrival; ``files_per_batch`` of the source bounds them."""
+    return pd.concat(list(rows)).sort_values(list(order), kind="stable")
+
+
 class SequenceCheck(StatefulProcessor):
-    """Per source and instrument: the last sequence and the largest event time. Emits a code for each odd tick."""
+    """Per source and instrument: the last sequence and the largest event time. Gives each tick its codes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "sequence long, event_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["received_ts", "sequence"], kind="stable")
+        pdf = _in_order(rows, "received_ts", "sequence")
         sequence, event = self.last.get() if self.last.exists() else (None, None)
         out = []
-        for s, e in zip(pdf["sequence"].tolist(), pdf["event_ts"].tolist(), strict=True):
-            at = _millis(e)
+        for s, e, price, quantity in zip(*(pdf[c].tolist() for c in ("sequence", "event_ts", "price", "quantity")), strict=True):
+            at, codes = _millis(e), []
             if event is not None and at < event:
-                out.append((*key, s, at, "LATE"))
+                codes.append("LATE")
             if sequence is not None and s <= sequence:
-                out.append((*key, s, at, "REPEAT"))
+                codes.append("REPEAT")
             elif sequence is not None and s > sequence + 1:
-                out.append((*key, s, at, "GAP"))
+                codes.append("GAP")
+            out.append((*key, s, at, price, quantity, codes, event is None or at > event))
             sequence, event = (s if sequence is None else max(sequence, s)), at if event is None else max(event, at)
         self.last.update((sequence, event))
-        yield pd.DataFrame(out, columns=["source", "instrument", "sequence", "event_ms", "code"])
+        yield pd.DataFrame(out, columns=["source", "instrument", "sequence", "event_ms", "price", "quantity", "codes", "newer"])
 
     def close(self) -> None:
         pass
 
 
+TAGGED = "source string, instrument string, sequence long, event_ms long, price double, quantity double, codes array<string>, newer boolean"
+
+
+def tagged(ticks: DataFrame) -> DataFrame:
+    """Every tick with its codes (GAP, REPEAT, LATE) and whether its event time is newer than all before; before any watermark drops it."""
+    return ticks.groupBy("source", "instrument").transformWithStateInPandas(statefulProcessor=SequenceCheck(), outputStructType=TAGGED, outputMode="Append", timeMode="None")
+
+
 def sequence_problems(ticks: DataFrame) -> DataFrame:
-    """(source, instrument, sequence, event_ms, code): gaps, repeats and late ticks; late rows are seen before any watermark drops them."""
-    return ticks.groupBy("source", "instrument").transformWithStateInPandas(statefulProcessor=SequenceCheck(), outputStructType="source string, instrument string, sequence long, event_ms long, code string", outputMode="Append", timeMode="None")
+    """(source, instrument, sequence, event_ms, code): a row for each gap, repeat and late tick."""
+    return tagged(ticks).select("source", "instrument", "sequence", "event_ms", F.explode("codes").alias("code"))
+
+
+def only_newer(ticks: DataFrame) -> DataFrame:
+    """The ticks whose event time is after every tick before them: what a poller that skips what it has seen takes."""
+    return tagged(ticks).where("newer").drop("codes", "newer")
+
+
+def split_late(stream: DataFrame, path: str, late_path: str, checkpoint: str):
+    """Write ticks that come in order to ``path`` and late ones to ``late_path``: none is merged or lost silently.
+
+    A batch that runs again overwrites its own folder.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        late = F.array_contains("codes", "LATE")
+        held = batch.persist()
+        held.where(~late).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held.where(late).write.mode("overwrite").parquet(f"{late_path}/batch={number}")
+        held.unpersist()
+
+    return tagged(stream).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 FIELDS = ("price", "bid", "ask", "open_interest", "funding_rate")
@@ -117,27 +163,27 @@ class FieldMerge(StatefulProcessor):
         self.stale_ms = stale_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fields", ", ".join(["generation int", *(f"{f} double, {f}_ms long" for f in FIELDS)]))
+        self.state = handle.getValueState("fields", ", ".join(["generation int", "clock_ms long", *(f"{f} double, {f}_ms long" for f in FIELDS)]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["received_ts", "sequence"], kind="stable")
+        pdf = _in_order(rows, "received_ts", "sequence")
         held = list(self.state.get()) if self.state.exists() else None
-        now = 0
+        news = False
         for r in pdf.to_dict("records"):
-            generation = int(r["generation"])
+            generation, at = int(r["generation"]), _millis(r["event_ts"])
             if held is None or generation > held[0]:
-                held = [generation, *([None, None] * len(FIELDS))]
+                held = [generation, at, *([None, None] * len(FIELDS))]
             if generation < held[0]:
                 continue
-            now = max(now, _millis(r["event_ts"]))
+            news, held[1] = True, max(held[1], at)
             for i, f in enumerate(FIELDS):
-                if pd.notna(r[f]) and (held[2 + 2 * i] is None or _millis(r["event_ts"]) >= held[2 + 2 * i]):
-                    held[1 + 2 * i : 3 + 2 * i] = [float(r[f]), _millis(r["event_ts"])]
-        if held is None:
+                if pd.notna(r[f]) and (held[3 + 2 * i] is None or at >= held[3 + 2 * i]):
+                    held[2 + 2 * i : 4 + 2 * i] = [float(r[f]), at]
+        if not news:  # ticks of an older connection alone
             return
         self.state.update(tuple(held))
-        fresh = lambda i: held[1 + 2 * i] if held[2 + 2 * i] is not None and now - held[2 + 2 * i] <= self.stale_ms else None
-        yield pd.DataFrame([(*key, held[0], now, *(fresh(i) for i in range(len(FIELDS))))], columns=["source", "instrument", "generation", "event_ms", *FIELDS])
+        fresh = lambda i: held[2 + 2 * i] if held[3 + 2 * i] is not None and held[1] - held[3 + 2 * i] <= self.stale_ms else None
+        yield pd.DataFrame([(*key, held[0], held[1], *(fresh(i) for i in range(len(FIELDS))))], columns=["source", "instrument", "generation", "event_ms", *FIELDS])
 
     def close(self) -> None:
         pass
@@ -161,7 +207,7 @@ class Book(StatefulProcessor):
         self.at = handle.getValueState("update", "update_id long, synced boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["update_id"], kind="stable")
+        pdf = _in_order(rows, "update_id")
         last, synced = self.at.get() if self.at.exists() else (None, False)
         sides = [{k[0]: v[0] for k, v in s.iterator()} for s in (self.bids, self.asks)]
         out = []
@@ -212,18 +258,82 @@ def fresh_flags(ticks: DataFrame, now, limit_ms: int = 15_000) -> DataFrame:
     return ticks.withColumns({"age_ms": age, "stale": age > limit_ms, "future": age < 0})
 
 
-def only_newer(ticks: DataFrame) -> DataFrame:
-    """Problem-free progress: the largest sequence per source and batch."""
-    return sequence_problems(ticks).where("code <> 'REPEAT'")
+class Freshness(StatefulProcessor):
+    """Per source and instrument the newest event time, and a timer that rings when it has grown too old."""
+
+    def __init__(self, limit_ms: int):
+        self.limit_ms = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "event_ms long")
+
+    def _row(self, key, event: int, now: int) -> pd.DataFrame:
+        age = now - event
+        status = "FUTURE" if age < 0 else "FRESH" if age <= self.limit_ms else "STALE"
+        return pd.DataFrame([(*key, event, age, status)], columns=["source", "instrument", "event_ms", "age_ms", "status"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(_millis(pdf["event_ts"].max()) for pdf in rows)
+        event = max(newest, self.last.get()[0]) if self.last.exists() else newest
+        now = timerValues.getCurrentProcessingTimeInMs()
+        self.last.update((event,))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if now <= event + self.limit_ms:
+            self.handle.registerTimer(event + self.limit_ms + 1)
+        yield self._row(key, event, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            yield self._row(key, self.last.get()[0], timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def freshness(ticks: DataFrame, limit_ms: int = 15_000) -> DataFrame:
+    """FRESH, STALE or FUTURE per source and instrument: on every batch with ticks, and when the limit passes without any."""
+    schema = "source string, instrument string, event_ms long, age_ms long, status string"
+    return ticks.groupBy("source", "instrument").transformWithStateInPandas(statefulProcessor=Freshness(limit_ms), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime")
+
+
+class PreviousBar(StatefulProcessor):
+    """Per instrument the last bar that was seen; bars that are not newer are skipped."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "start_ms long, high double, low double, close double, trend string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.last.get() if self.last.exists() else None
+        out = []
+        for r in _in_order(rows, "start").to_dict("records"):
+            at = _millis(r["start"])
+            if before is not None and at <= before[0]:
+                continue
+            _, high, low, close, trend = before or (None, None, None, None, None)
+            now = "FLAT" if close is None or r["close"] == close else "UP" if r["close"] > close else "DOWN"
+            change = r["close"] / close - 1 if close else None
+            out.append((*key, at, r["open"], r["high"], r["low"], r["close"], r["volume"], change, high, low, now, trend))
+            before = (at, r["high"], r["low"], r["close"], now)
+        if before is not None:
+            self.last.update(before)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLLOWED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+FOLLOWED = "instrument string, start_ms long, open double, high double, low double, close double, volume double, return_fraction double, previous_high double, previous_low double, trend_direction string, previous_trend_direction string"
 
 
-def batch_events(bars: DataFrame, keys: list[str]) -> Callable[[DataFrame, int], DataFrame]:
-    """For foreachBatch: environment events of each new bar against the stored history's last measurements."""
+def following(bars: DataFrame) -> DataFrame:
+    """Each new bar of a stream with the bar before it, from state: one row per instrument and start, however often it comes."""
+    return bars.groupBy("instrument").transformWithStateInPandas(statefulProcessor=PreviousBar(), outputStructType=FOLLOWED, outputMode="Append", timeMode="None")
 
-    def on(batch: DataFrame, _: int) -> DataFrame:
-        return environment_events(batch.join(bars, keys, "left"), keys)
 
-    return on
+def bar_events(bars: DataFrame) -> DataFrame:
+    """Environment events of each new bar of a stream, evaluated once."""
+    return environment_events(following(bars), ["instrument", "start_ms"])
 
 
 def write_once(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str):
