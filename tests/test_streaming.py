@@ -90,18 +90,52 @@ def test_events_of_new_bars(spark, tmp_path):
     assert got == {(2, "range_breakout"), (2, "trend_transition"), (3, "range_breakout"), (3, "range_failure"), (3, "trend_transition")}
 
 
-def test_freshness_timer(spark, tmp_path):
-    now = time.strftime("%Y-%m-%dT%H:%M:%S.000Z", time.gmtime())
-    path = land(tmp_path, [tick(1, 0, event_ts=now)], [tick(2, 0, instrument="j")])
-    out = st.freshness(st.read_ticks(spark, path, files_per_batch=1), 600_000)
-    # timers keep an availableNow query going until they ring, so this one is stopped
-    q = out.writeStream.format("memory").queryName("fresh").outputMode("update").option("checkpointLocation", str(tmp_path / "c-fresh")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    rows = spark.table("fresh").collect()
-    assert {(r.instrument, r.status) for r in rows} >= {("i", "FRESH"), ("j", "STALE")}
+class Held:
+    """State of one key and a clock, as the engine hands them to a processor."""
+
+    def __init__(self):
+        self.value, self.timers, self.now = None, [], 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_freshness_timer():
+    import pandas as pd
+
+    held, processor = Held(), st.Freshness(1_000)
+    processor.init(held)
+    batch = lambda ms: iter([pd.DataFrame({"event_ts": [pd.Timestamp(ms, unit="ms")]})])
+    held.now = 10_500
+    assert [tuple(r) for pdf in processor.handleInputRows(("s", "i"), batch(10_000), held) for r in pdf.to_numpy().tolist()] == [("s", "i", 10_000, 500, "FRESH")]
+    assert held.timers == [11_001]
+    list(processor.handleInputRows(("s", "i"), batch(10_400), held))
+    assert held.timers == [11_401]
+    held.now = 11_401
+    assert [r[4] for pdf in processor.handleExpiredTimer(("s", "i"), held, None) for r in pdf.to_numpy().tolist()] == ["STALE"]
+    held.now = 9_000  # a clock behind the newest tick
+    assert [r[4] for pdf in processor.handleInputRows(("s", "i"), batch(9_500), held) for r in pdf.to_numpy().tolist()] == ["FUTURE"]
 
 
 def test_liquidations_and_messages(spark, tmp_path):
