@@ -4,9 +4,10 @@ Candidates of the battery are runs of the characters that keys and tokens are wr
 fixed pattern holds cut out of them: the undivided run, and its parts between equals signs and other separators. The
 encoding is inferred from the characters used (hex, base32, letters and digits, base64). Three tests ask whether the
 run could be uniform random in that encoding: chi-squared over the alphabet, runs above and below the middle, and
-serial correlation; a run that fails any is no secret. A run that passes must also be unlike language: under the
-corpus's own letter frequencies a run of its length would repeat characters more often. The probability of repeating
-as little as it does is its p-value, so a long run needs no more evidence than a short one has to give; the p-values
+serial correlation; a run that fails any is no secret. A run that passes must also be unlike language, in which
+pairs of characters are equal at a fixed rate (``LANGUAGE_REPEAT``) and classes of characters seldom change. The
+probability that language repeats as little and changes as often is its p-value, so a long run needs no more evidence
+than a short one has to give; the p-values
 of all candidates of the corpus, from a table of counts by length and magnitude, go through Benjamini-Hochberg within
 each class of length.
 """
