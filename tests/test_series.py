@@ -166,3 +166,17 @@ def test_funding_and_book(spark):
     assert abs(r.average_price - 150 / (1 + 50 / 101)) < 1e-12 and r.fill_share == 1.0
     h = spark.range(1).select(payoff.expected_prints(F.lit(0), F.lit(28_800_000 * 2 + 1)).alias("n")).first()
     assert h.n == 2
+
+
+@pytest.mark.parametrize("bucket_ms", [1, 5_000, 1 << 40])
+def test_order_rates_by_hand(spark, bucket_ms):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, *(rng.randrange(T0, T0 + 60_000) for _ in range(30))]), rng.choice(["ENTER", "EXIT", None])) for i in range(300)]
+    rows += [("a", 300 + i, T0 + 10_000, "EXIT") for i in range(5)]
+    got = {r.id: (r.recent_orders, r.last_exit_ts, r.rate_limited, r.cooling_down) for r in payoff.order_rates(spark.createDataFrame(rows, "who string, id long, ts_ms long, kind string"), ["who"], window_ms=2_000, most=6, cooldown_ms=1_500, bucket_ms=bucket_ms).collect()}
+    for who, i, t, _ in rows:
+        own = [r for r in rows if r[0] == who]
+        recent = sum(r[2] is None if t is None else r[2] is not None and t - 2_000 <= r[2] <= t for r in own)
+        exit_ts = max((r[2] for r in own if t is not None and r[2] is not None and r[2] < t and r[3] == "EXIT"), default=None)
+        assert got[i] == (recent, exit_ts, recent > 6, exit_ts is not None and t - exit_ts < 1_500)
+    assert len(got) == len(rows)

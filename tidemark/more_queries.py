@@ -44,13 +44,13 @@ def _hours(spark, d):
 # --- sources --------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {HOURLY_SQL} SELECT 'x' AS venue, 'click' AS instrument, ts_ms, {r('open', 'high', 'low', 'close', 'volume')} FROM hours WHERE instrument = 'click' AND ts_ms >= 1704153600000 AND ts_ms < 1706400000000")
+@query(f"WITH {HOURLY_SQL} SELECT {KT}, {r('open', 'high', 'low', 'close', 'volume')} FROM hours")
 def s4_kline_pages(spark, d):
-    """Bars written as JSON pages of arrays of text, every page twice, and parsed back."""
-    h = P.hourly_bars(spark, d).where("instrument = 'click'")
+    """Bars of all instruments written as JSON pages of arrays of text, every page twice, and parsed back."""
+    h = P.hourly_bars(spark, d)
     row = F.array(*(F.col(c).cast("string") for c in ("ts_ms", "open", "high", "low", "close", "volume")))
-    pages = h.select(F.explode(F.array(F.lit(0), F.lit(1))), F.to_json(F.array(row)).alias("page"))
-    out = G.kline_pages(pages, "page", KEYS, HOURLY, 1704153600000, 1706400000000)
+    pages = h.select(*K, F.explode(F.array(F.lit(0), F.lit(1))), F.to_json(F.array(row)).alias("page"))
+    out = G.kline_pages(pages, "page", {k: F.col(k) for k in K}, HOURLY, 0, 1 << 62)
     return rounded(out.select(*K, "ts_ms", "open", "high", "low", "close", "volume"))
 
 

@@ -346,11 +346,29 @@ def exposure(fills: DataFrame, keys: list[str], capital: float) -> DataFrame:
     )
 
 
-def order_rates(orders: DataFrame, keys: list[str], ts: str = "ts_ms", window_ms: int = 60_000, most: int = 10, cooldown_ms: int = 300_000) -> DataFrame:
-    """Orders in the trailing window, and whether rate or cooldown after the last exit forbids this one."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    rows = orders.withColumn("recent_orders", F.count("*").over(w.rangeBetween(-window_ms, 0)))
-    rows = rows.withColumn("last_exit_ts", F.max(F.when(F.col("kind") == "EXIT", F.col(ts))).over(w.rangeBetween(Window.unboundedPreceding, -1)))
+def order_rates(orders: DataFrame, keys: list[str], ts: str = "ts_ms", window_ms: int = 60_000, most: int = 10, cooldown_ms: int = 300_000, bucket_ms: int = 3_600_000) -> DataFrame:
+    """Orders in the trailing window, and whether rate or cooldown after the last exit forbids this one.
+
+    A window covers one time bucket of a key, with copies of the bucket before as far back as ``window_ms`` reaches. The
+    last exit of the buckets before is a scan over one row a bucket. An order without a time counts those without one.
+    """
+    width = max(bucket_ms, window_ms)
+    bucket = F.floor(F.col(ts) / width).cast("long")
+    near = F.when(F.col(ts) + window_ms >= (bucket + 1) * width, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
+    exit_ts = F.when(F.col("kind") == "EXIT", F.col(ts))
+    w = Window.partitionBy(*keys, "__bucket").orderBy(ts)
+    rows = orders.withColumns({"__own": bucket, "__bucket": F.explode(near)})
+    rows = rows.withColumn("recent_orders", F.count("*").over(w.rangeBetween(-window_ms, 0)))
+    rows = rows.withColumn("last_exit_ts", F.max(exit_ts).over(w.rangeBetween(Window.unboundedPreceding, -1)))
+    rows = rows.where(F.col("__own").eqNullSafe(F.col("__bucket"))).drop("__own")
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    exits = orders.groupBy(*keys, bucket.alias("__bucket")).agg(F.max(exit_ts).alias("__exit"))
+    exits = exits.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col("__bucket").alias("__at"), F.max("__exit").over(before).alias("__carry"))
+    same = F.col("__bucket").eqNullSafe(F.col("__at"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    rows = rows.join(exits, same).withColumn("last_exit_ts", F.coalesce("last_exit_ts", "__carry"))
+    rows = rows.drop("__bucket", "__at", "__carry", *(f"__key_{k}" for k in keys))
     return rows.withColumns({"rate_limited": F.col("recent_orders") > most, "cooling_down": F.coalesce(F.col(ts) - F.col("last_exit_ts") < cooldown_ms, F.lit(False))})
 
 

@@ -48,12 +48,15 @@ def write_partitioned(df: DataFrame, path: str, ts: str = "ts_ms", name: str = "
     rows.repartition(name, F.pmod(F.xxhash64(ts), F.lit(4))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
 
 
-def kline_pages(pages: DataFrame, payload: str, keys: dict[str, str], series: Series, start_ms: int, end_ms: int) -> DataFrame:
-    """Bars from pages that are arrays of [open_time, open, high, low, close, volume, ...]; later pages win."""
+def kline_pages(pages: DataFrame, payload: str, keys: dict[str, str | Column], series: Series, start_ms: int, end_ms: int) -> DataFrame:
+    """Bars from pages that are arrays of [open_time, open, high, low, close, volume, ...]; later pages win.
+
+    ``keys`` holds the name of a venue or instrument, or the column of ``pages`` with each page's own.
+    """
     row = F.explode(F.from_json(payload, "array<array<string>>"))
-    rows = pages.select(F.monotonically_increasing_id().alias("arrival"), row.alias("k"))
+    rows = pages.select(*(F.lit(v).alias(k) for k, v in keys.items()), F.monotonically_increasing_id().alias("arrival"), row.alias("k"))
     names = ("open", "high", "low", "close", "volume")
-    out = rows.select(*(F.lit(v).alias(k) for k, v in keys.items()), F.get("k", 0).cast("long").alias(series.ts), *(F.get("k", i + 1).cast("double").alias(n) for i, n in enumerate(names)), "arrival")
+    out = rows.select(*keys, F.get("k", 0).cast("long").alias(series.ts), *(F.get("k", i + 1).cast("double").alias(n) for i, n in enumerate(names)), "arrival")
     out = out.where((F.col(series.ts) >= start_ms) & (F.col(series.ts) < end_ms))
     return finalize_bars(out, series, ["arrival"])
 
