@@ -22,8 +22,8 @@ from tidemark.llm.common import text_crc_mod, tokenizer_path, write_table
 
 PIECES_FILE = "piece_bpe_32k.model"
 SMOOTHING = 0.1
-#: Words whose scores are carried to the documents: a bound on the broadcast, not on what is scored.
-HEAD_WORDS = 65_536
+#: Words whose scores are carried to the documents, and bytes of one: a bound on the broadcast, not on what is scored.
+HEAD_WORDS, HEAD_BYTES = 65_536, 64
 #: Distinct words a counting task holds before it hands its counts on.
 COUNTER_SIZE = 250_000
 #: Rows of word uses handed on at once.
@@ -137,7 +137,7 @@ USES = "doc_id long, h long, word string, k long, train boolean, known long, bas
 
 def _split_scores(docs: DataFrame, head: dict[bytes, tuple[int, float]]) -> DataFrame:
     """Per row one row of sums over head words (word null) and one for each other distinct word with its count."""
-    sent = docs.sparkSession.sparkContext.broadcast(head)  # HEAD_WORDS entries
+    sent = docs.sparkSession.sparkContext.broadcast(head)  # HEAD_WORDS entries of HEAD_BYTES at most
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: (c, math.log10(c + SMOOTHING), s) for w, (c, s) in sent.value.items()}
@@ -190,7 +190,7 @@ def likelihood(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     counts = {r["piece"]: r["count"] for r in count_pieces(vocab, model_file).collect()}  # bounded by the vocabulary file
     lattice = Lattice(model_file, counts, ends)
     scored = write_table(score_words(vocab, lattice), "word-scores")
-    head = scored.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
+    head = scored.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
     head = {r["word"].encode(): (r["c"], r["lattice"]) for r in head}
 
     # rows that share a doc_id but not the text are scored apart; equal rows give equal sums, as often as they stand
