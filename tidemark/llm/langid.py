@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import document_batches, text_crc_mod
 
 UNDETERMINED = "und"
-#: The sample a dictionary is cut from: so many labelled rows of a language, so many bytes of each.
-SAMPLE_ROWS, SAMPLE_BYTES = 320, 1024
+#: The sample a dictionary is cut from: so many labelled rows of a language, a slice of so many characters of each.
+SAMPLE_ROWS, SAMPLE_CHARS = 320, 1024
 #: Bytes of a dictionary; all dictionaries together stay under ALL_BYTES, however many languages there are.
 DICT_BYTES, ALL_BYTES = 256 * 1024, 16 * 1024 * 1024
 BLOCK, LEVEL = 2048, 3
@@ -38,11 +38,12 @@ def plain(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_ASCII_LETTERS).split()) + b" "
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
+def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionary content per language, from rows with a language and a letter.
 
     The counts cover all rows. The sample is what has the smallest hashes of its text: the hash bound passes about
     twice ``sample_rows`` rows of each language to the driver, never more than four times (the rest is cut off there).
+    A long text gives a slice from a place that another hash chooses, so that any part of it may be learnt from.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
@@ -51,7 +52,9 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = S
         return {}
     hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1) / float(1 << 63))
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(2.0 * sample_rows / n))])
-    picked = hashed.where(F.col("h") < share[F.col("lang")]).select("lang", "h", F.substring("text", 1, sample_bytes).alias("text"))
+    places = F.greatest(F.char_length("text") - sample_chars, F.lit(0)) + 1
+    piece = F.substr("text", (F.pmod(F.xxhash64(F.lit("place"), "text"), places) + 1).cast("int"), F.lit(sample_chars))
+    picked = hashed.where(F.col("h") < share[F.col("lang")]).select("lang", "h", piece.alias("text"))
     picked = picked.dropDuplicates(["lang", "text"]).orderBy("h").limit(4 * sample_rows * len(counts)).collect()
     room = min(DICT_BYTES, ALL_BYTES // len(counts))
     out: dict[str, bytes] = {}
