@@ -282,6 +282,30 @@ def test_vectors(spark):
     assert multi_index.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_recall_of_planted_vectors(spark):
+    """Pairs just above and below 0.98 in two lengths, with text labels: recall against brute force, and no link below."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for dim in (16, 24):
+        for u in multi_index.unit(rng.standard_normal((250, dim))):
+            noise = rng.standard_normal(dim)
+            noise = multi_index.unit((noise - (noise @ u) * u)[None])[0]
+            label = "xy"[int(rng.integers(2))]
+            for cosine in (1.0, 0.9805, 0.9795):
+                rows.append((len(rows), (cosine * u + math.sqrt(1 - cosine**2) * noise * rng.choice([-1, 1])).tolist(), label))
+    want = set()
+    for (i, v, a), (j, w, b) in itertools.combinations(rows, 2):
+        if a == b and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98:
+            want |= {(i, j), (j, i)}
+    got = {r.vec_id: r for r in multi_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), block=100).collect()}
+    links = {i: sum(a == i for a, _ in want) for i in got}
+    assert len(got) == len(rows) and len(want) >= 1000
+    assert all(r.n_links <= links[i] for i, r in got.items())
+    for long in (False, True):
+        own = [i for i in got if (len(rows[i][1]) == 24) == long]
+        assert sum(got[i].n_links for i in own) >= 0.95 * sum(links[i] for i in own)
+
+
 def test_traversal_visits_the_nearest_cells():
     rng = np.random.default_rng(0)
     index = multi_index.Index(rng.standard_normal((600, 8)), 40_000, 0.98, 0.99)
@@ -310,6 +334,9 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     empty = spark.createDataFrame([], DOCS)
     assert langid.split_identify(empty).count() == 0
+    long = spark.createDataFrame([(i, f"{i} {'a' * 5000} {'b' * 5000}", "y") for i in range(40)], "doc_id long, text string, lang string")
+    learnt = langid.learn(long, sample_rows=40, sample_chars=50)["y"]
+    assert b"a" in learnt and b"b" in learnt and len(learnt) <= 40 * 51  # from all parts of the texts
 
 
 def test_quotes(spark):

@@ -68,13 +68,13 @@ class Index:
     """Codebooks of the two halves and the number of cells that a vector visits."""
 
     def __init__(self, sample: np.ndarray, n: int, threshold: float, recall: float, seed: int = 7):
-        self.dim, self.half = sample.shape[1], sample.shape[1] // 2
+        dim, self.half = sample.shape[1], sample.shape[1] // 2
         k = int(min(MOST_CENTROIDS, max(2, np.ceil(np.sqrt(n / CELL)))))
         u = unit(sample)
         self.books = [_kmeans(u[:, : self.half], k, seed), _kmeans(u[:, self.half :], k, seed + 1)]
         # vectors at exactly the threshold, in random directions: the farthest that must be found
         noise = np.random.default_rng(seed + 2).standard_normal(u.shape)
-        noise = unit(noise - (noise * u).sum(1, keepdims=True) * u) if self.dim > 1 else np.zeros_like(u)
+        noise = unit(noise - (noise * u).sum(1, keepdims=True) * u) if dim > 1 else np.zeros_like(u)
         at = self.home(threshold * u + np.sqrt(1 - threshold**2) * noise)
         d = [_distances(h, b) for h, b in zip(self._halves(u), self.books, strict=True)]
         width = len(self.books[1])
@@ -177,7 +177,9 @@ def _cells_worker(threshold: float, dtype):
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    Vectors are compared where labels (and lengths) are equal and labels are not null. A vector that is null, empty,
+    Vectors are compared where labels (of any type, by their text) and lengths are equal and labels are not null. The
+    commonest length, and each that more than ``block`` vectors have, gets an index of its own; vectors of a rarer
+    length share one cell. A vector that is null, empty,
     zero or holds a null or non-finite component links with nothing, like one with a null vec_id: n_links 0, its own
     component, kept. Equal vectors are one entry of the index with a count and link with each other. Other columns are
     ignored. Repeated rows count as copies of each other. An empty table gives no rows.
@@ -191,18 +193,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
             raw = [v if i is not None and k is not None else None for v, i, k in zip(raw, b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], ["vec_id", "label", "vec"])
 
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
-    rows = write_table(rows.mapInArrow(prepare, "vec_id long, label long, vec binary"), "vectors")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")
+    rows = write_table(rows.mapInArrow(prepare, "vec_id long, label string, vec binary"), "vectors")
     entries = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"))
     entries = write_table(entries.withColumn("dim", F.octet_length("vec") / np.dtype(dtype).itemsize).withColumn("dim", F.col("dim").cast("int")), "vector-entries")
-    sizes = entries.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if sizes:
-        dim, n = sizes[0]["dim"], sizes[0]["count"]
+    lengths = entries.groupBy("dim").count()
+    commonest = lengths.orderBy(F.desc("count"), "dim").limit(1).collect()
+    indexes = {}
+    for dim, n in {*commonest, *lengths.where(F.col("count") > block).collect()}:
         sample = entries.where(F.col("dim") == dim).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vec").collect()
-        index = Index(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), dtype).reshape(len(sample), dim), n, threshold, recall)
-        found = _probe(entries, index, dtype, threshold, block)
-    else:
-        found = entries.sparkSession.createDataFrame([], "node long, links long, component long")
+        indexes[dim] = Index(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), dtype).reshape(len(sample), dim), n, threshold, recall)
+    found = _probe(entries, indexes, dtype, threshold, block)
     found = write_table(found, "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b"))).withColumnRenamed("node", "part")
@@ -213,23 +214,22 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _probe(entries: DataFrame, index: Index, dtype, threshold: float, block: int) -> DataFrame:
-    sent = entries.sparkSession.sparkContext.broadcast(index)  # at most 2 * MOST_CENTROIDS centroids
+def _probe(entries: DataFrame, indexes: dict[int, Index], dtype, threshold: float, block: int) -> DataFrame:
+    sent = entries.sparkSession.sparkContext.broadcast(indexes)  # at most 2 * MOST_CENTROIDS centroids a length
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = sent.value
         for b in batches:
-            dims, raw = b.column(3).to_pylist(), b.column(4).to_pylist()
-            home, visit = np.zeros(len(raw), np.int32), [np.zeros(1, np.int32)] * len(raw)  # vectors of another length share cell 0
-            own = [i for i, d in enumerate(dims) if d == ix.dim]
-            if own:
-                u = unit(np.frombuffer(b"".join(raw[i] for i in own), dtype).reshape(len(own), ix.dim))
+            dims, raw = b.column(3).to_numpy(), b.column(4).to_pylist()
+            home, visit = np.zeros(len(raw), np.int32), [np.zeros(1, np.int32)] * len(raw)  # vectors of a rare length share cell 0
+            for dim in set(dims.tolist()) & sent.value.keys():
+                ix, own = sent.value[dim], np.flatnonzero(dims == dim).tolist()
+                u = unit(np.frombuffer(b"".join(raw[i] for i in own), dtype).reshape(len(own), dim))
                 home[own] = ix.home(u)
                 for i, v in zip(own, ix.visit(u), strict=True):
                     visit[i] = v
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(home), pa.array(visit, pa.list_(pa.int32()))], ["label", "node", "mult", "dim", "vec", "home", "visit"])
 
-    cells = entries.select("label", "node", "mult", "dim", "vec").mapInArrow(assign, "label long, node long, mult long, dim int, vec binary, home int, visit array<int>")
+    cells = entries.select("label", "node", "mult", "dim", "vec").mapInArrow(assign, "label string, node long, mult long, dim int, vec binary, home int, visit array<int>")
     cells = write_table(cells, "vector-cells")
     large = cells.groupBy("label", "dim", "home").count().where(F.col("count") > block)
     large = large.select("label", "dim", F.col("home").alias("cell"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
