@@ -69,6 +69,13 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
 
 
+def op13_vocabulary_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and link counts of the byte-level vocabulary against the pieces, one row a document."""
+    from tidemark.llm.vocabulary_alignment import align
+
+    return align(read_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

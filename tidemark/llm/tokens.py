@@ -24,14 +24,16 @@ class Encoder:
     token, which the library turns into that token's id wherever it stands.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
+        """``plain_specials``: strings of special tokens inside a text are ordinary text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
@@ -109,6 +111,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """One per worker process, so that its cache outlives a task."""
-    return Encoder(path)
+    return Encoder(path, plain_specials)
