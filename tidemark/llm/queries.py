@@ -69,6 +69,13 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, with the repeats planted by doc_id, one row a document."""
+    from tidemark.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(read_documents(spark, sf_dir), plant=True)
+
+
 def op13_vocabulary_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups, links and link counts of the byte-level vocabulary against the pieces, one row a document."""
     from tidemark.llm.vocabulary_alignment import align
