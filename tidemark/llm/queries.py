@@ -76,6 +76,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(read_documents(spark, sf_dir), plant=True)
 
 
+def op12_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 2048 tokens as the configurations give, one row a piece."""
+    from tidemark.llm.configuration_packing import pack
+
+    return pack(read_documents(spark, sf_dir))
+
+
 def op13_vocabulary_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups, links and link counts of the byte-level vocabulary against the pieces, one row a document."""
     from tidemark.llm.vocabulary_alignment import align
