@@ -153,6 +153,33 @@ def test_greedy_choice_equals_a_loop(spark, bars):
     assert got == picks
 
 
+@pytest.mark.parametrize("horizon,block_rows,joined", [(2, 32, 2), (7, 16, 3), (9, 16_384, 256), (40, 80, 2), (1, 64, 2)])
+def test_composed_choice_equals_a_loop(spark, horizon, block_rows, joined):
+    """Dense, sparse and gappy stretches, across chunks, blocks and runs of blocks."""
+    rng = random.Random(horizon)
+    rows = []
+    for key in ("dense", "sparse", "mixed", "every"):
+        share = 1.0
+        for i in range(3000):
+            if key == "mixed" and i % 97 == 0:
+                share = rng.choice([0.0, 0.02, 0.5, 1.0])
+            odds = {"dense": 0.9, "sparse": 0.02, "mixed": share, "every": 1.0}[key]
+            rows.append(("x", key, T0 + 60_000 * i, i, rng.random() < odds))
+    df = spark.createDataFrame(rows, "venue string, instrument string, ts_ms long, i int, go boolean").repartition(6)
+    chosen = payoff.select_non_overlapping(df, SERIES.at(chunk=64), "go", horizon, block_rows, joined)
+    got = sorted((r.instrument, r.i) for r in chosen.collect())
+    want = []
+    for key in ("dense", "sparse", "mixed", "every"):
+        free = 0
+        for _, k, _, i, go in rows:
+            if k == key and go and i >= free:
+                want.append((key, i))
+                free = i + horizon
+    assert got == sorted(want)
+    plan = chosen._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+
+
 def test_q_values_are_monotone(spark):
     df = spark.createDataFrame([(float(t),) for t in (0.1, 4.0, 2.5, -3.0, 1.0)] + [(None,)], "t_stat double")
     rows = [r for r in events.with_q_values(df).collect() if r.p_value is not None]

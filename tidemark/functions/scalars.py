@@ -123,19 +123,6 @@ def state_map(*names: str) -> Column:
     return F.map_filter(m, lambda _, v: v.isNotNull() & ~F.isnan(v))
 
 
-#: Accuracy of quantiles: the error of a rank is at most one in so many.
-QUANTILE_ACCURACY = 100_000
-
-
-def quantiles(x: Column, q) -> Column:
-    """Quantiles of a group that may be the whole table: a sketch of bounded size that merges before the shuffle.
-
-    Exact for groups of fewer distinct values than QUANTILE_ACCURACY, where the value at or above the rank is taken
-    rather than a mean of two neighbours.
-    """
-    return F.percentile_approx(x, q, QUANTILE_ACCURACY)
-
-
 def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col(x)))
 

@@ -366,10 +366,26 @@ def c12_best_side(spark, d):
     return rounded(e.select("event_id", *(v.alias(k) for k, v in C.best_side(F.col("value") - 100, 100 - F.col("value")).items())))
 
 
-@query()
+def _greedy_sql(go: str, h: int) -> str:
+    """Rows p of ``pre`` chosen one after another, at least ``h`` apart, and the parts of their trades."""
+    return f"""{BARS_SQL}, n AS (SELECT *, row_number() OVER w - 1 AS i, close / nullif(lag(close, 5) OVER w, 0) - 1 AS prediction, lead(open) OVER w AS entry, lead(open, {h + 1}) OVER w AS leave FROM bars {W0}),
+  s AS (SELECT *, sign(prediction)::INT AS side FROM n), a AS (SELECT *, side * ((entry * (1 + side * abs(prediction)) * (1 - side * 0.0002)) / (entry * (1 + side * 0.0002)) - 1) AS pg, 0.0005 * (1 + (entry * (1 + side * abs(prediction)) * (1 - side * 0.0002)) / (entry * (1 + side * 0.0002))) AS pf FROM s),
+  pre AS (SELECT *, pg - pf AS predicted_net, pg - pf - coalesce(volume / 1000, 0) * abs(pg) AS adjusted_net FROM a), el AS (SELECT venue, instrument, i FROM pre WHERE leave IS NOT NULL AND {go}),
+  g AS (SELECT venue, instrument, min(i) AS i FROM el GROUP BY ALL UNION ALL SELECT g.venue, g.instrument, (SELECT min(e.i) FROM el e WHERE e.venue = g.venue AND e.instrument = g.instrument AND e.i >= g.i + {h}) FROM g WHERE g.i IS NOT NULL),
+  p AS (SELECT pre.*, side * ((leave * (1 - side * 0.0002)) / (entry * (1 + side * 0.0002)) - 1) AS gross, 0.0005 * (1 + (leave * (1 - side * 0.0002)) / (entry * (1 + side * 0.0002))) AS fees FROM g JOIN pre USING (venue, instrument, i))"""
+
+
+@query(f"WITH RECURSIVE {_greedy_sql('abs(prediction) > 0.05', 5)} SELECT {KT}, side::BIGINT AS side, round(gross, 8) + 0.0 AS gross, round(gross - fees, 8) + 0.0 AS net FROM p")
 def c13_fixed_horizon(spark, d):
     b = framed(P.daily_bars(spark, d), DAILY, 5, 0, lambda w: {"prediction": W.change("close", 5, w)})
-    return C.fixed_horizon_trades(b, DAILY, 5, 0.05).select(*K, "ts_ms", "side", "gross", "net")
+    return rounded(C.fixed_horizon_trades(b, DAILY, 5, 0.05).select(*K, "ts_ms", "side", "gross", "net"), 8)
+
+
+@query(f"WITH RECURSIVE {_greedy_sql('side <> 0 AND adjusted_net >= 2.0 * 0.0014', 15)} SELECT {KT}, side::BIGINT AS side, round(predicted_net, 8) + 0.0 AS predicted_net, round(adjusted_net, 8) + 0.0 AS adjusted_net, round(gross, 8) + 0.0 AS gross, round(gross - fees, 8) + 0.0 AS net FROM p")
+def c13_edge_gated(spark, d):
+    """Trades gated by the predicted net return after a penalty for uncertainty, here a thousandth of the volume."""
+    b = framed(P.daily_bars(spark, d), DAILY, 5, 0, lambda w: {"prediction": W.change("close", 5, w)}).withColumn("unsure", F.col("volume") / 1000)
+    return rounded(C.edge_gated_trades(b, DAILY, 15, uncertainty="unsure").select(*K, "ts_ms", "side", "predicted_net", "adjusted_net", "gross", "net"), 8)
 
 
 @query(f"""WITH {_RETS_SQL}, x AS (SELECT *, {z_sql('volume', 60)} AS vz FROM rets), m AS (SELECT coalesce(vz > 2, false) AS o, 'exec_ret_1' AS horizon, exec_ret_1 AS r FROM x WHERE exec_ret_1 IS NOT NULL UNION ALL SELECT coalesce(vz > 2, false), 'exec_ret_5', exec_ret_5 FROM x WHERE exec_ret_5 IS NOT NULL),

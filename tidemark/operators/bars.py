@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import bucket
+from tidemark.plans.quantiles import with_quantiles
 from tidemark.spec import Series
 
 STEPS = {"1m": 60_000, "5m": 300_000, "15m": 900_000, "1h": 3_600_000, "4h": 14_400_000}
@@ -92,9 +93,13 @@ def distribution(df: DataFrame, value: Column, keys: list[str], exact: bool = Tr
     """n, mean, median, sd, share positive and negative, 5/25/75/95 % of ``value`` per key."""
     points = [0.05, 0.25, 0.5, 0.75, 0.95]
     rows = df.select(*keys, value.alias("v")).where("v is not null and not isnan(v)")
-    p = F.percentile("v", F.array(*map(F.lit, points))) if exact else F.percentile_approx("v", points, 10_000)
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.avg((F.col("v") > 0).cast("double")).alias("p_pos"), F.avg((F.col("v") < 0).cast("double")).alias("p_neg"), p.alias("__p"))
-    return out.select(*keys, "n", "mean", "sd", "p_pos", "p_neg", *(F.get("__p", i).alias(n) for i, n in enumerate(["p05", "p25", "median", "p75", "p95"])))
+    names = ["p05", "p25", "median", "p75", "p95"]
+    share = lambda c: F.avg(c.cast("double"))
+    stats = [F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), share(F.col("v") > 0).alias("p_pos"), share(F.col("v") < 0).alias("p_neg")]
+    if not exact:
+        out = rows.groupBy(*keys).agg(*stats, F.percentile_approx("v", points, 10_000).alias("__p"))
+        return out.select(*keys, "n", "mean", "sd", "p_pos", "p_neg", *(F.get("__p", i).alias(n) for i, n in enumerate(names)))
+    return with_quantiles(rows.groupBy(*keys).agg(*stats), rows, keys, {"v": F.col("v")}, {n: ("v", q) for n, q in zip(names, points, strict=True)})
 
 
 def unpivoted(df: DataFrame, keep: list[str], columns: list[str], name: str = "name", value: str = "value") -> DataFrame:
@@ -107,4 +112,5 @@ def tail_statistics(df: DataFrame, returns: list[str], keys: list[str], bps: lis
     """Per key and horizon: n, mean, median, sd and the share of moves beyond each size, up and down."""
     rows = unpivoted(df, keys, returns, "horizon", "r").where("r is not null")
     tails = [F.avg((F.col("r") > k / 1e4).cast("double")).alias(f"p_up_{k}") for k in bps] + [F.avg((F.col("r") < -k / 1e4).cast("double")).alias(f"p_dn_{k}") for k in bps]
-    return rows.groupBy(*keys, "horizon").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.percentile("r", 0.5).alias("median"), F.stddev_samp("r").alias("sd"), *tails)
+    out = rows.groupBy(*keys, "horizon").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), *tails)
+    return with_quantiles(out, rows, [*keys, "horizon"], {"r": F.col("r")}, {"median": ("r", 0.5)})

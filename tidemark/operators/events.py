@@ -7,9 +7,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import EPS, quantiles, two_sided_p
+from tidemark.functions.scalars import EPS, two_sided_p
 from tidemark.operators.bars import unpivoted
 from tidemark.operators.features import change, zscore
+from tidemark.plans.quantiles import with_quantiles
 from tidemark.plans.series import framed
 from tidemark.spec import Series
 
@@ -281,10 +282,11 @@ def event_study(df: DataFrame, events: list[str], returns: list[str], extra: lis
     r2 = F.col("r") * F.col("r")
     out = rows.groupBy("event", *extra, "horizon").agg(
         F.count_if(on).alias("n"), F.sum(F.when(on, F.col("r"))).alias("s1"), F.sum(F.when(on, r2)).alias("q1"), F.count_if(~on).alias("n_rest"), F.sum(F.when(~on, F.col("r"))).alias("s0"), F.sum(F.when(~on, r2)).alias("q0"),
-        quantiles(F.when(on, F.col("r")), 0.5).alias("median"), F.avg(F.when(on, (F.col("r") > 0).cast("double"))).alias("p_pos"),
+        F.avg(F.when(on, (F.col("r") > 0).cast("double"))).alias("p_pos"),
     )
+    out = with_quantiles(out.where(F.col("n") >= least), rows.where(on), ["event", *extra, "horizon"], {"r": F.col("r")}, {"median": ("r", 0.5)})
     stats = welch(F.col("n"), F.col("s1"), F.col("q1"), F.col("n_rest"), F.col("s0"), F.col("q0"))
-    return out.where(F.col("n") >= least).select("event", *extra, "horizon", "n", "n_rest", "median", "p_pos", *(v.alias(k) for k, v in stats.items()))
+    return out.select("event", *extra, "horizon", "n", "n_rest", "median", "p_pos", *(v.alias(k) for k, v in stats.items()))
 
 
 def regime_study(df: DataFrame, events: list[str], returns: list[str], regimes: list[str], least: int = 30) -> DataFrame:
@@ -339,12 +341,20 @@ def classified_regime(vol_regime: str, trend_score: str, funding_z: str) -> dict
     }
 
 
+def _finite(c: str) -> Column:
+    return ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
 def tertile_regimes(train: DataFrame, rows: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """LOW / MID / HIGH of each column by the training rows' tertiles, which are one row."""
-    cuts = train.agg(*(quantiles(F.col(c), [1 / 3, 2 / 3]).alias(f"__{c}") for c in columns))
+    """low, normal or high of each column by the tertiles of the finite training values; a bound belongs below.
+
+    Null and NaN have no regime. The tertiles are one row.
+    """
+    points = {f"__{k}_{c}": (c, k / 3) for c in columns for k in (1, 2)}
+    cuts = with_quantiles(train.agg(F.count("*").alias("__n")), train, [], {c: F.when(_finite(c), F.col(c)) for c in columns}, points)
     out = rows.crossJoin(F.broadcast(cuts))  # an aggregate: one row
-    name = lambda c: F.when(F.col(c) < F.get(f"__{c}", 0), "LOW").when(F.col(c) < F.get(f"__{c}", 1), "MID").when(F.col(c).isNotNull(), "HIGH")
-    return out.withColumns({f"{c}_regime": name(c) for c in columns}).drop(*(f"__{c}" for c in columns))
+    name = lambda c: F.when(F.col(c) <= F.col(f"__1_{c}"), "low").when(F.col(c) <= F.col(f"__2_{c}"), "normal").when(~F.isnan(c), "high")
+    return out.withColumns({f"{c}_regime": name(c) for c in columns}).drop("__n", *points)
 
 
 def digest_alerts(digests: DataFrame, series: Series) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.quantiles import with_quantiles
 from tidemark.plans.series import block_scan, framed, with_row_index
+from tidemark.plans.shared import write_table
 from tidemark.spec import Series
 
 FEE, SLIPPAGE = 0.0005, 0.0002
@@ -124,7 +126,8 @@ def stress_suite(df: DataFrame, **options) -> DataFrame:
 def edge_summary(df: DataFrame, keys: list[str], edge: str = "edge", cost: float | None = None) -> DataFrame:
     c = F.lit(cost if cost is not None else 2 * (FEE + SLIPPAGE))
     e = F.abs(edge)
-    return df.groupBy(*keys).agg(F.count(edge).alias("n"), F.avg(e).alias("mean_abs_edge"), F.percentile(e, 0.5).alias("median_abs_edge"), F.avg((e > c).cast("double")).alias("share_above_cost"), F.max(e).alias("max_abs_edge"))
+    out = df.groupBy(*keys).agg(F.count(edge).alias("n"), F.avg(e).alias("mean_abs_edge"), F.avg((e > c).cast("double")).alias("share_above_cost"), F.max(e).alias("max_abs_edge"))
+    return with_quantiles(out, df, keys, {"e": e}, {"median_abs_edge": ("e", 0.5)})
 
 
 def survival(train: DataFrame, outcome: str = "outcome", offset: str = "holding", longest: int = 60) -> DataFrame:
@@ -137,35 +140,78 @@ def survival(train: DataFrame, outcome: str = "outcome", offset: str = "holding"
     return filled.withColumn("survival", 1 - F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total).drop("count")
 
 
-def select_non_overlapping(df: DataFrame, series: Series, eligible: str, horizon: int) -> DataFrame:
+#: Rows of a block of chunks, and blocks that are joined to one: how choices are carried along a series.
+BLOCK_ROWS, BLOCKS_JOINED = 16_384, 256
+
+
+def select_non_overlapping(df: DataFrame, series: Series, eligible: str, horizon: int, block_rows: int = BLOCK_ROWS, joined: int = BLOCKS_JOINED) -> DataFrame:
     """Greedy choice of eligible rows at least ``horizon`` rows apart, earliest first; returns the chosen rows.
 
-    A row whose distance to the eligible row before is at least the horizon is chosen whatever came before, so the
-    stretches between such rows are independent and fold in parallel. Only eligible rows are moved.
-    A stretch ends at every gap of ``horizon`` rows without an eligible one.
+    A chunk of ``horizon`` rows holds one choice at most: the first eligible row at or after the place from which the
+    choice before it frees the chunk. So a chunk is a map from that place to the place of its own choice, which is where
+    the next chunk becomes free. Maps are composed over blocks of chunks and over runs of blocks, both in parallel; the
+    few runs of a series are walked through in order, and their starts are handed down to blocks and chunks, where the
+    choices are read off. Only eligible rows are moved, and nothing holds more than a run's maps.
     """
     rows = with_row_index(df, series).where(F.col(eligible))
-    stretch = _stretches(rows, series, horizon)
-    schema = T.StructType([*stretch.schema])
+    h = int(horizon)
+    if h <= 1:
+        return rows.drop("row_idx")
+    keys = list(series.keys)
+    per_block = max(16, min(512, block_rows // h))
+    chunk = F.floor(F.col("row_idx") / h).cast("long")
+    places = rows.select(*keys, chunk.alias("c"), (F.col("row_idx") % h).cast("int").alias("at")).groupBy(*keys, "c").agg(F.sort_array(F.collect_list("at")).alias("at"))  # ``horizon`` places at most
+    chunks = places.select(*keys, "c", F.floor(F.col("c") / per_block).cast("long").alias("b"), _choices("at", h).alias("map"))
+    blocks = chunks.groupBy(*keys, "b").agg(F.sort_array(F.collect_list(F.struct(F.col("c").alias("i"), "map"))).alias("steps"))
+    blocks = write_table(blocks.withColumns({"map": _composed("steps", F.col("b") * per_block, per_block, h), "r": F.floor(F.col("b") / joined).cast("long")}), "choices")
+    runs = blocks.groupBy(*keys, "r").agg(F.sort_array(F.collect_list(F.struct(F.col("b").alias("i"), "map"))).alias("steps"))
+    runs = runs.withColumn("map", _composed("steps", F.col("r") * joined, joined, h))
+    series_of = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("r").alias("i"), "map"))).alias("steps"))
+    # the starts of runs, of blocks in a run, of chunks in a block
+    at_runs = series_of.select(*keys, F.explode(_starts("steps", F.lit(0))).alias("x")).select(*keys, F.col("x.i").alias("r"), F.col("x.start").alias("start"))
+    at_blocks = runs.join(at_runs, [*keys, "r"]).select(*keys, F.explode(_starts("steps", F.col("start"), F.col("r") * joined)).alias("x")).select(*keys, F.col("x.i").alias("b"), F.col("x.start").alias("start"))
+    at_chunks = blocks.join(at_blocks, [*keys, "b"]).select(*keys, F.explode(_starts("steps", F.col("start"), F.col("b") * per_block)).alias("x"))
+    picked = at_chunks.select(*keys, (F.col("x.i") * h + F.get("x.map", F.col("x.start"))).alias("row_idx"), F.get("x.map", F.col("x.start")).alias("__at")).where("__at >= 0").drop("__at")
+    return rows.join(picked, [*keys, "row_idx"], "left_semi").drop("row_idx")
+
+
+def _choices(at: str, h: int) -> Column:
+    """For each place from 0 to h - 1 the first of the sorted places ``at`` that is not before it, or -1."""
+    before = F.concat(F.array(F.lit(-1)), F.col(at))
+    filled = F.flatten(F.transform(at, lambda p, i: F.array_repeat(p, p - F.get(before, i))))
+    return F.concat(filled, F.array_repeat(F.lit(-1), h - 1 - F.element_at(F.col(at), -1)))
+
+
+def _passed(step: Column, at: Column, place: Column) -> Column:
+    """Where the step after ``step`` is free, if ``step`` is free from ``place`` on and the step before it was ``at - 1``.
+
+    A step that is missing, as one without an eligible row is, frees the next one from its start.
+    """
+    free = F.get(step["map"], F.when(step["i"] == at, place).otherwise(F.lit(0)))
+    return F.greatest(free, F.lit(0))
+
+
+def _composed(steps: str, first: Column, n: int, h: int) -> Column:
+    """The map of ``n`` steps from number ``first`` on, of which ``steps`` (i, map) are there."""
+    start = lambda place: F.struct(first.cast("long").alias("i"), place.cast("int").alias("p"))
+    walk = lambda acc, s: F.struct((s["i"] + 1).alias("i"), _passed(s, acc["i"], acc["p"]).alias("p"))
+    end = lambda acc: F.when(acc["i"] == first + n, acc["p"]).otherwise(F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda place: F.aggregate(steps, start(place), walk, end))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx", kind="stable")
-        keep, last = [], -(1 << 60)
-        for i in pdf["row_idx"].tolist():
-            take = i - last >= horizon
-            keep.append(take)
-            last = i if take else last
-        return pdf[keep]
 
-    return stretch.groupBy(*series.keys, "__stretch").applyInPandas(fold, schema).drop("__stretch", "row_idx")
+def _starts(steps: str, place: Column, first: Column | None = None) -> Column:
+    """Each step with the place from which it is free: (i, map, start)."""
+    first = F.col(steps)[0]["i"] if first is None else first
+    kind = "array<struct<i: bigint, start: int>>"
+    zero = F.struct(first.cast("long").alias("i"), place.cast("int").alias("p"), F.array().cast(kind).alias("out"))
 
+    def walk(acc, s):
+        free = F.when(s["i"] == acc["i"], acc["p"]).otherwise(F.lit(0))
+        out = F.concat(acc["out"], F.array(F.struct(s["i"].alias("i"), free.alias("start"))))
+        return F.struct((s["i"] + 1).alias("i"), _passed(s, acc["i"], acc["p"]).alias("p"), out.alias("out"))
 
-def _stretches(rows: DataFrame, series: Series, horizon: int) -> DataFrame:
-    """Number the stretches of eligible rows between forced choices."""
-    eligible = series.at(ts="row_idx", step_ms=1)
-    before = framed(rows.withColumnRenamed("row_idx", "__at"), series.at(ts="__at", step_ms=1), 1, 0, lambda w: {"__prev": F.lag("__at").over(w)}).withColumnRenamed("__at", "row_idx")
-    forced = F.coalesce((F.col("row_idx") - F.col("__prev") >= horizon).cast("long"), F.lit(1))
-    return block_scan(before, eligible, {"__stretch": forced}).drop("__prev")
+    starts = F.aggregate(steps, zero, walk, lambda acc: acc["out"])
+    return F.zip_with(steps, starts, lambda s, x: F.struct(s["i"].alias("i"), s["map"].alias("map"), x["start"].alias("start")))
 
 
 def barrier_trades(touched: DataFrame, series: Series, side: int, horizon: int, chosen: str | None = None) -> DataFrame:
@@ -192,6 +238,23 @@ def fixed_horizon_trades(df: DataFrame, series: Series, horizon: int, threshold:
     return picked.withColumns(components())
 
 
+def edge_gated_trades(df: DataFrame, series: Series, horizon: int, prediction: str = "prediction", uncertainty: str | None = None, min_edge: float = 2.0) -> DataFrame:
+    """Fixed-horizon trades whose predicted net return is ``min_edge`` times the cost of a round trip with funding.
+
+    The prediction is priced like the trade itself, with the rate visible at the decision (column funding, 0 if absent);
+    with ``uncertainty`` that share of the predicted gross size is taken off first. Then as ``fixed_horizon_trades``.
+    """
+    rows = framed(df, series, 0, horizon + 2, lambda w: {"entry": F.lead("open", 1).over(w), "exit": F.lead("open", horizon + 1).over(w)})
+    rows = rows if "funding" in rows.columns else rows.withColumn("funding", F.lit(0.0))
+    rows = rows.withColumn("side", F.signum(prediction).cast("int"))
+    rows = rows.withColumn("__aim", F.col("entry") * (1 + F.col("side") * F.abs(prediction)))
+    aim = components(leave="__aim")
+    penalty = F.coalesce(F.col(uncertainty), F.lit(0.0)) * F.abs(aim["gross"]) if uncertainty else F.lit(0.0)
+    rows = rows.withColumns({"predicted_net": aim["net"], "adjusted_net": aim["net"] - penalty, "required_edge": min_edge * (round_trip_cost() + F.abs(aim["funding_cost"]))})
+    go = (F.col("side") != 0) & (F.col("adjusted_net") >= F.col("required_edge")) & ~F.isnan("adjusted_net") & F.col("exit").isNotNull()
+    return select_non_overlapping(rows.withColumn("__go", go), series, "__go", horizon).drop("__go", "__aim").withColumns(components())
+
+
 def scorecard(study: DataFrame, cost_bps: float = STUDY_COST_BPS, least: int = 30) -> DataFrame:
     """Study rows with the signed gross edge, cost, net edge and viability in bps; the cost as a multiple of a positive edge."""
     gross = F.col("diff") * 1e4
@@ -374,14 +437,20 @@ def order_rates(orders: DataFrame, keys: list[str], ts: str = "ts_ms", window_ms
 
 def cost_decomposition(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Medians of the parts of a trade and cost as a multiple of gross size."""
-    med = lambda c: F.percentile(c, 0.5)
-    return trades.groupBy(*keys).agg(F.count("*").alias("n"), med(F.abs("gross")).alias("gross"), med("fees").alias("fees"), med("slippage_cost").alias("slippage"), med("funding_cost").alias("funding"), med(F.try_divide(F.col("fees") + F.col("slippage_cost"), F.abs("gross"))).alias("cost_multiple"))
+    parts = {
+        "gross": F.abs("gross"),
+        "fees": F.col("fees"),
+        "slippage": F.col("slippage_cost"),
+        "funding": F.col("funding_cost"),
+        "cost_multiple": F.try_divide(F.col("fees") + F.col("slippage_cost"), F.abs("gross")),
+    }
+    return with_quantiles(trades.groupBy(*keys).agg(F.count("*").alias("n")), trades, keys, parts, {k: (k, 0.5) for k in parts})
 
 
 def empirical_friction(bars: DataFrame, series: Series) -> DataFrame:
     """Per series the median of |open[t+1] - close[t]| over close."""
     rows = framed(bars, series, 0, 1, lambda w: {"__f": F.abs(F.lead("open").over(w) - F.col("close")) / F.col("close")})
-    return rows.groupBy(*series.keys).agg(F.percentile("__f", 0.5).alias("friction"), F.count("__f").alias("n"))
+    return with_quantiles(rows.groupBy(*series.keys).agg(F.count("__f").alias("n")), rows, list(series.keys), {"f": F.col("__f")}, {"friction": ("f", 0.5)})
 
 
 def accounting_comparison(trades: DataFrame, keys: list[str], a: dict, b: dict) -> DataFrame:

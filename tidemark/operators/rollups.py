@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import cumulated
+from tidemark.plans.quantiles import with_quantiles
 
 
 def reason_histogram(df: DataFrame, reasons: str = "reasons") -> DataFrame:
@@ -13,13 +14,16 @@ def reason_histogram(df: DataFrame, reasons: str = "reasons") -> DataFrame:
 
 
 def sweep_summary(cells: DataFrame, keys: list[str], value: str = "net") -> DataFrame:
-    return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("best"), F.count_if(F.col(value) > 0).alias("n_positive"))
+    out = cells.groupBy(*keys).agg(F.count("*").alias("n"), F.max(value).alias("best"), F.count_if(F.col(value) > 0).alias("n_positive"))
+    return with_quantiles(out, cells, keys, {"v": F.col(value)}, {"median": ("v", 0.5)})
 
 
 def group_summary(df: DataFrame, flag: Column, value: str, extremes: tuple[str, str] | None = None) -> DataFrame:
     """Selected against rejected: n, mean, median and mean excursions."""
     more = [F.avg(c).alias(f"mean_{c}") for c in extremes or ()]
-    return df.groupBy(flag.alias("selected")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), *more)
+    rows = df.withColumn("selected", flag)
+    out = rows.groupBy("selected").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *more)
+    return with_quantiles(out, rows, ["selected"], {"v": F.col(value)}, {"median": ("v", 0.5)})
 
 
 def strategy_counts(decisions: DataFrame, last: int | None = None, order: str = "ts_ms") -> DataFrame:
@@ -58,7 +62,8 @@ def telemetry(polls: DataFrame, latencies: str = "latency_ms") -> DataFrame:
 
 
 def sample_summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(keys or [])).agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.9).alias("p90"), F.max(value).alias("max"))
+    out = df.groupBy(*(keys or [])).agg(F.count(value).alias("n"), F.max(value).alias("max"))
+    return with_quantiles(out, df, keys or [], {"v": F.col(value)}, {"median": ("v", 0.5), "p90": ("v", 0.9)})
 
 
 def answer_histogram(df: DataFrame, key: str, value: str, bins: int = 10) -> DataFrame:
@@ -106,9 +111,8 @@ def regime_probabilities(df: DataFrame, regimes: list[str], probabilities: list[
 def group_distribution(df: DataFrame, features: list[str], group: str) -> DataFrame:
     """n, mean, sd, p10, p50, p90 of each feature per group."""
     rows = df.select(group, F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select(group, "x.feature", "x.v").where("v is not null")
-    p = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = rows.groupBy(group, "feature").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), p.alias("__p"))
-    return out.select(group, "feature", "n", "mean", "sd", *(F.get("__p", i).alias(k) for i, k in enumerate(("p10", "p50", "p90"))))
+    out = rows.groupBy(group, "feature").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    return with_quantiles(out, rows, [group, "feature"], {"v": F.col("v")}, {"p10": ("v", 0.1), "p50": ("v", 0.5), "p90": ("v", 0.9)})
 
 
 def probability_sentiment(snapshot: DataFrame, keyword: str = "bitcoin") -> DataFrame:

@@ -19,6 +19,7 @@ from tidemark.operators import payoff as C
 from tidemark.operators import quality as D
 from tidemark.operators import rollups as A
 from tidemark.plans import tables as P
+from tidemark.plans.quantiles import with_quantiles
 from tidemark.plans.series import block_scan, framed, min_rows, staged, trailing, with_row_index
 from tidemark.plans.tables import BARS_SQL, DAILY, FULL_SQL, HOURLY, HOURLY_SQL, TICKS_SQL, TRADES_SQL, r, rounded
 from tidemark.spec import DAY, HOUR
@@ -627,7 +628,7 @@ def e7_q_values(spark, d):
 
 
 @query(f"""WITH {_RETS_SQL}, x AS (SELECT *, {z_sql('volume', 60)} AS vz FROM rets), m AS (SELECT coalesce(vz > 2, false) AS o, exec_ret_5 AS r FROM x WHERE exec_ret_5 IS NOT NULL),
-  g AS (SELECT count(*) FILTER (o) AS n, count(*) FILTER (NOT o) AS n_rest, quantile_disc(r, 0.5) FILTER (o) AS median, avg((r > 0)::INT) FILTER (o) AS p_pos, avg(r) FILTER (o) AS mean, avg(r) FILTER (NOT o) AS mean_rest, var_samp(r) FILTER (o) AS v1, var_samp(r) FILTER (NOT o) AS v0 FROM m)
+  g AS (SELECT count(*) FILTER (o) AS n, count(*) FILTER (NOT o) AS n_rest, quantile_cont(r, 0.5) FILTER (o) AS median, avg((r > 0)::INT) FILTER (o) AS p_pos, avg(r) FILTER (o) AS mean, avg(r) FILTER (NOT o) AS mean_rest, var_samp(r) FILTER (o) AS v1, var_samp(r) FILTER (NOT o) AS v0 FROM m)
   SELECT 'busy' AS event, 'exec_ret_5' AS horizon, n, n_rest, round(median, 6) AS median, round(p_pos, 6) AS p_pos, round(mean, 6) AS mean, round(mean_rest, 6) AS mean_rest, round(mean - mean_rest, 6) AS diff, round((mean - mean_rest) / sqrt(v1 / n + v0 / n_rest), 6) AS t_stat FROM g WHERE n >= 10""")
 def e8_event_study(spark, d):
     rows = framed(_returns(spark, d), DAILY, 60, 0, lambda w: {"busy": E.flag(W.zscore(F.col("volume"), w, 60) > 2)})
@@ -649,7 +650,7 @@ def e10_year_stability(spark, d):
     return rounded(out.withColumn("t_stat", F.round("t_stat", 5)))
 
 
-@query(f"""WITH {BARS_SQL}, c AS (SELECT quantile_disc(volume, 1 / 3.0) AS a, quantile_disc(volume, 2 / 3.0) AS b FROM bars WHERE ts_ms < 883612800000) SELECT {KT}, CASE WHEN volume < a THEN 'LOW' WHEN volume < b THEN 'MID' WHEN volume IS NOT NULL THEN 'HIGH' END AS volume_regime FROM bars, c WHERE ts_ms >= 883612800000""")
+@query(f"""WITH {BARS_SQL}, c AS (SELECT quantile_cont(volume, 1 / 3.0) AS a, quantile_cont(volume, 2 / 3.0) AS b FROM bars WHERE ts_ms < 883612800000) SELECT {KT}, CASE WHEN volume <= a THEN 'low' WHEN volume <= b THEN 'normal' WHEN volume IS NOT NULL THEN 'high' END AS volume_regime FROM bars, c WHERE ts_ms >= 883612800000""")
 def e13_tertile_regimes(spark, d):
     bars = P.daily_bars(spark, d)
     return E.tertile_regimes(bars.where("ts_ms < 883612800000"), bars.where("ts_ms >= 883612800000"), ["volume"]).select(*K, "ts_ms", "volume_regime")
@@ -700,7 +701,7 @@ def c6_c7_gate_stress(spark, d):
   SELECT n.venue, n.instrument, n.ts_ms FROM g JOIN n USING (venue, instrument, i)""")
 def c10_non_overlapping(spark, d):
     bars = P.daily_bars(spark, d)
-    cut = bars.agg(F.percentile("volume", 0.5).alias("m"))
+    cut = with_quantiles(bars.agg(F.count("*").alias("bars")), bars, [], {"v": F.col("volume")}, {"m": ("v", 0.5)}).drop("bars")
     rows = bars.crossJoin(F.broadcast(cut)).withColumn("go", F.col("volume") > F.col("m"))  # one row
     return C.select_non_overlapping(rows, DAILY, "go", 7).select(*K, "ts_ms")
 
