@@ -44,28 +44,34 @@ def test_dedupe(spark, tmp_path):
     assert len(drain(st.without_retransmissions(st.read_ticks(spark, path, files_per_batch=1)), tmp_path, "dedupe")) == 2
 
 
+#: A tick of another source an hour on: the watermark passes all before it.
+CLOCK = tick(0, 0, source="clock", received_ts="2023-11-15T01:00:00.000Z")
+
+
 def test_sequence_problems(spark, tmp_path):
-    path = land(tmp_path, [tick(1, 0), tick(2, 5), tick(5, 6)], [tick(5, 7), tick(6, 3)])
+    path = land(tmp_path, [tick(1, 0), tick(2, 5), tick(5, 6)], [tick(5, 7, received_ts="2023-11-14T23:00:05.500Z"), tick(6, 3)], [CLOCK])
     got = {(r.sequence, r.code) for r in drain(st.sequence_problems(st.read_ticks(spark, path, files_per_batch=1)), tmp_path, "seq")}
     assert got == {(5, "GAP"), (5, "REPEAT"), (6, "LATE")}
 
 
 def test_merged_fields(spark, tmp_path):
-    path = land(tmp_path, [tick(1, 0, bid=99.0, price=None), tick(2, 1, ask=101.0)], [tick(3, 30, price=5.0)], [tick(4, 31, generation=2, bid=1.0, price=None)])
-    rows = sorted(drain(st.merged_fields(st.read_ticks(spark, path, files_per_batch=1)), tmp_path, "merged", "update"), key=lambda r: r.event_ms)
-    assert (rows[0].bid, rows[0].ask) == (99.0, 101.0)
-    assert rows[1].price == 5.0 and rows[1].bid is None  # too old
-    assert rows[2].generation == 2 and rows[2].bid == 1.0 and rows[2].price is None
+    path = land(tmp_path, [tick(1, 0, bid=99.0, price=None), tick(2, 1, ask=101.0)], [tick(3, 30, price=5.0)], [tick(4, 31, generation=2, bid=1.0, price=None)], [CLOCK])
+    rows = sorted(drain(st.merged_fields(st.read_ticks(spark, path, files_per_batch=1)), tmp_path, "merged"), key=lambda r: r.sequence)
+    assert [r.sequence for r in rows] == [1, 2, 3, 4]
+    assert (rows[0].bid, rows[0].ask) == (99.0, None) and (rows[1].bid, rows[1].ask) == (99.0, 101.0)
+    assert rows[2].price == 5.0 and rows[2].bid is None  # too old
+    assert rows[3].generation == 2 and rows[3].bid == 1.0 and rows[3].price is None
 
 
 def test_merged_fields_of_an_older_connection(spark, tmp_path):
-    path = land(tmp_path, [tick(4, 31, generation=2, bid=1.0, price=None)], [tick(1, 0, bid=99.0)], [tick(5, 32, generation=2, ask=3.0, price=None)])
-    rows = sorted(drain(st.merged_fields(st.read_ticks(spark, path, files_per_batch=1)), tmp_path, "older", "update"), key=lambda r: r.event_ms)
+    straggler = tick(3, 0, bid=99.0, received_ts="2023-11-14T23:00:04.500Z")
+    path = land(tmp_path, [tick(4, 31, generation=2, bid=1.0, price=None)], [straggler], [tick(5, 32, generation=2, ask=3.0, price=None)], [CLOCK])
+    rows = sorted(drain(st.merged_fields(st.read_ticks(spark, path, files_per_batch=1)), tmp_path, "older"), key=lambda r: r.sequence)
     assert [(r.generation, r.bid, r.ask) for r in rows] == [(2, 1.0, None), (2, 1.0, 3.0)]
 
 
 def test_newer_and_late(spark, tmp_path):
-    path = land(tmp_path, [tick(1, 0), tick(2, 5), tick(5, 6)], [tick(5, 7), tick(6, 3), tick(7, 9)])
+    path = land(tmp_path, [tick(1, 0), tick(2, 5), tick(5, 6)], [tick(5, 7, received_ts="2023-11-14T23:00:05.500Z"), tick(6, 3), tick(7, 9)], [CLOCK])
     newer = drain(st.only_newer(st.read_ticks(spark, path, files_per_batch=1)), tmp_path, "newer")
     assert sorted(r.event_ms % 60_000 // 1000 - 20 for r in newer) == [0, 5, 6, 7, 9]
     st.split_late(st.read_ticks(spark, path, files_per_batch=1), str(tmp_path / "good"), str(tmp_path / "late"), str(tmp_path / "ck")).awaitTermination(120)
@@ -73,6 +79,35 @@ def test_newer_and_late(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "good")).count() == 5
 
 
+def test_files_in_any_order_give_one_result(spark, tmp_path):
+    """Both ordered operators against a loop over the ticks in order, however the files lie and land."""
+    import random
+
+    r = random.Random(4)
+    ticks = []
+    for k in range(1, 40):
+        maybe = lambda v: v if r.random() < 0.5 else None
+        ticks.append(tick(k + (k > 20), r.randrange(80), instrument=r.choice("ij"), received_ts=f"2023-11-14T23:00:{k:02d}.000Z", price=maybe(float(k)), bid=maybe(k + 0.5), ask=maybe(k + 0.25), generation=1 + k // 15 - (k % 7 == 0)))
+    results = []
+    for n, seed in enumerate((None, 1, 2)):
+        own = list(ticks)
+        if seed:
+            random.Random(seed).shuffle(own)
+        (tmp_path / str(n)).mkdir()
+        path = land(tmp_path / str(n), *(own[i : i + 13] for i in range(0, 39, 13)), [CLOCK])
+        problems = drain(st.sequence_problems(st.read_ticks(spark, path, files_per_batch=1)), tmp_path, f"any{n}")
+        fields = drain(st.merged_fields(st.read_ticks(spark, path, files_per_batch=1), 20_000), tmp_path, f"anyf{n}")
+        results.append((sorted(map(str, problems)), sorted(map(str, fields))))
+    assert results[0] == results[1] == results[2] and len(results[0][0]) > 20 and len(results[0][1]) > 20
+    codes, last, newest = 0, {}, {}
+    for t in ticks:
+        key, s, at = t["instrument"], t["sequence"], t["event_ts"]
+        if key in last:
+            codes += (at < newest[key]) + (s != last[key] + 1)
+        last[key], newest[key] = s, max(at, newest.get(key, at))
+    assert codes == len(results[0][0])
+
+
 def test_complete_bars_and_roll_ups(spark, tmp_path):
     path = land(tmp_path, [tick(k, 40 + 60 * k) for k in range(5)] + [tick(9, 400), tick(10, 2000)])
     bars = lambda **o: drain(st.closed_bars(st.read_ticks(spark, path), "5 minutes", **o), tmp_path, f"b{len(o)}")

@@ -590,27 +590,81 @@ def st1_minute_flow(spark, d):
     return out.select("instrument", F.unix_millis("start").alias("start_ms"), "buy_volume", "sell_volume", "trades")
 
 
-def _delayed_ticks(e: DataFrame) -> DataFrame:
-    """Ticks whose event times lie up to four hours before their arrival."""
-    back = F.expr("make_dt_interval(0, cast(user_id % 5 as int), 0, 0)")
-    held = e.withColumn("__event", F.col("ts").cast("timestamp") - back)
-    return held.select(F.lit("s").alias("source"), F.col("event_type").alias("instrument"), F.col("__event").alias("event_ts"), F.col("ts").cast("timestamp").alias("received_ts"), F.col("event_id").alias("sequence"), F.lit("trade").alias("kind"), F.lit("buy").alias("side"), F.col("value").alias("price"), F.lit(1.0).alias("quantity"))
+#: Stretches of time into which ticks are landed, two by two in reverse, and how long a tick may be waited for.
+_STRETCHES, _WAIT = 6, 12
+
+
+def _landed(spark: SparkSession, d: str, ticks, build) -> DataFrame:
+    """Land the events as ticks, later stretches of time before earlier ones, and run a stream over the files one by one."""
+    at = fresh_folder(spark, "landed")
+    for k, v in T.STATE_STORE.items():
+        spark.conf.set(k, v)
+    events = P.table(spark, d, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    width = (last - first) / _STRETCHES
+    for k in range(_STRETCHES):
+        n = k ^ 1
+        inside = (F.col("ts") >= F.lit(first + n * width)) & ((F.col("ts") < F.lit(first + (n + 1) * width)) if n + 1 < _STRETCHES else F.lit(True))
+        ticks(events.where(inside)).write.mode("append").parquet(f"{at}/in")
+    schema = spark.read.parquet(f"{at}/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, len(events.inputFiles()))).parquet(f"{at}/in")
+    out = build(stream)
+    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
-_DELAYED = """t AS (SELECT event_type AS instrument, event_id AS s, ts, value, epoch_us(ts) // 1000 - user_id % 5 * 3600000 AS e FROM events),
+def _delayed_ticks(e: DataFrame) -> DataFrame:
+    """Ticks whose event times lie up to four hours before their arrival, with fields that come and go and connections of a day."""
+    at = F.col("ts").cast("timestamp")
+    held = e.withColumn("__event", at - F.expr("make_dt_interval(0, cast(user_id % 5 as int), 0, 0)"))
+    seen = lambda n, k, v: F.when(F.col("user_id") % n == k, v)
+    return held.select(
+        F.lit("s").alias("source"),
+        F.col("event_type").alias("instrument"),
+        F.col("__event").alias("event_ts"),
+        at.alias("received_ts"),
+        F.col("event_id").alias("sequence"),
+        F.lit("trade").alias("kind"),
+        F.lit("buy").alias("side"),
+        F.col("value").alias("price"),
+        F.lit(1.0).alias("quantity"),
+        seen(3, 0, F.col("value") - 1).alias("bid"),
+        seen(5, 1, F.col("value") + 1).alias("ask"),
+        seen(7, 0, F.col("user_id").cast("double")).alias("open_interest"),
+        seen(2, 1, F.col("value") / 1e6).alias("funding_rate"),
+        F.floor(F.unix_seconds("__event") / 86_400).cast("int").alias("generation"),
+    )
+
+
+_DELAYED = f"""t AS (SELECT event_type AS instrument, event_id AS s, ts, value, user_id, epoch_us(ts) // 1000 - user_id % 5 * 3600000 AS e FROM events WHERE epoch_us(ts) <= (SELECT epoch_us(max(ts)) // 1000 FROM events) * 1000 - {_WAIT} * 86400000000),
   o AS (SELECT *, max(s) OVER p AS ms, max(e) OVER p AS me FROM t WINDOW p AS (PARTITION BY instrument ORDER BY ts, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
 @query(f"WITH {_DELAYED}, c AS (SELECT *, unnest([CASE WHEN e < me THEN 'LATE' END, CASE WHEN s <= ms THEN 'REPEAT' WHEN s > ms + 1 THEN 'GAP' END]) AS code FROM o) SELECT 's' AS source, instrument, s AS sequence, e AS event_ms, code FROM c WHERE code IS NOT NULL")
 def st4_sequence_problems(spark, d):
-    """Gaps, repeats and late ticks per source by keyed state."""
-    return _streamed(spark, d, lambda e: T.sequence_problems(_delayed_ticks(e)))
+    """Gaps, repeats and late ticks per source, of ticks that land out of order and that the watermark has passed."""
+    return _landed(spark, d, _delayed_ticks, lambda e: T.sequence_problems(e, f"{_WAIT} days"))
+
+
+def _merged_sql() -> str:
+    fields = {"price": ("value", "true"), "bid": ("value - 1", "user_id % 3 = 0"), "ask": ("value + 1", "user_id % 5 = 1"), "open_interest": ("user_id::DOUBLE", "user_id % 7 = 0"), "funding_rate": ("value / 1e6", "user_id % 2 = 1")}
+    newest = ", ".join(f"arg_max({v}, e::HUGEINT * 1000000000000 + n) FILTER (WHERE {on}) OVER p AS {f}, max(e) FILTER (WHERE {on}) OVER p AS {f}_at" for f, (v, on) in fields.items())
+    fresh = ", ".join(f"round(CASE WHEN clock - {f}_at <= 7200000 THEN {f} END, 9) + 0.0 AS {f}" for f in fields)
+    return f"""WITH {_DELAYED}, g AS (SELECT *, e // 86400000 AS generation, row_number() OVER (PARTITION BY instrument ORDER BY ts, s) AS n FROM o), k AS (SELECT *, max(generation) OVER (PARTITION BY instrument ORDER BY n) AS top FROM g),
+  m AS (SELECT *, max(e) OVER p AS clock, {newest} FROM k WHERE generation = top WINDOW p AS (PARTITION BY instrument, generation ORDER BY n))
+  SELECT 's' AS source, instrument, s AS sequence, generation, clock AS event_ms, {fresh} FROM m"""
+
+
+@query(_merged_sql())
+def st5_merged_fields(spark, d):
+    """The newest value of each field after each tick, two hours long, of ticks that land out of order."""
+    return rounded(_landed(spark, d, _delayed_ticks, lambda e: T.merged_fields(e, 7_200_000, f"{_WAIT} days")), 9)
 
 
 @query(f"WITH {_DELAYED} SELECT 's' AS source, instrument, s AS sequence, e AS event_ms, value AS price, 1.0::DOUBLE AS quantity FROM o WHERE me IS NULL OR e > me")
 def st16_only_newer(spark, d):
     """Ticks after all that were seen before."""
-    return _streamed(spark, d, lambda e: T.only_newer(_delayed_ticks(e)))
+    return _landed(spark, d, _delayed_ticks, lambda e: T.only_newer(e, f"{_WAIT} days"))
 
 
 @query(f"WITH {EV} SELECT event_type AS instrument, ts_ms - ts_ms % 60000 AS start_ms, sum(CASE WHEN user_id % 2 = 0 THEN user_id % 7 + 1 ELSE 0 END)::DOUBLE AS liq_buy_qty, sum(CASE WHEN user_id % 2 = 1 THEN user_id % 7 + 1 ELSE 0 END)::DOUBLE AS liq_sell_qty FROM ev WHERE ts_ms - ts_ms % 60000 + 60000 <= (SELECT max(ts_ms) FROM ev) - 2 * {DAY} GROUP BY 1, 2")

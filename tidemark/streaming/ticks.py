@@ -92,18 +92,91 @@ def _in_order(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(list(order), kind="stable")
 
 
-class SequenceCheck(StatefulProcessor):
+class InOrder(StatefulProcessor):
+    """Hands a key's rows on in order of arrival time and sequence, whatever batches they come in.
+
+    Rows wait in a list until the watermark of ``received_ts`` has passed them: then none can come before them, and a
+    timer releases them in order. So files may land in any order, and be cut into batches anywhere, within the
+    watermark's delay. A row that comes later than that is dropped by the engine, and shows as a gap in the sequence.
+    What waits is bounded by the delay, not by the batch; only rows that are due at once are sorted together.
+    """
+
+    #: Columns of a waiting row after received_us and sequence, and what makes them of a batch.
+    waiting = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", f"received_us long, sequence long, {self.waiting}")
+
+    def taken(self, pdf: pd.DataFrame) -> list[list]:
+        """The waiting columns of a batch."""
+        raise NotImplementedError
+
+    def released(self, key, rows: list[tuple]) -> pd.DataFrame:
+        """The result rows of waiting rows in order; called with each row once."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            received = _micros(pdf["received_ts"])
+            self.rows.appendList(list(zip(received, pdf["sequence"].tolist(), *self.taken(pdf), strict=True)))
+            first = min([*received, *([] if first is None else [first])])
+        held = list(self.handle.listTimers())
+        if not held or min(held) > _due(first):
+            for timer in held:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(_due(first))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, rest = [], []
+        for row in self.rows.get():
+            (due if row[0] <= passed else rest).append(tuple(row))
+        if rest:
+            self.rows.put(rest)
+            self.handle.registerTimer(_due(min(r[0] for r in rest)))
+        else:
+            self.rows.clear()
+        if due:
+            yield self.released(key, sorted(due, key=lambda r: r[:2]))
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(column: pd.Series) -> list[int]:
+    return column.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _due(received_us: int) -> int:
+    """The watermark in milliseconds that has passed a row."""
+    return -(-received_us // 1000)
+
+
+def _values(column: pd.Series) -> list:
+    """Values with None for what is missing."""
+    return column.astype(object).where(column.notna(), None).tolist()
+
+
+class SequenceCheck(InOrder):
     """Per source and instrument: the last sequence and the largest event time. Gives each tick its codes."""
 
+    waiting = "event_ms long, price double, quantity double"
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.last = handle.getValueState("last", "sequence long, event_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, "received_ts", "sequence")
+    def taken(self, pdf: pd.DataFrame) -> list[list]:
+        return [[t // 1000 for t in _micros(pdf["event_ts"])], _values(pdf["price"]), _values(pdf["quantity"])]
+
+    def released(self, key, rows: list[tuple]) -> pd.DataFrame:
         sequence, event = self.last.get() if self.last.exists() else (None, None)
         out = []
-        for s, e, price, quantity in zip(*(pdf[c].tolist() for c in ("sequence", "event_ts", "price", "quantity")), strict=True):
-            at, codes = _millis(e), []
+        for _, s, at, price, quantity in rows:
+            codes = []
             if event is not None and at < event:
                 codes.append("LATE")
             if sequence is not None and s <= sequence:
@@ -113,31 +186,39 @@ class SequenceCheck(StatefulProcessor):
             out.append((*key, s, at, price, quantity, codes, event is None or at > event))
             sequence, event = (s if sequence is None else max(sequence, s)), at if event is None else max(event, at)
         self.last.update((sequence, event))
-        yield pd.DataFrame(out, columns=["source", "instrument", "sequence", "event_ms", "price", "quantity", "codes", "newer"])
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame(out, columns=["source", "instrument", "sequence", "event_ms", "price", "quantity", "codes", "newer"])
 
 
 TAGGED = "source string, instrument string, sequence long, event_ms long, price double, quantity double, codes array<string>, newer boolean"
+#: How much earlier than the newest a tick may arrive and still be put in its place.
+REORDER_DELAY = "1 minute"
 
 
-def tagged(ticks: DataFrame) -> DataFrame:
-    """Every tick with its codes (GAP, REPEAT, LATE) and whether its event time is newer than all before; before any watermark drops it."""
-    return ticks.groupBy("source", "instrument").transformWithStateInPandas(statefulProcessor=SequenceCheck(), outputStructType=TAGGED, outputMode="Append", timeMode="None")
+def _ordered(ticks: DataFrame, processor: InOrder, schema: str, delay: str) -> DataFrame:
+    keyed = ticks.withWatermark("received_ts", delay).groupBy("source", "instrument")
+    return keyed.transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
-def sequence_problems(ticks: DataFrame) -> DataFrame:
+def tagged(ticks: DataFrame, delay: str = REORDER_DELAY) -> DataFrame:
+    """Every tick with its codes (GAP, REPEAT, LATE) and whether its event time is newer than all before.
+
+    Ticks count in order of received_ts and sequence, whatever batches bring them, and come out once ``delay`` has passed
+    them. LATE is an event time before one that arrived earlier; it is told, not dropped.
+    """
+    return _ordered(ticks, SequenceCheck(), TAGGED, delay)
+
+
+def sequence_problems(ticks: DataFrame, delay: str = REORDER_DELAY) -> DataFrame:
     """(source, instrument, sequence, event_ms, code): a row for each gap, repeat and late tick."""
-    return tagged(ticks).select("source", "instrument", "sequence", "event_ms", F.explode("codes").alias("code"))
+    return tagged(ticks, delay).select("source", "instrument", "sequence", "event_ms", F.explode("codes").alias("code"))
 
 
-def only_newer(ticks: DataFrame) -> DataFrame:
+def only_newer(ticks: DataFrame, delay: str = REORDER_DELAY) -> DataFrame:
     """The ticks whose event time is after every tick before them: what a poller that skips what it has seen takes."""
-    return tagged(ticks).where("newer").drop("codes", "newer")
+    return tagged(ticks, delay).where("newer").drop("codes", "newer")
 
 
-def split_late(stream: DataFrame, path: str, late_path: str, checkpoint: str):
+def split_late(stream: DataFrame, path: str, late_path: str, checkpoint: str, delay: str = REORDER_DELAY):
     """Write ticks that come in order to ``path`` and late ones to ``late_path``: none is merged or lost silently.
 
     A batch that runs again overwrites its own folder.
@@ -150,49 +231,56 @@ def split_late(stream: DataFrame, path: str, late_path: str, checkpoint: str):
         held.where(late).write.mode("overwrite").parquet(f"{late_path}/batch={number}")
         held.unpersist()
 
-    return tagged(stream).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return tagged(stream, delay).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 FIELDS = ("price", "bid", "ask", "open_interest", "funding_rate")
 
 
-class FieldMerge(StatefulProcessor):
+class FieldMerge(InOrder):
     """The newest non-null value of each field with its time; a new connection generation starts afresh."""
 
+    waiting = ", ".join(["event_ms long", "generation int", *(f"{f} double" for f in FIELDS)])
+
     def __init__(self, stale_ms: int):
         self.stale_ms = stale_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("fields", ", ".join(["generation int", "clock_ms long", *(f"{f} double, {f}_ms long" for f in FIELDS)]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, "received_ts", "sequence")
+    def taken(self, pdf: pd.DataFrame) -> list[list]:
+        return [[t // 1000 for t in _micros(pdf["event_ts"])], _values(pdf["generation"]), *(_values(pdf[f]) for f in FIELDS)]
+
+    def released(self, key, rows: list[tuple]) -> pd.DataFrame:
         held = list(self.state.get()) if self.state.exists() else None
-        news = False
-        for r in pdf.to_dict("records"):
-            generation, at = int(r["generation"]), _millis(r["event_ts"])
+        out = []
+        for _, sequence, at, generation, *values in rows:
             if held is None or generation > held[0]:
                 held = [generation, at, *([None, None] * len(FIELDS))]
             if generation < held[0]:
-                continue
-            news, held[1] = True, max(held[1], at)
-            for i, f in enumerate(FIELDS):
-                if pd.notna(r[f]) and (held[3 + 2 * i] is None or at >= held[3 + 2 * i]):
-                    held[2 + 2 * i : 4 + 2 * i] = [float(r[f]), at]
-        if not news:  # ticks of an older connection alone
-            return
-        self.state.update(tuple(held))
-        fresh = lambda i: held[2 + 2 * i] if held[3 + 2 * i] is not None and held[1] - held[3 + 2 * i] <= self.stale_ms else None
-        yield pd.DataFrame([(*key, held[0], held[1], *(fresh(i) for i in range(len(FIELDS))))], columns=["source", "instrument", "generation", "event_ms", *FIELDS])
+                continue  # of an older connection
+            held[1] = max(held[1], at)
+            for i, value in enumerate(values):
+                if value is not None and (held[3 + 2 * i] is None or at >= held[3 + 2 * i]):
+                    held[2 + 2 * i : 4 + 2 * i] = [float(value), at]
+            fresh = [v if t is not None and held[1] - t <= self.stale_ms else None for v, t in zip(held[2::2], held[3::2], strict=True)]
+            out.append((*key, sequence, held[0], held[1], *fresh))
+        if held is not None:
+            self.state.update(tuple(held))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in MERGED.split(", ")])
 
-    def close(self) -> None:
-        pass
+
+MERGED = "source string, instrument string, sequence long, generation int, event_ms long, " + ", ".join(f"{f} double" for f in FIELDS)
 
 
-def merged_fields(ticks: DataFrame, stale_ms: int = 15_000) -> DataFrame:
-    """One row per source, instrument and batch: merged fields, null where older than ``stale_ms``."""
-    schema = "source string, instrument string, generation int, event_ms long, " + ", ".join(f"{f} double" for f in FIELDS)
-    return ticks.groupBy("source", "instrument").transformWithStateInPandas(statefulProcessor=FieldMerge(stale_ms), outputStructType=schema, outputMode="Update", timeMode="None")
+def merged_fields(ticks: DataFrame, stale_ms: int = 15_000, delay: str = REORDER_DELAY) -> DataFrame:
+    """The merged fields after each tick, null where older than ``stale_ms`` before the newest event time of the connection.
+
+    Ticks count in order of received_ts and sequence, whatever batches bring them. A tick of a newer connection
+    generation forgets all fields; one of an older generation is skipped.
+    """
+    return _ordered(ticks, FieldMerge(stale_ms), MERGED, delay)
 
 
 class Book(StatefulProcessor):
