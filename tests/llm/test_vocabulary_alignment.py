@@ -4,7 +4,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -80,18 +82,36 @@ def test_alignment_is_the_definition(spark, monkeypatch):
     assert rows_of(va.align(docs)) == want
 
 
+def test_alignment_with_few_chunks_kept(spark, monkeypatch):
+    """What a task forgets it aligns again."""
+    texts = random_texts(7, 60)
+    v = va.vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    want = va.Chunks(v)
+    uses = np.bincount(want.number([c for t in texts for c in v.chunks(t)]))
+    monkeypatch.setattr(va, "CHARS_AT_ONCE", 50)
+    got = va.Chunks(v)
+    seen = np.zeros(0, np.int64)
+    for _, chunks, _ in va._portions(iter([pa.RecordBatch.from_pydict({"text": texts})]), v, 0):
+        numbers = got.number(chunks)
+        n = np.repeat(np.bincount(numbers, minlength=len(got.spelt)), got.sizes[3])
+        seen = np.concatenate([seen, np.repeat(got.codes, n)])
+        got.clear()
+    assert sorted(seen.tolist()) == sorted(np.repeat(want.codes, np.repeat(uses, want.sizes[3])).tolist())
+
+
 def test_chunks_are_the_whole():
     v = va.vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     assert v.cuts
+    store = va.Chunks(v)
     for text in [*SPECIAL, *random_texts(2, 500)]:
-        whole, parts = v.whole(text), v.parts(text)
-        if whole is None:
-            assert parts == []
-            continue
-        own = [v.chunks[p] if isinstance(p, str) else p for p in parts]
-        assert ";".join(p.groups for p in own) == whole.groups
-        assert sum(p.n_links for p in own) == whole.n_links
-        assert sorted(x for p in own for x in p.links) == sorted(whole.links)
+        full = " " + text
+        (whole,), own = store.number([full]), store.number(v.chunks(text))
+        assert v.encode([full])[1][0] == v.b.encode(text) and v.encode([full])[0][0] == v.a.encode(full, add_special_tokens=False).ids
+        assert store.spelt[whole] == store.spelt[own].all()
+        if store.spelt[whole]:
+            assert ";".join(store.groups[i] for i in own) == store.groups[whole]
+            links = [sorted(store.codes[store.links_of(np.atleast_1d(x))[1]].tolist()) for x in (whole, own)]
+            assert links[0] == links[1]
 
 
 def test_alignment_of_odd_tables(spark):

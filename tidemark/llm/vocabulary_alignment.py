@@ -6,154 +6,219 @@ identity map (id of A -> id of B) tells the pair from the id of A alone, so they
 vocabulary. Only the pairs of other groups are counted by a shuffle on the pair.
 
 A text is cut into chunks where neither vocabulary can have a token across, before a space or line break that follows
-something else, so that a chunk's groups are found once and kept. Texts are read twice: once to count the pairs, once
-to score each document by the counts. The counts of the most frequent pairs, a bounded number, travel to the
-documents; a document's other pairs meet their counts in a join.
+something else. A task aligns the chunks that it has not met before, all of a batch at once, and keeps a bounded
+number of them. Texts are read twice: once to count the pairs, once to score each document by the counts. The counts of
+the most frequent pairs, a bounded number, travel to the documents; a document's other pairs meet theirs in a join.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import document_batches, tokenizer_path, write_table
-from tidemark.llm.tokens import Encoder, encoder
 
 PIECES_FILE = "piece_bpe_32k.model"
 #: Pairs whose counts are carried to the documents: a bound on the broadcast, not on what is counted.
 HEAD_PAIRS = 200_000
-#: Chunks a worker keeps, chunks and pairs a counting task holds before it hands its counts on.
-CHUNKS_KEPT, CHUNKS_COUNTED, PAIRS_COUNTED = 150_000, 100_000, 500_000
+#: Chunks, and characters of them, that a task keeps; pairs it counts before it hands its counts on.
+CHUNKS_KEPT, CHARS_KEPT, PAIRS_COUNTED = 400_000, 16_000_000, 500_000
+#: Characters of texts that are aligned together.
+CHARS_AT_ONCE = 1_000_000
 
 _CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space other than space and line break before one of the two: no chunk ends there.
 _UNSAFE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff][ \n]")
 _SPACE = "\u2581"
+#: Bits of an id of B in the code of a pair.
+B_BITS = 24
 
 
-class Aligned(NamedTuple):
-    """What a stretch of bytes holds; ``exact`` are ids of A that the identity map maps, ``links`` the other links."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    exact: tuple[int, ...]
-    links: tuple[tuple[int, int], ...]
-    groups: str
+def _code(a, b):
+    return a << B_BITS | b
 
 
 class Vocabularies:
-    """Both vocabularies, their tokens' bytes, the identity map, and the alignment of chunks and of texts."""
+    """Both vocabularies, the bytes of their tokens, and the identity map."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-
-        self.a: Encoder = encoder(path_a, True)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        back = {shown: byte for byte, shown in self.a.table.items()}
-        self.bytes_a = [b""] * self.a.vocab_size
-        special = {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values() if t.special}
-        for token, i in self.a.tokenizer.get_vocab().items():
+        from tokenizers import Tokenizer
+
+        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.a.encode_special_tokens = True
+        special = {t.content for t in self.a.get_added_tokens_decoder().values() if t.special}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        #: Byte-level BPE writes each byte as a printable character: itself, or the next one from 256 on.
+        back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        self.bytes_a = [b""] * self.a.get_vocab_size()
+        for token, i in self.a.get_vocab().items():
             if token not in special:
                 self.bytes_a[i] = bytes([back[c] for c in token])
-        self.size_b = self.b.get_piece_size()
-        pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
-        mute = [self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i) for i in range(self.size_b)]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        mute = [self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i) for i in range(len(pieces))]
         self.bytes_b = [b"" if mute[i] else bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         # of two ids with the same bytes, the piece: a byte token stands in only for what has no piece
-        ids = {self.bytes_b[i]: i for i in sorted(range(self.size_b), key=lambda i: not self.b.is_byte(i)) if self.bytes_b[i]}
+        ids = {self.bytes_b[i]: i for i in sorted(range(len(pieces)), key=lambda i: not self.b.is_byte(i)) if self.bytes_b[i]}
         #: id of A -> id of B with the same bytes, or -1.
-        self.identity = [ids.get(x, -1) if x else -1 for x in self.bytes_a]
+        self.identity = np.array([ids.get(x, -1) if x else -1 for x in self.bytes_a], np.int64)
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
         #: Whether chunks may be cut: no piece goes on across a space or a line break.
         self.cuts = not any(re.search(f"[^{_SPACE}]{_SPACE}|\n", p) for i, p in enumerate(pieces) if not mute[i] and not self.b.is_byte(i))
         self.lone = self.b.piece_to_id(_SPACE)
-        outer = self
-
-        class Chunks(dict):
-            def __missing__(self, chunk):
-                found = outer.align(chunk.encode(), outer.ids_a(chunk), outer._chunk_b(chunk))
-                if len(self) >= CHUNKS_KEPT:
-                    self.clear()  # what is frequent comes back at once
-                self[chunk] = found
-                return found
-
-        self.chunks = Chunks()
-
-    def ids_a(self, text: str) -> list[int]:
-        return memoryview(self.a.encode(text)).cast("I").tolist()
-
-    def _chunk_b(self, chunk: str) -> list[int]:
-        """Ids of B for a chunk of a text, without the space that B puts before a text."""
-        if chunk == " ":
-            return [self.lone]
-        if chunk[0] == " ":
-            return self.b.encode(chunk[1:], num_threads=1)
-        return self.b.encode(chunk, num_threads=1)[1:]  # before a line break the added space is a token of its own
-
-    def align(self, data: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        """Groups and links of two token sequences; None where either does not spell ``data``."""
-        sizes_a, sizes_b = [len(self.bytes_a[i]) for i in a], [len(self.bytes_b[i]) for i in b]
-        if 0 in sizes_a or 0 in sizes_b or b"".join([self.bytes_a[i] for i in a]) != data or b"".join([self.bytes_b[i] for i in b]) != data:
-            return None
-        exact, links, groups = [], [], []
-        i = j = n_groups = n_links = first_a = first_b = 0
-        end_a, end_b = (sizes_a[0], sizes_b[0]) if data else (0, 0)
-        while i < len(a):
-            n_links += 1
-            if end_a == end_b:
-                if i == first_a and j == first_b and self.identity[a[i]] == b[j]:
-                    exact.append(a[i])
-                else:
-                    links.append((a[i], b[j]))
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                n_groups += 1
-                first_a, first_b = i, j
-                if i < len(a):
-                    end_a, end_b = end_a + sizes_a[i], end_b + sizes_b[j]
-            else:
-                links.append((a[i], b[j]))
-                if end_a < end_b:
-                    i += 1
-                    end_a += sizes_a[i]
-                else:
-                    j += 1
-                    end_b += sizes_b[j]
-        return Aligned(len(a), len(b), n_groups, n_links, tuple(exact), tuple(links), ";".join(groups))
-
-    def whole(self, text: str) -> Aligned | None:
-        """The alignment of a text by the libraries' own ids of the whole text."""
-        full = " " + text
-        return self.align(full.encode(), self.a.tokenizer.encode(full, add_special_tokens=False).ids, self.b.encode(text, num_threads=1))
+        #: Each id in decimal behind each sign: id i behind sign k is entry k * top + i.
+        self.top = max(len(self.bytes_a), len(self.bytes_b))
+        self.shown = [sign + str(i) for sign in (",", ";", "|", "") for i in range(self.top)]
 
-    def parts(self, text: str | None) -> list:
-        """Keys under which ``part`` knows the stretches of a text; empty if it has no tokens."""
+    def chunks(self, text: str | None) -> list[str]:
+        """The stretches of a space and a text that neither vocabulary crosses; none of an empty text."""
         if not text:
             return []
         full = " " + text
-        if not self.cuts or _UNSAFE.search(full):
-            one = self.whole(text)
-            return [] if one is None else [one]
-        chunks = _CHUNKS.findall(full)
-        return chunks if all(map(self.chunks.__getitem__, chunks)) else []  # a stretch that is not spelt is None
+        return _CHUNKS.findall(full) if self.cuts and not _UNSAFE.search(full) else [full]
+
+    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and of B of each chunk."""
+        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        # B puts a space before a text: the chunk's own first one, or a token of its own before a line break
+        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        return a, [[self.lone] if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, b, strict=True)]
 
 
 @functools.lru_cache(maxsize=1)
 def vocabularies(path_a: str, path_b: str) -> Vocabularies:
-    """One per worker process, so that what it knows outlives a task."""
+    """One per worker process."""
     return Vocabularies(path_a, path_b)
 
 
+class Chunks:
+    """Chunks that a task has met, by number: their sizes, the codes of their links and the text of their groups.
+
+    Links lie one after another: those of chunk i from ``first[i]`` to ``first[i + 1]``; ``exact`` marks the ones that
+    the identity map maps. ``spelt`` is false for a chunk that either vocabulary does not spell byte for byte.
+    """
+
+    def __init__(self, v: Vocabularies, score: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
+        self.v, self.score = v, score
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.chars = 0
+        self.sizes = np.zeros((4, 0), np.int64)  # tokens of A, of B, groups, links
+        self.spelt = np.zeros(0, bool)
+        self.first = np.zeros(1, np.int64)
+        self.codes, self.exact = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.groups: list[str] = []
+        #: per link, its count and whether that is its best (-1: not among the carried pairs); per chunk, their sums
+        self.counts, self.best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.sums = np.zeros((3, 0), np.int64)
+
+    def full(self) -> bool:
+        return len(self.numbers) > CHUNKS_KEPT or self.chars > CHARS_KEPT
+
+    def number(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of chunks; those not met before are aligned."""
+        new = list(set(chunks).difference(self.numbers))
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
+
+    def _add(self, new: list[str]) -> None:
+        v = self.v
+        ids_a, ids_b = v.encode(new)
+        data = [c.encode() for c in new]
+        flat = lambda ids, n: np.fromiter(itertools.chain.from_iterable(ids), np.int64, n)
+        sizes_of = lambda x: np.fromiter(map(len, x), np.int64, len(new))
+        n_a, n_b, n_bytes = map(sizes_of, (ids_a, ids_b, data))
+        a, b = flat(ids_a, int(n_a.sum())), flat(ids_b, int(n_b.sum()))
+        whole = b"".join(data)
+        spelt = np.ones(len(new), bool)
+        for ids, n, sizes, own in ((a, n_a, v.sizes_a, v.bytes_a), (b, n_b, v.sizes_b, v.bytes_b)):
+            lengths = np.diff(np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])])
+            if not (sizes[ids] > 0).all() or (lengths != n_bytes).any() or b"".join(map(own.__getitem__, ids.tolist())) != whole:
+                parts = np.split(ids, np.cumsum(n)[:-1])
+                spelt &= [bool((sizes[x] > 0).all()) and b"".join(map(own.__getitem__, x.tolist())) == d for x, d in zip(parts, data, strict=True)]
+        if not spelt.all():
+            a, b = a[np.repeat(spelt, n_a)], b[np.repeat(spelt, n_b)]
+            n_a, n_b, n_bytes = n_a * spelt, n_b * spelt, n_bytes * spelt
+        end_a, end_b, ends = np.cumsum(v.sizes_a[a]), np.cumsum(v.sizes_b[b]), np.cumsum(n_bytes)
+        common = np.intersect1d(end_a, end_b, assume_unique=True)  # where groups end
+        cuts = np.union1d(end_a, end_b)  # each stretch between cuts is the overlap of one token of A with one of B
+        at_a, at_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
+        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        one = (np.bincount(group_a, minlength=len(common)) == 1) & (np.bincount(group_b, minlength=len(common)) == 1)
+        exact = one[group_a[at_a]] & (v.identity[a[at_a]] == b[at_b])
+        per_chunk = lambda at: np.bincount(np.searchsorted(ends, at), minlength=len(new))
+        sizes = np.stack([n_a, n_b, per_chunk(common), per_chunk(cuts)])
+        codes = _code(a[at_a], b[at_b])
+        self.groups += self._texts(a, b, group_a, group_b, sizes)
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        self.chars += sum(map(len, new))
+        first = self.first[-1] + np.cumsum(sizes[3])
+        self.sizes, self.spelt = np.concatenate([self.sizes, sizes], axis=1), np.concatenate([self.spelt, spelt])
+        self.codes, self.exact, self.first = np.concatenate([self.codes, codes]), np.concatenate([self.exact, exact]), np.concatenate([self.first, first])
+        if self.score is not None:
+            counts, best = self.score(codes)
+            of = np.repeat(np.arange(len(new)), sizes[3])
+            sums = np.zeros((3, len(new)), np.int64)  # bincount adds doubles, which round sums beyond 2^53
+            np.add.at(sums[1], of, np.maximum(counts, 0))
+            sums[0], sums[2] = np.bincount(of[best > 0], minlength=len(new)), np.bincount(of[counts < 0], minlength=len(new))
+            self.sums = np.concatenate([self.sums, sums], axis=1)
+            self.counts, self.best = np.concatenate([self.counts, counts]), np.concatenate([self.best, best])
+
+    def _texts(self, a, b, group_a, group_b, sizes) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each chunk."""
+        place = np.concatenate([2 * group_a, 2 * group_b + 1])
+        order = np.argsort(place, kind="stable")
+        place, ids = place[order], np.concatenate([a, b])[order]
+        fresh = np.ones(len(place), bool)
+        fresh[1:] = place[1:] != place[:-1]
+        sign = np.where(fresh, 1 + place % 2, 0)
+        bounds = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])])
+        sign[bounds[:-1][bounds[:-1] < len(sign)]] = 3  # the first of a chunk
+        parts = list(map(self.v.shown.__getitem__, (sign * self.v.top + ids).tolist()))
+        return ["".join(parts[s:e]) for s, e in itertools.pairwise(bounds.tolist())]
+
+    def links_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the links of chunks, one after another: the place in ``numbers`` and the place in ``codes``."""
+        n = self.sizes[3][numbers]
+        of = np.repeat(np.arange(len(numbers)), n)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[numbers], n)
+
+
+def _portions(batches: Iterator[pa.RecordBatch], v: Vocabularies, text: int):
+    """(columns, chunks of all texts, number of chunks of each text), about CHARS_AT_ONCE of text at a time."""
+    for rows in batches:
+        columns = [c.to_pylist() for c in rows.columns]
+        start = held = 0
+        for i, t in enumerate(columns[text]):
+            held += len(t or "")
+            if held >= CHARS_AT_ONCE or i + 1 == rows.num_rows:
+                own = [c[start : i + 1] for c in columns]
+                chunks = list(map(v.chunks, own[text]))
+                yield own, [c for x in chunks for c in x], np.fromiter(map(len, chunks), np.int64, len(chunks))
+                start, held = i + 1, 0
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of the counts of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.add.reduceat(counts, heads) if len(keys) else counts
+
+
 def count_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(a, b, exact, n): links of each pair of ids, from one-to-one groups of the identity map and from all others.
 
@@ -163,39 +228,42 @@ def count_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(path_a, path_b)
-        vector = [0] * v.a.vocab_size
-        seen: Counter = Counter()
-        pairs: Counter = Counter()
+        store = Chunks(v)
+        vector = np.zeros(len(v.bytes_a), np.int64)
+        uses = np.zeros(0, np.int64)
+        pairs = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def batch(codes, exact, n) -> pa.RecordBatch:
+            ids = [pa.array((codes >> B_BITS).astype(np.int32)), pa.array((codes & (1 << B_BITS) - 1).astype(np.int32))]
+            return pa.RecordBatch.from_arrays([*ids, pa.array(np.full(len(codes), exact)), pa.array(n)], ["a", "b", "exact", "n"])
 
         def add_up() -> None:
-            for key, k in seen.items():
-                found = v.chunks[key] if isinstance(key, str) else key
-                for a in found.exact:
-                    vector[a] += k
-                for pair in found.links:
-                    pairs[pair] += k
-            seen.clear()
-
-        def batch(rows) -> pa.RecordBatch:
-            a, b, exact, n = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(exact), pa.array(n, pa.int64())], ["a", "b", "exact", "n"])
-
-        def irregular():
-            if pairs:
-                yield batch([(a, b, False, n) for (a, b), n in pairs.items()])
-                pairs.clear()
-
-        for rows in batches:
-            for text in rows.column(0).to_pylist():
-                seen.update(v.parts(text))
-                if len(seen) >= CHUNKS_COUNTED:
-                    add_up()
-                    if len(pairs) >= PAIRS_COUNTED:
-                        yield from irregular()
+            nonlocal pairs, uses
+            n = np.repeat(uses, store.sizes[3][: len(uses)])
+            codes, exact = store.codes[: len(n)], store.exact[: len(n)]
+            np.add.at(vector, codes[exact] >> B_BITS, n[exact])
+            other = ~exact & (n > 0)
+            pairs = _added(np.concatenate([pairs[0], codes[other]]), np.concatenate([pairs[1], n[other]]))
+            uses = np.zeros(0, np.int64)
+
+        for _, chunks, lengths in _portions(batches, v, 0):
+            numbers = store.number(chunks)
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            unspelt = np.bincount(of[~store.spelt[numbers]], minlength=len(lengths)) > 0
+            uses = np.concatenate([uses, np.zeros(len(store.spelt) - len(uses), np.int64)])
+            uses += np.bincount(numbers[~unspelt[of]], minlength=len(uses))
+            if store.full():
+                add_up()
+                store.clear()
+                if len(pairs[0]) >= PAIRS_COUNTED:
+                    yield batch(pairs[0], False, pairs[1])
+                    pairs = (pairs[0][:0], pairs[1][:0])
         add_up()
-        yield from irregular()
-        if ones := [(a, v.identity[a], True, n) for a, n in enumerate(vector) if n]:
-            yield batch(ones)
+        if len(pairs[0]):
+            yield batch(pairs[0], False, pairs[1])
+        ones = np.flatnonzero(vector)
+        if len(ones):
+            yield batch(_code(ones, v.identity[ones]), True, vector[ones])
 
     return docs.select("text").mapInArrow(worker, "a int, b int, exact boolean, n long")
 
@@ -209,67 +277,60 @@ def pair_counts(counted: DataFrame) -> DataFrame:
     return pairs.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-LINKED = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string, a int, b int, k long"
-_INTS = ("key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "a", "b", "k")
+SCORED = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string, a int, b int, k long"
 
 
-def _score(docs: DataFrame, head: list[tuple[int, int, int, bool]], path_a: str, path_b: str, with_groups: bool) -> DataFrame:
+def _score(docs: DataFrame, head: tuple[np.ndarray, np.ndarray, np.ndarray], path_a: str, path_b: str, with_groups: bool) -> DataFrame:
     """A row for each document with its sums over head pairs, and one for each other pair that it holds (``a`` set)."""
     sent = docs.sparkSession.sparkContext.broadcast(head)  # HEAD_PAIRS rows at most
+    kinds = [(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]]) for f in SCORED.split(", ")]
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(path_a, path_b)
-        known = {(a, b): (n, int(best)) for a, b, n, best in sent.value}
-        base = TaskContext.get().partitionId() << 36
-        out: list[tuple] = []
-
-        def scored(found: Aligned) -> tuple:
-            n_best = count_sum = 0
-            rest = []
-            for pair in (*((a, v.identity[a]) for a in found.exact), *found.links):
-                if (count := known.get(pair)) is None:
-                    rest.append(pair)
-                else:
-                    count_sum += count[0]
-                    n_best += count[1]
-            return (found.n_a, found.n_b, found.n_groups, found.n_links, n_best, count_sum, found.groups, rest)
-
-        class Scores(dict):
-            def __missing__(self, chunk):
-                found = scored(v.chunks[chunk])
-                if len(self) >= CHUNKS_KEPT:
-                    self.clear()
-                self[chunk] = found
-                return found
-
-        scores = Scores()
-
-        def batch() -> pa.RecordBatch:
-            names = [f.split()[0] for f in LINKED.split(", ")]
-            cols = dict(zip(names, zip(*out, strict=True), strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[c], pa.int64() if c in _INTS and c not in "ab" else pa.int32() if c in "ab" else pa.string()) for c in names], names)
-
-        key = base
-        for rows in batches:
-            for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                own = [scores[p] if isinstance(p, str) else scored(p) for p in v.parts(text)]
-                groups, sha, totals = "", "", (0,) * 6
-                if own:
-                    *sums, texts, rests = zip(*own, strict=True)
-                    totals = tuple(map(sum, sums))
-                    groups = ";".join(texts)
-                    sha = hashlib.sha256(groups.encode()).hexdigest()
-                    for (a, b), k in Counter(pair for rest in rests if rest for pair in rest).items():
-                        out.append((key, None, *(None,) * 8, a, b, k))
-                out.append((key, doc_id, *totals, sha, groups if with_groups else None, None, None, None))
-                key += 1
-                if len(out) >= 20_000:
-                    yield batch()
-        if out:
-            yield batch()
-
-    return docs.select("doc_id", "text").mapInArrow(worker, LINKED)
+        known, counts, best = sent.value
+
+        def score(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(known):
+                return np.full(len(codes), -1), np.full(len(codes), -1)
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            found = known[at] == codes
+            return np.where(found, counts[at], -1), np.where(found, best[at], -1)
+
+        store = Chunks(v, score)
+        key = TaskContext.get().partitionId() << 36
+
+        def batch(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in kinds], [c for c, _ in kinds])
+
+        for (doc_ids, _), chunks, lengths in _portions(batches, v, 1):
+            numbers = store.number(chunks)
+            n = len(lengths)
+            of = np.repeat(np.arange(n), lengths)
+            unspelt = np.bincount(of[~store.spelt[numbers]], minlength=n) > 0
+            keep = ~unspelt[of]
+            numbers, of = numbers[keep], of[keep]
+            bounds = np.searchsorted(of, np.arange(n + 1))
+            totals = [np.diff(np.concatenate([[0], np.cumsum(x[numbers])])[bounds]) for x in (*store.sizes, *store.sums[:2])]
+            texts = [";".join(map(store.groups.__getitem__, numbers[s:e].tolist())) for s, e in itertools.pairwise(bounds.tolist())]
+            own = dict(zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), totals, strict=True))
+            sha = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+            yield batch(n, key=np.arange(key, key + n), doc_id=doc_ids, **own, groups_sha256=sha, **({"groups": texts} if with_groups else {}))
+            rest = store.sums[2][numbers] > 0
+            at, link = store.links_of(numbers[rest])
+            other = store.counts[link] < 0
+            at, link = of[rest][at[other]], link[other]
+            codes, row = store.codes[link], at
+            order = np.lexsort((codes, row))
+            codes, row = codes[order], row[order]
+            heads = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (row[1:] != row[:-1]))) if len(codes) else np.zeros(0, np.int64)
+            if len(heads):
+                times = np.diff(np.append(heads, len(codes)))
+                yield batch(len(heads), key=key + row[heads], a=(codes[heads] >> B_BITS).astype(np.int32), b=(codes[heads] & (1 << B_BITS) - 1).astype(np.int32), k=times)
+            key += n
+            if store.full():
+                store.clear()
+
+    return docs.select("doc_id", "text").mapInArrow(worker, SCORED)
 
 
 def align(docs: DataFrame, tokenizer: str | None = None, pieces: str | None = None, with_groups: bool = False) -> DataFrame:
@@ -286,7 +347,9 @@ def align(docs: DataFrame, tokenizer: str | None = None, pieces: str | None = No
     counted = write_table(count_pairs(rows, path_a, path_b), "pairs-counted")
     pairs = write_table(pair_counts(counted), "pairs")
     top = pairs.orderBy(F.desc("n"), "a", "b").limit(HEAD_PAIRS).toArrow()
-    head = list(zip(*(top.column(c).to_pylist() for c in ("a", "b", "n", "best")), strict=True))
+    a, b, n, best = (top.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n", "best"))
+    order = np.argsort(_code(a, b))
+    head = (_code(a, b)[order], n[order], best[order])
     linked = write_table(_score(rows, head, path_a, path_b, with_groups), "linked")
     rest = linked.where("a is not null").select("key", "a", "b", "k").join(pairs, ["a", "b"])
     more = rest.groupBy("key").agg(F.sum(F.col("k") * F.col("n")).alias("__sum"), F.sum(F.when(F.col("best"), F.col("k")).otherwise(0)).alias("__best"))
