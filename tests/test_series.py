@@ -207,3 +207,35 @@ def test_order_rates_by_hand(spark, bucket_ms):
         exit_ts = max((r[2] for r in own if t is not None and r[2] is not None and r[2] < t and r[3] == "EXIT"), default=None)
         assert got[i] == (recent, exit_ts, recent > 6, exit_ts is not None and t - exit_ts < 1_500)
     assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("horizon,chunk", [(1, 7), (5, 16), (13, 64), (64, 32), (200, 50)])
+def test_touch_times_by_hand(spark, horizon, chunk):
+    """First touches of several levels, with chunks shorter and longer than the horizon."""
+    rng = random.Random(horizon)
+    rows, price = [], 100.0
+    for i in range(400):
+        o = price * (1 + rng.uniform(-0.01, 0.01))
+        price = o * (1 + rng.uniform(-0.02, 0.02))
+        rows.append(("x", "a", T0 + MINUTE * i, o, max(o, price) * 1.002, min(o, price) * 0.998, price, rng.choice([0.01, 0.05, None])))
+    df = spark.createDataFrame(rows, "venue string, instrument string, ts_ms long, open double, high double, low double, close double, own double").repartition(3)
+    levels = {"up": (F.lit(0.03), 1), "down": (F.lit(0.02), -1), "own": (F.col("own"), 1)}
+    horizons = sorted({max(1, horizon // 3), horizon})
+    got = {r.ts_ms: r for r in labels.touch_times(df, SERIES.at(chunk=chunk), horizons, levels).collect()}
+    assert len(got) == len(rows)
+    for i, row in enumerate(rows):
+        r = got[row[2]]
+        path = rows[i + 1 : i + 1 + horizon]
+        entry = rows[i + 1][3] if i + 1 < len(rows) else None
+        assert r.entry == entry
+        for h in horizons:
+            leave = rows[i + h + 1][3] if i + h + 1 < len(rows) else None
+            assert r[f"exit_{h}"] == leave and r[f"whole_{h}"] == (leave is not None)
+        for name, fraction, side in (("up", 0.03, 1), ("down", 0.02, -1), ("own", row[7], 1)):
+            want = None
+            if entry is not None and fraction is not None:
+                level = entry * (1 + side * fraction)
+                want = next((k for k, b in enumerate(path, 1) if (b[4] >= level * (1 - 1e-12) if side == 1 else b[5] <= level * (1 + 1e-12))), None)
+            assert r[name] == want, (i, name)
+    plan = labels.touch_times(df, SERIES, horizons, levels)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan

@@ -30,12 +30,14 @@ from tidemark.llm.common import document_batches, tokenizer_path, write_table
 PIECES_FILE = "piece_bpe_32k.model"
 #: Pairs whose counts are carried to the documents: a bound on the broadcast, not on what is counted.
 HEAD_PAIRS = 200_000
-#: Chunks, and characters of them, that a task keeps; pairs it counts before it hands its counts on.
-CHUNKS_KEPT, CHARS_KEPT, PAIRS_COUNTED = 400_000, 16_000_000, 500_000
+#: Chunks, and characters of them, that a worker keeps; pairs a task counts before it hands its counts on.
+CHUNKS_KEPT, CHARS_KEPT, PAIRS_COUNTED = 600_000, 16_000_000, 500_000
 #: Characters of texts that are aligned together.
 CHARS_AT_ONCE = 1_000_000
+#: Characters of new chunks that are encoded as one string.
+JOINED_CHARS = 1_000
 
-_CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_CHUNKS = re.compile("[ \n]*[^ \n\x00]+|[ \n]+")
 #: White space other than space and line break before one of the two: no chunk ends there.
 _UNSAFE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff][ \n]")
 _SPACE = "\u2581"
@@ -75,6 +77,9 @@ class Vocabularies:
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
         #: Whether chunks may be cut: no piece goes on across a space or a line break.
         self.cuts = not any(re.search(f"[^{_SPACE}]{_SPACE}|\n", p) for i, p in enumerate(pieces) if not mute[i] and not self.b.is_byte(i))
+        #: A stop before white space and after a letter that no piece joins with a stop: a chunk of its own.
+        joined = {p[k] for i, p in enumerate(pieces) if not mute[i] and not self.b.is_byte(i) for k in range(len(p) - 1) if p[k + 1] in ".,"}
+        self.stops = re.compile(r"(?<=[^\W\d_" + re.escape("".join(sorted(c for c in joined if c.isalnum()))) + r"])([.,])(?=[ \n])")
         self.lone = self.b.piece_to_id(_SPACE)
         #: Each id in decimal behind each sign: id i behind sign k is entry k * top + i.
         self.top = max(len(self.bytes_a), len(self.bytes_b))
@@ -85,14 +90,54 @@ class Vocabularies:
         if not text:
             return []
         full = " " + text
-        return _CHUNKS.findall(full) if self.cuts and not _UNSAFE.search(full) else [full]
-
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B of each chunk."""
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        # B puts a space before a text: the chunk's own first one, or a token of its own before a line break
-        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return a, [[self.lone] if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, b, strict=True)]
+        if not self.cuts or "\x00" in full or _UNSAFE.search(full):
+            return [full]
+        return _CHUNKS.findall(self.stops.sub("\x00\\1", full))
+
+    def _encoded(self, strings: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """Ids of A and of B of each string, and whether both spell it byte for byte."""
+        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]
+        # B puts a space before a text: the string's own first one, or a token of its own before a line break
+        b = self.b.encode([s[1:] if s[0] == " " else s if s[0] == "\n" else "\n" + s for s in strings], num_threads=1)
+        b = [np.array([self.lone] if s == " " else ids if s[0] == " " else ids[1:] if s[0] == "\n" else ids[2:], np.int64) for s, ids in zip(strings, b, strict=True)]
+        spells = lambda ids, own, data: b"" not in (parts := list(map(own.__getitem__, ids.tolist()))) and b"".join(parts) == data
+        return [(x, y, spells(x, self.bytes_a, data := s.encode()) and spells(y, self.bytes_b, data)) for s, x, y in zip(strings, a, b, strict=True)]
+
+    def encode(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The chunks in an order of their own, ids of A and of B of all of them, and whether each is spelt byte for byte.
+
+        Chunks that begin with white space and end in none are cut apart again by either vocabulary wherever they are laid together, so
+        many are encoded as one string. The others, and those of a string that is not spelt, are encoded one by one;
+        a chunk that is not spelt has no ids.
+        """
+        strings, held, size, alone = [], [], 0, []
+        for c in chunks:
+            if c[-1].isspace() or c[0] not in " \n":
+                alone.append(c)
+                continue
+            held.append(c)
+            size += len(c)
+            if size >= JOINED_CHARS:
+                strings.append(held)
+                held, size = [], 0
+        strings += [held] if held else []
+        order, a, b = [], [], []
+        for own, (x, y, spelt) in zip(strings, self._encoded(["".join(h) for h in strings]) if strings else [], strict=True):
+            if spelt:
+                order += own
+                a.append(x)
+                b.append(y)
+            else:
+                alone += own
+        spelt_all = [True] * len(order)
+        for c, (x, y, spelt) in zip(alone, self._encoded(alone) if alone else [], strict=True):
+            order.append(c)
+            spelt_all.append(spelt)
+            if spelt:
+                a.append(x)
+                b.append(y)
+        flat = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        return order, flat(a), flat(b), np.array(spelt_all, bool)
 
 
 @functools.lru_cache(maxsize=1)
@@ -101,28 +146,49 @@ def vocabularies(path_a: str, path_b: str) -> Vocabularies:
     return Vocabularies(path_a, path_b)
 
 
+@functools.lru_cache(maxsize=1)
+def kept_chunks(path_a: str, path_b: str) -> Chunks:
+    """One per worker process, so that what it holds outlives a task."""
+    return Chunks(vocabularies(path_a, path_b))
+
+
 class Chunks:
     """Chunks that a task has met, by number: their sizes, the codes of their links and the text of their groups.
 
     Links lie one after another: those of chunk i from ``first[i]`` to ``first[i + 1]``; ``exact`` marks the ones that
-    the identity map maps. ``spelt`` is false for a chunk that either vocabulary does not spell byte for byte.
+    the identity map maps. ``spelt`` is false for a chunk that either vocabulary does not spell byte for byte. ``sums``
+    are, for each chunk, the sums over its links of being best, of the counts, and of being without a carried count.
     """
 
-    def __init__(self, v: Vocabularies, score: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
-        self.v, self.score = v, score
+    def __init__(self, v: Vocabularies):
+        self.v, self.score = v, None
         self.clear()
 
+    def scored_by(self, score: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None) -> None:
+        """Take counts and bests (-1 where none is carried) of links from ``score``, for chunks held and to come."""
+        self.score = score
+        self.sums, self.rest = np.zeros((3, 0), np.int64), np.zeros(0, bool)
+        if score is not None:
+            self._sum(0)
+
+    def _sum(self, since: int) -> None:
+        codes, n = self.codes[self.first[since] :], self.sizes[3][since:]
+        counts, best = self.score(codes)
+        of = np.repeat(np.arange(len(n)), n)
+        sums = np.zeros((3, len(n)), np.int64)  # bincount adds doubles, which round sums beyond 2^53
+        np.add.at(sums[1], of, np.maximum(counts, 0))
+        sums[0], sums[2] = np.bincount(of[best > 0], minlength=len(n)), np.bincount(of[counts < 0], minlength=len(n))
+        self.sums, self.rest = np.concatenate([self.sums, sums], axis=1), np.concatenate([self.rest, counts < 0])
+
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.chars = 0
-        self.sizes = np.zeros((4, 0), np.int64)  # tokens of A, of B, groups, links
+        self.sizes = np.zeros((4, 0), np.int32)  # tokens of A, of B, groups, links
         self.spelt = np.zeros(0, bool)
         self.first = np.zeros(1, np.int64)
         self.codes, self.exact = np.zeros(0, np.int64), np.zeros(0, bool)
         self.groups: list[str] = []
-        #: per link, its count and whether that is its best (-1: not among the carried pairs); per chunk, their sums
-        self.counts, self.best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.sums = np.zeros((3, 0), np.int64)
+        self.sums, self.rest = np.zeros((3, 0), np.int64), np.zeros(0, bool)
 
     def full(self) -> bool:
         return len(self.numbers) > CHUNKS_KEPT or self.chars > CHARS_KEPT
@@ -136,23 +202,10 @@ class Chunks:
 
     def _add(self, new: list[str]) -> None:
         v = self.v
-        ids_a, ids_b = v.encode(new)
-        data = [c.encode() for c in new]
-        flat = lambda ids, n: np.fromiter(itertools.chain.from_iterable(ids), np.int64, n)
-        sizes_of = lambda x: np.fromiter(map(len, x), np.int64, len(new))
-        n_a, n_b, n_bytes = map(sizes_of, (ids_a, ids_b, data))
-        a, b = flat(ids_a, int(n_a.sum())), flat(ids_b, int(n_b.sum()))
-        whole = b"".join(data)
-        spelt = np.ones(len(new), bool)
-        for ids, n, sizes, own in ((a, n_a, v.sizes_a, v.bytes_a), (b, n_b, v.sizes_b, v.bytes_b)):
-            lengths = np.diff(np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])])
-            if not (sizes[ids] > 0).all() or (lengths != n_bytes).any() or b"".join(map(own.__getitem__, ids.tolist())) != whole:
-                parts = np.split(ids, np.cumsum(n)[:-1])
-                spelt &= [bool((sizes[x] > 0).all()) and b"".join(map(own.__getitem__, x.tolist())) == d for x, d in zip(parts, data, strict=True)]
-        if not spelt.all():
-            a, b = a[np.repeat(spelt, n_a)], b[np.repeat(spelt, n_b)]
-            n_a, n_b, n_bytes = n_a * spelt, n_b * spelt, n_bytes * spelt
-        end_a, end_b, ends = np.cumsum(v.sizes_a[a]), np.cumsum(v.sizes_b[b]), np.cumsum(n_bytes)
+        new, a, b, spelt = v.encode(new)
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in new), np.int64, len(new)) * spelt)
+        end_a, end_b = np.cumsum(v.sizes_a[a]), np.cumsum(v.sizes_b[b])
+        n_a, n_b = (np.diff(np.searchsorted(end, ends, "right"), prepend=0) for end in (end_a, end_b))
         common = np.intersect1d(end_a, end_b, assume_unique=True)  # where groups end
         cuts = np.union1d(end_a, end_b)  # each stretch between cuts is the overlap of one token of A with one of B
         at_a, at_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
@@ -160,22 +213,16 @@ class Chunks:
         one = (np.bincount(group_a, minlength=len(common)) == 1) & (np.bincount(group_b, minlength=len(common)) == 1)
         exact = one[group_a[at_a]] & (v.identity[a[at_a]] == b[at_b])
         per_chunk = lambda at: np.bincount(np.searchsorted(ends, at), minlength=len(new))
-        sizes = np.stack([n_a, n_b, per_chunk(common), per_chunk(cuts)])
+        sizes = np.stack([n_a, n_b, per_chunk(common), per_chunk(cuts)]).astype(np.int32)
         codes = _code(a[at_a], b[at_b])
         self.groups += self._texts(a, b, group_a, group_b, sizes)
         self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
         self.chars += sum(map(len, new))
-        first = self.first[-1] + np.cumsum(sizes[3])
+        first = self.first[-1] + np.cumsum(sizes[3], dtype=np.int64)
         self.sizes, self.spelt = np.concatenate([self.sizes, sizes], axis=1), np.concatenate([self.spelt, spelt])
         self.codes, self.exact, self.first = np.concatenate([self.codes, codes]), np.concatenate([self.exact, exact]), np.concatenate([self.first, first])
         if self.score is not None:
-            counts, best = self.score(codes)
-            of = np.repeat(np.arange(len(new)), sizes[3])
-            sums = np.zeros((3, len(new)), np.int64)  # bincount adds doubles, which round sums beyond 2^53
-            np.add.at(sums[1], of, np.maximum(counts, 0))
-            sums[0], sums[2] = np.bincount(of[best > 0], minlength=len(new)), np.bincount(of[counts < 0], minlength=len(new))
-            self.sums = np.concatenate([self.sums, sums], axis=1)
-            self.counts, self.best = np.concatenate([self.counts, counts]), np.concatenate([self.best, best])
+            self._sum(len(self.spelt) - len(new))
 
     def _texts(self, a, b, group_a, group_b, sizes) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each chunk."""
@@ -185,14 +232,14 @@ class Chunks:
         fresh = np.ones(len(place), bool)
         fresh[1:] = place[1:] != place[:-1]
         sign = np.where(fresh, 1 + place % 2, 0)
-        bounds = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])])
+        bounds = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1], dtype=np.int64)])
         sign[bounds[:-1][bounds[:-1] < len(sign)]] = 3  # the first of a chunk
         parts = list(map(self.v.shown.__getitem__, (sign * self.v.top + ids).tolist()))
         return ["".join(parts[s:e]) for s, e in itertools.pairwise(bounds.tolist())]
 
     def links_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the links of chunks, one after another: the place in ``numbers`` and the place in ``codes``."""
-        n = self.sizes[3][numbers]
+        n = self.sizes[3][numbers].astype(np.int64)
         of = np.repeat(np.arange(len(numbers)), n)
         return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[numbers], n)
 
@@ -227,8 +274,8 @@ def count_pairs(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabularies(path_a, path_b)
-        store = Chunks(v)
+        v, store = vocabularies(path_a, path_b), kept_chunks(path_a, path_b)
+        store.scored_by(None)
         vector = np.zeros(len(v.bytes_a), np.int64)
         uses = np.zeros(0, np.int64)
         pairs = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -296,7 +343,8 @@ def _score(docs: DataFrame, head: tuple[np.ndarray, np.ndarray, np.ndarray], pat
             found = known[at] == codes
             return np.where(found, counts[at], -1), np.where(found, best[at], -1)
 
-        store = Chunks(v, score)
+        store = kept_chunks(path_a, path_b)
+        store.scored_by(score)
         key = TaskContext.get().partitionId() << 36
 
         def batch(n: int, **columns) -> pa.RecordBatch:
@@ -310,16 +358,15 @@ def _score(docs: DataFrame, head: tuple[np.ndarray, np.ndarray, np.ndarray], pat
             keep = ~unspelt[of]
             numbers, of = numbers[keep], of[keep]
             bounds = np.searchsorted(of, np.arange(n + 1))
-            totals = [np.diff(np.concatenate([[0], np.cumsum(x[numbers])])[bounds]) for x in (*store.sizes, *store.sums[:2])]
+            totals = [np.diff(np.concatenate([[0], np.cumsum(x[numbers], dtype=np.int64)])[bounds]) for x in (*store.sizes, *store.sums[:2])]
             texts = [";".join(map(store.groups.__getitem__, numbers[s:e].tolist())) for s, e in itertools.pairwise(bounds.tolist())]
             own = dict(zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), totals, strict=True))
             sha = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
             yield batch(n, key=np.arange(key, key + n), doc_id=doc_ids, **own, groups_sha256=sha, **({"groups": texts} if with_groups else {}))
             rest = store.sums[2][numbers] > 0
             at, link = store.links_of(numbers[rest])
-            other = store.counts[link] < 0
-            at, link = of[rest][at[other]], link[other]
-            codes, row = store.codes[link], at
+            link, row = link[store.rest[link]], of[rest][at[store.rest[link]]]
+            codes = store.codes[link]
             order = np.lexsort((codes, row))
             codes, row = codes[order], row[order]
             heads = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (row[1:] != row[:-1]))) if len(codes) else np.zeros(0, np.int64)

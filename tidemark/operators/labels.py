@@ -5,17 +5,17 @@ A decision at a closed bar t enters at open[t+1]; its path is bars t+1..t+h and
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.plans.quantiles import exact_quantiles
 from tidemark.plans.series import CHUNK, INDEX, ahead, framed, with_chunks
 from tidemark.spec import Series
 
 LONG, SHORT = 1, -1
-#: Horizons up to which a path is an array in a window; longer ones go through NumPy by chunk.
+#: Horizons up to which a path is an array in a window; longer ones are searched along extremes of blocks.
 ARRAY_HORIZON = 120
 TOLERANCE = 1e-12
 
@@ -119,11 +119,13 @@ def first_touch(bars: DataFrame, series: Series, target, stop, horizon: int, sid
     """entry, tp_offset, sl_offset, outcome, ambiguous, holding and realized return of one barrier pair.
 
     ``target`` and ``stop`` are fractions of the entry: numbers, or names of columns for a level per row. Touches
-    beyond the horizon do not count. Short paths are arrays in one window; long ones run in NumPy by halo chunk.
+    beyond the horizon do not count. Short paths are arrays in one window; long ones are searched by ``touch_times``.
     """
     t, s = (F.lit(float(x)) if not isinstance(x, str) else F.col(x) for x in (target, stop))
     if horizon > ARRAY_HORIZON:
-        rows = _touch_numpy(bars.withColumns({"__t": t, "__s": s}), series, horizon, side, reference)
+        levels = {"__tp": (t, side), "__sl": (s, -side)}
+        found = touch_times(bars, series, [horizon], levels, reference).withColumnsRenamed({f"exit_{horizon}": "__exit", f"whole_{horizon}": "__valid"})
+        rows = bars.withColumns({"__t": t, "__s": s}).join(found, [*series.keys, series.ts])
     else:
         rows = framed(bars.withColumns({"__t": t, "__s": s}), series, 0, horizon + 2, lambda w: _path(w, horizon, reference))
         up, down = F.col("entry") * (1 + side * F.col("__t")), F.col("entry") * (1 - side * F.col("__s"))
@@ -136,37 +138,69 @@ def first_touch(bars: DataFrame, series: Series, target, stop, horizon: int, sid
     return rows.withColumns({"holding": held, "realized": realized}).drop("__high", "__low", "__exit", "__tp", "__sl", "__valid", "__t", "__s")
 
 
-def _touch_numpy(bars: DataFrame, series: Series, horizon: int, side: int, reference: str) -> DataFrame:
-    """The same first touches by sliding windows over one chunk's arrays, a block of rows at a time."""
-    rows = with_chunks(bars, series, 0, horizon + 2)
-    schema = T.StructType([*rows.drop(CHUNK).schema, T.StructField("entry", T.DoubleType()), T.StructField("__exit", T.DoubleType()), T.StructField("__tp", T.IntegerType()), T.StructField("__sl", T.IntegerType()), T.StructField("__valid", T.BooleanType())])
-    names, chunk = [f.name for f in schema], series.chunk
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(series.ts, kind="stable").reset_index(drop=True)
-        n, own = len(pdf), pdf[INDEX] // chunk == pdf[CHUNK]
-        o, h, lo, c = (pdf[x].to_numpy(float) for x in ("open", "high", "low", "close"))
-        pad = lambda x: np.concatenate((x, np.full(horizon + 2, np.nan)))
-        entry = pad(o)[1 : n + 1] if reference == "next_open" else c
-        leave = pad(o)[horizon + 1 : n + horizon + 1] if reference == "next_open" else pad(c)[horizon : n + horizon]
-        up, down = entry * (1 + side * pdf["__t"].to_numpy(float)), entry * (1 - side * pdf["__s"].to_numpy(float))
-        tp, sl = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        highs, lows = (np.lib.stride_tricks.sliding_window_view(pad(x)[1:], horizon) for x in (h, lo))
-        for a in range(0, n, 4096):
-            z = slice(a, min(n, a + 4096))
-            above = lambda level: highs[z] >= (level[z] - np.abs(level[z]) * TOLERANCE)[:, None]  # noqa: E731, B023
-            below = lambda level: lows[z] <= (level[z] + np.abs(level[z]) * TOLERANCE)[:, None]  # noqa: E731, B023
-            for out, hit in ((tp, above(up) if side == LONG else below(up)), (sl, below(down) if side == LONG else above(down))):
-                out[z] = np.where(hit.any(1), hit.argmax(1) + 1, 0)
-        pdf["entry"], pdf["__exit"] = entry, leave
-        pdf["__tp"], pdf["__sl"] = (pd.Series(x, dtype="Int32").mask(x == 0) for x in (tp, sl))
-        valid = (np.arange(n) + horizon < n) & np.isfinite(entry) & np.isfinite(leave)
-        pdf["__valid"] = valid
-        return pdf[own][names]
-
-    out = rows.groupBy(*series.keys, CHUNK).applyInPandas(kernel, schema)
-    nan = lambda c: F.when(~F.isnan(c), F.col(c))
-    return out.withColumns({"entry": nan("entry"), "__exit": nan("__exit")}).drop(INDEX)
+def touch_times(bars: DataFrame, series: Series, horizons: list[int], levels: dict[str, tuple[Column, int]], reference: str = "next_open") -> DataFrame:
+    """Keys, time, entry, for each horizon exit_h and whole_h, and for each level the bars until its first touch.
+
+    A level is a fraction of the entry and a side: 1 above it, touched by a high, -1 below it, touched by a low. A touch
+    counts up to the longest horizon; null is none. whole_h says that h bars follow and that entry and exit are known.
+
+    A halo chunk is one row of arrays. Its extremes over 1, 2, 4, ... bars ahead are built once, and each bar halves its
+    way along them: over the longest stretch that does not touch, then the next shorter one. So a search takes as many
+    steps as the horizon has binary digits, whatever the horizon and the number of levels.
+    """
+    longest = max(horizons)
+    wanted = [series.ts, "open", "high", "low", "close"]
+    rows = bars.select(*series.keys, *wanted, *(fraction.cast("double").alias(f"__f{i}") for i, (fraction, _) in enumerate(levels.values())))
+    rows = with_chunks(rows, series, 0, longest + 2)
+    bar = F.struct(F.col(INDEX).alias("i"), *wanted, *(f"__f{i}" for i in range(len(levels))))
+    chunks = rows.groupBy(*series.keys, CHUNK).agg(F.sort_array(F.collect_list(bar)).alias("p"), F.count_if(F.floor(F.col(INDEX) / series.chunk) == F.col(CHUNK)).alias("own"))
+    top = longest.bit_length() - 1
+    chunks = chunks.withColumns({"hi": _extremes("p", "high", top, F.greatest), "lo": _extremes("p", "low", top, F.least)}).where("own > 0")
+
+    kept = [series.ts, "entry", *(f"exit_{h}" for h in horizons), *(f"whole_{h}" for h in horizons)]
+
+    def prepared(i: Column) -> Column:
+        """A bar's entry, exits and price levels."""
+        here, after = F.get("p", i), lambda k: F.get("p", i + k)
+        entry = after(1)["open"] if reference == "next_open" else here["close"]
+        known = lambda x: x.isNotNull() & ~F.isnan(F.coalesce(x, F.lit(0.0)))
+        leave = {h: after(h + 1)["open"] if reference == "next_open" else after(h)["close"] for h in horizons}
+        whole = {h: after(h)["i"].isNotNull() & known(entry) & known(leave[h]) for h in horizons}
+        prices = {f"l{n}": entry * (1 + side * here[f"__f{n}"]) for n, (_, side) in enumerate(levels.values())}
+        slack = {f"l{n}": prices[f"l{n}"] - side * F.abs(prices[f"l{n}"]) * TOLERANCE for n, (_, side) in enumerate(levels.values())}
+        cells = [here[series.ts], entry, *(leave[h] for h in horizons), *(whole[h] for h in horizons)]
+        return F.struct(i.alias("i"), *(c.alias(k) for k, c in zip(kept, cells, strict=True)), *(c.alias(k) for k, c in slack.items()))
+
+    steps, powers = F.sequence(F.lit(top), F.lit(0), F.lit(-1)), F.array(*(F.lit(1 << x) for x in range(top + 1)))
+
+    def search(x: Column, n: int, side: int) -> Column:
+        """Bars until the first touch of a bar's level ``n``."""
+        level, table = x[f"l{n}"], F.col("hi" if side == LONG else "lo")
+
+        def passed(skip: Column, k: Column) -> Column:
+            extreme = F.get(F.get(table, k), x["i"] + 1 + skip)
+            clear = extreme < level if side == LONG else extreme > level
+            further = skip + F.element_at(powers, k + 1)
+            return F.when((further <= longest) & F.coalesce(clear, F.lit(True)), further).otherwise(skip)
+
+        skip = F.aggregate(steps, F.lit(0), passed)
+        return F.when(level.isNotNull() & (skip < longest), skip + 1)
+
+    ready = chunks.withColumn("q", F.transform(F.sequence(F.lit(0), (F.col("own") - 1).cast("int")), prepared))
+    found = F.transform("q", lambda x: F.struct(*(x[k].alias(k) for k in kept), *(search(x, n, side).alias(name) for n, (name, (_, side)) in enumerate(levels.items()))))
+    return ready.select(*series.keys, F.explode(found).alias("x")).select(*series.keys, "x.*")
+
+
+def _extremes(bars: str, name: str, top: int, pick) -> Column:
+    """Arrays 0 to ``top``: the extreme of 1, 2, 4, ... bars from each bar on, or of those that are left."""
+    first = F.transform(bars, lambda b: b[name])
+
+    def doubled(tables: Column, k: Column) -> Column:
+        last = F.element_at(tables, -1)
+        shifted = F.slice(last, F.element_at(F.array(*(F.lit((1 << x) + 1) for x in range(max(top, 1)))), k), F.size(last))
+        return F.concat(tables, F.array(F.zip_with(last, shifted, lambda a, b: pick(a, b))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(top)), F.array(first), doubled) if top else F.array(first)
 
 
 def barrier_grid(spark, targets, stops, horizons) -> DataFrame:
@@ -233,20 +267,38 @@ def path_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def geometry_bound(bars: DataFrame, series: Series, cells: list[tuple[float, float, int]], side: int = LONG, atr: str = "atr_14") -> DataFrame:
-    """Per ATR cell (target, stop, horizon): P(target), P(stop), median fractions and the bound target - P(stop) * stop."""
-    out = None
+#: Targets and stops in multiples of the average true range, horizons in bars.
+GEOMETRY = tuple((t, s, h) for t in (0.5, 1.0, 2.0, 3.0, 5.0) for s in (0.5, 1.0, 2.0) for h in (15, 30, 60, 120, 240, 480))
+
+
+def geometry_bound(bars: DataFrame, series: Series, cells: Sequence[tuple[float, float, int]] = GEOMETRY, side: int = LONG, atr: str = "atr_14") -> DataFrame:
+    """Per ATR cell (target, stop, horizon): P(target), P(stop), P(timeout), median fractions and the bound target - P(stop) * stop.
+
+    One search of the paths gives the first touch of every distinct level; cells are exploded literals over it. The
+    median of a multiple of the range is that multiple of the median, so each horizon has one. A bar without a range
+    takes part with levels at its entry where ``atr`` is 0, and not at all where it is null.
+    """
+    horizons = sorted({h for _, _, h in cells})
+    levels, number = {}, {}
+    for kind, way, place in (("target", side, 0), ("stop", -side, 1)):
+        for multiple in sorted({c[place] for c in cells}):
+            number[kind, multiple] = name = f"__{kind}_{len(number)}"
+            levels[name] = (multiple * F.col(atr) / F.col("close"), way)
+    fraction = (F.col(atr) / F.col("close")).alias("__range")
+    rows = touch_times(bars, series, horizons, levels).join(bars.select(*series.keys, series.ts, fraction), [*series.keys, series.ts])
+    keys = list(series.keys)
+    table = []
     for t, s, h in cells:
-        rows = atr_barriers(bars, series, t, s, h, side, atr).where("outcome is not null")
-        one = rows.groupBy(*series.keys).agg(
-            F.count("*").alias("n"),
-            F.avg((F.col("outcome") == "TP").cast("double")).alias("p_target"),
-            F.avg((F.col("outcome") == "SL").cast("double")).alias("p_stop"),
-            F.percentile("target_fraction", 0.5).alias("target_fraction"),
-            F.percentile("stop_fraction", 0.5).alias("stop_fraction"),
-        )
-        one = one.withColumns({"target_atr": F.lit(float(t)), "stop_atr": F.lit(float(s)), "horizon": F.lit(h)})
-        out = one if out is None else out.unionByName(one)
+        tp, sl = F.col(number["target", t]), F.col(number["stop", s])
+        found = outcome(F.when(tp <= h, tp), F.when(sl <= h, sl), F.col(f"whole_{h}"))["outcome"]
+        table.append(F.struct(F.lit(float(t)).alias("target_atr"), F.lit(float(s)).alias("stop_atr"), F.lit(h).alias("horizon"), found.alias("outcome")))
+    share = lambda k: F.avg((F.col("outcome") == k).cast("double"))
+    known = rows.where("__range is not null")
+    per_cell = known.select(*keys, F.explode(F.array(*table)).alias("c")).select(*keys, "c.*").where("outcome is not null")
+    per_cell = per_cell.groupBy(*keys, "target_atr", "stop_atr", "horizon").agg(F.count("*").alias("n"), share("TP").alias("p_target"), share("SL").alias("p_stop"), share("TIMEOUT").alias("p_timeout"))
+    whole = known.select(*keys, "__range", F.explode(F.array(*(F.when(F.col(f"whole_{h}"), F.lit(h)) for h in horizons))).alias("horizon")).where("horizon is not null")
+    medians = exact_quantiles(whole, [*keys, "horizon"], {"range": F.col("__range")}, {"__median": ("range", 0.5)})
+    out = per_cell.join(medians, [*keys, "horizon"]).withColumns({f"{k}_fraction": F.col(f"{k}_atr") * F.col("__median") for k in ("target", "stop")}).drop("__median")
     return out.withColumn("bound", F.col("target_fraction") - F.col("p_stop") * F.col("stop_fraction"))
 
 

@@ -492,7 +492,7 @@ def x10_x11_first_touch(spark, d):
 
 @query(f"WITH {BARS_SQL}, {_touch_sql(0.5, 0.4, 150)} SELECT {KT}, tp_offset, sl_offset, outcome, holding, round(realized, 6) AS realized FROM touched")
 def x11_first_touch_long(spark, d):
-    """A horizon beyond the array kernel: NumPy by halo chunk."""
+    """A horizon beyond the array kernel: a search along extremes of blocks."""
     out = X.first_touch(P.daily_bars(spark, d), DAILY, 0.5, 0.4, 150)
     return rounded(out.select(*K, "ts_ms", "tp_offset", "sl_offset", "outcome", "holding", "realized"))
 
@@ -506,10 +506,62 @@ def x11_barrier_grid(spark, d):
     return rounded(cells.groupBy("instrument", "side", "target", "stop", "horizon", "outcome").agg(F.count("*").alias("n")))
 
 
-@query()
+_ATR_SQL = f"{_STATE_SQL}, ab AS (SELECT *, atr_14 / close AS rng FROM s2)"
+
+
+def _atr_touch_sql(target: float, stop: float, h: int) -> str:
+    """Levels that are multiples of each row's range, for one horizon."""
+    at = lambda k, sign: f"a.entry * (1 {sign} {k} * a.rng)"
+    return f"""n AS (SELECT *, row_number() OVER w AS i, lead(open) OVER w AS entry, lead(open, {h + 1}) OVER w AS leave FROM ab {W0}),
+  p AS (SELECT a.venue, a.instrument, a.ts_ms, min(b.i - a.i) FILTER (b.high >= {at(target, '+')} * (1 - 1e-12)) AS tp, min(b.i - a.i) FILTER (b.low <= {at(stop, '-')} + abs({at(stop, '-')}) * 1e-12) AS sl
+        FROM n a JOIN n b ON a.venue = b.venue AND a.instrument = b.instrument AND b.i > a.i AND b.i <= a.i + {h} GROUP BY ALL)"""
+
+
+@query(f"""WITH {_ATR_SQL}, {_atr_touch_sql(2.0, 1.0, 15)}, t AS (SELECT n.*, tp, sl, CASE WHEN leave IS NOT NULL THEN CASE WHEN sl IS NOT NULL AND (tp IS NULL OR sl <= tp) THEN 'SL' WHEN tp IS NOT NULL THEN 'TP' ELSE 'TIMEOUT' END END AS outcome FROM n LEFT JOIN p USING (venue, instrument, ts_ms))
+  SELECT {KT}, outcome, CASE WHEN outcome = 'TIMEOUT' THEN 15 WHEN outcome IS NOT NULL THEN least(tp, sl) END AS holding, round(CASE outcome WHEN 'TP' THEN 2.0 * rng WHEN 'SL' THEN -1.0 * rng WHEN 'TIMEOUT' THEN leave / entry - 1 END, 6) + 0.0 AS realized FROM t""")
 def x13_atr_barriers(spark, d):
     rows = W.state_features(P.full_bars(spark, d), DAILY, regime=240, z=240)
-    return X.atr_barriers(rows, DAILY, 2.0, 1.0, 15).select(*K, "ts_ms", "outcome", "holding", "realized")
+    return rounded(X.atr_barriers(rows, DAILY, 2.0, 1.0, 15).select(*K, "ts_ms", "outcome", "holding", "realized"))
+
+
+def _geometry_sql() -> str:
+    """First touches of all eight levels within 480 bars, then every cell of the grid over them."""
+    at = lambda k, sign: f"(a.entry * (1 {sign} {k} * a.rng))"
+    up = ", ".join(f"min(b.i - a.i) FILTER (b.high >= {at(t, '+')} - abs({at(t, '+')}) * 1e-12) AS up_{i}" for i, t in enumerate((0.5, 1.0, 2.0, 3.0, 5.0)))
+    down = ", ".join(f"min(b.i - a.i) FILTER (b.low <= {at(s, '-')} + abs({at(s, '-')}) * 1e-12) AS dn_{i}" for i, s in enumerate((0.5, 1.0, 2.0)))
+    leave = ", ".join(f"lead(open, {h + 1}) OVER w AS leave_{h}" for h in (15, 30, 60, 120, 240, 480))
+    cells = ", ".join(f"({t}, {s}, {h}, up_{i}, dn_{k}, leave_{h})" for i, t in enumerate((0.5, 1.0, 2.0, 3.0, 5.0)) for k, s in enumerate((0.5, 1.0, 2.0)) for h in (15, 30, 60, 120, 240, 480))
+    return f"""{_ATR_SQL}, n AS (SELECT *, row_number() OVER w AS i, lead(open) OVER w AS entry, {leave} FROM ab {W0}),
+  p AS (SELECT a.venue, a.instrument, a.ts_ms, {up}, {down} FROM n a JOIN n b ON a.venue = b.venue AND a.instrument = b.instrument AND b.i > a.i AND b.i <= a.i + 480 GROUP BY ALL),
+  c AS (SELECT n.venue, n.instrument, rng, x.* FROM n JOIN p USING (venue, instrument, ts_ms), LATERAL (VALUES {cells}) x(target_atr, stop_atr, horizon, tp, sl, leave) WHERE rng IS NOT NULL AND leave IS NOT NULL),
+  o AS (SELECT *, CASE WHEN sl <= horizon AND (tp IS NULL OR tp > horizon OR sl <= tp) THEN 'SL' WHEN tp <= horizon THEN 'TP' ELSE 'TIMEOUT' END AS outcome FROM c),
+  m AS (SELECT venue, instrument, target_atr::DOUBLE AS target_atr, stop_atr::DOUBLE AS stop_atr, horizon::BIGINT AS horizon, count(*) AS n, avg((outcome = 'TP')::INT) AS p_target, avg((outcome = 'SL')::INT) AS p_stop, avg((outcome = 'TIMEOUT')::INT) AS p_timeout,
+    median(rng) AS med FROM o GROUP BY o.venue, o.instrument, o.target_atr, o.stop_atr, o.horizon), g AS (SELECT *, target_atr * med AS target_fraction, stop_atr * med AS stop_fraction FROM m)"""
+
+
+_GEOMETRY = ("p_target", "p_stop", "p_timeout", "target_fraction", "stop_fraction")
+
+
+def _ranged(spark, d):
+    return W.state_features(P.full_bars(spark, d), DAILY, regime=240, z=240)
+
+
+@query(f"WITH {_geometry_sql()} SELECT venue, instrument, target_atr, stop_atr, horizon, n, {r(*_GEOMETRY)}, round(target_fraction - p_stop * stop_fraction, 6) + 0.0 AS bound FROM g")
+def x19_geometry_bound(spark, d):
+    """All ninety cells of the grid from one search of the paths."""
+    return rounded(X.geometry_bound(_ranged(spark, d), DAILY))
+
+
+# Profiles as fee and slippage a side and latency, in bps.
+_PROFILES = {"taker_taker": (5.0, 2.0, 1.0), "maker_maker": (2.0, 0.0, 0.0), "wide": (500.0, 20.0, 10.0)}
+
+
+@query(f"""WITH {_geometry_sql()}, f AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {2 * fee + 2 * slip + late}::DOUBLE)" for k, (fee, slip, late) in _PROFILES.items())}) v(profile, total_bps))
+  SELECT venue, instrument, target_atr, stop_atr, horizon, profile, total_bps, round((target_fraction - p_stop * stop_fraction) * 1e4 - total_bps, 4) + 0.0 AS bound_minus_cost_bps, (target_fraction - p_stop * stop_fraction) * 1e4 > total_bps AS viable FROM g, f""")
+def x19_viability(spark, d):
+    """Every cell under every cost profile."""
+    out = X.viability(X.geometry_bound(_ranged(spark, d), DAILY), _PROFILES)
+    return rounded(out.select(*K, "target_atr", "stop_atr", "horizon", "profile", "total_bps", "bound_minus_cost_bps", "viable"), 4)
 
 
 @query(f"""WITH {BARS_SQL}, {_touch_sql(0.3, 0.2, 20)}, l AS (SELECT * FROM touched WHERE outcome IS NOT NULL QUALIFY row_number() OVER (PARTITION BY venue, instrument ORDER BY ts_ms DESC) <= 200)
@@ -519,12 +571,6 @@ def x14_a9_path_summary(spark, d):
     return rounded(X.path_summary(X.path_samples(touched, DAILY, 200), K))
 
 
-@query()
-def x19_geometry_bound(spark, d):
-    rows = W.state_features(P.full_bars(spark, d), DAILY, regime=240, z=240)
-    return X.geometry_bound(rows, DAILY, [(1.0, 1.0, 5), (2.0, 1.0, 15)])
-
-
 # --- events and studies ---------------------------------------------------------------------------------------------
 
 
