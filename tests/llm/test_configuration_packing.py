@@ -115,3 +115,17 @@ def test_documents_are_packed_whole(spark):
     n, total = check_pieces(cp.pack(df, capacity=256, with_ids=True).collect(), docs, 256)
     assert n <= total / 256 * 1.01 + 2
     assert cp.pack(df.limit(0)).collect() == []
+
+
+def test_ids_of_many_texts_are_those_of_the_library():
+    from tests.llm.test_vocabulary_alignment import SPECIAL, random_texts
+    from tidemark.llm.tokens import BatchEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, many = Tokenizer.from_file(path), BatchEncoder(path)
+    texts = [None, "", *SPECIAL, *random_texts(9, 800), "Mr. x, y.z w., ½, a.\n", "..", " .", ". ", "<|endoftext|>"]
+    for kept in (500_000, 5):
+        many.CHUNKS_KEPT = kept
+        for k in range(0, len(texts), 60):
+            for t, ids in zip(texts[k : k + 60], many.encode(texts[k : k + 60]), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == (tokenizer.encode(t, add_special_tokens=False).ids if t else []), t

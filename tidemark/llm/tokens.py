@@ -4,15 +4,26 @@ from __future__ import annotations
 
 import functools
 import gc
+import itertools
 import os
 import re
 
+import numpy as np
+
 END_ID = 0
 WORDS_KEPT = 150_000
 
 #: Characters of which every regular-expression library has the same idea of letter, digit and space.
 _PLAIN = re.compile(r"[\t\n\r -~¡-ԯ]*")
 
+#: Stretches of a text that start where the pre-tokenizer always starts a token: before a space or a line break that
+#: follows no white space. A NUL, put where another start is known, ends a stretch too.
+CHUNKS = re.compile("[ \n]*[^ \n\x00]+|[ \n]+")
+#: White space other than space and line break before one of the two: no chunk ends there.
+UNSAFE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff][ \n]")
+#: A stop after a letter and before white space is a token, or two, of its own.
+STOPS = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n])")
+
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, equal to those of ``Tokenizer.encode``.
@@ -24,16 +35,14 @@ class Encoder:
     token, which the library turns into that token's id wherever it stands.
     """
 
-    def __init__(self, path: str, plain_specials: bool = False):
-        """``plain_specials``: strings of special tokens inside a text are ordinary text."""
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = plain_specials
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.split = regex.compile(public_tokenizers.PATTERN).findall
@@ -110,7 +119,91 @@ class Encoder:
         return self.encode(text) + END_ID.to_bytes(4, "little")
 
 
+class BatchEncoder:
+    """Ids of many texts at once, equal to those of ``Tokenizer.encode``, as little-endian unsigned 32-bit bytes.
+
+    Chunks not met before are laid together and encoded by the library as a few long strings, which are cut apart again
+    by the bytes of their tokens; the ids of a bounded number of chunks are kept. A text that holds the string of an added
+    token or white space of other kinds at a chunk's end is encoded whole.
+    """
+
+    JOINED_CHARS, CHUNKS_KEPT, CHARS_KEPT = 1_000, 500_000, 12_000_000
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Bytes of each id: byte-level BPE writes a byte as one character.
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token)
+        self.kept: dict[str, bytes] = {}
+        self.chars = 0
+
+    def _ids(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        joined, held, size = [], [], 0
+        alone = []
+        for c in new:
+            if c[0] not in " \n" or c[-1].isspace():
+                alone.append(c)
+                continue
+            held.append(c)
+            size += len(c)
+            if size >= self.JOINED_CHARS:
+                joined.append(held)
+                held, size = [], 0
+        joined += [held] if held else []
+        for own, ids in zip(joined, self._ids(["".join(h) for h in joined]), strict=True):
+            ends = np.cumsum(self.sizes[ids])
+            cuts = np.cumsum([len(c.encode()) for c in own])
+            at = (4 * np.searchsorted(ends, cuts, "right")).tolist()
+            if ends[-1] != cuts[-1]:
+                raise ValueError("the vocabulary does not spell its texts byte for byte")
+            data = ids.tobytes()
+            self.kept.update(zip(own, [data[s:e] for s, e in zip([0, *at], at, strict=False)], strict=True))
+        if alone:
+            self.kept.update(zip(alone, (ids.tobytes() for ids in self._ids(alone)), strict=True))
+        self.chars += sum(map(len, new))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        if len(self.kept) > self.CHUNKS_KEPT or self.chars > self.CHARS_KEPT:
+            self.kept.clear()
+            self.chars = 0
+        whole = [bool(t) and ("\x00" in t or UNSAFE.search(t) is not None or any(a in t for a in self.added)) for t in texts]
+        chunks = [[] if w or not t else CHUNKS.findall(STOPS.sub("\x00\\1", t)) for t, w in zip(texts, whole, strict=True)]
+        if new := set(itertools.chain.from_iterable(chunks)).difference(self.kept):
+            self._learn(list(new))
+        ids = [b"".join(map(self.kept.__getitem__, c)) for c in chunks]
+        if any(whole):
+            odd = iter(self._ids([t for t, w in zip(texts, whole, strict=True) if w]))
+            ids = [next(odd).tobytes() if w else i for i, w in zip(ids, whole, strict=True)]
+        return ids
+
+
+@functools.lru_cache(maxsize=2)
+def batch_encoder(path: str) -> BatchEncoder:
+    """One per worker process, so that what it keeps outlives a task."""
+    return BatchEncoder(path)
+
+
+def in_portions(rows, text: int, chars: int = 1_000_000):
+    """The columns of a record batch as lists, about ``chars`` of the text column at a time."""
+    columns = [c.to_pylist() for c in rows.columns]
+    start = held = 0
+    for i, t in enumerate(columns[text]):
+        held += len(t or "")
+        if held >= chars or i + 1 == rows.num_rows:
+            yield [c[start : i + 1] for c in columns]
+            start, held = i + 1, 0
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, plain_specials: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One per worker process, so that its cache outlives a task."""
-    return Encoder(path, plain_specials)
+    return Encoder(path)
