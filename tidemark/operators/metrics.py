@@ -38,21 +38,41 @@ def score_counts(df: DataFrame, label: str, score: str, keys: list[str]) -> Data
     return rows.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count("*").alias("n"))
 
 
-def cumulated(counts: DataFrame, keys: list[str], descending: bool = True) -> DataFrame:
+#: Different scores that one task scans, and the ranges into which more of them are cut.
+SCAN_ROWS, RANGES = 200_000, 1024
+
+
+def _range_of(cuts: Column, score: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most ``score``, by halving."""
+    top = (RANGES - 1).bit_length() - 1
+    steps = F.sequence(F.lit(top), F.lit(0), F.lit(-1))
+    powers = F.array(*(F.lit(1 << k) for k in range(top + 1)))
+
+    def passed(n: Column, k: Column) -> Column:
+        further = n + F.element_at(powers, k + 1)
+        return F.when(F.get(cuts, further - 1) <= score, further).otherwise(n)
+
+    return F.aggregate(steps, F.lit(0), passed)
+
+
+def cumulated(counts: DataFrame, keys: list[str], descending: bool = True, scan_rows: int = SCAN_ROWS) -> DataFrame:
     """Running positives and rows over scores (before and with each score), without one task per key.
 
-    Scores are cut into ranges; a range's totals, few rows, are scanned and added to the scan inside each range.
+    A key with more than ``scan_rows`` different scores is cut into ranges that hold about equally many of them, by a
+    sketch; a range's totals, few rows, are scanned and added to the scan inside each range. A row is a different score
+    here, so neither outliers nor ties make a range larger than others.
     """
-    spread = counts.groupBy(*keys).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
-    rows = counts.join(spread, keys) if keys else counts.crossJoin(F.broadcast(spread))  # without keys: one row
-    at = F.try_divide(F.col("score") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    rows = rows.withColumn("__r", F.floor(F.coalesce(at, F.lit(0.0)) * 4095)).drop("__lo", "__hi")
+    rows = counts.withColumn("__k", F.struct(*keys) if keys else F.struct(F.lit(0)))  # as a struct, null keys meet too
+    many = rows.groupBy("__k").agg(F.count("*").alias("__m")).where(F.col("__m") > scan_rows)
+    points = [i / RANGES for i in range(1, RANGES)]
+    cuts = rows.join(many, "__k", "left_semi").groupBy("__k").agg(F.percentile_approx("score", points, 20 * RANGES).alias("__cuts"))
+    rows = rows.join(cuts, "__k", "left").withColumn("__r", F.coalesce(_range_of(F.col("__cuts"), F.col("score")), F.lit(0))).drop("__cuts")
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    totals = rows.groupBy(*keys, "__r").agg(F.sum("pos").alias("__p"), F.sum("n").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(order("__r")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "__r", F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("__bp"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__bn"))
-    own = Window.partitionBy(*keys, "__r").orderBy(order("score"))
-    rows = rows.withColumns({"__op": F.sum("pos").over(own), "__on": F.sum("n").over(own)}).join(carry, [*keys, "__r"])
+    totals = rows.groupBy("__k", "__r").agg(F.sum("pos").alias("__p"), F.sum("n").alias("__n"))
+    before = Window.partitionBy("__k").orderBy(order("__r")).rowsBetween(Window.unboundedPreceding, -1)  # ranges of a key
+    carry = totals.select("__k", "__r", F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("__bp"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__bn"))
+    own = Window.partitionBy("__k", "__r").orderBy(order("score"))
+    rows = rows.withColumns({"__op": F.sum("pos").over(own), "__on": F.sum("n").over(own)}).join(carry, ["__k", "__r"])
     return rows.select(*keys, "score", "pos", "n", (F.col("__bp") + F.col("__op")).alias("cum_pos"), (F.col("__bn") + F.col("__on")).alias("cum_n"))
 
 
@@ -183,23 +203,44 @@ def rank_correlation(df: DataFrame, a: str, b: str, keys: list[str] | None = Non
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("spearman"))
 
 
-def quantile_table(df: DataFrame, predicted: str, actual: str, tiles: int = 10, tie: str | None = None) -> DataFrame:
+def _placed(cells: DataFrame, keys: list[str], order: list[str], scan_rows: int) -> DataFrame:
+    """``cells`` (with a count n) and __at, the rows of the same ``keys`` before each in ``order``."""
+    first, *rest = order
+    groups = cells.groupBy(*keys, F.col(first).cast("double").alias("score")).agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("pos"))
+    found = cumulated(groups, keys, False, scan_rows).withColumn("__start", F.col("cum_n") - F.col("n"))
+    found = found.select(*(F.col(k).alias(f"__g_{k}") for k in keys), F.col("score").alias("__g"), "__start")
+    same = F.col(first).cast("double").eqNullSafe(F.col("__g"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__g_{k}"))
+    if not rest:
+        return cells.join(found, same).withColumnRenamed("__start", "__at").drop("__g", *(f"__g_{k}" for k in keys))
+    inner = _placed(cells, [*keys, first], rest, scan_rows).join(found, same)
+    return inner.withColumn("__at", F.col("__at") + F.col("__start")).drop("__start", "__g", *(f"__g_{k}" for k in keys))
+
+
+def quantile_table(df: DataFrame, predicted: str, actual: str, tiles: int = 10, tie: str | None = None, scan_rows: int = SCAN_ROWS) -> DataFrame:
     """(tile, n, mean predicted, mean realized) of ``tiles`` groups of equal size; leading groups take the remainder.
 
-    Positions come from score counts by range, so the sort of the whole table is spread; equal predictions are split
-    among tiles by ``tie``.
+    Equal predictions are ordered by ``tie`` and then by ``actual``. Rows equal in all of them are one cell with a count,
+    which is dealt out over the tiles that its places reach; places come from scans of counts, so that no prediction,
+    however frequent, is sorted in one task.
     """
     rows = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
-    counts = rows.groupBy(F.col(predicted).cast("double").alias("score")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("pos"))
-    c = cumulated(counts, [], descending=False).select(F.col("score").alias("__v"), (F.col("cum_n") - F.col("n")).alias("__before"))
+    columns = {"__p": predicted, **({"__t": tie} if tie and tie != actual else {}), "__a": actual}
+    cells = rows.groupBy(*(F.col(c).alias(k) for k, c in columns.items())).agg(F.count("*").alias("n"))
     total = rows.agg(F.count("*").alias("__total"))
-    at = rows.join(c, rows[predicted].cast("double") == c["__v"]).crossJoin(F.broadcast(total))  # one row
-    same = Window.partitionBy("__v").orderBy(*([tie] if tie else [actual]))
-    pos = F.col("__before") + F.row_number().over(same) - 1
+    at = _placed(cells, [], list(columns), scan_rows).crossJoin(F.broadcast(total))  # one row
     size, extra = F.floor(F.col("__total") / tiles), F.col("__total") % tiles
     big = extra * (size + 1)
-    tile = F.when(pos < big, F.floor(pos / (size + 1))).otherwise(extra + F.floor(F.try_divide(pos - big, size)))
-    return at.withColumn("tile", tile.cast("long") + 1).groupBy("tile").agg(F.count("*").alias("n"), F.avg(predicted).alias("mean_predicted"), F.avg(actual).alias("mean_actual"))
+    tile_of = lambda pos: F.when(pos < big, F.floor(pos / (size + 1))).otherwise(extra + F.floor(F.try_divide(pos - big, size))).cast("long")
+    start = lambda tile: F.when(tile < extra, tile * (size + 1)).otherwise(big + (tile - extra) * size)
+    end = F.col("__at") + F.col("n")
+    parts = at.withColumn("__tile", F.explode(F.sequence(tile_of(F.col("__at")), tile_of(end - 1))))
+    tile = F.col("__tile")
+    k = F.least(end, start(tile + 1)) - F.greatest(F.col("__at"), start(tile))
+    parts = parts.select((tile + 1).alias("tile"), k.alias("__n"), F.col("__p").alias("p"), F.col("__a").alias("a"))
+    mean = lambda c: F.sum(F.col(c) * F.col("__n")) / F.sum("__n")
+    return parts.groupBy("tile").agg(F.sum("__n").alias("n"), mean("p").alias("mean_predicted"), mean("a").alias("mean_actual"))
 
 
 def uncertainty_reliability(df: DataFrame, actual: str, predicted: str, uncertainty: str, bins: int = 5) -> DataFrame:
