@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import document_batches, tokenizer_path, write_table
+from tidemark.llm.tokens import CHUNKS, UNSAFE, in_portions
 
 PIECES_FILE = "piece_bpe_32k.model"
 #: Pairs whose counts are carried to the documents: a bound on the broadcast, not on what is counted.
@@ -36,10 +37,6 @@ CHUNKS_KEPT, CHARS_KEPT, PAIRS_COUNTED = 600_000, 16_000_000, 500_000
 CHARS_AT_ONCE = 1_000_000
 #: Characters of new chunks that are encoded as one string.
 JOINED_CHARS = 1_000
-
-_CHUNKS = re.compile("[ \n]*[^ \n\x00]+|[ \n]+")
-#: White space other than space and line break before one of the two: no chunk ends there.
-_UNSAFE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff][ \n]")
 _SPACE = "\u2581"
 #: Bits of an id of B in the code of a pair.
 B_BITS = 24
@@ -90,9 +87,9 @@ class Vocabularies:
         if not text:
             return []
         full = " " + text
-        if not self.cuts or "\x00" in full or _UNSAFE.search(full):
+        if not self.cuts or "\x00" in full or UNSAFE.search(full):
             return [full]
-        return _CHUNKS.findall(self.stops.sub("\x00\\1", full))
+        return CHUNKS.findall(self.stops.sub("\x00\\1", full))
 
     def _encoded(self, strings: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
         """Ids of A and of B of each string, and whether both spell it byte for byte."""
@@ -247,15 +244,9 @@ class Chunks:
 def _portions(batches: Iterator[pa.RecordBatch], v: Vocabularies, text: int):
     """(columns, chunks of all texts, number of chunks of each text), about CHARS_AT_ONCE of text at a time."""
     for rows in batches:
-        columns = [c.to_pylist() for c in rows.columns]
-        start = held = 0
-        for i, t in enumerate(columns[text]):
-            held += len(t or "")
-            if held >= CHARS_AT_ONCE or i + 1 == rows.num_rows:
-                own = [c[start : i + 1] for c in columns]
-                chunks = list(map(v.chunks, own[text]))
-                yield own, [c for x in chunks for c in x], np.fromiter(map(len, chunks), np.int64, len(chunks))
-                start, held = i + 1, 0
+        for own in in_portions(rows, text, CHARS_AT_ONCE):
+            chunks = list(map(v.chunks, own[text]))
+            yield own, [c for x in chunks for c in x], np.fromiter(map(len, chunks), np.int64, len(chunks))
 
 
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
