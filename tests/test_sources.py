@@ -156,3 +156,36 @@ def test_exports(spark):
     r = market.normalize_trades(raw, KEYS).first()
     assert (r.trade_id, r.notional, r.ts_ms, r.is_buyer_maker) == (1, 10.0, T0, True)
     assert [(r.year, r.month) for r in market.months(spark, 1_701_000_000_000, 1_704_067_200_000).collect()] == [(2023, 11), (2023, 12)]
+
+
+def test_linear_fits_of_groups(spark):
+    """Weights against NumPy, group by group and head by head, with gaps, and the fallback of timeouts."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = []
+    for fold, n in (("a", 200), ("b", 40), (None, 30), ("alone", 1)):
+        for _ in range(n):
+            x = r.normal(3, 2, 2)
+            rows.append((fold, float(x[0]), float(x[1]), float(x @ [0.5, -1] + r.normal()), float(r.normal()) if r.random() < 0.7 else None, "TIMEOUT" if r.random() < 0.5 else "TP"))
+    rows += [("a", None, 1.0, 1.0, 1.0, "TP"), ("a", float("nan"), 1.0, 1.0, 1.0, "TIMEOUT"), ("empty", None, None, 1.0, 1.0, "TP")]
+    df = spark.createDataFrame(rows, "fold string, x0 double, x1 double, y double, z double, outcome string").repartition(5)
+    fits = models.linear_fits(df, ["fold"], ["x0", "x1"], ["y", "z"])
+    got = {(f.fold, f["head"]): f for f in fits.collect()}
+    for fold in ("a", "b", None, "alone"):
+        for k, head in ((3, "y"), (4, "z")):
+            own = np.array([(t[1], t[2], t[k]) for t in rows if t[0] == fold and t[k] is not None and t[1] is not None and np.isfinite(t[1])], float).reshape(-1, 3)
+            if not len(own):
+                assert (fold, head) not in got
+                continue
+            x, y = own[:, :2] - own[:, :2].mean(0), own[:, 2] - own[:, 2].mean()
+            w = np.linalg.solve(x.T @ x + np.eye(2), x.T @ y)
+            f = got[fold, head]
+            assert f.n == len(own) and np.allclose(f.weights, w) and np.isclose(f.intercept, own[:, 2].mean() - w @ own[:, :2].mean(0))
+    assert not any(k[0] == "empty" for k in got)
+    scored = models.linear_scores(df.where("fold in ('a', 'empty')"), fits, ["fold"], ["x0", "x1"]).collect()
+    assert len(scored) == 200 and all(abs(t.pred_y - (got["a", "y"].intercept + t.x0 * got["a", "y"].weights[0] + t.x1 * got["a", "y"].weights[1])) < 1e-9 for t in scored)
+    timeouts = {f.fold: f for f in models.timeout_fits(df.where("fold in ('a', 'b')"), ["fold"], ["x0", "x1"], "y", least=60).collect()}
+    assert list(timeouts["b"].weights) == [0.0, 0.0] and any(timeouts["a"].weights)
+    mean = np.mean([t[3] for t in rows if t[0] == "b" and t[5] == "TIMEOUT"])
+    assert np.isclose(timeouts["b"].intercept, mean)

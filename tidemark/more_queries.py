@@ -526,12 +526,60 @@ def m3_baselines(spark, d):
     return ML.rule_baselines(rows, DAILY, "label_up", 5, 60).select(*K, "ts_ms", F.col("base_momentum").cast("long").alias("base_momentum"))
 
 
-@query()
+_FEATURES = ("f1", "f5", "f60")
+_FEATURES_SQL = f"""{_RETS_SQL}, feats AS (SELECT *, close / nullif(lag(close, 1) OVER w, 0) - 1 AS f1, close / nullif(lag(close, 5) OVER w, 0) - 1 AS f5, {z_sql('volume', 60)} AS f60 FROM rets {W0}),
+  usable AS (SELECT * FROM feats WHERE f1 IS NOT NULL AND f5 IS NOT NULL AND f60 IS NOT NULL AND isfinite(f1) AND isfinite(f5) AND isfinite(f60)),
+  folds AS (""" + " UNION ALL ".join(f"SELECT *, '{n}' AS fold, CASE WHEN ts_ms < {b - 10 * DAY} THEN 'train' ELSE 'test' END AS split FROM usable WHERE ts_ms < {b - 10 * DAY} OR (ts_ms >= {b} AND ts_ms < {c})" for n, _, b, c in _FOLDS) + ")"
+
+
+def _ridge_sql(rows: str, penalty: float = 1.0) -> str:
+    """Normal equations of three features about the means by Cramer's rule: ``rows`` gives fold, head, f1, f5, f60, y."""
+    x = _FEATURES
+    covers = [f"count(*) * covar_pop({a}, {b}) + {penalty if a == b else 0} AS a_{i}{k}" for i, a in enumerate(x) for k, b in enumerate(x)] + [f"count(*) * covar_pop({a}, y) AS b_{i}" for i, a in enumerate(x)]
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    whole = [[f"a_{i}{k}" for k in range(3)] for i in range(3)]
+    put = lambda c: [[f"b_{i}" if k == c else f"a_{i}{k}" for k in range(3)] for i in range(3)]
+    return f"""gram AS (SELECT fold, head, count(*) AS n, avg(y) AS label_mean, {", ".join(f"avg({a}) AS m_{i}" for i, a in enumerate(x))}, {", ".join(covers)} FROM ({rows}) GROUP BY 1, 2),
+  weighed AS (SELECT *, {", ".join(f"{det(put(i))} / {det(whole)} AS w_{i}" for i in range(3))} FROM gram), fits AS (SELECT *, label_mean - w_0 * m_0 - w_1 * m_1 - w_2 * m_2 AS intercept FROM weighed)"""
+
+
+def _features(spark, d):
+    rows = framed(_returns(spark, d), DAILY, 60, 0, lambda w: {"f1": W.change("close", 1, w), "f5": W.change("close", 5, w), "f60": W.zscore(F.col("volume"), w, 60)})
+    return M.walk_forward(rows, DAILY, _FOLDS, 10)
+
+
+def _with_weights(fits: DataFrame) -> DataFrame:
+    return rounded(fits.select("fold", "head", "n", "label_mean", "intercept", *(F.get("weights", i).alias(f"w_{i}") for i in range(3))), 7)
+
+
+_FIT_COLUMNS = f"fold, head, n, {r('label_mean', 'intercept', 'w_0', 'w_1', 'w_2', digits=7)}"
+_TRAIN_SQL = "SELECT fold, '{h}' AS head, f1, f5, f60, {h} AS y FROM folds WHERE split = 'train' AND {h} IS NOT NULL"
+
+
+@query(f"""WITH {_FEATURES_SQL}, {_ridge_sql(_TRAIN_SQL.format(h='exec_ret_5'))}, s AS (SELECT fold, exec_ret_5 AS a, intercept + w_0 * f1 + w_1 * f5 + w_2 * f60 AS p FROM folds JOIN fits USING (fold) WHERE split = 'test' AND exec_ret_5 IS NOT NULL)
+  SELECT fold, count(*) AS n, round(avg(abs(p - a)), 6) AS mae, round(sqrt(avg((p - a) * (p - a))), 6) AS rmse, round(corr(p, a), 6) AS ic, round(avg(a), 6) + 0.0 AS mean_actual, round(avg(p), 6) + 0.0 AS mean_predicted, round(stddev_samp(a), 6) AS sd_actual, round(stddev_samp(p), 6) AS sd_predicted, round(avg((sign(p) = sign(a))::INT), 6) AS direction_accuracy FROM s GROUP BY 1""")
 def m21_fold_benchmark(spark, d):
-    """Ridge on trailing features, walk-forward; fits are distributed."""
-    feats = framed(_returns(spark, d), DAILY, 60, 0, lambda w: {"f1": W.change("close", 1, w), "f5": W.change("close", 5, w), "f60": W.zscore(F.col("volume"), w, 60)})
-    folds = M.walk_forward(feats, DAILY, _FOLDS, 10)
-    return ML.fold_benchmark(folds, ["f1", "f5", "f60"], "exec_ret_5")
+    """Ridge on trailing features, walk-forward: the fits of all folds from one aggregation."""
+    return rounded(ML.fold_benchmark(_features(spark, d), list(_FEATURES), "exec_ret_5"))
+
+
+@query(f"WITH {_FEATURES_SQL}, {_ridge_sql(' UNION ALL '.join(_TRAIN_SQL.format(h=f'exec_ret_{h}') for h in (1, 5, 20)))} SELECT {_FIT_COLUMNS} FROM fits")
+def m8_heads(spark, d):
+    """A head for each return horizon in each fold, one job."""
+    return _with_weights(ML.linear_fits(_features(spark, d).where("split = 'train'"), ["fold"], list(_FEATURES), [f"exec_ret_{h}" for h in (1, 5, 20)]))
+
+
+_TIMEOUT_SQL = "SELECT fold, 'timeout' AS head, f1, f5, f60, realized AS y FROM timed WHERE split = 'train' AND outcome = 'TIMEOUT'"
+
+
+@query(f"""WITH {_FEATURES_SQL.replace(_RETS_SQL, _RETS_SQL + ', ' + _touch_sql(1.1, 0.53, 1), 1)}, timed AS (SELECT folds.*, outcome, realized FROM folds JOIN touched USING (venue, instrument, ts_ms) WHERE outcome IS NOT NULL), {_ridge_sql(_TIMEOUT_SQL)}
+  SELECT {_FIT_COLUMNS}, 5::BIGINT AS least FROM fits UNION ALL SELECT fold, head, n, round(label_mean, 7) + 0.0, round(label_mean, 7) + 0.0, 0.0, 0.0, 0.0, 1000000 FROM fits""")
+def m9_timeouts(spark, d):
+    """The return of trades that time out: a regression, or their mean where fewer than ``least``."""
+    touched = X.first_touch(P.daily_bars(spark, d), DAILY, 1.1, 0.53, 1).where("outcome is not null").select(*K, "ts_ms", "outcome", "realized")
+    rows = _features(spark, d).where("split = 'train'").join(touched, [*K, "ts_ms"])
+    both = [_with_weights(ML.timeout_fits(rows, ["fold"], list(_FEATURES), "realized", least=n)).withColumn("least", F.lit(n).cast("long")) for n in (5, 1_000_000)]
+    return both[0].unionByName(both[1])
 
 
 @query("SELECT count(*) FILTER (p > 0.5) AS predicted, count(*) AS n FROM (SELECT round(((doc_id * 37) % 101) / 101.0 * 0.5 + quality * 0.3, 3) AS p FROM labels WHERE quality IS NOT NULL)")

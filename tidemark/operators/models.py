@@ -1,12 +1,14 @@
-"""Models on Spark ML: rule baselines, linear, logistic, boosted, multi-class, ensembles, and a fold benchmark.
+"""Models: rule baselines, linear fits of many groups and heads at once, and on Spark ML logistic, boosted and multi-class ones.
 
-Fits are distributed; what loops on the driver is folds and heads. Nulls are dropped before a fit, never imputed.
+Nulls are dropped before a fit, never imputed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -14,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.metrics import binary_metrics, regression_metrics
 from tidemark.operators.quality import finite_rows
@@ -71,14 +74,70 @@ def score(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFrame:
     return out.drop("features", "__raw", "rawPrediction", "probability")
 
 
-def fit_heads(df: DataFrame, columns: list[str], heads: list[str]) -> dict[str, PipelineModel]:
-    return {h: fit_ridge(df, columns, h) for h in heads}
-
-
-def score_heads(models: dict[str, PipelineModel], df: DataFrame, columns: list[str]) -> DataFrame:
-    for h, m in models.items():
-        df = score(m, df, columns).withColumnRenamed("prediction", f"pred_{h}")
-    return df
+def linear_fits(df: DataFrame, keys: list[str], columns: list[str], labels: list[str], penalty: float = 1.0) -> DataFrame:
+    """(keys, head, n, label_mean, intercept, weights): a ridge regression of each label in each group, in one job.
+
+    Tasks add up products of features and labels, a matrix for each group and label that they see; the matrices are
+    summed by group and label and solved there: (X'X + penalty) w = X'y about the means, the intercept free. Rows with a
+    feature that is null or not finite are left out, for each label also those without it. A group without rows of a
+    label has no row for it; features without variation get the smallest weights that fit.
+    """
+    d = len(columns)
+    names = [f"__x{i}" for i in range(d)] + [f"__y{i}" for i in range(len(labels))]
+    rows = finite_rows(df, columns).select(*keys, *(F.col(c).cast("double").alias(n) for c, n in zip([*columns, *labels], names, strict=True)))
+    kinds = [T.StructField(k, rows.schema[k].dataType) for k in keys]
+    part_schema = T.StructType([*kinds, T.StructField("head", T.StringType()), T.StructField("products", T.ArrayType(T.DoubleType()))])
+    fit_schema = T.StructType([*kinds, *(T.StructField(n, k) for n, k in (("head", T.StringType()), ("n", T.LongType()), ("label_mean", T.DoubleType()), ("intercept", T.DoubleType()), ("weights", T.ArrayType(T.DoubleType()))))])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def frame() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, m.ravel().tolist()) for k, m in held.items()], columns=part_schema.names)
+            held.clear()
+            return out
+
+        for pdf in batches:
+            for key, own in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
+                x = own[names[:d]].to_numpy(float)
+                for i, head in enumerate(labels):
+                    y = own[f"__y{i}"].to_numpy(float)
+                    ok = np.isfinite(y)
+                    if ok.any():
+                        z = np.column_stack([np.ones(ok.sum()), x[ok], y[ok]])
+                        at = (*(None if pd.isna(k) else k for k in key), head)
+                        held[at] = held.get(at, 0) + z.T @ z
+            if len(held) >= 1000:
+                yield frame()
+        if held:
+            yield frame()
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *key, products in pdf[part_schema.names].itertuples(index=False):
+                m = np.array([p["v"] for p in products]).reshape(d + 2, d + 2)
+                n = m[0, 0]
+                mean = m[0, 1:] / n
+                about = m[1:, 1:] - n * np.outer(mean, mean)
+                w = np.linalg.lstsq(about[:d, :d] + penalty * np.eye(d), about[:d, d], rcond=None)[0]
+                out.append((*key, int(n), mean[d], float(mean[d] - w @ mean[:d]), w.tolist()))
+            yield pd.DataFrame(out, columns=fit_schema.names)
+
+    parts = rows.mapInPandas(add_up, part_schema).select(*keys, "head", F.posexplode("products").alias("pos", "v"))
+    sums = parts.groupBy(*keys, "head", "pos").agg(F.sum("v").alias("v"))
+    matrices = sums.groupBy(*keys, "head").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("products"))  # a matrix
+    return matrices.mapInPandas(solve, fit_schema)
+
+
+def linear_scores(df: DataFrame, fits: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows of ``df`` with finite features and a column pred_<head> for each head of their group; null where it has no fit."""
+    heads = [r[0] for r in fits.select("head").distinct().orderBy("head").collect()]  # names of labels
+    per_group = fits.groupBy(*keys).agg(*(F.first(F.when(F.col("head") == h, F.struct("intercept", "weights")), ignorenulls=True).alias(f"__{h}") for h in heads))
+    rows = finite_rows(df, columns)
+    rows = rows.join(per_group, keys, "left") if keys else rows.crossJoin(F.broadcast(per_group))  # one row
+    weigh = lambda h: sum((F.get(F.col(f"__{h}.weights"), i) * F.col(c) for i, c in enumerate(columns)), F.col(f"__{h}.intercept"))
+    return rows.withColumns({f"pred_{h}": weigh(h) for h in heads}).drop(*(f"__{h}" for h in heads))
 
 
 def fit_ensemble(df: DataFrame, columns: list[str], label: str, seeds: Iterable[int] = (1, 2, 3)) -> list[PipelineModel]:
@@ -96,26 +155,45 @@ def score_ensemble(models: list[PipelineModel], df: DataFrame, columns: list[str
     return df.withColumns({"prediction": mean, "uncertainty": F.sqrt(var)}).drop(*names)
 
 
-def timeout_regression(df: DataFrame, columns: list[str], label: str = "realized", least: int = 200) -> tuple[PipelineModel | None, float]:
-    """A regression on timeouts, or their mean where there are too few."""
-    rows = df.where("outcome = 'TIMEOUT'")
-    n, mean = rows.agg(F.count(label), F.avg(label)).first()
-    return (fit_ridge(rows, columns, label) if n >= least else None), float(mean or 0.0)
+def timeout_fits(df: DataFrame, keys: list[str], columns: list[str], label: str, outcome: str = "outcome", least: int = 200, penalty: float = 1.0) -> DataFrame:
+    """Fits of ``label`` on timeouts (head 'timeout'), or a mean where a group has fewer than ``least`` of them.
+
+    The mean is that of its timeouts, and of all its rows where it has none.
+    """
+    rows = finite_rows(df, [*columns, label])
+    timed = F.col(outcome) == "TIMEOUT"
+    means = rows.groupBy(*keys).agg(F.coalesce(F.avg(F.when(timed, F.col(label))), F.avg(label)).alias("__mean"), F.count_if(timed).alias("__n"))
+    fits = linear_fits(rows.where(timed), keys, columns, [label], penalty).drop("n", "label_mean", "head")
+    joined = means.join(fits, keys, "left") if keys else means.join(fits, F.lit(True), "left")  # without keys: one row each
+    enough = F.col("__n") >= least
+    flat = F.array_repeat(F.lit(0.0), len(columns))
+    return joined.select(
+        *keys,
+        F.lit("timeout").alias("head"),
+        F.col("__n").alias("n"),
+        F.col("__mean").alias("label_mean"),
+        F.when(enough, F.col("intercept")).otherwise(F.col("__mean")).alias("intercept"),
+        F.when(enough, F.col("weights")).otherwise(flat).alias("weights"),
+    )
 
 
 def fold_benchmark(folds: DataFrame, columns: list[str], label: str, classifier: bool = False) -> DataFrame:
-    """Fit on each fold's training rows, score its test rows: one row of metrics per fold and model."""
+    """Fit on each fold's training rows, score its test rows: one row of metrics per fold.
+
+    The linear fits of all folds are one job. A classifier is fitted iteratively, fold by fold.
+    """
+    if not classifier:
+        fits = linear_fits(folds.where("split = 'train'"), ["fold"], columns, [label])
+        scored = linear_scores(folds.where("split = 'test'"), fits, ["fold"], columns)
+        if f"pred_{label}" not in scored.columns:
+            raise ValueError("no fold has training rows")
+        return regression_metrics(scored, label, f"pred_{label}", ["fold"])
     parts = []
     for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():  # the fold table's names
         train, test = (finite_rows(folds.where((F.col("fold") == fold) & (F.col("split") == s)), [*columns, label]) for s in ("train", "test"))
-        if train.isEmpty():
-            continue
-        if classifier:
+        if not train.isEmpty():
             out = score(fit_logistic(train, columns, label), test, columns).withColumn("p", F.get("probabilities", 1))
-            m = binary_metrics(out, label, "p")
-        else:
-            m = regression_metrics(score(fit_ridge(train, columns, label), test, columns), label, "prediction")
-        parts.append(m.withColumn("fold", F.lit(fold)))
+            parts.append(binary_metrics(out, label, "p").withColumn("fold", F.lit(fold)))
     if not parts:
         raise ValueError("no fold has training rows")
     out = parts[0]
