@@ -114,7 +114,19 @@ def test_complete_bars_and_roll_ups(spark, tmp_path):
     assert sorted(r.trades for r in bars()) == [1, 1, 4] or sorted(r.trades for r in bars()) == [1, 5]
     assert all(r.trades == 5 for r in bars(step="1 minute", steps=5))
     rows = drain(st.rolled_up(st.read_ticks(spark, path), ("1 minute", "5 minutes")), tmp_path, "rolled")
-    assert {r.frame for r in rows} == {"1 minute", "5 minutes"} and sum(r.trades for r in rows if r.frame == "1 minute") == 6
+    wide, small = ([r for r in rows if r.frame == f] for f in ("5 minutes", "1 minute"))
+    assert len(wide) + len(small) == len(rows) and sum(r.trades for r in wide) == sum(r.trades for r in small) == 6
+    for w in wide:
+        own = sorted((r for r in small if w.start <= r.start < w.end), key=lambda r: r.start)
+        assert (w.open, w.close, w.high, w.low) == (own[0].open, own[-1].close, max(r.high for r in own), min(r.low for r in own))
+        assert w.volume == sum(r.volume for r in own)
+    plan = st.rolled_up(st.read_ticks(spark, path), ("1 minute", "5 minutes", "15 minutes"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("StreamingRelation") == 1
+    q = st.closed_bars(st.read_ticks(spark, path)).writeStream.format("parquet").option("path", str(tmp_path / "bars")).option("checkpointLocation", str(tmp_path / "cb")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    landed = spark.readStream.schema("instrument string, start timestamp, end timestamp, open double, high double, low double, close double, volume double, trades long").parquet(str(tmp_path / "bars"))
+    again = drain(st.wider_bars(landed, "5 minutes"), tmp_path, "wider")
+    assert {(r.start, r.open, r.close, r.trades) for r in again} <= {(r.start, r.open, r.close, r.trades) for r in wide} and again
 
 
 def test_events_of_new_bars(spark, tmp_path):

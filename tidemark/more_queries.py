@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -739,13 +739,45 @@ def st8_complete_bars(spark, d):
     return out.withColumn("start_ms", F.unix_millis("start")).drop("start", "end")
 
 
-@query(f"WITH {_TIMED}, a AS ({_bars_sql(HOUR)}), b AS ({_bars_sql(6 * HOUR)}) SELECT '1 hour' AS frame, {_BAR} FROM a UNION ALL SELECT '6 hours', {_BAR} FROM b")
+@query(f"WITH {_TIMED}, a AS ({_bars_sql(HOUR)}), b AS ({_bars_sql(6 * HOUR)}) SELECT '1 hour' AS frame, {_BAR} FROM a WHERE start_ms - start_ms % {6 * HOUR} + {6 * HOUR} <= (SELECT max(ts_ms) FROM x) - {2 * DAY} UNION ALL SELECT '6 hours', {_BAR} FROM b")
 def st9_rolled_up(spark, d):
-    """Closed bars of two widths from one stream of ticks."""
+    """Closed bars of two widths: ticks are aggregated once, hours make the wider bars."""
     out = _streamed(spark, d, lambda e: T.rolled_up(_stream_ticks(e), ("1 hour", "6 hours"), "2 days"))
     return out.withColumn("start_ms", F.unix_millis("start")).drop("start", "end")
 
 
+def _book_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Events as updates of a book an event type: a snapshot every fifty, one update in ninety-seven lost."""
+    n = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    rows = P.table(spark, d, "events").withColumn("n", n)
+    level = lambda price, size: F.struct(price.cast("double").alias("price"), size.cast("double").alias("size"))
+    bid, ask = 100 - F.floor("value") % 10, 101 + F.floor(F.col("value") * 7) % 10
+    size = F.col("user_id") % 4
+    snap = F.col("n") % 50 == 1
+    both = lambda p, way: F.when(snap, F.array(level(p, F.lit(1)), level(p + way, F.lit(2)))).otherwise(F.array(level(p, size)))
+    return rows.where("n % 97 <> 0").select(F.col("event_type").alias("instrument"), F.col("n").cast("long").alias("update_id"), snap.alias("is_snapshot"), both(bid, -20).alias("bids"), both(ask, 20).alias("asks"))
+
+
+@query(f"""WITH u AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events), k AS (SELECT *, n % 50 = 1 AS snap, 100 - floor(value) % 10 AS bid, 101 + floor(value * 7) % 10 AS ask, (user_id % 4)::DOUBLE AS size FROM u WHERE n % 97 <> 0),
+  m AS (SELECT *, max(CASE WHEN snap THEN n END) OVER w AS base, lag(n) OVER w AS before FROM k WINDOW w AS (PARTITION BY event_type ORDER BY n)), e AS (SELECT *, max(CASE WHEN n <> before + 1 AND NOT snap THEN n END) OVER (PARTITION BY event_type, base ORDER BY n) AS lost FROM m WHERE base IS NOT NULL),
+  c AS (SELECT event_type, base, n, 1 AS side, unnest([{{'p': bid, 's': CASE WHEN snap THEN 1.0 ELSE size END}}, {{'p': CASE WHEN snap THEN bid - 20 END, 's': 2.0}}]) AS x FROM e WHERE lost IS NULL UNION ALL SELECT event_type, base, n, -1, unnest([{{'p': ask, 's': CASE WHEN snap THEN 1.0 ELSE size END}}, {{'p': CASE WHEN snap THEN ask + 20 END, 's': 2.0}}]) FROM e WHERE lost IS NULL),
+  h AS (SELECT e.event_type, e.n, c.side, c.x.p AS p, arg_max(c.x.s, c.n) AS s FROM e JOIN c ON e.event_type = c.event_type AND e.base = c.base AND c.n <= e.n WHERE e.lost IS NULL AND c.x.p IS NOT NULL GROUP BY ALL),
+  b AS (SELECT event_type, n, max(p) FILTER (side = 1 AND s > 0) AS bid, min(p) FILTER (side = -1 AND s > 0) AS ask, coalesce(sum(s) FILTER (side = 1), 0) AS bid_depth, coalesce(sum(s) FILTER (side = -1), 0) AS ask_depth, sum(p * s) AS notional FROM h GROUP BY ALL)
+  SELECT event_type AS instrument, n AS update_id, 'OK' AS status, bid::DOUBLE AS bid, ask::DOUBLE AS ask, bid_depth::DOUBLE AS bid_depth, ask_depth::DOUBLE AS ask_depth, notional::DOUBLE AS notional FROM b UNION ALL SELECT event_type, n, 'GAP', NULL, NULL, NULL, NULL, NULL FROM e WHERE lost = n AND (SELECT min(f.lost) FROM e f WHERE f.event_type = e.event_type AND f.base = e.base) = n""")
+def st6_order_books(spark, d):
+    """Best prices, depth and money after each update; what is lost empties the book until its next snapshot."""
+    at = fresh_folder(spark, "books")
+    for k, v in T.STATE_STORE.items():
+        spark.conf.set(k, v)
+    updates = _book_updates(spark, d)
+    most = updates.agg(F.max("update_id")).first()[0]
+    for k in range(3):  # later updates land in later files
+        updates.where((F.col("update_id") > most * k // 3) & (F.col("update_id") <= most * (k + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(T.DELTA).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    T.order_books(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(T.BOOK).parquet(f"{at}/out")
+
+
 @query("SELECT event_id AS sequence, value AS price FROM events")
 def st3_dedupe(spark, d):
     """Every event twice; one of each comes out."""

@@ -59,28 +59,57 @@ def _seconds(width: str) -> int:
     return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
 
 
+def _tick_bars(ticks: DataFrame, width: str, watermark: str, *more) -> DataFrame:
+    """Bars of trades with their window w: state of one row an instrument and open bucket."""
+    at = F.struct("event_ts", "sequence")
+    return ticks.where("kind = 'trade'").withWatermark("event_ts", watermark).groupBy("instrument", F.window("event_ts", width).alias("w")).agg(
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("quantity").alias("volume"), F.count("*").alias("trades"), *more
+    )
+
+
 def closed_bars(ticks: DataFrame, width: str = "1 minute", watermark: str = "10 seconds", step: str | None = None, steps: int | None = None) -> DataFrame:
     """OHLCV rows that appear once their bucket has closed (append mode).
 
     With ``step`` only complete buckets: those whose ticks lie in ``steps`` different stretches of that width.
     """
-    at = F.struct("event_ts", "sequence")
     seconds = _seconds(step) if step else 1
     parts = F.size(F.collect_set(F.floor(F.unix_seconds("event_ts") / seconds)))  # at most ``steps`` values
-    out = ticks.where("kind = 'trade'").withWatermark("event_ts", watermark).groupBy("instrument", F.window("event_ts", width).alias("w")).agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("quantity").alias("volume"), F.count("*").alias("trades"), *([parts.alias("__parts")] if step else [])
-    )
+    out = _tick_bars(ticks, width, watermark, *([parts.alias("__parts")] if step else []))
     out = out.where(F.col("__parts") == steps) if step else out
-    return out.select("instrument", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "open", "high", "low", "close", "volume", "trades")
+    return out.select("instrument", F.col("w.start").alias("start"), F.col("w.end").alias("end"), *BAR_FIELDS)
+
+
+BAR_FIELDS = ("open", "high", "low", "close", "volume", "trades")
+
+
+def _wider(at) -> list:
+    """A wider bar of bars in order of ``at``."""
+    return [F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at).alias("close"), F.sum("volume").alias("volume"), F.sum("trades").alias("trades")]
+
+
+def wider_bars(bars: DataFrame, width: str, watermark: str = "0 seconds") -> DataFrame:
+    """Closed bars of ``width`` from a stream of closed bars (instrument, start, end, ...), as another query has landed them."""
+    out = bars.withWatermark("start", watermark).groupBy("instrument", F.window("start", width).alias("w")).agg(*_wider(F.col("start")))
+    return out.select("instrument", F.col("w.start").alias("start"), F.col("w.end").alias("end"), *BAR_FIELDS)
 
 
 def rolled_up(ticks: DataFrame, widths: tuple[str, ...] = ("1 minute", "5 minutes", "15 minutes"), watermark: str = "10 seconds") -> DataFrame:
-    """Closed bars of several widths, as one stream with a frame column."""
-    out = None
-    for width in widths:
-        part = closed_bars(ticks, width, watermark).withColumn("frame", F.lit(width))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Closed bars of several widths, each a multiple of the one before, as one stream with a frame column.
+
+    Ticks are aggregated once, to bars of the first width; each wider bar is made of the closed bars below it and hands
+    them on, so that state holds a row a bar. All bars of a stretch appear when the widest has closed; where each is
+    wanted as it closes, land ``closed_bars`` and widen what has landed by ``wider_bars``.
+    """
+    seconds = [_seconds(w) for w in widths]
+    if any(b % a or b == a for a, b in zip(seconds, seconds[1:], strict=False)):
+        raise ValueError("each width must be a multiple of the one before")
+    own = lambda width: F.struct(F.lit(width).alias("frame"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), *BAR_FIELDS)
+    bars = _tick_bars(ticks, widths[0], watermark)
+    bars = bars.withColumn("held", F.array(own(widths[0])))
+    for width in widths[1:]:
+        bars = bars.groupBy("instrument", F.window(F.window_time("w"), width).alias("w")).agg(*_wider(F.col("w.start")), F.flatten(F.collect_list("held")).alias("held"))
+        bars = bars.withColumn("held", F.concat("held", F.array(own(width))))
+    return bars.select("instrument", F.explode("held").alias("x")).select("instrument", "x.*")
 
 
 def _millis(t) -> int:
@@ -284,7 +313,10 @@ def merged_fields(ticks: DataFrame, stale_ms: int = 15_000, delay: str = REORDER
 
 
 class Book(StatefulProcessor):
-    """Bids and asks as maps of price to size. A delta that does not follow the last one is a gap: the book is emptied until a snapshot."""
+    """Bids and asks as maps of price to size. A delta that does not follow the last one is a gap: the book is emptied until a snapshot.
+
+    The maps hold at most ``levels`` prices; a batch reads them once and writes back the prices that it has changed.
+    """
 
     def __init__(self, levels: int):
         self.levels = levels
@@ -294,36 +326,42 @@ class Book(StatefulProcessor):
         self.asks = handle.getMapState("asks", "price double", "size double")
         self.at = handle.getValueState("update", "update_id long, synced boolean")
 
+    def _cut(self, book: dict, best) -> None:
+        """Forget the prices beyond the best ``levels``."""
+        while len(book) > self.levels:
+            del book[(min if best is max else max)(book)]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows, "update_id")
         last, synced = self.at.get() if self.at.exists() else (None, False)
-        sides = [{k[0]: v[0] for k, v in s.iterator()} for s in (self.bids, self.asks)]
+        before = [{k[0]: v[0] for k, v in s.iterator()} for s in (self.bids, self.asks)]
+        sides = [dict(b) for b in before]
         out = []
-        for r in pdf.to_dict("records"):
-            if r["is_snapshot"]:
+        for update, snapshot, *changes in zip(*(pdf[c].tolist() for c in ("update_id", "is_snapshot", "bids", "asks")), strict=True):
+            if snapshot:
                 sides, synced = [{}, {}], True
-            elif not synced or r["update_id"] != last + 1:
+            elif not synced or update != last + 1:
                 if synced:
-                    out.append((*key, r["update_id"], "GAP", None, None, None, None, None))
-                sides, synced, last = [{}, {}], False, r["update_id"]
+                    out.append((*key, update, "GAP", None, None, None, None, None))
+                sides, synced, last = [{}, {}], False, update
                 continue
-            for book, changes in zip(sides, (r["bids"], r["asks"]), strict=True):
-                for c in changes if changes is not None else []:
+            for book, own, best in zip(sides, changes, (max, min), strict=True):
+                for c in own if own is not None else []:
                     if c["size"]:
                         book[c["price"]] = c["size"]
                     else:
                         book.pop(c["price"], None)
-            keep = (sorted(sides[0], reverse=True)[: self.levels], sorted(sides[1])[: self.levels])
-            sides = [{p: s[p] for p in k} for s, k in zip(sides, keep, strict=True)]
-            last = r["update_id"]
-            bid, ask = max(sides[0], default=None), min(sides[1], default=None)
+                self._cut(book, best)
+            last = update
             depth = [sum(s.values()) for s in sides]
             money = sum(p * q for s in sides for p, q in s.items())
-            out.append((*key, last, "OK", bid, ask, depth[0], depth[1], money))
-        for state, book in zip((self.bids, self.asks), sides, strict=True):
-            state.clear()
-            for p, q in book.items():
-                state.updateValue((p,), (q,))
+            out.append((*key, last, "OK", max(sides[0], default=None), min(sides[1], default=None), depth[0], depth[1], money))
+        for state, old, new in zip((self.bids, self.asks), before, sides, strict=True):
+            for p in old.keys() - new.keys():
+                state.removeKey((p,))
+            for p, q in new.items():
+                if old.get(p) != q:
+                    state.updateValue((p,), (q,))
         self.at.update((last, synced))
         yield pd.DataFrame(out, columns=["instrument", "update_id", "status", "bid", "ask", "bid_depth", "ask_depth", "notional"])
 
