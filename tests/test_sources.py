@@ -65,6 +65,25 @@ def test_partitioned_store(spark, tmp_path):
     assert df.count() == 4 and "PartitionFilters: [isnotnull(trade_date" in df._jdf.queryExecution().toString()
 
 
+def test_stored_range(spark, tmp_path):
+    """Only the days of a range are read or written; days without fresh rows go, edges of days stay."""
+    path = str(tmp_path / "s")
+    day = 86_400_000
+    start = T0 - T0 % day
+    rows = [("x", "a", start + k * day // 4, float(k)) for k in range(24)]
+    schema = "venue string, instrument string, ts_ms long, close double"
+    market.write_partitioned(spark.createDataFrame(rows, schema), path)
+    fresh = spark.createDataFrame([("x", "a", start + day + day // 2 + 5, 100.0), ("x", "a", start, -1.0)], schema)
+    lo, hi = start + day + day // 4 + 1, start + 4 * day + 1
+    for _ in range(2):
+        market.replace_stored_range(spark, path, fresh, lo, hi)
+    want = sorted([r[2:] for r in rows if not lo <= r[2] < hi] + [(start + day + day // 2 + 5, 100.0)])
+    assert sorted((r.ts_ms, r.close) for r in market.read_bars(spark, path, schema=schema).collect()) == want
+    assert not any(p.name.endswith(d) for p in (tmp_path / "s").iterdir() for d in ("2023-11-16", "2023-11-17"))
+    part = market.read_bars(spark, path, start + day, start + 2 * day, schema)
+    assert part.count() == 3 and "PartitionFilters: [isnotnull(trade_date" in part._jdf.queryExecution().toString()
+
+
 def test_prediction_markets(spark):
     a = json.dumps({"id": "m", "question": "Will Bitcoin rise?", "outcomePrices": '["0.4", "0.6"]', "clobTokenIds": '["t1"]', "bestBid": "0.39", "bestAsk": "0.41", "volume": "10", "liquidity": "null", "bids": [{"price": "0.39", "size": "5"}] * 12})
     b = json.dumps({"ticker": "k", "title": "Other", "yes_bid": "30", "yes_ask": "40", "last_price": "33", "volume": "7", "notional_value": "100", "close_time": "2024-01-01T00:00:00Z"})

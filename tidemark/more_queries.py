@@ -20,7 +20,7 @@ from tidemark.operators import rollups as A
 from tidemark.plans import tables as P
 from tidemark.plans.shared import fresh_folder
 from tidemark.plans.series import framed
-from tidemark.plans.tables import BARS_SQL, DAILY, FULL_SQL, HOURLY, HOURLY_SQL, r, rounded
+from tidemark.plans.tables import BARS_SQL, DAILY, FULL_SQL, HOURLY, HOURLY_SQL, TICKS_SQL, TRADES_SQL, r, rounded
 from tidemark.queries import _RETS_SQL, _TRADE_SQL, K, KT, W0, _returns, _scored, _touch_sql, query, z_sql
 from tidemark.sources import market as G
 from tidemark.spec import DAY, HOUR
@@ -111,6 +111,62 @@ def s16_replace_range(spark, d):
     return rounded(G.replace_range(b, b.withColumn("close", F.col("close") * 2), DAILY, CUT, 1 << 60))
 
 
+_NEXT = CUT + 90 * DAY
+
+
+@query(f"WITH {BARS_SQL} SELECT {KT}, {r('open', 'high', 'low', 'close', 'volume')} FROM bars WHERE ts_ms >= {CUT} AND ts_ms < {_NEXT}")
+def s1_bar_store(spark, d):
+    """Bars written to a store by day, and a quarter read back from its days alone."""
+    at = fresh_folder(spark, "bar-store")
+    G.write_partitioned(P.daily_bars(spark, d), at)
+    return rounded(G.read_bars(spark, at, CUT, _NEXT).select(*K, "ts_ms", "open", "high", "low", "close", "volume"))
+
+
+@query(f"WITH {TRADES_SQL} SELECT instrument, count(*) AS n, round(sum(price * quantity), 2) AS notional, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM trades WHERE ts_ms >= epoch_ms(DATE '1995-03-01') AND ts_ms < epoch_ms(DATE '1995-04-01') GROUP BY 1")
+def s3_trade_store(spark, d):
+    """Trades written to a store by day, and a month of them read back."""
+    at = fresh_folder(spark, "trade-store")
+    G.write_partitioned(P.trades(spark, d).withColumn("notional", F.col("price") * F.col("quantity")), at)
+    month = G.read_trades(spark, at, "1995-03-01", "1995-04-01")
+    out = month.groupBy("instrument").agg(F.count("*").alias("n"), F.sum("notional").alias("notional"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+    return rounded(out, 2)
+
+
+_FROM, _TO = 1_704_067_200_000 + 5 * DAY + 7 * HOUR, 1_704_067_200_000 + 20 * DAY + 13 * HOUR
+
+
+@query(f"WITH {HOURLY_SQL} SELECT {KT}, round(CASE WHEN ts_ms >= {_FROM} AND ts_ms < {_TO} THEN close * 2 ELSE close END, 6) AS close FROM hours WHERE ts_ms < {_FROM} OR ts_ms >= {_TO} OR (ts_ms // {DAY}) % 4 <> 1")
+def s16_stored_range(spark, d):
+    """A range that begins and ends within a day replaced in a store, twice; every fourth day has no fresh row."""
+    at = fresh_folder(spark, "replaced-store")
+    bars = P.hourly_bars(spark, d).select(*K, "ts_ms", "close")
+    G.write_partitioned(bars, at)
+    fresh = bars.withColumn("close", F.col("close") * 2).where(F.floor(F.col("ts_ms") / DAY) % 4 != 1)
+    for _ in range(2):
+        G.replace_stored_range(spark, at, fresh, _FROM, _TO)
+    return rounded(G.read_bars(spark, at, schema="venue string, instrument string, ts_ms long, close double").select(*K, "ts_ms", "close"))
+
+
+@query(f"WITH {TICKS_SQL}, s AS (SELECT *, CASE WHEN user_id % 3 > 0 THEN 'primary' ELSE 'secondary' END AS source_role FROM ticks) SELECT source_role, count(*) AS ticks, count(DISTINCT CASE WHEN source_role = 'primary' THEN (instrument, ts_ms // {HOUR}) END) AS bars FROM s GROUP BY 1")
+def s24_composite(spark, d):
+    """Ticks of two venues with their roles; only the primary one makes bars."""
+    t = P.ticks(spark, d)
+    both = G.composite({"one": t.where("user_id % 3 > 0"), "two": t.where("user_id % 3 = 0").drop("props")}, "one")
+    hours = B.trades_to_bars(both.where("source_role = 'primary'"), HOURLY, ["trade_id"]).agg(F.count("*").alias("n"))
+    counts = both.groupBy("source_role").agg(F.count("*").alias("ticks"))
+    return counts.crossJoin(F.broadcast(hours)).select("source_role", "ticks", F.when(F.col("source_role") == "primary", F.col("n")).otherwise(0).alias("bars"))  # one row
+
+
+@query(f"WITH {HOURLY_SQL}, e AS (SELECT max(ts_ms) AS m FROM hours), t AS (SELECT m - k * {6 * HOUR} AS at_ms FROM e, range(1, 41) x(k)) SELECT t.at_ms, count(h.ts_ms) AS bars, round(max(h.close), 6) AS top FROM t LEFT JOIN hours h ON h.ts_ms <= t.at_ms AND h.ts_ms > t.at_ms - {6 * HOUR} GROUP BY 1")
+def d20_sample_times(spark, d):
+    """Forty times six hours apart before the last bar, and the bars since the time before."""
+    h = P.hourly_bars(spark, d)
+    end = h.agg(F.max("ts_ms")).first()[0]
+    times = D.sample_times(spark, end, 40, 6 * HOUR)
+    near = h.withColumn("at_ms", F.lit(end) - F.floor((F.lit(end) - F.col("ts_ms")) / (6 * HOUR)) * 6 * HOUR).groupBy("at_ms").agg(F.count("*").alias("bars"), F.max("close").alias("top"))
+    return rounded(times.join(near, "at_ms", "left").select("at_ms", F.coalesce("bars", F.lit(0)).alias("bars"), "top"))
+
+
 @query(f"WITH {BARS_SQL} SELECT {KT}, round(CASE WHEN close > open THEN close * 2 ELSE close END, 6) AS close FROM bars")
 def s17_merge_bars(spark, d):
     b = P.daily_bars(spark, d).select(*K, "ts_ms", "open", "close")

@@ -193,7 +193,11 @@ def d6_validate_bars(spark, d):
     return D.validate_bars(P.hourly_bars(spark, d), HOURLY)
 
 
-@query()
+@query(f"""WITH {HOURLY_SQL}, x AS (SELECT *, ts_ms - lag(ts_ms) OVER w AS delta FROM hours {W0}), b AS ({_BOOK}),
+  h AS (SELECT [CASE WHEN count(*) FILTER (delta <> {HOUR} AND delta <> 0) > 0 THEN 'BAR_GAPS' END, CASE WHEN count(*) FILTER (delta = 0) > 0 THEN 'DUPLICATE_TIMESTAMPS' END, CASE WHEN count(*) FILTER (volume < 0) > 0 THEN 'NEGATIVE_VOLUME' END, CASE WHEN count(*) FILTER (NOT (high >= greatest(open, close, low) AND low <= least(open, close))) > 0 THEN 'OHLC_INCOHERENT' END] AS c, count(*) AS n FROM x),
+  k AS (SELECT [CASE WHEN count(*) FILTER (bid_price > ask_price) > 0 THEN 'CROSSED_BOOK' END, CASE WHEN count(*) FILTER (bid_qty < 0 OR ask_qty < 0) > 0 THEN 'NEGATIVE_DEPTH' END, CASE WHEN count(*) FILTER (bid_price <= 0 OR ask_price <= 0) > 0 THEN 'NONPOSITIVE_PRICE' END] AS c, count(*) AS n FROM b),
+  r AS (SELECT 'bars' AS frame, n, array_to_string(list_filter(c, lambda v: v IS NOT NULL), ',') AS issues FROM h UNION ALL SELECT 'book', n, array_to_string(list_filter(c, lambda v: v IS NOT NULL), ',') FROM k)
+  SELECT frame, n > 0 AS populated, n AS rows, n > 0 AND issues = '' AS ok, issues FROM r UNION ALL SELECT 'trades', false, 0, false, NULL""")
 def d7_validation_report(spark, d):
     h, b = P.hourly_bars(spark, d), _book(spark, d)
     return D.validation_report({"bars": (h, D.validate_bars(h, HOURLY)), "book": (b, D.validate_book(b)), "trades": (None, None)}, spark)
@@ -325,6 +329,21 @@ def w7_ema_adjusted(spark, d):
     return rounded(ema(P.daily_bars(spark, d), DAILY, {"wema_40": (F.col("close"), 40, 20)}, adjust=True).select(*K, "ts_ms", "wema_40"), 4)
 
 
+def _wema_sql(span: int) -> str:
+    a = 1 - 2 / (span + 1)
+    return f"sum(b.close * pow({a!r}, a.i - b.i)) / sum(pow({a!r}, a.i - b.i))"
+
+
+@query(f"""WITH {BARS_SQL}, n AS (SELECT venue, instrument, ts_ms, close, row_number() OVER w - 1 AS i FROM bars {W0}),
+  e AS (SELECT a.venue, a.instrument, a.ts_ms, a.i, a.close, {_wema_sql(720)} AS e1, {_wema_sql(2880)} AS e2, {_wema_sql(10080)} AS e3 FROM n a JOIN n b ON a.venue = b.venue AND a.instrument = b.instrument AND b.i <= a.i GROUP BY ALL),
+  m AS (SELECT *, CASE WHEN i >= 59 THEN e1 END AS wema_720, CASE WHEN i >= 239 THEN e2 END AS wema_2880, CASE WHEN i >= 719 THEN e3 END AS wema_10080 FROM e)
+  SELECT {KT}, round(wema_720, 4) AS wema_720, round(wema_10080, 4) AS wema_10080, round(close / wema_10080 - 1, 6) + 0.0 AS close_over_wema_10080, round(wema_720 / wema_2880 - 1, 6) + 0.0 AS wema_720_over_wema_2880, round(wema_2880 / wema_10080 - 1, 6) + 0.0 AS wema_2880_over_wema_10080 FROM m""")
+def w8_structural_emas(spark, d):
+    """Distances between weighted exponential means of three long spans."""
+    out = W.structural_emas(P.daily_bars(spark, d), DAILY).withColumns({c: F.round(c, 4) for c in ("wema_720", "wema_10080")})
+    return rounded(out.select(*K, "ts_ms", "wema_720", "wema_10080", "close_over_wema_10080", "wema_720_over_wema_2880", "wema_2880_over_wema_10080"))
+
+
 @query()
 def w8_w13_phase_features(spark, d):
     return W.phase_features(W.state_features(P.full_bars(spark, d), DAILY, regime=240, z=240), DAILY)
@@ -681,11 +700,16 @@ def e8_event_study(spark, d):
     return rounded(E.event_study(rows, ["busy"], ["exec_ret_5"], least=10))
 
 
-@query()
+@query(f"""WITH {_RETS_SQL}, s1 AS (SELECT *, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END AS log_ret, coalesce({z_sql('volume', 60)} > 1, false) AS o FROM rets {W0}), s2 AS (SELECT *, {at_least('stddev_samp', 'log_ret', 20)} AS roll_vol FROM s1),
+  s3 AS (SELECT *, {at_least('median', 'roll_vol', 60)} AS m, {at_least('avg', 'close', 20)} AS ma FROM s2), s4 AS (SELECT o, exec_ret_5 AS r, CASE WHEN m IS NOT NULL THEN CASE WHEN roll_vol > m THEN 'HIGH' ELSE 'LOW' END END AS vol_regime, CASE WHEN ma IS NOT NULL THEN CASE WHEN close > ma THEN 'UP' ELSE 'DOWN' END END AS trend_regime FROM s3 WHERE exec_ret_5 IS NOT NULL),
+  x AS (SELECT o, r, 'vol_regime' AS regime, vol_regime AS level FROM s4 UNION ALL SELECT o, r, 'trend_regime', trend_regime FROM s4),
+  g AS (SELECT regime, level, count(*) FILTER (o) AS n, count(*) FILTER (NOT o) AS n_rest, quantile_cont(r, 0.5) FILTER (o) AS median, avg((r > 0)::INT) FILTER (o) AS p_pos, avg(r) FILTER (o) AS mean, avg(r) FILTER (NOT o) AS mean_rest, var_samp(r) FILTER (o) AS v1, var_samp(r) FILTER (NOT o) AS v0 FROM x WHERE level IS NOT NULL GROUP BY 1, 2)
+  SELECT 'busy' AS event, regime, level, 'exec_ret_5' AS horizon, n, n_rest, round(median, 6) + 0.0 AS median, round(p_pos, 6) AS p_pos, round(mean, 6) + 0.0 AS mean, round(mean_rest, 6) + 0.0 AS mean_rest, round(mean - mean_rest, 6) + 0.0 AS diff, round((mean - mean_rest) / sqrt(v1 / n + v0 / n_rest), 5) + 0.0 AS t_stat FROM g WHERE n >= 10""")
 def e9_regime_study(spark, d):
     rows = W.micro_regimes(_returns(spark, d), DAILY, 20, 60)
     rows = framed(rows, DAILY, 60, 0, lambda w: {"busy": E.flag(W.zscore(F.col("volume"), w, 60) > 1)})
-    return E.regime_study(rows, ["busy"], ["exec_ret_5"], ["vol_regime", "trend_regime"], 10)
+    out = E.regime_study(rows, ["busy"], ["exec_ret_5"], ["vol_regime", "trend_regime"], 10)
+    return rounded(out.withColumn("t_stat", F.round("t_stat", 5)))
 
 
 @query(f"""WITH {_STATES_SQL}, q AS (SELECT year(make_timestamp(ts_ms * 1000))::BIGINT AS year, trend_state = 'UP' AS o, exec_ret_5 AS r FROM states WHERE exec_ret_5 IS NOT NULL AND trend_state IS NOT NULL),
@@ -821,9 +845,13 @@ def m16_class_report(spark, d):
     return rounded(M.class_report(rows, "quality", "said_class"))
 
 
-@query()
+@query(f"""WITH {_SCORED_SQL}, q AS (SELECT quality AS y, greatest(least(p, 1 - 1e-15), 1e-15) AS q, p FROM scored), l AS (SELECT avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS log_loss, avg((p - y) * (p - y)) AS brier, avg(y) AS base_rate, avg(((p >= 0.5) = (y = 1))::INT) AS accuracy FROM q),
+  k AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM scored), s AS (SELECT sum(rk) FILTER (quality = 1) AS r, count(*) FILTER (quality = 1)::DOUBLE AS a, count(*)::DOUBLE AS n FROM k),
+  g AS (SELECT p, count(*) FILTER (quality = 1) AS pos, count(*) AS n FROM scored GROUP BY p), c AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS cp, sum(n) OVER (ORDER BY p DESC) AS cn FROM g), ap AS (SELECT sum(cp / cn * pos) / sum(pos) AS v FROM c),
+  b AS (SELECT greatest(ceil(p * 10) - 1, 0) AS bin, count(*) AS n, avg(p) AS mean_p, avg(quality) AS rate FROM scored GROUP BY 1), e AS (SELECT sum(n * abs(mean_p - rate)) / sum(n) AS ece FROM b)
+  SELECT s.n::BIGINT AS n, round(log_loss, 6) AS log_loss, round(brier, 6) AS brier, round(base_rate, 6) AS base_rate, round(accuracy, 6) AS accuracy, round((s.r - a * (a + 1) / 2) / (a * (s.n - a)), 6) AS auc, round(ap.v, 6) AS average_precision, round(ece, 6) AS ece FROM l, s, ap, e""")
 def m17_binary_metrics(spark, d):
-    return M.binary_metrics(_scored(spark, d), "quality", "p")
+    return rounded(M.binary_metrics(_scored(spark, d), "quality", "p"))
 
 
 @query(f"""WITH {_RETS_SQL}, q AS (SELECT instrument, exec_ret_5 AS a, exec_ret_1 * 2 AS p FROM rets WHERE exec_ret_5 IS NOT NULL AND exec_ret_1 IS NOT NULL) SELECT instrument, count(*) AS n, round(avg(abs(p - a)), 6) AS mae, round(sqrt(avg((p - a) * (p - a))), 6) AS rmse, round(corr(p, a), 6) AS ic, round(avg(a), 6) AS mean_actual, round(avg(p), 6) AS mean_predicted,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import zipfile
 from collections.abc import Iterator
@@ -14,7 +15,8 @@ from tidemark.functions.scalars import fixed_point, to_epoch_ms
 from tidemark.operators.joins import as_of
 from tidemark.operators.quality import finalize_bars, keep_last
 from tidemark.plans.series import framed
-from tidemark.spec import Series
+from tidemark.plans.shared import write_table
+from tidemark.spec import DAY, Series
 
 BARS = "venue string, instrument string, ts_ms long, open double, high double, low double, close double, volume double, funding_rate double, open_interest double"
 TRADES = "venue string, instrument string, trade_id long, ts_ms long, price double, quantity double, notional double, is_buyer_maker boolean"
@@ -25,12 +27,23 @@ VENUES = {
 }
 
 
-def read_bars(spark: SparkSession, path: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
-    """Bars of a Parquet store; the range reaches the scan and, where there is one, the trade_date partition."""
-    df = spark.read.schema(BARS).parquet(path)
+DAY_COLUMN = "trade_date"
+
+
+def _days(df: DataFrame, start_ms: int | None, end_ms: int | None, ts: str = "ts_ms") -> DataFrame:
+    """Rows in [start, end): by time, which reaches the files, and by day, which leaves out the other days' folders."""
+    day = lambda ms: F.lit(dt.datetime.fromtimestamp(ms / 1000, dt.UTC).date())
     if start_ms is not None:
-        df = df.where(F.col("ts_ms") >= start_ms)
-    return df if end_ms is None else df.where(F.col("ts_ms") < end_ms)
+        df = df.where((F.col(ts) >= start_ms) & (F.col(DAY_COLUMN) >= day(start_ms)))
+    return df if end_ms is None else df.where((F.col(ts) < end_ms) & (F.col(DAY_COLUMN) <= day(end_ms - 1)))
+
+
+def read_bars(spark: SparkSession, path: str, start_ms: int | None = None, end_ms: int | None = None, schema: str = BARS) -> DataFrame:
+    """Bars in [start, end) of a store partitioned by trade_date: folders of other days are neither listed nor read.
+
+    Days that are not there give no rows. The table is not sorted; operators order what they need.
+    """
+    return _days(spark.read.schema(f"{schema}, {DAY_COLUMN} date").parquet(path), start_ms, end_ms).drop(DAY_COLUMN)
 
 
 def with_oi_change(bars: DataFrame, series: Series) -> DataFrame:
@@ -42,12 +55,33 @@ def read_trades(spark: SparkSession, path: str, start_date: str, end_date: str)
     return spark.read.schema(f"{TRADES}, trade_date date").parquet(path).where((F.col("trade_date") >= F.lit(start_date).cast("date")) & (F.col("trade_date") < F.lit(end_date).cast("date")))
 
 
-def write_partitioned(df: DataFrame, path: str, ts: str = "ts_ms", name: str = "trade_date") -> None:
-    """Overwrite only the days that ``df`` holds, few files a day."""
+def write_partitioned(df: DataFrame, path: str, ts: str = "ts_ms", name: str = DAY_COLUMN) -> None:
+    """Overwrite only the days that ``df`` holds, four files a day at most."""
     rows = df.withColumn(name, F.to_date(F.timestamp_millis(ts)))
     rows.repartition(name, F.pmod(F.xxhash64(ts), F.lit(4))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
 
 
+def replace_stored_range(spark: SparkSession, path: str, fresh: DataFrame, start_ms: int, end_ms: int, ts: str = "ts_ms") -> None:
+    """Put ``fresh`` in place of all rows of a partitioned store in [start, end); the same however often it runs.
+
+    Only the days that the range touches are read and written. What a first or last day holds outside the range stays;
+    a day left without rows is removed, one folder each.
+    """
+    schema = spark.read.parquet(path).drop(DAY_COLUMN).schema
+    stored = _days(spark.read.parquet(path), start_ms - start_ms % DAY, end_ms + (-end_ms) % DAY, ts)
+    outside = stored.where((F.col(ts) < start_ms) | (F.col(ts) >= end_ms)).drop(DAY_COLUMN)
+    inside = fresh.where((F.col(ts) >= start_ms) & (F.col(ts) < end_ms))
+    rows = write_table(outside.unionByName(inside.select(*(F.col(f.name).cast(f.dataType) for f in schema))), "replaced")
+    before = {r[0] for r in stored.select(DAY_COLUMN).distinct().collect()}  # days of the range
+    after = {r[0] for r in rows.select(F.to_date(F.timestamp_millis(ts))).distinct().collect()}
+    if after:
+        write_partitioned(rows, path, ts)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for day in sorted(before - after):
+        folder = hadoop.Path(f"{path.rstrip('/')}/{DAY_COLUMN}={day}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def kline_pages(pages: DataFrame, payload: str, keys: dict[str, str | Column], series: Series, start_ms: int, end_ms: int) -> DataFrame:
     """Bars from pages that are arrays of [open_time, open, high, low, close, volume, ...]; later pages win.
 
