@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.shared import fresh_folder, shared_dir, write_table
 
-__all__ = ["connected_components", "document_batches", "fresh_folder", "read_documents", "shared_dir", "text_crc_mod", "tokenizer_path", "write_table"]
+__all__ = ["connected_components", "document_batches", "fresh_folder", "read_documents", "released", "shared_dir", "text_crc_mod", "tokenizer_path", "write_table"]
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -30,6 +35,26 @@ def document_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(name, rows)
 
 
+def released(worker):
+    """``worker``, which hands memory that it no longer uses back to the system when it ends.
+
+    Python workers live on after a task, and their allocators keep what they were given; a later stage, or the other
+    worker of an executor, may need it.
+    """
+
+    @functools.wraps(worker)
+    def run(batches):
+        yield from worker(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # a C library without it
+            return
+
+    return run
+
+
 def text_crc_mod(doc_id, modulus: int):
     """crc32 of the decimal doc_id, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, document_batches, write_table
+from tidemark.llm.common import connected_components, document_batches, released, write_table
 from tidemark.llm.simhash import RADIUS, SEED, fingerprint, near_links
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "digest", "bands", "n", "parity"])
 
     document_batches(docs.sparkSession)
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(worker, SKETCH)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(worker), SKETCH)
 
 
 def shingles(text: str | None, words: int = SHINGLE) -> frozenset[int]:
@@ -182,7 +182,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(needed, "node", "left_semi")
     rows = members.union(leaders).join(texts, "node").select("a", "part", "role", "node", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return rows.mapInArrow(_verify_worker(similarity), "a long, b long")
+    return rows.mapInArrow(released(_verify_worker(similarity)), "a long, b long")
 
 
 def star_links(links: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([_signed(list(shingles(text)))], ["token"])
 
     texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select(F.col("text").cast("string").alias("text")).distinct()
-    counts = texts.mapInArrow(worker, "token long").groupBy("token").count().where("count > 1")
+    counts = texts.mapInArrow(released(worker), "token long").groupBy("token").count().where("count > 1")
     top = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
     tokens, n = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(tokens)
@@ -262,7 +262,7 @@ def prefix_rows(docs: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield batch()
 
-    return docs.where("doc_id is not null").select(F.col("text").cast("string")).mapInArrow(worker, "token long, place int, id long, n int, often boolean")
+    return docs.where("doc_id is not null").select(F.col("text").cast("string")).mapInArrow(released(worker), "token long, place int, id long, n int, often boolean")
 
 
 def shared_shingles(rows: DataFrame) -> DataFrame:
