@@ -20,7 +20,7 @@ from tidemark.operators import rollups as A
 from tidemark.plans import tables as P
 from tidemark.plans.shared import fresh_folder
 from tidemark.plans.series import framed
-from tidemark.plans.tables import BARS_SQL, DAILY, FULL_SQL, HOURLY, HOURLY_SQL, TICKS_SQL, TRADES_SQL, r, rounded
+from tidemark.plans.tables import BARS_SQL, DAILY, FULL_SQL, HOURLY, HOURLY_SQL, TICKS_SQL, r, rounded
 from tidemark.queries import _RETS_SQL, _TRADE_SQL, K, KT, W0, _returns, _scored, _touch_sql, query, z_sql
 from tidemark.sources import market as G
 from tidemark.spec import DAY, HOUR
@@ -111,28 +111,28 @@ def s16_replace_range(spark, d):
     return rounded(G.replace_range(b, b.withColumn("close", F.col("close") * 2), DAILY, CUT, 1 << 60))
 
 
-_NEXT = CUT + 90 * DAY
+_JANUARY = 1_704_067_200_000
 
 
-@query(f"WITH {BARS_SQL} SELECT {KT}, {r('open', 'high', 'low', 'close', 'volume')} FROM bars WHERE ts_ms >= {CUT} AND ts_ms < {_NEXT}")
+@query(f"WITH {HOURLY_SQL} SELECT {KT}, {r('open', 'high', 'low', 'close', 'volume')} FROM hours WHERE ts_ms >= {_JANUARY + 5 * DAY + 3 * HOUR} AND ts_ms < {_JANUARY + 12 * DAY}")
 def s1_bar_store(spark, d):
-    """Bars written to a store by day, and a quarter read back from its days alone."""
+    """Bars written to a store by day, and a week read back from its days alone."""
     at = fresh_folder(spark, "bar-store")
-    G.write_partitioned(P.daily_bars(spark, d), at)
-    return rounded(G.read_bars(spark, at, CUT, _NEXT).select(*K, "ts_ms", "open", "high", "low", "close", "volume"))
+    G.write_partitioned(P.hourly_bars(spark, d), at)
+    return rounded(G.read_bars(spark, at, _JANUARY + 5 * DAY + 3 * HOUR, _JANUARY + 12 * DAY).select(*K, "ts_ms", "open", "high", "low", "close", "volume"))
 
 
-@query(f"WITH {TRADES_SQL} SELECT instrument, count(*) AS n, round(sum(price * quantity), 2) AS notional, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM trades WHERE ts_ms >= epoch_ms(DATE '1995-03-01') AND ts_ms < epoch_ms(DATE '1995-04-01') GROUP BY 1")
+@query(f"WITH {TICKS_SQL} SELECT instrument, count(*) AS n, round(sum(price * quantity), 2) AS notional, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM ticks WHERE ts_ms >= {_JANUARY + 4 * DAY} AND ts_ms < {_JANUARY + 14 * DAY} GROUP BY 1")
 def s3_trade_store(spark, d):
-    """Trades written to a store by day, and a month of them read back."""
+    """Trades written to a store by day, and ten days of them read back."""
     at = fresh_folder(spark, "trade-store")
-    G.write_partitioned(P.trades(spark, d).withColumn("notional", F.col("price") * F.col("quantity")), at)
-    month = G.read_trades(spark, at, "1995-03-01", "1995-04-01")
-    out = month.groupBy("instrument").agg(F.count("*").alias("n"), F.sum("notional").alias("notional"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+    G.write_partitioned(P.ticks(spark, d).withColumn("notional", F.col("price") * F.col("quantity")).drop("user_id", "props"), at)
+    days = G.read_trades(spark, at, "2024-01-05", "2024-01-15")
+    out = days.groupBy("instrument").agg(F.count("*").alias("n"), F.sum("notional").alias("notional"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
     return rounded(out, 2)
 
 
-_FROM, _TO = 1_704_067_200_000 + 5 * DAY + 7 * HOUR, 1_704_067_200_000 + 20 * DAY + 13 * HOUR
+_FROM, _TO = _JANUARY + 5 * DAY + 7 * HOUR, _JANUARY + 20 * DAY + 13 * HOUR
 
 
 @query(f"WITH {HOURLY_SQL} SELECT {KT}, round(CASE WHEN ts_ms >= {_FROM} AND ts_ms < {_TO} THEN close * 2 ELSE close END, 6) AS close FROM hours WHERE ts_ms < {_FROM} OR ts_ms >= {_TO} OR (ts_ms // {DAY}) % 4 <> 1")
