@@ -21,7 +21,7 @@ from tidemark.plans import tables as P
 from tidemark.plans.shared import fresh_folder
 from tidemark.plans.series import framed
 from tidemark.plans.tables import BARS_SQL, DAILY, FULL_SQL, HOURLY, HOURLY_SQL, TICKS_SQL, r, rounded
-from tidemark.queries import _RETS_SQL, _TRADE_SQL, K, KT, W0, _returns, _scored, _touch_sql, query, z_sql
+from tidemark.queries import _ATR_SQL, _RETS_SQL, _TRADE_SQL, K, KT, W0, _returns, _scored, _touch_sql, query, z_sql
 from tidemark.sources import market as G
 from tidemark.spec import DAY, HOUR
 from tidemark.streaming import ticks as T
@@ -540,7 +540,18 @@ def m16_multiclass(spark, d):
     return rounded(M.multiclass_metrics(rows, "y", {"UP": "pu", "DOWN": "pd", "FLAT": "pf"}))
 
 
-@query()
+_LEVELS_SQL = f"""{_ATR_SQL}, lv AS (SELECT *, coalesce(greatest(2.0 * rng, 0.002), 0.002) AS tf, coalesce(greatest(rng, 0.001), 0.001) AS sf FROM ab),
+  n AS (SELECT *, row_number() OVER w AS i, lead(open) OVER w AS entry, lead(open, 16) OVER w AS leave FROM lv {W0}),
+  p AS (SELECT a.venue, a.instrument, a.ts_ms, min(b.i - a.i) FILTER (b.high >= a.entry * (1 + a.tf) * (1 - 1e-12)) AS tp, min(b.i - a.i) FILTER (b.low <= a.entry * (1 - a.sf) + abs(a.entry * (1 - a.sf)) * 1e-12) AS sl
+        FROM n a JOIN n b ON a.venue = b.venue AND a.instrument = b.instrument AND b.i > a.i AND b.i <= a.i + 15 GROUP BY ALL),
+  t AS (SELECT n.*, CASE WHEN sl IS NOT NULL AND (tp IS NULL OR sl <= tp) THEN 'SL' WHEN tp IS NOT NULL THEN 'TP' ELSE 'TIMEOUT' END AS outcome FROM n JOIN p USING (venue, instrument, ts_ms) WHERE leave IS NOT NULL),
+  l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY venue, instrument ORDER BY ts_ms DESC) <= 300),
+  s AS (SELECT venue, instrument, avg((outcome = 'TP')::INT) AS p_target, avg((outcome = 'SL')::INT) AS p_stop, avg((outcome = 'TIMEOUT')::INT) AS p_timeout FROM l GROUP BY ALL),
+  o AS (SELECT d.venue, d.instrument, d.ts_ms, count(b.ts_ms) AS n_bars, arg_max(b.close / d.close - 1, b.ts_ms) AS last_return, max(b.close / d.close - 1) AS best_return, min(b.close / d.close - 1) AS worst_return
+        FROM n d JOIN n b ON b.venue = d.venue AND b.instrument = d.instrument AND b.ts_ms > d.ts_ms AND b.ts_ms <= d.ts_ms + 15 * {DAY} GROUP BY ALL)"""
+
+
+@query(f"WITH {_LEVELS_SQL} SELECT n.venue, n.instrument, n.ts_ms AS at_ms, {', '.join(f'round({e}, 6) + 0.0 AS {k}' for k, e in (('target_fraction', 'tf'), ('stop_fraction', 'sf'), ('p_target', 'p_target'), ('p_stop', 'p_stop'), ('ev_net', 'p_target * tf - p_stop * sf - 0.0014'), ('last_return', 'last_return'), ('best_return', 'best_return'), ('worst_return', 'worst_return')))}, n_bars FROM n JOIN s USING (venue, instrument) LEFT JOIN o ON o.venue = n.venue AND o.instrument = n.instrument AND o.ts_ms = n.ts_ms")
 def c28_candidates(spark, d):
     """Decision times, levels from ATR, path probabilities of each series, expectation, and the outcome that followed."""
     rows = W.state_features(P.full_bars(spark, d), DAILY, regime=240, z=240)
@@ -550,7 +561,8 @@ def c28_candidates(spark, d):
     dec = dec.select(*K, F.col("ts_ms").alias("at_ms"), F.col("close").alias("price"), F.lit(1).alias("side"), "target_fraction", "stop_fraction")
     ev = C.expected_value(F.col("p_target"), F.col("p_stop"), F.col("p_timeout"), F.col("target_fraction"), F.col("stop_fraction"), F.lit(0.0), F.lit(0.0014))
     out = dec.join(paths, K).withColumns(ev)
-    return J.observed_outcome(out, rows, DAILY, "at_ms", 15)
+    out = J.observed_outcome(out, rows, DAILY, "at_ms", 15)
+    return rounded(out.select(*K, "at_ms", "target_fraction", "stop_fraction", "p_target", "p_stop", "ev_net", "last_return", "best_return", "worst_return", "n_bars"))
 
 
 @query(f"WITH {BARS_SQL}, {_touch_sql(0.3, 0.2, 20)}, {_TRADE_SQL} SELECT instrument, count(*) AS n, round(sum(gross - fees), 5) AS net_a, round(sum(gross - 2 * fees), 5) AS net_b, round(sum(fees), 5) AS difference FROM c GROUP BY 1")
