@@ -35,6 +35,7 @@ def _narrowed(rows: DataFrame, wide: DataFrame) -> DataFrame:
     at = (F.col("rank") - F.col("before")) / F.greatest(F.col("n") - 1, F.lit(1)) * CELLS
     cell = lambda i: F.get("cells", F.greatest(F.lit(0), F.least(F.lit(CELLS), i)).cast("int"))
     chosen = wide.alias("w").join(sketch.alias("s"), on).select("w.g", "rank", cell(F.floor(at) - 1).alias("lo"), cell(F.ceil(at) + 1).alias("hi"))
+    chosen = write_table(chosen, "proposals")  # a sketch depends on the order in which its parts arrive, and is used twice
     counts = rows.join(chosen.select("g", "lo", "hi").distinct(), "g").groupBy("g", "lo", "hi")
     counts = counts.agg(F.count_if(F.col("v") < F.col("lo")).alias("before"), F.count_if(_inside()).alias("__in"), F.count_if(_inside(strictly=True)).alias("inner"))
     found = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("__in"))
