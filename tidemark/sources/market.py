@@ -218,12 +218,16 @@ def snapshot_table(*snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.where("bad is not null").select("platform", "ts_ms", "bad")
 
 
-def probability_bars(history: DataFrame) -> DataFrame:
-    """(platform, market_id, ts_ms, OHLC of the YES probability): missing open, high and low are the close; last arrival wins."""
+def probability_bars(history: DataFrame, once: bool = True) -> DataFrame:
+    """(platform, market_id, ts_ms, OHLC of the YES probability): missing open, high and low are the close.
+
+    The last arrival of a time wins; without ``once`` every point is a bar.
+    """
     c = F.coalesce(fixed_point("close"), fixed_point("price"))
     o, h, low = (F.coalesce(fixed_point(x), c) for x in ("open", "high", "low"))
     rows = history.select("platform", "market_id", to_epoch_ms("t").alias("ts_ms"), o.alias("open"), F.greatest(h, o, c).alias("high"), F.least(low, o, c).alias("low"), c.alias("close"), "arrival")
-    return keep_last(rows.where("ts_ms is not null and close is not null"), ["platform", "market_id", "ts_ms"], ["arrival"]).drop("arrival")
+    rows = rows.where("ts_ms is not null and close is not null")
+    return (keep_last(rows, ["platform", "market_id", "ts_ms"], ["arrival"]) if once else rows).drop("arrival")
 
 
 def replace_range(existing: DataFrame, fresh: DataFrame, series: Series, start_ms: int, end_ms: int) -> DataFrame:
