@@ -412,27 +412,33 @@ def exposure(fills: DataFrame, keys: list[str], capital: float) -> DataFrame:
 def order_rates(orders: DataFrame, keys: list[str], ts: str = "ts_ms", window_ms: int = 60_000, most: int = 10, cooldown_ms: int = 300_000, bucket_ms: int = 3_600_000) -> DataFrame:
     """Orders in the trailing window, and whether rate or cooldown after the last exit forbids this one.
 
-    A window covers one time bucket of a key, with copies of the bucket before as far back as ``window_ms`` reaches. The
-    last exit of the buckets before is a scan over one row a bucket. An order without a time counts those without one.
+    An order counts from its time until ``window_ms`` after it: it is added there and taken away behind, so that a running
+    sum is what lies in the window, in as many steps as there are orders. A window covers one time bucket of a key; what the
+    buckets before leave is a scan over one row a bucket. An order without a time counts those without one.
     """
     width = max(bucket_ms, window_ms)
     bucket = F.floor(F.col(ts) / width).cast("long")
-    near = F.when(F.col(ts) + window_ms >= (bucket + 1) * width, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
     exit_ts = F.when(F.col("kind") == "EXIT", F.col(ts))
-    w = Window.partitionBy(*keys, "__bucket").orderBy(ts)
-    rows = orders.withColumns({"__own": bucket, "__bucket": F.explode(near)})
-    rows = rows.withColumn("recent_orders", F.count("*").over(w.rangeBetween(-window_ms, 0)))
-    rows = rows.withColumn("last_exit_ts", F.max(exit_ts).over(w.rangeBetween(Window.unboundedPreceding, -1)))
-    rows = rows.where(F.col("__own").eqNullSafe(F.col("__bucket"))).drop("__own")
+    place = lambda at, change: F.struct(at.alias("__time"), F.floor(at / width).cast("long").alias("__bucket"), F.lit(change).cast("long").alias("__change"))
+    changes = F.filter(F.array(place(F.col(ts), 1), place(F.col(ts) + (window_ms + 1), -1)), lambda c: (c["__change"] > 0) | c["__time"].isNotNull())
+    own = F.col("__change") > 0
+    # what is taken away needs no columns but the keys
+    carried = [c for c in orders.columns if c not in keys]
+    rows = orders.select(*keys, F.struct(*carried).alias("__order"), exit_ts.alias("__exit"), F.explode(changes).alias("__c")).select(*keys, F.when(F.col("__c.__change") > 0, F.col("__order")).alias("__order"), F.when(F.col("__c.__change") > 0, F.col("__exit")).alias("__exit"), "__c.*")
+    w = Window.partitionBy(*keys, "__bucket").orderBy("__time")
+    totals = rows.groupBy(*keys, "__bucket").agg(F.max("__exit").alias("__exit"), F.sum("__change").alias("__change"))
+    rows = rows.withColumn("recent_orders", F.sum("__change").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("last_exit_ts", F.max("__exit").over(w.rangeBetween(Window.unboundedPreceding, -1)))
+    rows = rows.where(own).select(*keys, "__order.*", "__bucket", "recent_orders", "last_exit_ts")
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    exits = orders.groupBy(*keys, bucket.alias("__bucket")).agg(F.max(exit_ts).alias("__exit"))
-    exits = exits.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col("__bucket").alias("__at"), F.max("__exit").over(before).alias("__carry"))
+    dated = F.when(F.col("__bucket").isNotNull(), F.col("__change"))
+    exits = totals.select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col("__bucket").alias("__at"), F.max("__exit").over(before).alias("__carry"), F.sum(dated).over(before).alias("__open"))
     same = F.col("__bucket").eqNullSafe(F.col("__at"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
-    rows = rows.join(exits, same).withColumn("last_exit_ts", F.coalesce("last_exit_ts", "__carry"))
-    rows = rows.drop("__bucket", "__at", "__carry", *(f"__key_{k}" for k in keys))
-    return rows.withColumns({"rate_limited": F.col("recent_orders") > most, "cooling_down": F.coalesce(F.col(ts) - F.col("last_exit_ts") < cooldown_ms, F.lit(False))})
+    rows = rows.join(exits, same).withColumns({"last_exit_ts": F.coalesce("last_exit_ts", "__carry"), "recent_orders": F.col("recent_orders") + F.coalesce("__open", F.lit(0))})
+    rows = rows.drop("__bucket", "__at", "__carry", "__open", *(f"__key_{k}" for k in keys))
+    return rows.select(*orders.columns, "recent_orders", "last_exit_ts").withColumns({"rate_limited": F.col("recent_orders") > most, "cooling_down": F.coalesce(F.col(ts) - F.col("last_exit_ts") < cooldown_ms, F.lit(False))})
 
 
 def cost_decomposition(trades: DataFrame, keys: list[str]) -> DataFrame:
