@@ -6,9 +6,12 @@ Rows inside a micro-batch come in any order: stateful steps sort them by arrival
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -121,62 +124,100 @@ def _in_order(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(list(order), kind="stable")
 
 
+class Blocks:
+    """Rows of a key that wait in state, as Arrow blocks by slots of a number: a block costs one access, not each of its rows.
+
+    The map's keys tell slot, order of coming and least number of a block; its rows are read slot by slot.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, column: str, width: int):
+        self.map = handle.getMapState(name, "slot long, n long, least long", "block binary")
+        self.column, self.width = column, width
+        self.n = None
+
+    def keys(self) -> list[tuple[int, int, int]]:
+        return sorted(tuple(k) for k in self.map.keys())
+
+    def add(self, pdf: pd.DataFrame) -> None:
+        if self.n is None:
+            self.n = 1 + max((k[1] for k in self.keys()), default=-1)
+        for slot, own in pdf.groupby(pdf[self.column] // self.width, sort=False):
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_pandas(own, preserve_index=False)
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+                writer.write_table(table)
+            self.map.updateValue((int(slot), self.n, int(own[self.column].min())), (sink.getvalue().to_pybytes(),))
+            self.n += 1
+
+    def take(self, keys: list[tuple[int, int, int]]) -> Iterator[pd.DataFrame]:
+        """The rows of these blocks as they came, a frame a slot in order of the slots; the blocks are forgotten."""
+        for _, own in itertools.groupby(keys, lambda k: k[0]):
+            held = []
+            for k in own:
+                with pa.ipc.open_stream(bytes(self.map.getValue(k)[0])) as reader:
+                    held.append(reader.read_pandas())
+                self.map.removeKey(k)
+            yield pd.concat(held, ignore_index=True)
+
+
 class InOrder(StatefulProcessor):
     """Hands a key's rows on in order of arrival time and sequence, whatever batches they come in.
 
-    Rows wait in a list until the watermark of ``received_ts`` has passed them: then none can come before them, and a
+    Rows wait in blocks until the watermark of ``received_ts`` has passed them: then none can come before them, and a
     timer releases them in order. So files may land in any order, and be cut into batches anywhere, within the
     watermark's delay. A row that comes later than that is dropped by the engine, and shows as a gap in the sequence.
-    What waits is bounded by the delay, not by the batch; only rows that are due at once are sorted together.
+    What waits in state is bounded by the delay, not by the batch; a slot of 1/64 of it is sorted at a time.
     """
 
-    #: Columns of a waiting row after received_us and sequence, and what makes them of a batch.
-    waiting = ""
+    def __init__(self, delay: str):
+        self.slot_us = max(1000, _seconds(delay) * 1_000_000 // 64)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", f"received_us long, sequence long, {self.waiting}")
+        self.blocks = Blocks(handle, "rows", "received_us", self.slot_us)
 
-    def taken(self, pdf: pd.DataFrame) -> list[list]:
-        """The waiting columns of a batch."""
+    def taken(self, pdf: pd.DataFrame) -> dict:
+        """The waiting columns of a batch besides received_us and sequence."""
         raise NotImplementedError
 
-    def released(self, key, rows: list[tuple]) -> pd.DataFrame:
+    def released(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         """The result rows of waiting rows in order; called with each row once."""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
-            received = _micros(pdf["received_ts"])
-            self.rows.appendList(list(zip(received, pdf["sequence"].tolist(), *self.taken(pdf), strict=True)))
-            first = min([*received, *([] if first is None else [first])])
-        held = list(self.handle.listTimers())
-        if not held or min(held) > _due(first):
-            for timer in held:
+            held = pd.DataFrame({"received_us": _micros(pdf["received_ts"]), "sequence": pdf["sequence"].to_numpy(), **self.taken(pdf)})
+            self.blocks.add(held)
+            least = int(held["received_us"].min())
+            first = least if first is None else min(first, least)
+        timers = list(self.handle.listTimers())
+        if not timers or min(timers) > _due(first):
+            for timer in timers:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(_due(first))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due, rest = [], []
-        for row in self.rows.get():
-            (due if row[0] <= passed else rest).append(tuple(row))
-        if rest:
-            self.rows.put(rest)
-            self.handle.registerTimer(_due(min(r[0] for r in rest)))
-        else:
-            self.rows.clear()
-        if due:
-            yield self.released(key, sorted(due, key=lambda r: r[:2]))
+        keys = self.blocks.keys()
+        later = [k[2] for k in keys if k[0] > passed // self.slot_us]
+        for rows in self.blocks.take([k for k in keys if k[0] <= passed // self.slot_us]):
+            due = rows["received_us"] <= passed
+            if not due.all():
+                self.blocks.add(rows[~due])
+                later.append(int(rows["received_us"][~due].min()))
+            if due.any():
+                yield self.released(key, rows[due].sort_values(["received_us", "sequence"], kind="stable"))
+        if later:
+            self.handle.registerTimer(_due(min(later)))
 
     def close(self) -> None:
         pass
 
 
-def _micros(column: pd.Series) -> list[int]:
-    return column.astype("datetime64[us]").astype("int64").tolist()
+def _micros(column: pd.Series) -> np.ndarray:
+    return column.astype("datetime64[us]").astype("int64").to_numpy()
 
 
 def _due(received_us: int) -> int:
@@ -184,38 +225,32 @@ def _due(received_us: int) -> int:
     return -(-received_us // 1000)
 
 
-def _values(column: pd.Series) -> list:
-    """Values with None for what is missing."""
-    return column.astype(object).where(column.notna(), None).tolist()
+def _before(values: np.ndarray, start) -> np.ndarray:
+    """The largest value before each, that of earlier batches being ``start``."""
+    return np.maximum.accumulate(np.concatenate([[start], values[:-1]]))
 
 
 class SequenceCheck(InOrder):
     """Per source and instrument: the last sequence and the largest event time. Gives each tick its codes."""
 
-    waiting = "event_ms long, price double, quantity double"
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.last = handle.getValueState("last", "sequence long, event_ms long")
 
-    def taken(self, pdf: pd.DataFrame) -> list[list]:
-        return [[t // 1000 for t in _micros(pdf["event_ts"])], _values(pdf["price"]), _values(pdf["quantity"])]
+    def taken(self, pdf: pd.DataFrame) -> dict:
+        return {"event_ms": _micros(pdf["event_ts"]) // 1000, "price": pdf["price"].to_numpy(), "quantity": pdf["quantity"].to_numpy()}
 
-    def released(self, key, rows: list[tuple]) -> pd.DataFrame:
-        sequence, event = self.last.get() if self.last.exists() else (None, None)
-        out = []
-        for _, s, at, price, quantity in rows:
-            codes = []
-            if event is not None and at < event:
-                codes.append("LATE")
-            if sequence is not None and s <= sequence:
-                codes.append("REPEAT")
-            elif sequence is not None and s > sequence + 1:
-                codes.append("GAP")
-            out.append((*key, s, at, price, quantity, codes, event is None or at > event))
-            sequence, event = (s if sequence is None else max(sequence, s)), at if event is None else max(event, at)
-        self.last.update((sequence, event))
-        return pd.DataFrame(out, columns=["source", "instrument", "sequence", "event_ms", "price", "quantity", "codes", "newer"])
+    def released(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        s, at = (rows[c].to_numpy("int64") for c in ("sequence", "event_ms"))
+        known = np.ones(len(rows), bool)
+        known[0] = self.last.exists()
+        last = self.last.get() if known[0] else (s[0], at[0])
+        sequence, event = _before(s, last[0]), _before(at, last[1])
+        late, repeat, gap = known & (at < event), known & (s <= sequence), known & (s > sequence + 1)
+        kinds = [[*first, *second] for first in ([], ["LATE"]) for second in ([], ["REPEAT"], ["GAP"])]
+        codes = [kinds[i] for i in (3 * late + repeat + 2 * gap).tolist()]
+        self.last.update((int(max(sequence[-1], s[-1])), int(max(event[-1], at[-1]))))
+        return pd.DataFrame({"source": key[0], "instrument": key[1], "sequence": s, "event_ms": at, "price": rows["price"].to_numpy(), "quantity": rows["quantity"].to_numpy(), "codes": codes, "newer": ~known | (at > event)})
 
 
 TAGGED = "source string, instrument string, sequence long, event_ms long, price double, quantity double, codes array<string>, newer boolean"
@@ -234,7 +269,7 @@ def tagged(ticks: DataFrame, delay: str = REORDER_DELAY) -> DataFrame:
     Ticks count in order of received_ts and sequence, whatever batches bring them, and come out once ``delay`` has passed
     them. LATE is an event time before one that arrived earlier; it is told, not dropped.
     """
-    return _ordered(ticks, SequenceCheck(), TAGGED, delay)
+    return _ordered(ticks, SequenceCheck(delay), TAGGED, delay)
 
 
 def sequence_problems(ticks: DataFrame, delay: str = REORDER_DELAY) -> DataFrame:
@@ -269,35 +304,51 @@ FIELDS = ("price", "bid", "ask", "open_interest", "funding_rate")
 class FieldMerge(InOrder):
     """The newest non-null value of each field with its time; a new connection generation starts afresh."""
 
-    waiting = ", ".join(["event_ms long", "generation int", *(f"{f} double" for f in FIELDS)])
-
-    def __init__(self, stale_ms: int):
+    def __init__(self, stale_ms: int, delay: str):
+        super().__init__(delay)
         self.stale_ms = stale_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.state = handle.getValueState("fields", ", ".join(["generation int", "clock_ms long", *(f"{f} double, {f}_ms long" for f in FIELDS)]))
 
-    def taken(self, pdf: pd.DataFrame) -> list[list]:
-        return [[t // 1000 for t in _micros(pdf["event_ts"])], _values(pdf["generation"]), *(_values(pdf[f]) for f in FIELDS)]
+    def taken(self, pdf: pd.DataFrame) -> dict:
+        return {"event_ms": _micros(pdf["event_ts"]) // 1000, "generation": pdf["generation"].to_numpy(), **{f: pdf[f].to_numpy(float) for f in FIELDS}}
 
-    def released(self, key, rows: list[tuple]) -> pd.DataFrame:
+    def released(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         held = list(self.state.get()) if self.state.exists() else None
+        generation = rows["generation"].to_numpy()
+        top = np.maximum.accumulate(generation if held is None else np.maximum(generation, held[0]))
+        rows, top = rows[generation == top], top[generation == top]  # the others are of an older connection
         out = []
-        for _, sequence, at, generation, *values in rows:
-            if held is None or generation > held[0]:
-                held = [generation, at, *([None, None] * len(FIELDS))]
-            if generation < held[0]:
-                continue  # of an older connection
-            held[1] = max(held[1], at)
-            for i, value in enumerate(values):
-                if value is not None and (held[3 + 2 * i] is None or at >= held[3 + 2 * i]):
-                    held[2 + 2 * i : 4 + 2 * i] = [float(value), at]
-            fresh = [v if t is not None and held[1] - t <= self.stale_ms else None for v, t in zip(held[2::2], held[3::2], strict=True)]
-            out.append((*key, sequence, held[0], held[1], *fresh))
-        if held is not None:
-            self.state.update(tuple(held))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MERGED.split(", ")])
+        for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(top)) + 1):
+            if len(own):
+                held, merged = self._merged(held, int(top[own[0]]), rows.iloc[own])
+                out.append(merged)
+        self.state.update(tuple(held))
+        columns = [c.split()[0] for c in MERGED.split(", ")]
+        return pd.concat(out, ignore_index=True).assign(source=key[0], instrument=key[1])[columns] if out else pd.DataFrame(columns=columns)
+
+    def _merged(self, held: list | None, generation: int, rows: pd.DataFrame) -> tuple[list, pd.DataFrame]:
+        """The state after ticks of one generation, and the fields after each of them."""
+        never = np.iinfo("int64").min
+        at = rows["event_ms"].to_numpy("int64")
+        if held is None or generation > held[0]:
+            held = [generation, int(at[0]), *([None, None] * len(FIELDS))]
+        clock = np.maximum.accumulate(np.maximum(at, held[1]))
+        after, fresh = [generation, int(clock[-1])], {}
+        for i, f in enumerate(FIELDS):
+            value, since = held[2 + 2 * i : 4 + 2 * i]
+            v = rows[f].to_numpy(float)
+            # a value counts unless one of a later time is held: its time is then the largest of all values so far
+            known = np.where(np.isnan(v), never, at)
+            before = _before(known, never if since is None else since)
+            time = np.maximum(before, known)
+            newest = np.maximum.accumulate(np.where(~np.isnan(v) & (at >= before), np.arange(len(v)), -1))
+            v = np.where(newest >= 0, v[newest], np.nan if value is None else value)
+            fresh[f] = np.where((time != never) & (time >= clock - self.stale_ms), v, np.nan)
+            after += [None, None] if time[-1] == never else [float(v[-1]), int(time[-1])]
+        return after, pd.DataFrame({"sequence": rows["sequence"].to_numpy(), "generation": generation, "event_ms": clock, **fresh})
 
 
 MERGED = "source string, instrument string, sequence long, generation int, event_ms long, " + ", ".join(f"{f} double" for f in FIELDS)
@@ -309,7 +360,7 @@ def merged_fields(ticks: DataFrame, stale_ms: int = 15_000, delay: str = REORDER
     Ticks count in order of received_ts and sequence, whatever batches bring them. A tick of a newer connection
     generation forgets all fields; one of an older generation is skipped.
     """
-    return _ordered(ticks, FieldMerge(stale_ms), MERGED, delay)
+    return _ordered(ticks, FieldMerge(stale_ms, delay), MERGED, delay)
 
 
 class Book(StatefulProcessor):
