@@ -366,16 +366,18 @@ def merged_fields(ticks: DataFrame, stale_ms: int = 15_000, delay: str = REORDER
 class Book(StatefulProcessor):
     """Bids and asks as maps of price to size. A delta that does not follow the last one is a gap: the book is emptied until a snapshot.
 
-    The maps hold at most ``levels`` prices; a batch reads them once and writes back the prices that it has changed.
+    The maps hold at most ``levels`` prices; a batch reads them once and writes back the prices that it has changed. Its
+    updates are laid down in slots of ``slot`` numbers first, so that one slot is sorted and held at a time.
     """
 
-    def __init__(self, levels: int):
-        self.levels = levels
+    def __init__(self, levels: int, slot: int = 50_000):
+        self.levels, self.slot = levels, slot
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.bids = handle.getMapState("bids", "price double", "size double")
         self.asks = handle.getMapState("asks", "price double", "size double")
         self.at = handle.getValueState("update", "update_id long, synced boolean")
+        self.blocks = Blocks(handle, "updates", "update_id", self.slot)
 
     def _cut(self, book: dict, best) -> None:
         """Forget the prices beyond the best ``levels``."""
@@ -383,30 +385,34 @@ class Book(StatefulProcessor):
             del book[(min if best is max else max)(book)]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, "update_id")
         last, synced = self.at.get() if self.at.exists() else (None, False)
         before = [{k[0]: v[0] for k, v in s.iterator()} for s in (self.bids, self.asks)]
         sides = [dict(b) for b in before]
-        out = []
-        for update, snapshot, *changes in zip(*(pdf[c].tolist() for c in ("update_id", "is_snapshot", "bids", "asks")), strict=True):
-            if snapshot:
-                sides, synced = [{}, {}], True
-            elif not synced or update != last + 1:
-                if synced:
-                    out.append((*key, update, "GAP", None, None, None, None, None))
-                sides, synced, last = [{}, {}], False, update
-                continue
-            for book, own, best in zip(sides, changes, (max, min), strict=True):
-                for c in own if own is not None else []:
-                    if c["size"]:
-                        book[c["price"]] = c["size"]
-                    else:
-                        book.pop(c["price"], None)
-                self._cut(book, best)
-            last = update
-            depth = [sum(s.values()) for s in sides]
-            money = sum(p * q for s in sides for p, q in s.items())
-            out.append((*key, last, "OK", max(sides[0], default=None), min(sides[1], default=None), depth[0], depth[1], money))
+        for pdf in rows:
+            self.blocks.add(pdf.drop(columns="instrument"))
+        for pdf in self.blocks.take(self.blocks.keys()):
+            out = []
+            pdf = pdf.sort_values("update_id", kind="stable")
+            for update, snapshot, *changes in zip(*(pdf[c].tolist() for c in ("update_id", "is_snapshot", "bid_prices", "bid_sizes", "ask_prices", "ask_sizes")), strict=True):
+                if snapshot:
+                    sides, synced = [{}, {}], True
+                elif not synced or update != last + 1:
+                    if synced:
+                        out.append((*key, update, "GAP", None, None, None, None, None))
+                    sides, synced, last = [{}, {}], False, update
+                    continue
+                for book, prices, sizes, best in zip(sides, changes[::2], changes[1::2], (max, min), strict=True):
+                    for p, q in zip(prices.tolist(), sizes.tolist(), strict=True) if prices is not None else []:
+                        if q:
+                            book[p] = q
+                        else:
+                            book.pop(p, None)
+                    self._cut(book, best)
+                last = update
+                depth = [sum(s.values()) for s in sides]
+                money = sum(p * q for s in sides for p, q in s.items())
+                out.append((*key, last, "OK", max(sides[0], default=None), min(sides[1], default=None), depth[0], depth[1], money))
+            yield pd.DataFrame(out, columns=["instrument", "update_id", "status", "bid", "ask", "bid_depth", "ask_depth", "notional"])
         for state, old, new in zip((self.bids, self.asks), before, sides, strict=True):
             for p in old.keys() - new.keys():
                 state.removeKey((p,))
@@ -414,7 +420,6 @@ class Book(StatefulProcessor):
                 if old.get(p) != q:
                     state.updateValue((p,), (q,))
         self.at.update((last, synced))
-        yield pd.DataFrame(out, columns=["instrument", "update_id", "status", "bid", "ask", "bid_depth", "ask_depth", "notional"])
 
     def close(self) -> None:
         pass
@@ -426,6 +431,8 @@ DELTA = "instrument string, update_id long, is_snapshot boolean, bids array<stru
 
 def order_books(deltas: DataFrame, levels: int = 50) -> DataFrame:
     """Top of book, depth and money after each update; a GAP row where updates are missing."""
+    sides = [F.col(f"{side}s.{part}").alias(f"{side}_{part}s") for side in ("bid", "ask") for part in ("price", "size")]
+    deltas = deltas.select("instrument", "update_id", "is_snapshot", *sides)
     return deltas.groupBy("instrument").transformWithStateInPandas(statefulProcessor=Book(levels), outputStructType=BOOK, outputMode="Append", timeMode="None")
 
 
