@@ -96,23 +96,75 @@ def wider_bars(bars: DataFrame, width: str, watermark: str = "0 seconds") -> Dat
     return out.select("instrument", F.col("w.start").alias("start"), F.col("w.end").alias("end"), *BAR_FIELDS)
 
 
+class Widen(StatefulProcessor):
+    """Hands an instrument's closed bars on and makes wider ones of them: state of one row an open wider bar.
+
+    A wider bar appears once the watermark has passed its end; all bars below it have closed by then.
+    """
+
+    def __init__(self, widths: list[str]):
+        self.widths = widths
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "level int, start_us long", "first_us long, open double, high double, low double, last_us long, close double, volume double, trades long")
+
+    def _closed(self, key, passed_ms: int) -> list[tuple]:
+        out = []
+        for held in list(self.open.keys()):
+            level, start = held
+            end = start + _seconds(self.widths[level]) * 1_000_000
+            if end <= passed_ms * 1000:
+                _, o, h, lo, _, c, volume, trades = self.open.getValue((level, start))
+                self.open.removeKey((level, start))
+                out.append((*key, self.widths[level], start, end, o, h, lo, c, volume, trades))
+            else:
+                self.handle.registerTimer(end // 1000 - 1)  # rings when the watermark is past it: at the end
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            pdf = pdf.sort_values("start_us")
+            yield pdf.assign(frame=self.widths[0])[ROLLED]
+            for level, width in enumerate(self.widths[1:], 1):
+                us = _seconds(width) * 1_000_000
+                for at, own in pdf.groupby(pdf["start_us"] // us * us):
+                    first, last = own.iloc[0], own.iloc[-1]
+                    bar = (int(first["start_us"]), float(first["open"]), float(own["high"].max()), float(own["low"].min()), int(last["start_us"]), float(last["close"]), float(own["volume"].sum()), int(own["trades"].sum()))
+                    if self.open.containsKey((level, int(at))):
+                        old = tuple(self.open.getValue((level, int(at))))
+                        early, late = min(old, bar), max(old, bar, key=lambda b: b[4])
+                        bar = (*early[:2], max(old[2], bar[2]), min(old[3], bar[3]), *late[4:6], old[6] + bar[6], old[7] + bar[7])
+                    self.open.updateValue((level, int(at)), bar)
+        yield from self._frame(self._closed(key, timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._frame(self._closed(key, timerValues.getCurrentWatermarkInMs()))
+
+    def _frame(self, bars: list[tuple]) -> Iterator[pd.DataFrame]:
+        if bars:
+            yield pd.DataFrame(bars, columns=ROLLED)
+
+    def close(self) -> None:
+        pass
+
+
+ROLLED = ["instrument", "frame", "start_us", "end_us", *BAR_FIELDS]
+
+
 def rolled_up(ticks: DataFrame, widths: tuple[str, ...] = ("1 minute", "5 minutes", "15 minutes"), watermark: str = "10 seconds") -> DataFrame:
     """Closed bars of several widths, each a multiple of the one before, as one stream with a frame column.
 
-    Ticks are aggregated once, to bars of the first width; each wider bar is made of the closed bars below it and hands
-    them on, so that state holds a row a bar. All bars of a stretch appear when the widest has closed; where each is
-    wanted as it closes, land ``closed_bars`` and widen what has landed by ``wider_bars``.
+    Ticks are aggregated once, to bars of the first width; wider bars are made of these. Each bar appears when it has
+    closed itself, and does not wait for a wider one.
     """
     seconds = [_seconds(w) for w in widths]
     if any(b % a or b == a for a, b in zip(seconds, seconds[1:], strict=False)):
         raise ValueError("each width must be a multiple of the one before")
-    own = lambda width: F.struct(F.lit(width).alias("frame"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), *BAR_FIELDS)
-    bars = _tick_bars(ticks, widths[0], watermark)
-    bars = bars.withColumn("held", F.array(own(widths[0])))
-    for width in widths[1:]:
-        bars = bars.groupBy("instrument", F.window(F.window_time("w"), width).alias("w")).agg(*_wider(F.col("w.start")), F.flatten(F.collect_list("held")).alias("held"))
-        bars = bars.withColumn("held", F.concat("held", F.array(own(width))))
-    return bars.select("instrument", F.explode("held").alias("x")).select("instrument", "x.*")
+    bars = _tick_bars(ticks, widths[0], watermark).select("instrument", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), *BAR_FIELDS)
+    schema = "instrument string, frame string, start_us long, end_us long, open double, high double, low double, close double, volume double, trades long"
+    out = bars.groupBy("instrument").transformWithStateInPandas(statefulProcessor=Widen(list(widths)), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return out.select("instrument", "frame", F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"), *BAR_FIELDS)
 
 
 def _millis(t) -> int:
