@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tidemark.llm import configuration_packing as cp
@@ -129,3 +130,37 @@ def test_ids_of_many_texts_are_those_of_the_library():
         for k in range(0, len(texts), 60):
             for t, ids in zip(texts[k : k + 60], many.encode(texts[k : k + 60]), strict=True):
                 assert np.frombuffer(ids, "<u4").tolist() == (tokenizer.encode(t, add_special_tokens=False).ids if t else []), t
+
+
+def test_columns_are_encoded_as_by_the_library_with_few_chunks_at_a_time():
+    from tests.llm.test_vocabulary_alignment import SPECIAL, random_texts
+    from tidemark.llm.tokens import BatchEncoder, byte_portions
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, many = Tokenizer.from_file(path), BatchEncoder(path)
+    stops = [a + b + c for a in "aZéß×÷жҁ҂1²日" for b in ".," for c in (" x", "\ny", "", "  z")]
+    texts = [None, *SPECIAL, *random_texts(3, 300), *stops, None, "", "<|endoftext|>", "\x00 \x00.\n"]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    for many.CHUNKS_KEPT, many.TOGETHER, kind, size in ((400_000, 1_000_000, pa.string(), 4_000_000), (5, 3, pa.large_string(), 100)):
+        rows = pa.RecordBatch.from_arrays([pa.array(["before", *texts], kind)], ["text"]).slice(1)
+        got = []
+        for own in byte_portions(rows, 0, size):
+            ids, ends = many.encode_column(own.column(0), 0)
+            assert ends[-1] == len(ids)
+            got += [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == want
+
+
+def test_chunks_that_come_again_are_not_encoded_again(monkeypatch):
+    """A word of every portion goes to the library once, however many rare ones make the caches turn over."""
+    from tidemark.llm.tokens import BatchEncoder
+
+    many, learned = BatchEncoder(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    learn = many._learn
+    monkeypatch.setattr(many, "_learn", lambda new: (learned.update(new), learn(new)))
+    many.CHUNKS_KEPT = 20
+    for k in range(30):
+        many.encode([" common words " + " ".join(f"rare{chr(97 + k % 26)}{k}x{i}" for i in range(15))])
+        assert len(many.kept) <= 50
+    assert learned[" common"] == learned[" words"] == 1
+    assert sum(learned.values()) == len(learned)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import document_batches, tokenizer_path, write_table
-from tidemark.llm.tokens import END_ID, batch_encoder, in_portions
+from tidemark.llm.tokens import END_ID, batch_encoder, byte_portions
 
 CAPACITY = 2048
 #: Phases of the program: how much cheaper a length gets for each time its whole stock is bought, and rounds at most.
@@ -187,7 +187,7 @@ def _pieces(docs: DataFrame, capacity: int, path: str, with_ids: bool) -> DataFr
     """The pieces of each document, numbered among those of one length and task."""
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = batch_encoder(path).encode, END_ID.to_bytes(4, "little")
+        encode = batch_encoder(path).encode_column
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         out: list[tuple] = []
@@ -199,16 +199,18 @@ def _pieces(docs: DataFrame, capacity: int, path: str, with_ids: bool) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names)
 
         for rows in batches:
-            for doc_ids, texts in in_portions(rows, 1):
-                for doc_id, ids in zip(doc_ids, encode(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+            for portion in byte_portions(rows, 1):
+                ids, ends = encode(portion.column(1), END_ID)
+                first = 0
+                for doc_id, last in zip(portion.column(0).to_pylist(), ends.tolist(), strict=True):
+                    n = last - first
                     start, length = 0, n % capacity or capacity  # a shorter piece comes first
                     for piece in range(-(-n // capacity)):
-                        own = ids[4 * start : 4 * (start + length)]
-                        out.append((doc_id, piece, start, length, zlib.crc32(own), part, seen[length], *([own] if with_ids else [])))
+                        own = ids[first + start : first + start + length]
+                        out.append((doc_id, piece, start, length, zlib.crc32(own), part, seen[length], *([own.tobytes()] if with_ids else [])))
                         seen[length] += 1
                         start, length = start + length, capacity
+                    first = last
                 yield batch()
 
     schema = PIECES + (", ids binary" if with_ids else "")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import functools
 import gc
-import itertools
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 0
 WORDS_KEPT = 150_000
@@ -21,8 +22,10 @@ _PLAIN = re.compile(r"[\t\n\r -~¡-ԯ]*")
 CHUNKS = re.compile("[ \n]*[^ \n\x00]+|[ \n]+")
 #: White space other than space and line break before one of the two: no chunk ends there.
 UNSAFE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff][ \n]")
-#: A stop after a letter and before white space is a token, or two, of its own.
-STOPS = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n])")
+#: The same of bytes: what white space of other kinds may end with in UTF-8.
+_MAY_BE_SPACE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, *range(0x80, 0xC0)])
+#: First bytes of two of which, but for the signs of multiplication and division (C3 97, C3 B7), only letters are made.
+_LETTER_LEADS = np.isin(np.arange(256), [*range(0xC3, 0xCA), 0xD0, 0xD1])
 
 
 class Encoder:
@@ -119,15 +122,44 @@ class Encoder:
         return self.encode(text) + END_ID.to_bytes(4, "little")
 
 
+def _bytes_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, none of them null, and where each begins and the last ends."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8), at - at[0]
+
+
+def _spaces(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | (data == 10)
+
+
+def _chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where chunks start: at a text, at a space or line break that follows neither, at a stop between a letter and one of the two."""
+    space = _spaces(data)
+    start = space.copy()
+    start[1:] &= ~space[:-1]
+    stop = np.flatnonzero(((data[1:-1] == 46) | (data[1:-1] == 44)) & space[2:]) + 1
+    last, lead = data[stop - 1], data[stop - 2]
+    sign = (lead == 0xC3) & ((last == 0x97) | (last == 0xB7))
+    start[stop[((last | 32) - 97 < 26) | (last >= 128) & _LETTER_LEADS[lead] & ~sign]] = True
+    start[at[:-1][at[:-1] < len(data)]] = True
+    return np.flatnonzero(start)
+
+
 class BatchEncoder:
-    """Ids of many texts at once, equal to those of ``Tokenizer.encode``, as little-endian unsigned 32-bit bytes.
+    """Ids of many texts at once, equal to those of ``Tokenizer.encode``, as little-endian unsigned 32-bit numbers.
 
-    Chunks not met before are laid together and encoded by the library as a few long strings, which are cut apart again
-    by the bytes of their tokens; the ids of a bounded number of chunks are kept. A text that holds the string of an added
-    token or white space of other kinds at a chunk's end is encoded whole.
+    Texts stay in their Arrow buffer: chunks are found among its bytes, and each different one is looked up once. Chunks
+    not met before are laid together and encoded by the library as a few long strings, which are cut apart again by the
+    bytes of their tokens; the ids of a bounded number of chunks are kept. Those of the generation before are kept too
+    and move over when they are met again. A text that holds the string of an added token or white space of other
+    kinds at a chunk's end is encoded whole.
     """
 
-    JOINED_CHARS, CHUNKS_KEPT, CHARS_KEPT = 1_000, 500_000, 12_000_000
+    #: CHUNKS_KEPT and CHARS_KEPT hold for a generation, of which there are two. Chunks looked up together.
+    JOINED_CHARS, CHUNKS_KEPT, CHARS_KEPT, TOGETHER = 1_000, 600_000, 12_000_000, 1_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -140,6 +172,7 @@ class BatchEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.chars = 0
 
     def _ids(self, strings: list[str]) -> list[np.ndarray]:
@@ -147,43 +180,109 @@ class BatchEncoder:
 
     def _learn(self, new: list[str]) -> None:
         joined, held, size = [], [], 0
-        alone = []
+        together, alone = [], []
         for c in new:
             if c[0] not in " \n" or c[-1].isspace():
                 alone.append(c)
                 continue
+            together.append(c)
             held.append(c)
             size += len(c)
             if size >= self.JOINED_CHARS:
-                joined.append(held)
+                joined.append("".join(held))
                 held, size = [], 0
-        joined += [held] if held else []
-        for own, ids in zip(joined, self._ids(["".join(h) for h in joined]), strict=True):
+        joined += ["".join(held)] if held else []
+        if together:
+            ids = np.concatenate(self._ids(joined))
             ends = np.cumsum(self.sizes[ids])
-            cuts = np.cumsum([len(c.encode()) for c in own])
-            at = (4 * np.searchsorted(ends, cuts, "right")).tolist()
-            if ends[-1] != cuts[-1]:
+            cuts = np.cumsum(np.fromiter((len(c.encode()) for c in together), np.int64, len(together)))
+            at = np.searchsorted(ends, cuts, "right")
+            if not np.array_equal(ends[at - 1], cuts) or at[-1] != len(ids):
                 raise ValueError("the vocabulary does not spell its texts byte for byte")
-            data = ids.tobytes()
-            self.kept.update(zip(own, [data[s:e] for s, e in zip([0, *at], at, strict=False)], strict=True))
+            data, at = ids.tobytes(), (4 * at).tolist()
+            self.kept.update(zip(together, [data[s:e] for s, e in zip([0, *at], at, strict=False)], strict=True))
         if alone:
             self.kept.update(zip(alone, (ids.tobytes() for ids in self._ids(alone)), strict=True))
         self.chars += sum(map(len, new))
 
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """The ids of different chunks."""
+        if len(self.kept) > self.CHUNKS_KEPT or self.chars > self.CHARS_KEPT:
+            self.before, self.kept, self.chars = self.kept, {}, 0
+        out = list(map(self.kept.get, chunks))
+        missed = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in missed:
+            c = chunks[i]
+            ids = self.before.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                self.kept[c] = ids
+                self.chars += len(c)
+        if new:
+            self._learn(new)
+        for i in missed:
+            out[i] = self.kept[chunks[i]]
+        return out
+
+    def _gathered(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one after another, and how many each has."""
+        different = chunks.dictionary_encode()
+        known = self._known(different.dictionary.to_numpy(zero_copy_only=False).tolist())  # faster than to_pylist
+        n = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first, which = np.cumsum(n) - n, different.indices.to_numpy()
+        n, first = n[which], first[which]
+        ends = np.cumsum(n)
+        place = np.repeat(first - (ends - n), n)
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(known), "<u4")[place], n
+
+    def _whole(self, texts: pa.LargeStringArray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which texts the library must see whole."""
+        out = np.zeros(len(texts), bool)
+        raw = data.tobytes()
+        for a in self.added:
+            if a.encode() in raw:
+                out |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        end = np.flatnonzero(_MAY_BE_SPACE[data[:-1]] & _spaces(data[1:]))
+        lead = data[end - 1]
+        end = end[(data[end] < 128) | (lead < 0xC3) | (lead > 0xDF)]  # a character of two bytes is white space after C2 only
+        for i in np.unique(np.searchsorted(at, end, "right") - 1).tolist():
+            out[i] |= UNSAFE.search(texts[i].as_py()) is not None
+        return out
+
+    def encode_column(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where those of each end. ``end`` is put after each; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        data, at = _bytes_of(texts)
+        whole = self._whole(texts, data, at)
+        odd = []
+        if whole.any():
+            odd = self._ids(texts.filter(pa.array(whole)).to_pylist())
+            texts = pc.if_else(pa.array(whole), "", texts)
+            data, at = _bytes_of(texts)
+        starts = _chunk_starts(data, at)
+        bounds = np.append(starts, len(data))
+        chunks = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        parts = [self._gathered(chunks.slice(k, self.TOGETHER)) for k in range(0, len(starts), self.TOGETHER)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *(p[0] for p in parts)])
+        sums = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(p[1] for p in parts)]))
+        ends = sums[np.searchsorted(starts, at[1:])]
+        if odd:
+            n = np.array([len(x) for x in odd], np.int64)
+            ids = np.insert(ids, np.repeat(ends[whole], n), np.concatenate(odd))
+            more = np.zeros(len(ends), np.int64)
+            more[whole] = n
+            ends = ends + np.cumsum(more)
+        if end is not None:
+            ids, ends = np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)
+        return ids, ends
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.kept) > self.CHUNKS_KEPT or self.chars > self.CHARS_KEPT:
-            self.kept.clear()
-            self.chars = 0
-        whole = [bool(t) and ("\x00" in t or UNSAFE.search(t) is not None or any(a in t for a in self.added)) for t in texts]
-        chunks = [[] if w or not t else CHUNKS.findall(STOPS.sub("\x00\\1", t)) for t, w in zip(texts, whole, strict=True)]
-        if new := set(itertools.chain.from_iterable(chunks)).difference(self.kept):
-            self._learn(list(new))
-        ids = [b"".join(map(self.kept.__getitem__, c)) for c in chunks]
-        if any(whole):
-            odd = iter(self._ids([t for t, w in zip(texts, whole, strict=True) if w]))
-            ids = [next(odd).tobytes() if w else i for i, w in zip(ids, whole, strict=True)]
-        return ids
+        ids, ends = self.encode_column(pa.array(texts, pa.large_string()))
+        return [own.tobytes() for own in np.split(ids, ends[:-1])] if len(texts) else []
 
 
 @functools.lru_cache(maxsize=2)
@@ -192,6 +291,16 @@ def batch_encoder(path: str) -> BatchEncoder:
     return BatchEncoder(path)
 
 
+def byte_portions(rows: pa.RecordBatch, text: int, size: int = 4_000_000):
+    """Slices of a record batch with about ``size`` bytes of the text column each, a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(rows.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < rows.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, size + (ends[start - 1] if start else 0), "right")))
+        yield rows.slice(start, stop - start)
+        start = stop
+
+
 def in_portions(rows, text: int, chars: int = 1_000_000):
     """The columns of a record batch as lists, about ``chars`` of the text column at a time."""
     columns = [c.to_pylist() for c in rows.columns]
