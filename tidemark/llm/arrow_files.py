@@ -8,9 +8,10 @@ file: doc_id, start (in this file) and n_tokens of each document.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_folder, tokenizer_path, write_table
-from tidemark.llm.tokens import encoder
+from tidemark.llm.common import document_batches, fresh_folder, tokenizer_path, write_table
+from tidemark.llm.tokens import END_ID, BatchEncoder, batch_encoder, byte_portions
 
 SEQ_LEN, BATCH_ROWS = 1024, 512
 MANIFEST = "part long, path string, index_path string, n_docs long, n_tokens long"
@@ -96,6 +97,26 @@ class Sequences:
         return self._slice(i, "mask")
 
 
+def write_part(batches: Iterable[pa.RecordBatch], sink, side, enc: BatchEncoder, seq_len: int = SEQ_LEN, batch_rows: int = BATCH_ROWS) -> tuple[int, int]:
+    """Write doc_id and text of ``batches`` to a token file and its index; gives the numbers of documents and of ids.
+
+    A portion of the text column is encoded at once, and its ids go to the file as they lie.
+    """
+    tokens, index = _Writer(sink, 2 if len(enc.sizes) <= 1 << 16 else 4, seq_len, batch_rows), pa.ipc.new_stream(side, INDEX)
+    n_docs = 0
+    for rows in batches:
+        for portion in byte_portions(rows, 1):
+            ids, ends = enc.encode_column(portion.column(1), END_ID)
+            n = np.diff(ends, prepend=0)
+            starts = tokens.total + ends - n
+            tokens.add(ids.astype(tokens.dtype))
+            index.write_batch(pa.RecordBatch.from_arrays([portion.column(0), pa.array(starts), pa.array(n)], schema=INDEX))
+            n_docs += portion.num_rows
+    tokens.close()
+    index.close()
+    return n_docs, tokens.total
+
+
 def write_token_files(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, batch_rows: int = BATCH_ROWS, tokenizer: str | None = None) -> DataFrame:
     """Write all documents in ascending doc_id order; returns the manifest, one row per file, written already.
 
@@ -104,34 +125,20 @@ def write_token_files(docs: DataFrame, folder: str, seq_len: int = SEQ_LEN, batc
     null doc_id sorts first; repeated ids keep their rows, in order of text. An empty table gives an empty manifest.
     """
     path = tokenizer or tokenizer_path()
+    document_batches(docs.sparkSession)
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(path), TaskContext.get().partitionId()
-        width = 2 if enc.vocab_size <= 1 << 16 else 4
-        names = [f"{folder}/{kind}-{part:06d}-{uuid.uuid4().hex}.arrows" for kind in ("tokens", "index")]
+        part = TaskContext.get().partitionId()
         first = next(batches, None)
         if first is None:
             return
-        fs, _ = _open(folder)
-        fs.create_dir(_open(folder)[1], recursive=True)
-        n_docs = at = 0
+        names = [f"{folder}/{kind}-{part:06d}-{uuid.uuid4().hex}.arrows" for kind in ("tokens", "index")]
+        fs, at = _open(folder)
+        fs.create_dir(at, recursive=True)
         with fs.open_output_stream(_open(names[0])[1]) as sink, fs.open_output_stream(_open(names[1])[1]) as side:
-            tokens, index = _Writer(sink, width, seq_len, batch_rows), pa.ipc.new_stream(side, INDEX)
-            while first is not None:
-                rows = []
-                for doc_id, text in zip(first.column(0).to_pylist(), first.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(enc.encode_document(text), "<u4").astype(tokens.dtype)
-                    tokens.add(ids)
-                    rows.append((doc_id, at, len(ids)))
-                    at += len(ids)
-                n_docs += len(rows)
-                if rows:
-                    index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=INDEX))
-                first = next(batches, None)
-            tokens.close()
-            index.close()
+            n_docs, n_tokens = write_part(itertools.chain([first], batches), sink, side, batch_encoder(path), seq_len, batch_rows)
         if n_docs:
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": names[:1], "index_path": names[1:], "n_docs": [n_docs], "n_tokens": [at]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "path": names[:1], "index_path": names[1:], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
