@@ -58,7 +58,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is the end id alone; a null doc_id is carried; repeated rows are packed as often as they come;
     very long texts become many pieces; an empty table gives no rows.
     """
-    return packing.pack(docs)
+    return packing.pack(docs, lean=True)  # after the other stages an executor has little memory left
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import document_batches, tokenizer_path
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import END_ID, batch_encoder, byte_portions, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids of one worker: its partition number above this many bits.
@@ -112,19 +112,36 @@ class Bins:
                     held = []
 
 
-def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def _by_column(rows: pa.RecordBatch, path: str) -> Iterator[tuple[int | None, bytes]]:
+    """doc_id and ids of each document, a portion of the text column encoded at once."""
+    for portion in byte_portions(rows, 1):
+        ids, ends = batch_encoder(path).encode_column(portion.column(1), END_ID)
+        first = 0
+        for doc_id, last in zip(portion.column(0).to_pylist(), ends.tolist(), strict=True):
+            yield doc_id, ids[first:last].tobytes()  # a copy: what waits in a bin must not hold the portion
+            first = last
+
+
+def _one_by_one(rows: pa.RecordBatch, path: str) -> Iterator[tuple[int | None, bytes]]:
+    """The same with less memory: one document after another."""
+    yield from zip(rows.column(0).to_pylist(), map(encoder(path).encode_document, rows.column(1).to_pylist()), strict=True)
+
+
+def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, with_ids: bool = False, lean: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names. A null or empty text is the
     end id alone. A null doc_id is carried. Repeated rows and ids are packed as often as they come. An empty table
     gives no rows. A very long text becomes many pieces of the same worker. ``with_ids`` adds the ids of a piece as
     little-endian unsigned 32-bit bytes. A retried task reads the same rows, and so numbers its sequences alike.
+    ``lean`` encodes one document after another, for executors whose memory other work has filled: the same rows, in
+    about twice the time.
     """
     path = tokenizer or tokenizer_path()
     document_batches(docs.sparkSession)
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_document
+        documents = _one_by_one if lean else _by_column
         bins = Bins(capacity)
         base = TaskContext.get().partitionId() << LOCAL_BITS
         out: list[tuple] = []
@@ -144,8 +161,7 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, wi
                 out.append((doc_id, before + start, length, zlib.crc32(own), n, base + number, offset, *([own] if with_ids else [])))
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text)
+            for doc_id, ids in documents(b, path):
                 n = len(ids) // 4
                 whole = n - n % capacity
                 place(bins.put((doc_id, ids, n, 0), whole))
