@@ -36,6 +36,13 @@ def to_epoch_ms(c) -> Column:
     return F.when(n.isNotNull(), F.when(F.abs(n) < 1e11, n * 1000).otherwise(n).cast("long")).otherwise(iso)
 
 
+def nearest_ms(c) -> Column:
+    """Epoch milliseconds of a timestamp to the nearest, halves away from 1970, as DuckDB's epoch_ms; spec.epoch_ms rounds down."""
+    us = F.unix_micros(col(c).cast("timestamp"))
+    shifted = us + F.when(us < 0, -500).otherwise(500)
+    return ((shifted - shifted % 1000) / 1000).cast("long")
+
+
 def bucket(ts, step) -> Column:
     """Start of the step that a time lies in."""
     t = col(ts)
