@@ -7,7 +7,9 @@ Copies collapse first, so thousands of them are one text. Then three steps, each
 2. SimHash: the BK-trees of operator 2 link fingerprints within three bits.
 3. What makes the result whole is a prefix filter, whatever the bands missed. In an order of all shingles, rare ones
    first, two texts similar to 0.8 share a shingle near both their beginnings. Every pair of texts of different groups
-   that does, and whose places leave room for enough common shingles, is compared exactly.
+   that does, and whose places leave room for enough common shingles, is compared exactly. Long texts share a line with
+   ever more others as the corpus grows; such pairs go by parity bits in number as the text's shingles, before any text
+   is moved.
 """
 
 from __future__ import annotations
@@ -47,8 +49,12 @@ _SHIFTS = _SEEDS.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64)
 EARLIER = 4
 #: Longs of a text's parity bits.
 PARITY = 8
+#: Texts of more shingles than this also have wide parity bits, a power of two, at least so many a shingle.
+LONG, WIDE = 768, 0.7
+#: Ids that may travel as a broadcast; more meet in a join.
+BROADCAST = 1 << 19
 
-SKETCH = "doc_id long, fp long, digest binary, bands array<long>, n int, parity array<long>"
+SKETCH = "doc_id long, fp long, digest binary, bands array<long>, n int, parity array<long>, wide array<long>"
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -84,11 +90,20 @@ def parity(h: np.ndarray) -> list[int]:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def sketch(text: str | None) -> tuple[int, bytes, list[int], int, list[int]]:
-    """(whole-text fingerprint, digest of the words, band keys, distinct shingles, parity); the first and the keys as unsigned."""
+def wide_parity(h: np.ndarray) -> list[int] | None:
+    """As ``parity``, with bits in number as the shingles: those of a width are the exclusive or of the halves of twice that width."""
+    if len(h) <= LONG:
+        return None
+    bits = 1 << max(6, math.ceil(math.log2(WIDE * len(h))))
+    counts = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def sketch(text: str | None) -> tuple[int, bytes, list[int], int, list[int], list[int] | None]:
+    """(whole-text fingerprint, digest of the words, band keys, distinct shingles, parity, wide parity); the first and the keys as unsigned."""
     w = word_list(text)
     h = np.unique(_shingle_hashes(w, SHINGLE))
-    return fingerprint(text), hashlib.md5(b" ".join(w)).digest(), bands(h), len(h), parity(h)
+    return fingerprint(text), hashlib.md5(b" ".join(w)).digest(), bands(h), len(h), parity(h), wide_parity(h)
 
 
 def _signed(values) -> pa.Array:
@@ -102,8 +117,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             flat = _signed([x for r in rows for x in r[2]])
             offsets = np.cumsum([0, *(len(r[2]) for r in rows)]).astype(np.int32)
             arrays = [b.column(0), _signed([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.ListArray.from_arrays(offsets, flat)]
-            arrays += [pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "digest", "bands", "n", "parity"])
+            arrays += [pa.array([r[3] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (4, 5))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "digest", "bands", "n", "parity", "wide"])
 
     document_batches(docs.sparkSession)
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(worker), SKETCH)
@@ -121,16 +136,24 @@ def similar(a: frozenset, b: frozenset, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def _can_be_similar(similarity: float, x: str, y: str) -> Column:
-    """Whether sizes and parity bits leave room for similarity: columns n and w0, w1, ... with the ends x and y.
+def _sizes_fit(similarity: float, nx: Column, ny: Column) -> Column:
+    return F.least(nx, ny) >= F.lit(similarity) * F.greatest(nx, ny) - 1e-6
+
+
+def _room(similarity: float, nx: Column, ny: Column) -> Column:
+    """In how many parity bits similar texts may differ.
 
     Texts of nx and ny shingles that are similar have o in common and so differ in nx + ny - 2 o shingles at most, and
     in no more parity bits.
     """
+    return nx + ny - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * (nx + ny) - 1e-6)
+
+
+def _can_be_similar(similarity: float, x: str, y: str) -> Column:
+    """Whether sizes and parity bits leave room for similarity: columns n and w0, w1, ... with the ends x and y."""
     nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
     differ = sum((F.bit_count(F.col(f"w{k}{x}").bitwiseXOR(F.col(f"w{k}{y}"))) for k in range(PARITY)), F.lit(0))
-    room = nx + ny - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * (nx + ny) - 1e-6)
-    return (F.least(nx, ny) >= F.lit(similarity) * F.greatest(nx, ny) - 1e-6) & (differ <= room)
+    return _sizes_fit(similarity, nx, ny) & (differ <= _room(similarity, nx, ny))
 
 
 def _parity_columns(end: str) -> list[Column]:
@@ -146,6 +169,25 @@ def band_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(_can_be_similar(similarity, "_a", "_b")).select("a", "b").distinct()
 
 
+def possible_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) of nodes of which some texts (node, n, wide) can be similar by size and wide parity bits.
+
+    What shares a line or two goes here, at the cost of n / 10 bytes instead of a text; 64 * PARITY bits say nothing of
+    thousands of shingles. Texts without wide bits stay. The bits of the wider are folded to the width of the other.
+    """
+    one, two = (texts.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"wide_{end}")) for end in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("wide", F.concat("wide_a", "wide_b"))
+    width = F.least(F.size("wide_a"), F.size("wide_b"))
+
+    def folded(k: Column) -> Column:
+        return F.aggregate(F.sequence(k, F.size("wide") - 1, width), F.lit(0).cast("long"), lambda x, i: x.bitwiseXOR(F.get("wide", i)))
+
+    differ = F.aggregate(F.sequence(F.lit(0), width - 1), F.lit(0), lambda n, k: n + F.bit_count(folded(k)))
+    nx, ny = F.col("n_a"), F.col("n_b")
+    fits = F.when(F.col("wide").isNull(), True).otherwise(differ <= _room(similarity, nx, ny))
+    return both.where(_sizes_fit(similarity, nx, ny)).where(fits).select("a", "b").distinct()
+
+
 def _verify_worker(similarity: float):
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (a, part, role): a leader's texts, then those compared with it; one set is held at a time."""
@@ -177,8 +219,9 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"))
     leaders = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    # Spark broadcasts the ids where they are few; then only the texts of pairs are moved
     needed = write_table(ends, "paired-texts")
+    if needed.count() <= BROADCAST:  # then only the texts of pairs are moved
+        needed = F.broadcast(needed)
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(needed, "node", "left_semi")
     rows = members.union(leaders).join(texts, "node").select("a", "part", "role", "node", "text")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
@@ -339,16 +382,17 @@ def near_copy_components(docs: DataFrame, similarity: float = SIMILARITY, radius
     Rows that share a doc_id are one document, with the links of all its texts. An empty table gives no rows.
     """
     own = write_table(sketches(docs), "sketches")
-    texts = own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("n").alias("n"), F.any_value("parity").alias("parity"))
+    texts = own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("n").alias("n"), F.any_value("parity").alias("parity"), F.any_value("wide").alias("wide"))
     texts = write_table(texts, "texts")
     pairs = write_table(band_pairs(texts, similarity), "band-pairs")
-    found = connected_components(star_links(verified(docs, pairs, similarity)))
+    found = connected_components(write_table(star_links(verified(docs, pairs, similarity)), "band-links"))
     named = relabelled(texts.select("digest", "node", "fp", "n", "parity", F.col("node").alias("label")), found)
     fps = write_table(named.groupBy("fp").agg(F.min("label").alias("node")), "text-fingerprints")
     same = named.join(fps.select("fp", F.col("node").alias("low")), "fp").where("label <> low").select(F.col("label").alias("a"), F.col("low").alias("b"))
     named = relabelled(named, connected_components(same.unionByName(near_links(fps, radius))))
     pairs = write_table(prefix_pairs(docs, named, similarity), "prefix-pairs")
-    rest = verified(docs, pairs, similarity)
+    pairs = write_table(possible_pairs(pairs, texts, similarity), "possible-pairs")
+    rest = write_table(verified(docs, pairs, similarity), "prefix-links")
     for end in ("a", "b"):
         label = named.select(F.col("node").alias(end), F.col("label").alias("to")).distinct()
         rest = rest.join(label, end).drop(end).withColumnRenamed("to", end)
