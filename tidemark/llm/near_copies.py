@@ -36,6 +36,8 @@ MEMBERS = 1024
 SAMPLE, FREQUENT = 8192, 1 << 16
 #: A shingle that so many sampled texts hold is counted by partial sums.
 OFTEN = 8
+#: Rows that a reader of documents decodes at once.
+READ_ROWS = 1024
 #: Rows of one Arrow batch from a worker.
 BATCH_ROWS = 1 << 16
 #: Shingles whose permuted hashes are held at once.
@@ -381,6 +383,9 @@ def near_copy_components(docs: DataFrame, similarity: float = SIMILARITY, radius
     ``docs`` is read several times and should be a written table. Null, empty and blank texts are copies of each other.
     Rows that share a doc_id are one document, with the links of all its texts. An empty table gives no rows.
     """
+    # the default of 4096 whole documents in a reader's vectors is tens of megabytes of an executor's heap
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    docs.sparkSession.conf.set(name, min(int(docs.sparkSession.conf.get(name)), READ_ROWS))
     own = write_table(sketches(docs), "sketches")
     texts = own.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("n").alias("n"), F.any_value("parity").alias("parity"), F.any_value("wide").alias("wide"))
     texts = write_table(texts, "texts")
